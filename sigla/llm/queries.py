@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash
+from . import bpe, linededup, minhash, mixing, quality
 from .common import table
 
 #: The query's parameter; a cluster has this file installed with the tokenizers on each machine.
@@ -22,8 +22,27 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.rated(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.without_boilerplate(table(spark, sf_dir, "documents"), host="source"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_mixing": op10_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": linededup.SQL,
+    "op10_mixing": mixing.SQL,
 }
-ORACLES: dict[str, str] = {}
