@@ -83,14 +83,14 @@ def digest(rows: DataFrame) -> DataFrame:
 
 #: The same in DuckDB SQL, for pages of documents whose host is their source.
 SQL = f"""
-WITH pages AS (SELECT source, text, list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS lines
+WITH pages AS (SELECT source, text, list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS lines
                FROM documents WHERE text IS NOT NULL GROUP BY source, text),
 totals AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
 counts AS (SELECT source, line, count(*) AS k FROM (SELECT source, unnest(lines) AS line FROM pages) GROUP BY source, line),
 bad AS (SELECT c.source, list(c.line) AS bad FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
         WHERE c.k >= {MIN_PAGES} AND c.k > {RATIO} * t.n GROUP BY c.source),
 cut AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines,
-        list_filter(string_split(d.text, chr(10)), x -> NOT coalesce(list_contains(b.bad, x), false)) AS kept
+        list_filter(string_split(d.text, chr(10)), lambda x: NOT coalesce(list_contains(b.bad, x), false)) AS kept
         FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
        sha256(coalesce(array_to_string(kept, chr(10)), '')) AS clean_sha256 FROM cut

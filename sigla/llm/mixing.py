@@ -62,15 +62,15 @@ def draw(doc_id: Column, size: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken for each row of ``docs``."""
+def mix(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and columns to carry, for each row of ``docs``."""
     quality = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).withColumnRenamed("doc_id", "of")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *carry)
     rows = rows.join(quality, F.col("doc_id") == F.col("of"), "left").drop("of")
     weight = F.coalesce(LOW + (1 - LOW) * F.col("q"), F.lit(UNLABELLED))
     key = -F.log(draw(F.col("doc_id"), F.col("size"))) / weight
-    rows = write_shared(rows.select("doc_id", "source", "size", key.alias("key")), "sizes")
+    rows = write_shared(rows.select("doc_id", "source", "size", key.alias("key"), *carry), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     aims = targets(sources)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -86,7 +86,20 @@ def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
     inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce(inside, F.lit(0))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *carry)
+
+
+def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, repeated by epoch; a document begun is whole.
+
+    Rows that share an id, or a text where they have none, are repeated alike.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    keyed = docs.withColumn("mx_key", key)
+    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
+    taken = mix(keyed, labels, ("mx_key",)).groupBy("mx_key").agg(F.max(copies).cast("int").alias("mx_copies")).where("mx_copies > 0")
+    out = keyed.join(taken, "mx_key").withColumn("mx_copy", F.explode(F.sequence(F.lit(1), "mx_copies")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 _WEIGHT = " ".join(f"WHEN {i} THEN {w}.0" for i, w in enumerate(WEIGHTS))

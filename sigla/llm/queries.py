@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, minhash, mixing, quality
+from . import audio, bpe, linededup, minhash, mixing, pii, quality, warc
 from .common import table
 
 #: The query's parameter; a cluster has this file installed with the tokenizers on each machine.
@@ -22,11 +22,23 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.described(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.rated(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.without_boilerplate(table(spark, sf_dir, "documents"), host="source"))
 
@@ -37,12 +49,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_telephony_audio": op2_telephony_audio,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op5_warc": warc.SQL,
     "op9_line_dedup": linededup.SQL,
     "op10_mixing": mixing.SQL,
 }
