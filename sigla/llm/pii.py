@@ -19,6 +19,7 @@ candidates nothing is added; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -141,6 +142,19 @@ def votes_and_shape(text: str, kind: int, start: int, end: int) -> str:
     return f"{kind}{layout}{known}{context}{check}{border}{shape}"
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def search(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, base spans, and candidates that no base span meets, with their keys."""
     span = "kind int, start int, end int"
@@ -157,9 +171,10 @@ def search(docs: DataFrame, text: str = "text") -> DataFrame:
                 base.append(spans)
                 found.append([])
                 if _ANY.search(t):
-                    taken = sorted(s[1:] for s in spans)
+                    starts, ends = _merged(spans)
                     for c in candidates(t):
-                        if not any(a < c[2] and c[1] < b for a, b in taken):
+                        k = bisect_left(starts, c[2])  # the spans before it start before its end
+                        if not k or ends[k - 1] <= c[1]:
                             found[-1].append((*c, votes_and_shape(t, *c)))
             columns = [batch.column(0), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in x] for x in base], plain), pa.array([[dict(zip(("kind", "start", "end", "key"), s)) for s in x] for x in found], keyed)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "found"])

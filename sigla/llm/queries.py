@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, linededup, minhash, mixing, pii, quality, warc
+from . import audio, bpe, licenses, linededup, minhash, mixing, pii, quality, tokencounts, warc
 from .common import table
 
 #: The query's parameter; a cluster has this file installed with the tokenizers on each machine.
@@ -26,6 +26,14 @@ def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.described(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licensed(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.maintained(spark, sf_dir)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
@@ -50,6 +58,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_telephony_audio": op2_telephony_audio,
+    "op3_license_scan": op3_license_scan,
+    "op4_token_counts": op4_token_counts,
     "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
@@ -58,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
+    "op4_token_counts": tokencounts.SQL,
     "op5_warc": warc.SQL,
     "op9_line_dedup": linededup.SQL,
     "op10_mixing": mixing.SQL,

@@ -51,7 +51,7 @@ def test_query_on_whole_table(spark):
 
 
 def test_nulls_empty_long_repeated(spark):
-    rows = [(1, None, 0), (2, "", 0), (None, "a@b.c", 0), (3, "7" * 300_000, 0), (4, "1." * 200_000, 0), (4, "ü mail x.y@z.org", 0), (5, "a@" * 100_000, 0)]
+    rows = [(1, None, 0), (2, "", 0), (None, "a@b.c", 0), (3, "7" * 100_000, 0), (4, "1." * 20_000, 0), (4, "ü mail x.y@z.org", 0), (5, "a@" * 20_000, 0)]
     got = pii.digest(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, base int"))).collect()
     assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(i), spelled(plain(t)) if i in (None, 4) else "") for i, t, _ in rows)
     assert pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, base int").limit(0)).count() == 0
