@@ -11,9 +11,10 @@ chance that two registers agree is the Jaccard similarity whatever the size of t
 3. Pairs go on if the similarity estimated from their registers, less the agreement expected of
    unequal minima, is not clearly below the threshold; then the full sets decide.
 4. Links give components.  Groups that still hold several components are compared once more, in
-   blocks of bounded size that exist side by side for as many tasks: registers are compared in
-   memory, and only pairs of different components that may be similar enough leave the block.
-   The full sets decide on those too.
+   blocks of bounded size, spread over as many tasks: registers are compared in memory, each pair
+   of different components once, in the first band it shares.  Only rows with a candidate leave a
+   block; they come back with their texts, full sets decide, and a block returns no more links
+   than its components need.
 
 The chance that two documents just at the threshold meet in no band is below 2 in 100,000; those
 above it are found with more certainty still.
@@ -35,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import drop_shared, slices, utf8, write_shared
 
@@ -47,7 +48,8 @@ MANTISSA_BITS = 10
 #: Estimates this many standard deviations below the threshold are trusted to be below it.
 DEVIATIONS = 4.5
 LEAST = SHARE / 100 - DEVIATIONS * (SHARE / 100 * (1 - SHARE / 100) / REGISTERS) ** 0.5
-BLOCK = 512
+#: Rows, and shingles together, of a chunk of a large group; a block is two chunks.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 MEMO_WORDS = 500_000
 
 
@@ -202,13 +204,10 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose full shingle sets are similar enough."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(f"`{text}`").alias("t"))
-    texts = write_shared(texts.join(wanted, texts.doc_id == wanted.a, "left_semi"), "texts")
-    b = texts.select(F.col("doc_id").alias("b"), F.col("t").alias("t_b"))
-    a = texts.select(F.col("doc_id").alias("a"), F.col("t").alias("t_a"))
+    b = texts.select(F.col("node").alias("b"), F.col("t").alias("t_b"))
+    a = texts.select(F.col("node").alias("a"), F.col("t").alias("t_a"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "t_a", "t_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,64 +222,107 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
                     keep.append(linked(own, shingles(tb)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = write_shared(both.mapInArrow(run, "a long, b long").distinct(), "links")
-    drop_shared(texts)
-    return links
-
-
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within blocks (key, i, j) of rows, whose sketches may fit."""
+    return write_shared(both.mapInArrow(run, "a long, b long").distinct(), "links")
 
-    def pairs_of(ids: np.ndarray, labels: np.ndarray, n: np.ndarray, regs: np.ndarray) -> Iterator[np.ndarray]:
-        order = np.argsort(n, kind="stable")
-        ids, labels, n, regs = ids[order], labels[order], n[order], regs[order]
-        for k in range(1, len(ids)):
-            low = np.searchsorted(n, -(-SHARE * n[k] // 100), side="left")
-            if low < k:
-                other = np.flatnonzero(labels[low:k] != labels[k]) + low
-                if len(other):
-                    fits = _may_link(regs[other], np.broadcast_to(regs[k], (len(other), REGISTERS)), n[other], np.broadcast_to(n[k], len(other)))
-                    other = other[fits]
-                    if len(other):
-                        yield np.stack([np.minimum(ids[other], ids[k]), np.maximum(ids[other], ids[k])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(table: pa.Table) -> pa.RecordBatch:
-            columns = [table.column(c).to_numpy() for c in ("key", "i", "j", "node", "label", "n_shingles")]
-            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-            key, i, j, node, label, n = columns
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            found = [p for s, e in zip([0, *cuts], [*cuts, len(key)]) for p in pairs_of(node[s:e], label[s:e], n[s:e], regs[s:e])]
-            both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-        held: pa.Table | None = None  # the block that the next batch may go on with
-        for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key, i, j = (held.column(c).to_numpy() for c in ("key", "i", "j"))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            if len(cuts):
-                yield work(held.slice(0, int(cuts[-1])))
-                held = held.slice(int(cuts[-1]))
-        if held is not None and held.num_rows:
-            yield work(held)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole blocks (key, i, j) of a sorted stream, one after another."""
+    held: pa.Table | None = None  # the block that the next batch may go on with
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        key, i, j = (held.column(c).to_numpy() for c in ("key", "i", "j"))
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()]
+        for start, end in zip(cuts, cuts[1:]):
+            yield held.slice(start, end - start)
+        held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
 
+def _candidates(block: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a block, each with the rows before it (by size) that it may be linked with.
 
-def _still_apart(banded: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components that share a band, by blocks."""
+    Only pairs of different components count, and a pair only in the first band that it shares.
+    """
+    label, n = block.column("label").to_numpy(), block.column("n_shingles").to_numpy()
+    band = block.column("band")[0].as_py()
+    regs = np.frombuffer(b"".join(block.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    order = np.argsort(n, kind="stable")
+    label, n, regs = label[order], n[order], regs[order]
+    least = np.searchsorted(n, -(-SHARE * n // 100), side="left")  # the smallest set that fits
+    for k in range(1, len(n)):
+        other = np.flatnonzero(label[least[k] : k] != label[k]) + least[k]
+        if not len(other):
+            continue
+        same = regs[other] == regs[k]
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
+        fits = ~first & (estimate(same.mean(axis=1), n[other], np.broadcast_to(n[k], len(other))) >= LEAST)
+        if fits.any():
+            yield int(order[k]), order[other[fits]]
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks that have a candidate."""
+    for block in _blocks(batches):
+        wanted = np.zeros(block.num_rows, dtype=bool)
+        for k, others in _candidates(block):
+            wanted[k] = True
+            wanted[others] = True
+        if wanted.any():
+            yield from block.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _linked_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components within blocks by the full sets, as few as connect the same."""
+    for block in _blocks(batches):
+        node, label = block.column("node").to_numpy(), block.column("label").to_numpy()
+        own = [shingles(t) for t in block.column("t").to_pylist()]
+        n = np.array([len(s) for s in own], dtype=np.int64)
+        starts = np.cumsum(n) - n
+        values, place = np.unique(np.concatenate(own), return_inverse=True)
+        mark = np.zeros(len(values), dtype=np.int64)
+        parent = {x: x for x in label.tolist()}
+
+        def root(x: int, parent: dict[int, int] = parent) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        links = []
+        for k, others in _candidates(block):
+            if all(root(int(label[o])) == root(int(label[k])) for o in others):
+                continue
+            mark[:] = 0
+            mark[place[starts[k] : starts[k] + n[k]]] = 1
+            common = np.add.reduceat(mark[place], starts)[others]
+            for o in others[100 * common >= SHARE * (n[others] + n[k] - common)]:
+                x, y = root(int(label[o])), root(int(label[k]))
+                if x != y:
+                    parent[x] = y
+                    links.append((int(node[k]), int(node[o])))
+        if links:
+            a, b = zip(*links)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _between_components(banded: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that share a band, by blocks."""
     labelled = banded.join(labels.select("node", F.col("component").alias("c")), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
-    apart = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows")).where("least <> most")
-    rows = labelled.join(apart.select("key", "rows"), "key")
+    rows = labelled.join(nodes.select("node", "n_shingles", "registers"), "node")
+    apart = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"), F.sum("n_shingles").alias("size")).where("least <> most")
+    rows = rows.join(apart.select("key", "rows", "size"), "key")
     # A large group is cut into chunks; each pair of chunks is a block, and so is each chunk.
-    chunks = F.ceil(F.col("rows") / BLOCK)
+    chunks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.least("rows", F.ceil(F.col("size") / BLOCK_SHINGLES)))
     rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), "chunks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label")
-    rows = rows.join(nodes.select("node", "n_shingles", "registers"), "node")
-    return _block_pairs(rows.select("key", "i", "j", "node", "label", "n_shingles", "registers")).distinct()
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "label", "n_shingles", "registers")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    needed = write_shared(dealt.mapInArrow(_needed, rows.schema), "blocks")
+    both = needed.join(texts, "node").select(*needed.columns, "t").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = write_shared(both.mapInArrow(_linked_in_blocks, "a long, b long").distinct(), "links")
+    drop_shared(needed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -289,23 +331,33 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     known = own.where("doc_id is not null and digest is not null")
     nodes = known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     nodes = write_shared(nodes, "nodes")
-    banded = nodes.select("node", F.explode(band_keys()).alias("key"))
+    banded = nodes.select("node", F.posexplode(band_keys()).alias("band", "key"))
     groups = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     met = write_shared(banded.join(groups, "key"), "banded")
     pairs = met.select(F.explode(F.array(F.struct(F.col("least").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("most").alias("b")))).alias("p"))
     pairs = write_shared(_estimated(pairs.select("p.*").where("a <> b").distinct(), nodes), "pairs")
-    links = [_verified(pairs, docs, text)]
+    # The corpus is shuffled by id once, for the texts of classes that share a band with another.
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8(f"`{text}`").alias("t"))
+    texts = write_shared(texts.join(met.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
+    links = [_verified(pairs, texts)]
     # Rows of one doc_id with different texts are one document.
     member = known.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
     several = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("doc_id", "a")
     links.append(member.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
     first = components(reduce(DataFrame.unionByName, links))
-    more = write_shared(_still_apart(met.select("key", "node"), first, nodes), "pairs")
-    late = _verified(more, docs, text)
+    late = _between_components(met.select("key", "band", "node"), first, nodes, texts)
     labels = components(reduce(DataFrame.unionByName, [*links, late]))
-    for done in (pairs, more, met, first, links[0], late):
+    for done in (pairs, met, texts, first, links[0], late):
         drop_shared(done)
     rows = own.join(nodes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     rows = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: of the smallest id, and of rows that repeat it the first by text hash."""
+    kept = near_duplicates(docs, text).where("kept and doc_id is not null").select("doc_id").distinct()
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col(f"`{text}`"))))
+    own = docs.join(kept, "doc_id", "left_semi").withColumn("mh_once", once).where("mh_once = 1").select(docs.columns)
+    return own.unionByName(docs.where("doc_id is null"))
