@@ -32,7 +32,7 @@ def by_volume(rules: DataFrame) -> DataFrame:
         nowhere &= F.col(c).isNull()
     cells = F.array(*[F.when(F.col(c).contains(F.col("abbr")), F.lit(v)) for v, c in zip(VOLUMES, RG)])
     listed = F.when(alone & nowhere, F.lit(list(VOLUMES))).otherwise(F.array_compact(cells))
-    return rules.select(F.explode(listed.cast("array<long>")).alias("volume"), "abbr", "expansion", "parts")
+    return rules.withColumn("volumes", listed.cast("array<long>")).select(F.explode("volumes").alias("volume"), "abbr", "expansion", "parts")
 
 
 def flagged(listed: DataFrame) -> DataFrame:
