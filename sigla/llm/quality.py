@@ -64,14 +64,14 @@ def ngram_weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
     grams = at.select("own", F.explode(F.array(F.pmod("h", F.lit(BUCKETS)), pair)).alias("bucket")).where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("own").alias("target"))
     totals = F.struct(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    both = counts.agg(totals.alias("n"), F.map_from_entries(F.collect_list(F.struct("bucket", F.struct("raw", "target")))).alias("by"))
-    # At most BUCKETS entries, so the map and the array have a fixed size.
-    listed = both.select("n", F.expr(f"transform(sequence(0, {BUCKETS - 1}), b -> by[cast(b as bigint)])").alias("by"))
+    # A row for each bucket, so the array has a fixed size.
+    every = counts.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target"))
+    counts = counts.unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    listed = counts.agg(totals.alias("n"), F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("by"))
     share = lambda c: (c.raw + F.lit(1.0)) / (F.col("n.raw") + F.lit(float(BUCKETS)))
     smooth = lambda c: (c.target + PRIOR_NGRAMS * share(c)) / (F.col("n.target") + PRIOR_NGRAMS)
-    weigh = lambda c: F.when((F.col("n.target") == 0) | c.isNull(), F.lit(0.0)).otherwise(F.log(smooth(c) / share(c)))
-    empty = F.expr(f"array_repeat(0.0D, {BUCKETS})")
-    return listed.select(F.coalesce(F.transform("by", weigh), empty).alias("weights"))
+    weigh = lambda c: F.when(F.col("n.target") == 0, F.lit(0.0)).otherwise(F.log(smooth(c) / share(c)))
+    return listed.select(F.transform("by", weigh).alias("weights"))
 
 
 def rated(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
