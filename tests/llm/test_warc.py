@@ -47,6 +47,7 @@ def test_nulls_copies_and_exact_records(spark):
 
 def test_damage_is_noticed(spark):
     archive = warc.write(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"))
-    bad = warc.Archive(archive.headers, archive.payloads.selectExpr("digest", "cast('y' as binary) as payload"))
+    other = warc.write(spark.createDataFrame([(1, "u", "y")], "page_id long, url string, html string"))
+    swapped = archive.payloads.select("digest").crossJoin(other.payloads.select("packed"))
     with pytest.raises(Exception, match="digest"):
-        warc.read(bad).collect()
+        warc.read(warc.Archive(archive.headers, swapped)).collect()
