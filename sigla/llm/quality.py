@@ -112,4 +112,8 @@ def rated(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.size("q_hash") > 0, total / (2 * F.size("q_hash") - 1)).otherwise(0.0).alias("score"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= THRESHOLD))
+    out = out.withColumn("base_failed", failed)
+    # The last term is always true.  As it is not deterministic, a filter on the verdict is not
+    # pushed below these steps, where it would have to repeat them in full within one another.
+    verdict = ~F.col("base_failed") & (F.col("score") >= THRESHOLD) & (F.monotonically_increasing_id() >= 0)
+    return out.withColumn("kept", verdict)
