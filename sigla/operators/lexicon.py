@@ -107,10 +107,10 @@ def lemma_index(entries: DataFrame) -> DataFrame:
 def anchor_index(entries: DataFrame) -> DataFrame:
     """abbr, key: what an expansion of an abbreviation may start with, short words left out."""
     first = F.element_at(F.split(F.trim("expansion"), r"\s+"), 1)
-    own = entries.where("abbr is not null and expansion is not null").withColumn("first", first)
+    own = entries.where("abbr is not null and expansion is not null").withColumn("first_word", first)
     forms = entry_forms(entries).where("known").select(F.col("expansion").alias("of"), F.col("stem").alias("of_stem"), F.col("declension").alias("of_declension"), "word", "form")
-    joined = own.join(forms, (own.expansion == forms.of) & (own.stem == forms.of_stem) & (own.declension == forms.of_declension) & (own.first == forms.word))
-    keys = own.select("abbr", text.orthographic_key(F.col("first")).alias("key")).union(joined.select("abbr", text.orthographic_key(F.col("form")).alias("key")))
+    joined = own.join(forms, (own.expansion == forms.of) & (own.stem == forms.of_stem) & (own.declension == forms.of_declension) & (own.first_word == forms.word))
+    keys = own.select("abbr", text.orthographic_key(F.col("first_word")).alias("key")).union(joined.select("abbr", text.orthographic_key(F.col("form")).alias("key")))
     return keys.where(F.length("key") >= LEAST_ANCHOR).distinct()
 
 
