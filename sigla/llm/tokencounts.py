@@ -82,7 +82,8 @@ class Rollup:
             ids = revised.select("doc_id", "version").distinct()
             signed = signed.unionByName(minus(own.join(ids, ["doc_id", "version"], "left_semi")))
             known = own.select("doc_id", "version").distinct()
-            signed = signed.unionByName(plus(revised.join(known, ["doc_id", "version"], "left_semi")))
+            # Not a semi-join: that would be pushed below the counting and shuffle whole texts.
+            signed = signed.unionByName(plus(revised.join(known, ["doc_id", "version"])))
         ledger, totals = (f"{self.folder}/{kind}/batch={batch}" for kind in ("ledger", "totals"))
         signed.write.mode("overwrite").parquet(ledger)
         written = self.spark.read.schema(LEDGER).parquet(ledger)
@@ -105,13 +106,14 @@ def maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     bad = labels.where("quality = 0").select("doc_id").distinct()
-    stripped = docs.join(bad, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", MARKS, ""))
+    # Counted where the texts are read; what is joined are counts.
+    stripped = counted(docs.withColumn("text", F.regexp_replace("text", MARKS, "")), "words-1").join(bad, "doc_id")
     toxic = labels.where("toxic = 1").select("doc_id")
     rollup = Rollup(spark)
     batches = [
         ("1", {"inserts": counted(docs, "words-1")}),
         ("2", {"inserts": counted(docs, "pieces-2")}),
-        ("3", {"revised": counted(stripped, "words-1")}),
+        ("3", {"revised": stripped}),
         ("4", {"deletes": toxic}),
     ]
     for name, changes in batches:
