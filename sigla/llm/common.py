@@ -17,7 +17,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 #: Texts are handed to vectorised functions in slices of about this many bytes, so that a
 #: batch of very long texts takes no more memory than one of short texts.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _OWN_FOLDER: dict[str, str] = {}
 

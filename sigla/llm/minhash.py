@@ -50,7 +50,7 @@ DEVIATIONS = 4.5
 LEAST = SHARE / 100 - DEVIATIONS * (SHARE / 100 * (1 - SHARE / 100) / REGISTERS) ** 0.5
 #: Rows, and shingles together, of a chunk of a large group; a block is two chunks.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 
 def _constants(n: int, salt: bytes) -> np.ndarray:
