@@ -537,12 +537,18 @@ def by_step(spark, sf_dir):
 
 @query(LONG + f""", sums AS (SELECT abbr, {rates_sql()}, array_to_string(list_sort(list(DISTINCT coalesce(gold, '')))[:5], ', ') AS gold_variants FROM stepped WHERE stage = 4 GROUP BY abbr),
 wrong AS (SELECT abbr, expansion, row_number() OVER (PARTITION BY abbr ORDER BY n DESC, expansion) AS k FROM (SELECT abbr, expansion, count(*) AS n FROM stepped WHERE stage = 4 AND verdict IN ('wrong_word', 'wrong_form', 'wrong_form?') GROUP BY abbr, expansion))
-SELECT s.abbr, occurrences, round(word_accuracy, 4) AS word_accuracy, round(form_accuracy, 4) AS form_accuracy, no_gold_label, gold_variants, coalesce(w.expansion, '') AS most_frequent_error, round(occurrences * (1 - round(form_accuracy, 4)), 4) AS potential_gain
+SELECT s.abbr, scoreable AS occurrences, round(word_accuracy, 4) AS word_accuracy, round(form_accuracy, 4) AS form_accuracy, no_gold_label, gold_variants, coalesce(w.expansion, '') AS most_frequent_error, round(scoreable * (1 - round(form_accuracy, 4)), 4) AS potential_gain
 FROM sums s LEFT JOIN wrong w ON s.abbr = w.abbr AND w.k = 1""")
 def by_abbreviation(spark, sf_dir):
     return score.by_abbreviation(_scored(spark, sf_dir))
 
 
+def _offers(spark, sf_dir):
+    ending = F.when(F.length("abbr") % 2 == 0, "ia").otherwise("um")
+    own = S.long_table(spark, sf_dir).select("abbr").distinct()
+    return own.select("abbr", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("step"), F.concat(F.rtrim(F.col("abbr"), F.lit(".")), ending).alias("candidate"))
+
+
 OFFERS = "(SELECT DISTINCT abbr, CAST(s AS INTEGER) AS step, rtrim(abbr, '.') || CASE WHEN length(abbr) % 2 = 0 THEN 'ia' ELSE 'um' END AS candidate FROM o, range(2, 5) AS t(s))"
 
 
@@ -554,10 +560,7 @@ told AS (SELECT step, own IN {_GOOD} AS ok, gold = candidate OR gk = ek OR EXIST
 SELECT CAST(step AS INTEGER) AS step, count(*) AS offered, count_if(covered) AS n_covered, count_if(covered AND ok) AS chosen, count_if(NOT covered AND NOT ok) AS candidate_misses, count_if(NOT covered AND ok) AS beyond,
        count_if(covered) / count(*) AS ceiling, CASE WHEN count_if(covered) = 0 THEN 0.0::DOUBLE ELSE count_if(covered AND ok) / count_if(covered) END AS choice_accuracy FROM told GROUP BY step""")
 def candidate_summary(spark, sf_dir):
-    long = S.long_table(spark, sf_dir)
-    ending = F.when(F.length("abbr") % 2 == 0, "ia").otherwise("um")
-    offers = long.select("abbr").distinct().select("abbr", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("step"), F.concat(F.rtrim(F.col("abbr"), F.lit(".")), ending).alias("candidate"))
-    return score.candidate_summary(_scored(spark, sf_dir), offers, S.lemmas(spark))
+    return score.candidate_summary(_scored(spark, sf_dir), _offers(spark, sf_dir), S.lemmas(spark))
 
 
 BASELINE = [(1, 0.1, 0.05), (2, 0.3, 0.2), (3, 0.5, 0.4), (4, 0.9, 0.6)]
@@ -569,9 +572,14 @@ def baseline_diff(spark, sf_dir):
     return score.baseline_difference(score.headline(_scored(spark, sf_dir)), baseline)
 
 
-@query(LONG + " SELECT volume, nr_RG, pos, stage, abbr, gold, expansion, verdict FROM stepped WHERE verdict <> 'exact'")
+@query(LONG + """ SELECT volume, nr_RG, pos, abbr, gold, CAST(step AS INTEGER) AS step, max(expansion) FILTER (stage = 4) AS system, max(verdict) FILTER (stage = 4) AS verdict, """ + ", ".join(f"max(expansion) FILTER (stage = {k}) AS expansion_{k}, max(verdict) FILTER (stage = {k}) AS verdict_{k}" for k in (1, 2, 3)) + " FROM stepped GROUP BY ALL HAVING max(verdict) FILTER (stage = 4) <> 'exact'")
 def mismatches(spark, sf_dir):
-    return score.mismatches(_scored(spark, sf_dir)).select("volume", "nr_RG", "pos", "stage", "abbr", "gold", "expansion", "verdict")
+    return score.mismatches(_scored(spark, sf_dir))
+
+
+@query()
+def mismatch_candidates(spark, sf_dir):
+    return score.mismatches(_scored(spark, sf_dir), _offers(spark, sf_dir), S.lemmas(spark)).select("volume", "nr_RG", "pos", "candidates", "candidate_miss")
 
 
 @query()
@@ -648,6 +656,40 @@ def error_kinds(spark, sf_dir):
     return score.error_kinds(S.table(spark, sf_dir, "events").select(F.concat("event_type", F.lit(": "), F.col("event_id").cast("string")).alias("message")))
 
 
+@query("SELECT CASE WHEN event_id % 4 = 0 THEN 'choice' WHEN event_id % 4 = 1 THEN 'skip' ELSE 'rejected' END AS tier, count(*) AS n FROM events GROUP BY 1")
+def tier_counts(spark, sf_dir):
+    tier = F.when(F.col("event_id") % 4 == 0, "choice").when(F.col("event_id") % 4 == 1, "skip").otherwise("rejected")
+    return score.tiers(S.table(spark, sf_dir, "events").select(tier.alias("tier")))
+
+
+@query(f"SELECT run, CAST(step AS INTEGER) AS step FROM {S.MANIFEST_SQL} WHERE model IS NOT NULL AND model IN ('m1', 'm3')")
+def changed_prompts(spark, sf_dir):
+    own = S.manifests(spark).withColumn("prompt_sha1", F.sha1(F.col("model").cast("binary")))
+    now = own.withColumn("prompt_sha1", F.when(F.col("model").isin("m1", "m3"), "new").otherwise(F.col("prompt_sha1")))
+    return runs.changed_prompts(now.select("run", "step", "prompt_sha1"), own)
+
+
+@query(f"SELECT DISTINCT run FROM {S.MANIFEST_SQL} WHERE step = 3")
+def runs_with_step(spark, sf_dir):
+    return runs.having(S.manifests(spark), 3)
+
+
+@query(f"SELECT volume, nr_RG FROM {S.CORPUS} SEMI JOIN (SELECT doc_id AS nr_RG FROM labels WHERE quality = 1) USING (nr_RG) SEMI JOIN (SELECT doc_id AS nr_RG FROM labels WHERE toxic = 0) USING (nr_RG)")
+def entries_in_every_stage(spark, sf_dir):
+    docs, labels = S.corpus(spark, sf_dir), S.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "nr_RG")
+    return vita.in_every_stage([docs, *(docs.join(labels.where(c), "nr_RG", "left_semi") for c in ("quality = 1", "toxic = 0"))])
+
+
+@query(f"SELECT DISTINCT abbr FROM {S.CLEAN_SQL} UNION SELECT abbreviation FROM {S.DIOCESE_SQL}")
+def known_abbreviations(spark, sf_dir):
+    return scan.known_abbreviations(S.glossary(spark), S.dioceses(spark).withColumnRenamed("abbreviation", "abbr"))
+
+
+@query(FORMS + f", counted AS (SELECT f.expansion, f.pos, f.word, count(*) AS forms, sum(v.n) AS n FROM forms f LEFT JOIN {VOCABULARY} v ON v.word = f.form WHERE f.form IS NOT NULL GROUP BY ALL) SELECT expansion, word, forms FROM counted WHERE forms > 1 AND n IS NULL")
+def unattested_paradigms(spark, sf_dir):
+    return glossary.unattested_paradigms(S.morphology(spark), scan.vocabulary(S.table(spark, sf_dir, "documents")))
+
+
 # --- markup -----------------------------------------------------------------------------------
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -89,6 +91,7 @@ def corpus_volumes(docs: DataFrame, patterns: DataFrame, column: str = "text") -
     return rows.groupBy("query", "volume").agg(F.count("*").alias("rows"))
 
 
-def spread(column: str, names: list[str]) -> Column:
-    """(name, value) structs of columns, for an unpivot."""
-    return F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias(column)) for n in names]))
+def known_abbreviations(*lists: DataFrame) -> DataFrame:
+    """All abbreviations (abbr) that any of the dictionaries lists."""
+    both = reduce(DataFrame.unionByName, [d.select("abbr") for d in lists])
+    return both.where("abbr is not null").distinct()

@@ -138,7 +138,8 @@ def by_abbreviation(scored: DataFrame) -> DataFrame:
     out = sums.join(mode, "abbr", "left").withColumn("most_frequent_error", F.coalesce("most_frequent_error", F.lit("")))
     rounded = {c: F.round(c, 4) for c in ("word_accuracy", "form_accuracy")}
     out = out.withColumns(rounded)
-    return out.withColumn("potential_gain", F.round(F.col("occurrences") * (1 - F.col("form_accuracy")), 4)).drop("scoreable", "expanded")
+    out = out.drop("occurrences", "expanded").withColumnRenamed("scoreable", "occurrences")
+    return out.withColumn("potential_gain", F.round(F.col("occurrences") * (1 - F.col("form_accuracy")), 4))
 
 
 def covered(scored: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:
@@ -162,8 +163,24 @@ def candidate_summary(scored: DataFrame, candidates: DataFrame, index: DataFrame
     return sums.withColumns({"ceiling": _share(F.col("n_covered"), F.col("offered")), "choice_accuracy": _share(F.col("chosen"), F.col("n_covered"))})
 
 
-def mismatches(scored: DataFrame) -> DataFrame:
-    return scored.where("verdict <> 'exact'").orderBy("abbr", *OCCURRENCE, "stage")
+def mismatches(scored: DataFrame, candidates: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Occurrences that the last stage did not get exactly, with what every stage made of them.
+
+    With candidates (abbr, step, candidate) also what the deciding step had to choose from, and
+    whether nothing of it would have been right (candidate_miss; null without a list).
+    """
+    last, earlier = max(STEPS), [k for k in STEPS if k != max(STEPS)]
+    at = lambda k, c: F.max(F.when(F.col("stage") == k, F.col(c)))
+    columns = [at(last, "expansion").alias("system"), at(last, "verdict").alias("verdict")]
+    for k in earlier:
+        columns += [at(k, "expansion").alias(f"expansion_{k}"), at(k, "verdict").alias(f"verdict_{k}")]
+    keys = [*OCCURRENCE, "abbr", "gold", "step", *(c for c in scored.columns if c == "context")]
+    out = scored.groupBy(*keys).agg(*columns).where("verdict <> 'exact'")
+    if candidates is None:
+        return out
+    lists = candidates.groupBy("abbr", "step").agg(F.array_join(F.array_sort(F.collect_set("candidate")), "; ").alias("candidates"))
+    told = covered(scored, candidates, index).select(*OCCURRENCE, (~F.col("covered")).alias("candidate_miss"))
+    return out.join(lists, ["abbr", "step"], "left").join(told, OCCURRENCE, "left")
 
 
 def without_gold_errors(rows: DataFrame, errors: DataFrame) -> DataFrame:

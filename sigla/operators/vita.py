@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,9 @@ def still_to_do(work: DataFrame, done: DataFrame, limit: int | None = None) -> D
     """Entries without a result yet, in order, at most ``limit``."""
     left = work.join(done.select(*KEY).distinct(), KEY, "left_anti")
     return left if limit is None else left.orderBy(*KEY).limit(limit)
+
+
+def in_every_stage(stages: list[DataFrame]) -> DataFrame:
+    """Keys of the entries that all stages have."""
+    keys = [s.select(*KEY).distinct() for s in stages]
+    return reduce(lambda a, b: a.join(b, KEY), keys)

@@ -162,6 +162,13 @@ def thinking(model: str, switch: bool | None = None, level: str | None = None) -
     return out | ({"extra_body": {"chat_template_kwargs": variables}} if variables else {})
 
 
+def known_model(model: str, available: list[str]) -> str:
+    """``model`` if an endpoint lists it; a message with those that it does list otherwise."""
+    if model not in available:
+        raise LookupError(f"there is no model {model!r}; there is: {', '.join(sorted(available)) or 'none'}")
+    return model
+
+
 def one_caller(entries: DataFrame) -> DataFrame:
     """Entries in one partition, for a chooser with one budget of calls for all; it waits anyway."""
     return entries.coalesce(1)
