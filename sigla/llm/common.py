@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: batch of very long texts takes no more memory than one of short texts.
 SLICE_BYTES = 2 << 20
 
-_OWN_FOLDER: dict[str, str] = {}
+_OWN_FOLDER: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,11 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    return _OWN_FOLDER.setdefault("", "file://" + tempfile.mkdtemp(prefix="sigla-"))
+    if not _OWN_FOLDER:
+        own = tempfile.mkdtemp(prefix="sigla-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN_FOLDER.append("file://" + own)
+    return _OWN_FOLDER[0]
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:

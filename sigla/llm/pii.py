@@ -1,8 +1,8 @@
 """Personal data by weak supervision.
 
 Four kinds of spans have exact base rules.  Wider patterns propose further candidates (numbers
-in other layouts, addresses that are spelled out); labelers look at each candidate and vote for,
-against, or not at all: the regex labeler (layout), the gazetteer labeler (known top-level
+in other layouts, addresses that are spelled out); labelers look at each candidate, and at the base
+spans, and vote for, against, or not at all: the regex labeler (layout), the gazetteer labeler (known top-level
 domains, calling codes, issuer prefixes, special address ranges), the context labeler (words
 before the span), the checksum labeler and the border labeler.  Expectation-maximisation over the
 counts of vote patterns estimates each labeler's reliability and each pattern's posterior; those
@@ -118,7 +118,7 @@ def votes_and_shape(text: str, kind: int, start: int, end: int) -> str:
     before = _WORD.findall(text[max(0, start - 40) : start].lower())[-4:]
     mark = lambda yes, no: "+" if yes else "-" if no else "0"
     if kind == 0:
-        layout = "0"
+        layout = mark("@" in span, False)
         known = mark(re.split(r"[^A-Za-z]+", span.rstrip("])"))[-1].lower() in DOMAINS, True)
         check = "0"
     elif kind == 1:
@@ -156,27 +156,28 @@ def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
 
 
 def search(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, base spans, and candidates that no base span meets, with their keys."""
-    span = "kind int, start int, end int"
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base array<struct<{span}>>, found array<struct<{span}, key string>>"
+    """doc_id, base spans, and candidates that no base span meets; all with their keys."""
+    span = "array<struct<kind int, start int, end int, key string>>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {span}, found {span}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        keyed = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("key", pa.string())]))
+        names = ("kind", "start", "end", "key")
+        kind = pa.list_(pa.struct(list(zip(names, (pa.int32(), pa.int32(), pa.int32(), pa.string())))))
         for batch in slices(batches, "utf8"):
-            base, found = [], []
+            rows: tuple[list, list] = ([], [])
             for raw in batch.column(1).to_pylist():
                 t = raw.decode("utf-8", "replace")
-                spans = base_spans(t) if _ANY.search(t) else []
-                base.append(spans)
-                found.append([])
+                base = base_spans(t) if _ANY.search(t) else []
+                found = []
                 if _ANY.search(t):
-                    starts, ends = _merged(spans)
+                    starts, ends = _merged(base)
                     for c in candidates(t):
                         k = bisect_left(starts, c[2])  # the spans before it start before its end
                         if not k or ends[k - 1] <= c[1]:
-                            found[-1].append((*c, votes_and_shape(t, *c)))
-            columns = [batch.column(0), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in x] for x in base], plain), pa.array([[dict(zip(("kind", "start", "end", "key"), s)) for s in x] for x in found], keyed)]
+                            found.append(c)
+                for out, spans in zip(rows, (base, found)):
+                    out.append([dict(zip(names, (*x, votes_and_shape(t, *x)))) for x in spans])
+            columns = [batch.column(0), *(pa.array(x, kind) for x in rows)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "found"])
 
     return docs.select("doc_id", utf8(f"`{text}`").alias("utf8")).mapInArrow(run, schema)
@@ -237,7 +238,8 @@ def train(counts: dict[str, int], steps: int = 25, penalty: float = 1.0) -> dict
 def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, base and added spans (arrays of kind, start, end) of each row of ``docs``."""
     found = write_shared(search(docs, text), "spans")
-    keys = found.select(F.explode("found.key").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    # Base spans vote too: they are what the labelers' reliabilities are estimated against.
+    keys = found.select(F.explode(F.concat("base.key", "found.key")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     accepted = sorted(k for k, p in train({r.key: r.n for r in keys.collect()}).items() if p >= ACCEPT)
     good = F.filter("found", lambda s: s.key.isin(accepted)) if accepted else F.slice("found", 1, 0)
     # Of candidates that overlap, the one that starts first stays, and of those the longest.
@@ -245,7 +247,8 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     empty = F.expr("named_struct('end', 0, 'kept', cast(array() as array<struct<kind:int,start:int,end:int>>))")
     one = lambda s: F.array(F.struct(s.kind.alias("kind"), s.start.alias("start"), (-s.less).alias("end")))
     step = lambda a, s: F.when(s.start >= a.end, F.struct((-s.less).alias("end"), F.concat(a.kept, one(s)).alias("kept"))).otherwise(a)
-    return found.select("doc_id", "base", F.aggregate(ordered, empty, step).kept.alias("added"))
+    base = F.transform("base", lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")))
+    return found.select("doc_id", base.alias("base"), F.aggregate(ordered, empty, step).kept.alias("added"))
 
 
 def digest(rows: DataFrame) -> DataFrame:
