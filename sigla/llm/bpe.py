@@ -13,9 +13,11 @@ extra columns pass through; columns that an operator adds replace ones of the sa
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ from pyspark.sql import types as T
 
 from .common import free_name, slices, utf8, with_columns
 
-#: Entries of a worker's memos; they are emptied beyond it, which costs time and changes nothing.
-MEMO_WORDS = 600_000
-MEMO_PAIRS = 400_000
+#: Entries of a worker's memo; beyond it, only words of the last slices stay, which costs time
+#: and changes nothing.
+MEMO_WORDS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,21 +45,15 @@ class Replayer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        # What stands between words: no token holds it, so no pair with it has a rank.
+        self.border = b"\xff"
+        while any(self.border in token for token in ranks):
+            self.border += b"\xff"
+        self.byte_or_border = [*(bytes([b]) for b in range(256)), self.border]
         self.first = np.full((257, 257), -1, dtype=np.int64)
         for a in range(256):
             for b in range(256):
                 self.first[a, b] = ranks.get(bytes([a, b]), -1)
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def _rank(self, left: int, right: int) -> int:
-        got = self.pairs.get((left, right))
-        if got is None:
-            if len(self.pairs) > MEMO_PAIRS:
-                self.pairs.clear()
-            got = self.ranks.get(self.bytes_of[left] + self.bytes_of[right], -1)
-            self.pairs[left, right] = got
-        return got
 
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each word.  A word that is a token as a whole is that token."""
@@ -76,7 +72,7 @@ class Replayer:
         inside[starts + lengths] = False
         raw[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
         ranks = np.append(self.first[raw[:-1], raw[1:]], -1)
-        symbol = np.append(self.byte_id, -1)[raw].tolist()
+        symbol = list(map(self.byte_or_border.__getitem__, raw.tolist()))
         at = np.flatnonzero(ranks >= 0)
         at = at[np.argsort(ranks[at], kind="stable")]
         found, begin = np.unique(ranks[at], return_index=True)
@@ -84,49 +80,88 @@ class Replayer:
         heap, pair_rank = list(index), ranks.tolist()
         heapify(heap)
         after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
-        rank_of = self._rank
+        rank_of, bytes_of = self.ranks.get, self.bytes_of
         while heap:
             rank = heappop(heap)
             positions = index.pop(rank, None)
             if positions is None:
                 continue
             positions.sort()
+            token = bytes_of[rank]
             for k, p in enumerate(positions):
                 if pair_rank[p] != rank:
                     continue  # a neighbour has been merged since
                 q = after[p]
                 n = after[q]
-                symbol[p], after[p], before[n], pair_rank[q] = rank, n, p, -1
-                lower = False
-                for left, right, where in ((rank, symbol[n], p), (symbol[m := before[p]], rank, m)):
-                    new = rank_of(left, right) if left >= 0 and right >= 0 else -1
-                    pair_rank[where] = new
-                    if new >= 0:
-                        if new in index:
-                            index[new].append(where)
-                        else:
-                            index[new] = [where]
-                            heappush(heap, new)
-                        lower |= new < rank
-                if lower:  # that merge comes before what is left of this one
+                m = before[p]
+                symbol[p], after[p], before[n], pair_rank[q] = token, n, p, -1
+                right, left = rank_of(token + symbol[n], -1), rank_of(symbol[m] + token, -1)
+                pair_rank[p], pair_rank[m] = right, left
+                if right >= 0:
+                    if right in index:
+                        index[right].append(p)
+                    else:
+                        index[right] = [p]
+                        heappush(heap, right)
+                if left >= 0:
+                    if left in index:
+                        index[left].append(m)
+                    else:
+                        index[left] = [m]
+                        heappush(heap, left)
+                if 0 <= right < rank or 0 <= left < rank:  # that comes before what is left here
                     index[rank] = positions[k + 1 :]
                     heappush(heap, rank)
                     break
         for p in starts.tolist():
             ids = []
-            while symbol[p] >= 0:
-                ids.append(symbol[p])
+            while symbol[p] is not self.border:
+                ids.append(self.ranks[symbol[p]])
                 p = after[p]
             yield tuple(ids)
 
 
-_CODECS: dict[str, tuple[Replayer, dict[str, tuple[int, ...]]]] = {}
-
-
-def _codec(path: str) -> tuple[Replayer, dict[str, tuple[int, ...]]]:
-    if path not in _CODECS:
-        _CODECS[path] = (Replayer(load_ranks(path)), {})
-    return _CODECS[path]
+class Codec:
+    """Encoding and decoding of slices of texts; it remembers the words of the last ones."""
+
+    def __init__(self, path: str):
+        self.replayer = Replayer(load_ranks(path))
+        self.memo: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.last: set[str] = set()
+        tokens = self.replayer.bytes_of
+        size = max(tokens) + 1
+        self.length = np.full(size, -1, dtype=np.int64)
+        self.length[list(tokens)] = list(map(len, tokens.values()))
+        self.start = np.concatenate([[0], np.cumsum(np.maximum(self.length, 0))])[:-1]
+        self.blob = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), dtype=np.uint8)
+
+    def encode(self, texts: list[bytes], pattern: str) -> list[np.ndarray]:
+        """Ids of each text."""
+        split, memo = regex.compile(pattern).findall, self.memo
+        pieces = [split(t.decode("utf-8", "replace")) for t in texts]
+        words = set().union(*pieces)
+        if len(memo) > MEMO_WORDS:
+            self.memo = memo = {w: memo[w] for w in words | self.last if w in memo}
+        self.last = words
+        new = [w for w in words if w not in memo]
+        for w, own in zip(new, self.replayer.replay([w.encode() for w in new])):
+            memo[w] = array("i", own).tobytes()
+        return [np.frombuffer(b"".join(map(memo.__getitem__, found)), dtype=np.int32) for found in pieces]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of ids in a row, and where those of each id end."""
+        flat = ids.astype(np.int64)
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.length) or (self.length[flat] < 0).any()):
+            raise ValueError("an id is not in the vocabulary")
+        n = self.length[flat]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.blob[np.repeat(self.start[flat] - (ends - n), n) + np.arange(total)], ends
+
+
+@lru_cache(maxsize=2)
+def _codec(path: str) -> Codec:
+    return Codec(path)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -140,20 +175,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        replayer, memo = _codec(ranks_path)
-        split = regex.compile(pattern).findall
         for batch in slices(batches, raw):
-            texts = batch.column(batch.schema.get_field_index(raw)).to_pylist()
-            pieces = [split(t.decode("utf-8", "replace")) for t in texts]
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            new = list({w for found in pieces for w in found if w not in memo})
-            memo.update(zip(new, replayer.replay([w.encode() for w in new])))
-            flat = [np.fromiter(chain.from_iterable(map(memo.__getitem__, found)), dtype=np.int32) for found in pieces]
+            flat = _codec(ranks_path).encode(batch.column(batch.schema.get_field_index(raw)).to_pylist(), pattern)
             offsets = np.zeros(len(flat) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in flat], out=offsets[1:])
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
-            yield with_columns(batch, (raw,), **{ids: pa.ListArray.from_arrays(pa.array(offsets), values)})
+            yield with_columns(batch, (raw,), **{ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))})
 
     return df.select(*[F.col(f"`{c}`") for c in kept], utf8(f"`{text}`").alias(raw)).mapInArrow(run, schema)
 
@@ -164,38 +190,35 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = _codec(ranks_path)[0].bytes_of
-        size = max(bytes_of) + 1
-        length = np.full(size, -1, dtype=np.int64)
-        for i, token in bytes_of.items():
-            length[i] = len(token)
-        start = np.concatenate([[0], np.cumsum(np.maximum(length, 0))])[:-1]
-        blob = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(size)), dtype=np.uint8)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 lists = batch.column(batch.schema.get_field_index(ids))
                 counts = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(flat) and (flat.min() < 0 or flat.max() >= size or (length[flat] < 0).any()):
-                    raise ValueError("an id is not in the vocabulary")
-                n = length[flat]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                data = blob[np.repeat(start[flat] - (ends - n), n) + np.arange(total)]
+                data, ends = _codec(ranks_path).decode(lists.flatten().to_numpy(zero_copy_only=False))
                 last = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-                array = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(last.astype(np.int64)), pa.py_buffer(data)])
-                yield with_columns(batch, (decoded,), **{decoded: array.cast(pa.binary())})
+                out = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(last.astype(np.int64)), pa.py_buffer(data)])
+                yield with_columns(batch, (decoded,), **{decoded: out.cast(pa.binary())})
 
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents: encoded, then decoded from the ids."""
-    both = decode(encode(df.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents: encoded, then decoded from the ids.
+
+    Both ways and the digests in one pass, so that ids need not leave the worker.
+    """
+    schema = T.StructType([df.schema["doc_id"], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string")])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(ranks_path)
+        for batch in slices(batches, "utf8"):
+            n, spelled, back = [], [], []
+            for ids in codec.encode(batch.column(1).to_pylist(), pattern):
+                n.append(len(ids))
+                spelled.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                back.append(sha256(codec.decode(ids)[0].tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spelled, pa.string()), pa.array(back, pa.string())], names=names)
+
+    return df.select("doc_id", utf8("text").alias("utf8")).mapInArrow(run, schema)
