@@ -232,7 +232,7 @@ def unrealised_potential(spark, sf_dir):
 @query()
 def expand_multiword(spark, sf_dir):
     """Rules of several parts, by volume, over headers and regests."""
-    done = rules.expand(S.regests(spark, sf_dir), rules.unambiguous(_listed(spark)))
+    done = rules.expand(S.regests(spark, sf_dir, len(RG)), rules.unambiguous(_listed(spark)))
     return done.select("volume", "nr_RG", "nr_suffix", "header_no_tags", "regest_no_tags")
 
 
@@ -481,13 +481,13 @@ def parse_tiers(spark, sf_dir):
 
 @query()
 def inserted_spans(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    docs = rules.expand(S.corpus(spark, sf_dir, len(RG)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
     return docs.select("volume", "nr_RG", F.explode_outer(inserted("old", "text")).alias("s")).select("volume", "nr_RG", "s.start", "s.end")
 
 
 @query()
 def aligned_spans(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    docs = rules.expand(S.corpus(spark, sf_dir, len(RG)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
     return docs.select("volume", "nr_RG", F.posexplode(aligned("old", "text")).alias("pos", "a")).select("volume", "nr_RG", "pos", "a.*")
 
 
@@ -585,7 +585,7 @@ def mismatch_candidates(spark, sf_dir):
 @query()
 def evaluated_texts(spark, sf_dir):
     """Documents against their own expansion, from texts to verdicts."""
-    done = rules.expand(S.corpus(spark, sf_dir).withColumn("source", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    done = rules.expand(S.corpus(spark, sf_dir, len(RG)).withColumn("source", F.col("text")), S.mined_rules(spark, sf_dir), "text")
     plain = F.regexp_replace("text", "[<>]", "")
     rows = score.aligned_occurrences(done.select("volume", "nr_RG", "source", plain.alias("gold"), F.array("source", plain).alias("stages")))
     return score.with_verdicts(rows, S.lemmas(spark)).groupBy("stage", "verdict").agg(F.count("*").alias("n"))
@@ -695,13 +695,13 @@ def unattested_paradigms(spark, sf_dir):
 
 @query()
 def tei_roundtrip(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    docs = rules.expand(S.corpus(spark, sf_dir, len(RG)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
     return tei.lines(docs.select("volume", "nr_RG", "old", "text"), "old", ["text"], known=frozenset(["the."])).select("volume", "nr_RG", "status", "choices", "kept", "unplaced")
 
 
 @query()
 def tei_entries(spark, sf_dir):
-    rows = S.regests(spark, sf_dir).withColumn("old", F.coalesce("header_no_tags", "regest_no_tags"))
+    rows = S.regests(spark, sf_dir, len(RG)).withColumn("old", F.coalesce("header_no_tags", "regest_no_tags"))
     done = rules.expand(rows.withColumn("new", F.col("old")), S.mined_rules(spark, sf_dir), "new")
     marked = tei.lines(done.select("volume", "nr_RG", "nr_suffix", "id_RG_all", "old", "new"), "old", ["new"])
     return tei.entries(marked)

@@ -16,19 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as entries of ten volumes."""
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") % 10 + 1).alias("volume"), F.col("doc_id").alias("nr_RG"), "text")
+def corpus(spark: SparkSession, sf_dir: str, volumes: int = 10) -> DataFrame:
+    """documents as entries of ten volumes, or of nine: rules exist for nine, and expansion drops others."""
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") % volumes + 1).alias("volume"), F.col("doc_id").alias("nr_RG"), "text")
 
 
 CORPUS = "(SELECT doc_id % 10 + 1 AS volume, doc_id AS nr_RG, text FROM documents)"
 
 
-def regests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as headers and regests, without newlines in them."""
+def regests(spark: SparkSession, sf_dir: str, volumes: int = 10) -> DataFrame:
+    """conversations as headers and regests, without newlines in them, of ten volumes or nine."""
     line = F.regexp_replace("text", "\n", " ")
     rows = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") % 10 + 1).alias("volume"),
+        (F.col("conv_id") % volumes + 1).alias("volume"),
         F.col("conv_id").alias("nr_RG"),
         F.col("turn").alias("nr_suffix"),
         F.when(F.col("turn") == 0, line).alias("header_no_tags"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigla import catalogue, stand_in
-from sigla.operators import vita
+from sigla.operators import score, vita
 from sigla.plans import steps
 from sigla.sources import tables
 from sigla.streaming import incremental
@@ -179,3 +179,18 @@ def test_query_without_sql_runs(spark, name):
 def test_markup_of_documents_reads_back(spark):
     counts = {r.status: r.n for r in catalogue.tei_roundtrip(spark, SF).groupBy("status").agg(F.count("*").alias("n")).collect()}
     assert counts.get("accepted", 0) >= 0.9 * sum(counts.values())
+
+
+def test_expansion_leaves_no_document_or_conversation_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn").collect()
+    ids = {d.doc_id for d in docs}
+    own = lambda name: {r.nr_RG for r in catalogue.QUERIES[name](spark, SF).select("nr_RG").distinct().collect()}
+    assert own("inserted_spans") == own("tei_roundtrip") == ids
+    assert own("aligned_spans") == {d.doc_id for d in docs if (d.text or "").split()}
+    expanded = catalogue.expand_multiword(spark, SF).select("nr_RG", "nr_suffix").collect()
+    assert sorted(map(tuple, expanded)) == sorted(map(tuple, turns))
+    assert {c for c in own("tei_entries") if c % 10 == 9} == {t.conv_id for t in turns if t.conv_id % 10 == 9}
+    found = sum(w.endswith(".") for d in docs for w in score.EVALUATED.findall(d.text or ""))
+    sums = catalogue.evaluated_texts(spark, SF).groupBy("stage").agg(F.sum("n").alias("n")).collect()
+    assert [r.n for r in sums] == [found, found]
