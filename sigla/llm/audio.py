@@ -4,7 +4,7 @@ Bytes are stored without loss as 8-bit companded samples, or as the 4-bit codes
 which of the three a value is stored as follows from its CRC-32, so equal values are stored alike.
 Mu-law and A-law are expanded by lookup tables.  ADPCM is sequential within a block, so numpy
 takes one step in all blocks of a slice at a time.  PCM is resampled from 8 to 16 kHz with a
-four-point integer filter.  Each value is handled in one task: nothing is shuffled.
+four-point integer filter, and stored.  Each value is handled in one task: nothing is shuffled.
 
 Edge cases: null and empty texts are payloads of padding alone; repeated rows give equal values;
 extra columns pass through, and columns that are added replace ones of the same name; bytes that
@@ -28,6 +28,8 @@ from .common import free_name, slices, utf8, with_columns, write_shared
 
 UNIT = 576
 RATE = 8000
+#: Zstandard level of the stored PCM, which is four to eight times the text.
+PCM_LEVEL = 6
 CODECS = ("mulaw", "alaw", "adpcm")
 #: Format tags of the container.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
@@ -167,29 +169,52 @@ def resampled(df: DataFrame, media: str = "media") -> DataFrame:
     return _mapped(df, kept, media, [T.StructField("codec", T.StringType()), T.StructField("pcm", T.BinaryType())], make)
 
 
+def _digests(media: bytes, payload: bytes) -> tuple:
+    return len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), sha256(media).hexdigest()
+
+
+def _feature(codec: str, x: np.ndarray, pcm: bytes) -> str:
+    wide = x.astype(np.int32)
+    square = int(np.dot(x.astype(np.float64), x.astype(np.float64))) // len(x)
+    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    return f"{codec}:{len(x)}:{square}:{int(np.abs(wide).max())}:{changes}:{zlib.crc32(pcm):08x}"
+
+
+DIGESTS = [T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()))]
+
+
 def measured(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with what the stored files hold: digests, and features of the samples.
 
     ``feature`` is codec, samples, mean square, peak, sign changes, and the CRC-32 of the
     resampled PCM, joined by colons.
     """
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kept = [c for c in df.columns if c not in (media, *names)]
+    kept = [c for c in df.columns if c not in (media, "feature", *(f.name for f in DIGESTS))]
+    make = lambda values: [(*_digests(m, p), _feature(c, x, resample(x).astype("<i2").tobytes())) for m, (c, p, x) in zip(values, decode_all(values))]
+    return _mapped(df, kept, media, [*DIGESTS, T.StructField("feature", T.StringType())], make)
+
+
+def digested(df: DataFrame, media: str = "media") -> DataFrame:
+    """``df`` with what the stored files hold: digests, codec, and ``pcm`` as of :func:`resampled`."""
+    kept = [c for c in df.columns if c not in (media, "codec", "pcm", *(f.name for f in DIGESTS))]
+    make = lambda values: [(*_digests(m, p), c, resample(x).astype("<i2").tobytes()) for m, (c, p, x) in zip(values, decode_all(values))]
+    return _mapped(df, kept, media, [*DIGESTS, T.StructField("codec", T.StringType()), T.StructField("pcm", T.BinaryType())], make)
+
+
+def heard(df: DataFrame, pcm: str = "pcm") -> DataFrame:
+    """``df`` (with codec) with the ``feature`` of :func:`measured` of its PCM instead of both."""
+    kept = [c for c in df.columns if c not in (pcm, "feature")]
 
     def make(values: list[bytes]) -> list[tuple]:
-        out = []
-        for m, (codec, payload, x) in zip(values, decode_all(values)):
-            wide = x.astype(np.int32)
-            square = int(np.dot(x.astype(np.float64), x.astype(np.float64))) // len(x)
-            changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-            feature = f"{codec}:{len(x)}:{square}:{int(np.abs(wide).max())}:{changes}:{zlib.crc32(resample(x).astype('<i2').tobytes()):08x}"
-            out.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), sha256(m).hexdigest(), feature))
-        return out
+        samples = [np.frombuffer(v, dtype="<i2")[::2].astype(np.int16) for v in values]  # those before resampling
+        return [(_feature("", x, v),) for x, v in zip(samples, values)]
 
-    types = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
-    return _mapped(df, kept, media, [T.StructField(n, t) for n, t in zip(names, types)], make)
+    rows = _mapped(df, kept, pcm, [T.StructField("feature", T.StringType())], make)
+    return rows.withColumn("feature", F.concat("codec", "feature")).drop("codec")
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Documents' texts stored as media in the shared folder, read back and measured."""
-    return measured(write_shared(stored(docs.select("doc_id", "text")), "media"))
+    """Documents' texts stored as media in the shared folder, read back, resampled to PCM that is
+    stored there too, and measured as both are read back."""
+    media = write_shared(stored(docs.select("doc_id", "text")), "media")
+    return heard(write_shared(digested(media), "pcm", level=PCM_LEVEL))

@@ -40,10 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDER[0]
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
+def write_shared(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    ``level`` is that of the Zstandard compression.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sigla_path = path
     return out

@@ -2,7 +2,8 @@ import zlib
 from hashlib import sha256
 
 import numpy as np
-from sigla.llm import audio
+from pyspark.sql import functions as F
+from sigla.llm import audio, common
 from sigla.llm.queries import op2_telephony_audio
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +84,19 @@ def test_nulls_empty_long_repeated_and_clashing_columns(spark):
     assert audio.measured(audio.stored(df.limit(0))).count() == 0
     pcm = audio.resampled(audio.stored(df)).collect()
     assert all(len(r.pcm) == 4 * int(o.feature.split(":")[1]) for r, o in zip(pcm, out))
+
+
+def test_query_stores_the_pcm_and_measures_what_is_read_back(spark, monkeypatch):
+    tables = {}
+
+    def kept(df, name, **options):
+        tables[name] = common.write_shared(df, name, **options)
+        return tables[name]
+
+    monkeypatch.setattr(audio, "write_shared", kept)
+    crcs = {r.doc_id: r.feature.rpartition(":")[2] for r in op2_telephony_audio(spark, SF).collect()}
+    pcm = {r.doc_id: bytes(r.pcm) for r in tables["pcm"].collect()}
+    want = {r.doc_id: bytes(r.pcm) for r in audio.resampled(tables["media"]).collect()}
+    assert pcm == want and crcs == {i: f"{zlib.crc32(x):08x}" for i, x in pcm.items()}
+    silent = tables["pcm"].withColumn("pcm", F.unhex(F.lit("0000" * 4)))
+    assert {r.feature.split(":", 1)[1] for r in audio.heard(silent).collect()} == {f"2:0:0:0:{zlib.crc32(bytes(8)):08x}"}
