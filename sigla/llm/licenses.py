@@ -1,9 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-Headers are the lines of a file, and their sentences, that hold one of the templates' key terms;
-a license file (by its name) is compared as a whole too.  Vectors are sparse: weights of the terms
-that occur, term frequency times a logarithmic inverse of how many files hold the term.  File
-counts of the templates' terms, of which there is a fixed number, are taken over all files; terms
+Headers are the lines of a file, and their sentences, that hold one of the templates' key terms.
+A line of more than 400 characters is compared by its sentence only, and a sentence of more than
+that also by the windows around the key term that are as long as a template.  A license file (by
+its name) is compared as a whole too.  Vectors are sparse: weights of the terms that occur, term
+frequency times a logarithmic inverse of how many files hold the term.  File counts of the templates' terms, of which there is a fixed number, are taken over all files; terms
 that no template has weigh as if no file held them.
 
 A directory has the license of the license files in it (the best match; of equal ones the first
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,6 +49,7 @@ KEY_TERMS = re.compile(r"licen[sc]e|copyright|\bmit\b|apache|\bgnu\b|mozilla|\bc
 THRESHOLD = 0.7
 LICENSE_FILE = re.compile(r"(^|/)(LICEN[SC]E|COPYING|NOTICE)[^/]*$", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_PLACE = re.compile(_TERM.pattern, re.I | re.A)
 
 
 def terms(text: str) -> list[str]:
@@ -56,18 +59,36 @@ def terms(text: str) -> list[str]:
 VOCABULARY = sorted({t for texts in TEMPLATES.values() for x in texts for t in terms(x)})
 
 
+#: Lengths of the templates, in terms, and characters from which a line is long.
+LENGTHS = sorted({len(terms(x)) for texts in TEMPLATES.values() for x in texts})
+LONG = 400
+
+
+def windows(places: list[re.Match], at: int) -> Iterator[str]:
+    """The runs of as many terms as a template has that hold the term at a character."""
+    k = max(bisect_right(places, at, key=re.Match.start) - 1, 0)
+    for n in LENGTHS:
+        for i in range(max(0, k - n + 1), max(min(k, len(places) - n), 0) + 1):
+            yield " ".join(m[0] for m in places[i : i + n])
+
+
 def headers(text: str) -> Iterator[str]:
-    """Lines, and sentences of longer ones, that hold a key term."""
+    """Lines, and sentences of longer ones, that hold a key term; of long sentences, windows of terms."""
+    places, of = [], None
     for m in KEY_TERMS.finditer(text):
         start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
         line = text[start : end if end >= 0 else len(text)]
-        if len(line) <= 400:
+        if len(line) <= LONG:
             yield line
         low = text.rfind(". ", start, m.start())
         high = text.find(". ", m.end(), start + len(line))
         sentence = text[low + 2 if low >= 0 else start : high if high >= 0 else start + len(line)]
         if sentence != line:
             yield sentence
+        if len(sentence) > LONG:
+            if of != start:
+                places, of = list(_PLACE.finditer(text, start, start + len(line))), start
+            yield from windows(places, m.start())
 
 
 class Matcher:

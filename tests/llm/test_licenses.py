@@ -64,3 +64,24 @@ def test_nulls_names_and_clashing_columns(spark):
         (7, None, None, None),
     ]
     assert licenses.inherited(licenses.scanned(df.limit(0)).withColumn("told", F.col("path").isNotNull()), "told").count() == 0
+
+
+def test_notices_in_long_lines_without_a_sentence_end(spark):
+    words = " ".join(f"word{k}" for k in range(120))
+    notices = [(name, x) for name, texts in licenses.TEMPLATES.items() for x in texts]
+    files, wanted = [], []
+    for left, right in (("! ", "! "), ("; ", "? "), (" ", " "), (". Then ", " "), (" ", " and that. ")):
+        for name, notice in notices:
+            files.append((len(files), f"f{len(files)}", words + left + notice + right + words))
+            wanted.append(name)
+    files += [(len(files), "none", words + " licensed! " + words), (len(files) + 1, "end", words + " copyright")]
+    # Apart from headers(): every run of terms as long as a template is compared, wherever it is.
+    for (*_, text), name in zip(files, wanted):
+        own = licenses.terms(text)
+        runs = {(n, tuple(t)) for n, x in notices for t in [licenses.terms(x)] if any(own[i : i + len(t)] == t for i in range(len(own)))}
+        assert name in {n for n, _ in runs}
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own_license, r.own_score) for r in licenses.scanned(df).collect()}
+    assert [got[i][0] for i in range(len(wanted))] == wanted
+    assert {got[i][1] for i in range(3 * len(notices))} == {1.0}  # "v. 2.0" ends a sentence where there are others
+    assert got[len(wanted)] == got[len(wanted) + 1] == (None, 0.0)
