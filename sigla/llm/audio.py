@@ -6,9 +6,15 @@ Mu-law and A-law are expanded by lookup tables.  ADPCM is sequential within a bl
 takes one step in all blocks of a slice at a time.  PCM is resampled from 8 to 16 kHz with a
 four-point integer filter, and stored.  Each value is handled in one task: nothing is shuffled.
 
+PCM is stored in a lossless form of its own (:func:`pack`): every second sample as what it departs
+from the interpolation of its neighbours by, the others as codes for the values, or for the
+differences, that occur.  It takes any PCM; :func:`unpack` gives every sample back.
+
 Edge cases: null and empty texts are payloads of padding alone; repeated rows give equal values;
-extra columns pass through, and columns that are added replace ones of the same name; bytes that
-are not such a container raise.
+empty tables give none; very long texts are whole values: a text of n bytes takes up to 8 n bytes
+of PCM in its task, and slices of samples beside it; extra columns pass through, and columns that
+are added replace ones of the same name in whatever case; bytes that are not such a container
+raise.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices, utf8, with_columns, write_shared
+from .common import free_name, others, slices, utf8, with_columns, write_shared
 
 UNIT = 576
 RATE = 8000
-#: Zstandard level of the stored PCM, which is four to eight times the text.
-PCM_LEVEL = 6
+#: Zstandard level of the stored media and PCM, and the bytes that are compressed at a time.
+LEVEL, PAGE_BYTES = 12, 8 << 20
+#: Samples that are handled at a time within a value.
+PIECE = 1 << 20
 CODECS = ("mulaw", "alaw", "adpcm")
 #: Format tags of the container.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
@@ -112,12 +120,83 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
+def _between(pcm: np.ndarray) -> np.ndarray:
+    """After each sample its interpolation: weights -1, 9, 9, -1 (of 16) of the nearest four."""
+    out = np.empty(len(pcm), dtype=np.int16)
+    for at in range(0, len(pcm), PIECE):
+        end = min(at + PIECE, len(pcm))
+        near = np.clip(np.arange(at - 1, end + 2), 0, len(pcm) - 1)
+        x = pcm[near].astype(np.int32)
+        out[at:end] = np.clip(9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8 >> 4, -32768, 32767)
+    return out
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
-    """Twice the rate: samples, and between them weights -1, 9, 9, -1 (of 16) of the nearest four."""
-    x = np.concatenate([pcm[:1], pcm, pcm[-1:], pcm[-1:]]).astype(np.int32)
-    between = 9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8 >> 4
+    """Twice the rate: the samples, and between them what they are interpolated to."""
     out = np.empty(2 * len(pcm), dtype=np.int16)
-    out[::2], out[1::2] = pcm, np.clip(between, -32768, 32767)
+    out[::2], out[1::2] = pcm, _between(pcm)
+    return out
+
+
+def _counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their counts."""
+    if len(x) < 1 << 14:
+        return np.unique(x, return_counts=True)
+    counts = np.bincount(x.view(np.uint16), minlength=1 << 16)
+    values = np.flatnonzero(counts)
+    return values.astype(np.uint16).view(np.int16), counts[values]
+
+
+def _places(values: np.ndarray) -> np.ndarray:
+    """For up to 255 sorted values a code each, by a hash: in files that share most of their values
+    most codes are the same, so that a compressor finds one file's runs in the next."""
+    out, taken = [], [False] * 255
+    for h in ((values.astype(np.uint16) * np.uint32(40503) >> np.uint32(7)) % 255).tolist():
+        while taken[h]:
+            h = (h + 1) % 255
+        taken[h] = True
+        out.append(h)
+    return np.array(out, dtype=np.uint8)
+
+
+def pack(pcm: np.ndarray) -> bytes:
+    """PCM of an even number of samples without loss.
+
+    Head: samples, whether they are differences, whether departures follow, sizes of the palette
+    and of the escapes.  Then the palette in order, a code for each even sample (255: the next
+    escape), the escapes, and what odd samples depart from the interpolation by, if any does.
+    """
+    even = np.ascontiguousarray(pcm[::2])
+    departs = pcm[1::2] - _between(even)
+    steps = np.diff(even, prepend=np.int16(0))
+    (values, counts), (other, other_counts) = _counted(even), _counted(steps)
+    stepped = len(values) > 255 and len(other) < len(values)
+    if stepped:
+        even, values, counts = steps, other, other_counts
+    palette = np.sort(values[np.lexsort((values, -counts))][:255])
+    place = np.minimum(np.searchsorted(palette, even), len(palette) - 1)
+    odd = palette[place] != even
+    codes = np.where(odd, np.uint8(255), _places(palette)[place])
+    escapes = even[odd]
+    head = struct.pack("<IBBHI", len(even), stepped, bool(departs.any()), len(palette), len(escapes))
+    parts = (palette, codes, escapes, *([departs] if departs.any() else []))
+    return head + b"".join(x.astype(x.dtype.newbyteorder("<")).tobytes() for x in parts)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The PCM that :func:`pack` was given."""
+    n, stepped, departed, colours, escaped = struct.unpack_from("<IBBHI", data)
+    palette = np.frombuffer(data, "<i2", colours, 12)
+    codes = np.frombuffer(data, np.uint8, n, 12 + 2 * colours)
+    value = np.zeros(256, dtype=np.int16)
+    value[_places(palette)] = palette
+    even = value[codes]
+    even[codes == 255] = np.frombuffer(data, "<i2", escaped, 12 + 2 * colours + n)
+    if stepped:
+        even = np.cumsum(even, dtype=np.int16)
+    out = resample(even)
+    if departed:
+        out[1::2] += np.frombuffer(data, "<i2", n, 12 + 2 * colours + n + 2 * escaped)
     return out
 
 
@@ -152,7 +231,7 @@ def _mapped(df: DataFrame, kept: list[str], raw: str, fields: list[T.StructField
 def stored(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without ``text``, with n_bytes and ``media``, the WAVE file of the padded text."""
     raw = free_name(df, "utf8")
-    kept = [c for c in df.columns if c not in (text, "n_bytes", "media")]
+    kept = others(df, text, "n_bytes", "media")
 
     def make(values: list[bytes]) -> list[tuple]:
         payloads = [pad(v) for v in values]
@@ -164,7 +243,7 @@ def stored(df: DataFrame, text: str = "text") -> DataFrame:
 
 def resampled(df: DataFrame, media: str = "media") -> DataFrame:
     """``df`` with codec and ``pcm``, little-endian 16-bit samples at 16 kHz."""
-    kept = [c for c in df.columns if c not in (media, "codec", "pcm")]
+    kept = others(df, media, "codec", "pcm")
     make = lambda values: [(c, resample(x).astype("<i2").tobytes()) for c, _, x in decode_all(values)]
     return _mapped(df, kept, media, [T.StructField("codec", T.StringType()), T.StructField("pcm", T.BinaryType())], make)
 
@@ -173,11 +252,14 @@ def _digests(media: bytes, payload: bytes) -> tuple:
     return len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), sha256(media).hexdigest()
 
 
-def _feature(codec: str, x: np.ndarray, pcm: bytes) -> str:
-    wide = x.astype(np.int32)
-    square = int(np.dot(x.astype(np.float64), x.astype(np.float64))) // len(x)
-    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"{codec}:{len(x)}:{square}:{int(np.abs(wide).max())}:{changes}:{zlib.crc32(pcm):08x}"
+def _feature(codec: str, x: np.ndarray, pcm: np.ndarray) -> str:
+    square = peak = changes = 0
+    for at in range(0, len(x), PIECE):
+        part = x[at : at + PIECE].astype(np.int64)
+        square, peak = square + int(np.dot(part, part)), max(peak, int(np.abs(part).max()))
+        below = x[max(0, at - 1) : at + PIECE] < 0
+        changes += int(np.count_nonzero(below[1:] != below[:-1]))
+    return f"{codec}:{len(x)}:{square // len(x)}:{peak}:{changes}:{zlib.crc32(pcm.astype('<i2', copy=False).data):08x}"
 
 
 DIGESTS = [T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()))]
@@ -189,25 +271,30 @@ def measured(df: DataFrame, media: str = "media") -> DataFrame:
     ``feature`` is codec, samples, mean square, peak, sign changes, and the CRC-32 of the
     resampled PCM, joined by colons.
     """
-    kept = [c for c in df.columns if c not in (media, "feature", *(f.name for f in DIGESTS))]
-    make = lambda values: [(*_digests(m, p), _feature(c, x, resample(x).astype("<i2").tobytes())) for m, (c, p, x) in zip(values, decode_all(values))]
+    kept = others(df, media, "feature", *(f.name for f in DIGESTS))
+    make = lambda values: [(*_digests(m, p), _feature(c, x, resample(x))) for m, (c, p, x) in zip(values, decode_all(values))]
     return _mapped(df, kept, media, [*DIGESTS, T.StructField("feature", T.StringType())], make)
 
 
 def digested(df: DataFrame, media: str = "media") -> DataFrame:
-    """``df`` with what the stored files hold: digests, codec, and ``pcm`` as of :func:`resampled`."""
-    kept = [c for c in df.columns if c not in (media, "codec", "pcm", *(f.name for f in DIGESTS))]
-    make = lambda values: [(*_digests(m, p), c, resample(x).astype("<i2").tobytes()) for m, (c, p, x) in zip(values, decode_all(values))]
+    """``df`` with what the stored files hold: digests, codec, and ``pcm``, resampled and packed."""
+    kept = others(df, media, "codec", "pcm", *(f.name for f in DIGESTS))
+    make = lambda values: [(*_digests(m, p), c, pack(resample(x))) for m, (c, p, x) in zip(values, decode_all(values))]
     return _mapped(df, kept, media, [*DIGESTS, T.StructField("codec", T.StringType()), T.StructField("pcm", T.BinaryType())], make)
 
 
+def unpacked(df: DataFrame, pcm: str = "pcm") -> DataFrame:
+    """``df`` with packed PCM as little-endian 16-bit samples at 16 kHz."""
+    kept = others(df, pcm)
+    return _mapped(df, kept, pcm, [T.StructField(pcm, T.BinaryType())], lambda values: [(unpack(v).astype("<i2").tobytes(),) for v in values])
+
+
 def heard(df: DataFrame, pcm: str = "pcm") -> DataFrame:
-    """``df`` (with codec) with the ``feature`` of :func:`measured` of its PCM instead of both."""
-    kept = [c for c in df.columns if c not in (pcm, "feature")]
+    """``df`` (with codec) with the ``feature`` of :func:`measured` of its packed PCM instead of both."""
+    kept = others(df, pcm, "feature")
 
     def make(values: list[bytes]) -> list[tuple]:
-        samples = [np.frombuffer(v, dtype="<i2")[::2].astype(np.int16) for v in values]  # those before resampling
-        return [(_feature("", x, v),) for x, v in zip(samples, values)]
+        return [(_feature("", x[::2], x),) for x in map(unpack, values)]  # even samples: those before resampling
 
     rows = _mapped(df, kept, pcm, [T.StructField("feature", T.StringType())], make)
     return rows.withColumn("feature", F.concat("codec", "feature")).drop("codec")
@@ -216,5 +303,5 @@ def heard(df: DataFrame, pcm: str = "pcm") -> DataFrame:
 def described(docs: DataFrame) -> DataFrame:
     """Documents' texts stored as media in the shared folder, read back, resampled to PCM that is
     stored there too, and measured as both are read back."""
-    media = write_shared(stored(docs.select("doc_id", "text")), "media")
-    return heard(write_shared(digested(media), "pcm", level=PCM_LEVEL))
+    media = write_shared(stored(docs.select("doc_id", "text")), "media", LEVEL, PAGE_BYTES)
+    return heard(write_shared(digested(media), "pcm", LEVEL, PAGE_BYTES))

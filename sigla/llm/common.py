@@ -29,10 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share.
+
+    Where none is set, a local session gets a temporary one; on a cluster that would be a folder
+    of one machine only, so there it is an error.
+    """
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
     if not _OWN_FOLDER:
         own = tempfile.mkdtemp(prefix="sigla-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -40,13 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDER[0]
 
 
-def write_shared(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+def write_shared(df: DataFrame, name: str, level: int = 3, page_bytes: int = 1 << 20) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    ``level`` is that of the Zstandard compression.
+    ``level`` is that of the Zstandard compression, ``page_bytes`` what is compressed at a time.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level, "parquet.page.size": page_bytes}
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sigla_path = path
     return out
@@ -88,6 +96,12 @@ def with_columns(batch: pa.RecordBatch, drop: tuple[str, ...], **new: pa.Array)
     return pa.RecordBatch.from_arrays([c for _, c in kept], names=[n for n, _ in kept])
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but those of the given names, in whatever case, as Spark compares them."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, or with underscores appended until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

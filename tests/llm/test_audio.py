@@ -89,14 +89,37 @@ def test_nulls_empty_long_repeated_and_clashing_columns(spark):
 def test_query_stores_the_pcm_and_measures_what_is_read_back(spark, monkeypatch):
     tables = {}
 
-    def kept(df, name, **options):
-        tables[name] = common.write_shared(df, name, **options)
+    def kept(df, name, *options):
+        tables[name] = common.write_shared(df, name, *options)
         return tables[name]
 
     monkeypatch.setattr(audio, "write_shared", kept)
     crcs = {r.doc_id: r.feature.rpartition(":")[2] for r in op2_telephony_audio(spark, SF).collect()}
-    pcm = {r.doc_id: bytes(r.pcm) for r in tables["pcm"].collect()}
+    pcm = {r.doc_id: bytes(r.pcm) for r in audio.unpacked(tables["pcm"]).collect()}
     want = {r.doc_id: bytes(r.pcm) for r in audio.resampled(tables["media"]).collect()}
     assert pcm == want and crcs == {i: f"{zlib.crc32(x):08x}" for i, x in pcm.items()}
-    silent = tables["pcm"].withColumn("pcm", F.unhex(F.lit("0000" * 4)))
+    silent = tables["pcm"].withColumn("pcm", F.lit(bytearray(audio.pack(np.zeros(4, dtype=np.int16)))))
     assert {r.feature.split(":", 1)[1] for r in audio.heard(silent).collect()} == {f"2:0:0:0:{zlib.crc32(bytes(8)):08x}"}
+
+
+def test_packed_pcm_is_lossless():
+    rng = np.random.default_rng(5)
+    noise = rng.integers(-32768, 32768, 70_000).astype(np.int16)
+    walk = np.cumsum(rng.integers(-3, 4, 60_000)).astype(np.int16)
+    for pcm in (noise, audio.resample(walk), np.repeat(walk, 2), np.zeros(2, np.int16), noise[:0], audio.resample(noise[:3])):
+        assert (audio.unpack(audio.pack(pcm)) == pcm).all()
+    assert len(audio.pack(audio.resample(walk))) < 0.3 * 2 * 2 * len(walk)
+
+
+def test_clashing_names_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a", "x", 2, 3.0)], "doc_id long, text string, MEDIA string, Utf8 int, N_bytes double")
+    got = audio.heard(audio.digested(audio.stored(df)))
+    assert {"Utf8", "feature", "n_bytes"} <= set(got.columns) and not {"MEDIA", "N_bytes"} & set(got.columns)
+    assert got.first().Utf8 == 2
+
+
+def test_pieces_of_long_values_join(monkeypatch):
+    x = np.random.default_rng(1).integers(-32768, 32768, 5000).astype(np.int16)
+    whole = audio.resample(x), audio._feature("c", x, x)
+    monkeypatch.setattr(audio, "PIECE", 7)
+    assert (audio.resample(x) == whole[0]).all() and audio._feature("c", x, x) == whole[1]
