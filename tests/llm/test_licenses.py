@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -19,10 +21,21 @@ def plain(files):
         norm = lambda v: math.sqrt(sum((n * idf(t)) ** 2 for t, n in v.items()))
         return dot / norm(a) / norm(b) if a and b else 0.0
 
+    notices = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    keyed = licenses.KEY_TERMS.search
     out = {}
     for i, path, text in files:
-        heads = set(licenses.headers(text or "")) | ({text} if text and licenses.LICENSE_FILE.search(path or "") else set())
-        best = max(((round(cosine(h, t), 6), name) for h in heads for name, ts in licenses.TEMPLATES.items() for t in ts), default=(0.0, None), key=lambda m: m[0])
+        heads = set()
+        for line in filter(keyed, (text or "").split("\n")):
+            own = licenses.terms(line)
+            runs = [" ".join(own[k : k + n]) for _, t in notices for n in [len(licenses.terms(t))] for k in range(max(1, len(own) - n + 1))]
+            heads |= {line} if len(line) <= 400 else set(filter(keyed, runs))
+            heads |= {x for x in line.split(". ") if len(x) <= 400 and keyed(x)}
+        pairs = [(h, name, t) for h in heads for name, t in notices]
+        if text and licenses.LICENSE_FILE.search(path or ""):
+            full = [(text, name, t) for name, t in licenses.TEXTS.items()]
+            pairs = full if max(cosine(h, t) for h, _, t in full) >= 0.9 else [*pairs, *full, *((text, *x) for x in notices)]
+        best = max(((round(cosine(h, t), 6), name) for h, name, t in pairs), default=(0.0, None), key=lambda m: m[0])
         out[i, path] = best[::-1] if best[0] >= licenses.THRESHOLD else (None, 0.0)
     return out
 
@@ -85,3 +98,45 @@ def test_notices_in_long_lines_without_a_sentence_end(spark):
     assert [got[i][0] for i in range(len(wanted))] == wanted
     assert {got[i][1] for i in range(3 * len(notices))} == {1.0}  # "v. 2.0" ends a sentence where there are others
     assert got[len(wanted)] == got[len(wanted) + 1] == (None, 0.0)
+
+
+def test_whole_license_files(spark):
+    files = [(k, f"p{k}/LICENSE", text.replace("(c)", f"(c) 20{k + 10} Some Body and others")) for k, text in enumerate(licenses.TEXTS.values())]
+    files += [(100 + k, f"p{k}/src/deep/x.py", "print(1)") for k in range(len(files))]
+    files += [(200, "q/COPYING", "word " * 300), (201, "q/y.py", "")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    found = licenses.scanned(df).withColumn("told", F.col("path").rlike("LICENSE$|COPYING$"))
+    got = {r.doc_id: (r.license, r.own_score) for r in licenses.inherited(found, "told").collect()}
+    for k, name in enumerate(licenses.TEXTS):
+        assert got[k][0] == name and got[k][1] > 0.95
+        assert got[100 + k] == (name, 0.0)
+    assert got[200] == got[201] == (None, 0.0)
+
+
+def test_license_in_a_very_long_line(spark):
+    matcher = licenses.Matcher(10, {})
+    notice = licenses.TEMPLATES["Apache-2.0"][0]
+    for filler in ("word ", "license ", "mit apache "):
+        text = filler * (2_500_000 // len(filler)) + notice + " " + filler * (2_500_000 // len(filler))
+        began = time.process_time()
+        score, name = matcher.scan(text, False)
+        assert (name, score) == ("Apache-2.0", 1.0)
+        assert time.process_time() - began < 20  # some seconds; by a slice for each term it was hours
+
+
+def test_windows_equal_all_windows():
+    rng = random.Random(2)
+    matcher = licenses.Matcher(50, {t: rng.randrange(50) for t in licenses.VOCABULARY})
+    pool = ["license", "mit", "the", "released", "under", "zero", "word", "apache", "2.0", "version"]
+    for _ in range(60):
+        own = [rng.choice(pool) for _ in range(rng.randrange(1, 120))]
+        runs = {" ".join(own[k : k + n]) for n in licenses.LENGTHS for k in range(max(1, len(own) - n + 1))}
+        want = max((matcher.best(r, matcher.notices)[0] for r in runs if licenses.KEY_TERMS.search(r)), default=0.0)
+        assert abs(matcher.best_window(" ".join(own))[0] - want) < 2e-6
+
+
+def test_clashing_names_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License", 7, "x", "y")], "doc_id long, path string, text string, li_dir int, Of string, LICENSE string")
+    files = licenses.scanned(df).withColumn("told", F.col("path").isNotNull())
+    got = licenses.inherited(files, "told").first()
+    assert (got["li_dir"], got["Of"], got["license"], got["license_from"]) == (7, "x", "MIT", "a/LICENSE")
