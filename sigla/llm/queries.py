@@ -12,6 +12,10 @@ from .common import table
 
 #: The query's parameter; a cluster has this file installed with the tokenizers on each machine.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZERS = {
+    "byte-bpe-multi-50k": (RANKS, public_tokenizers.PATTERN),
+    "byte-bpe-50k": (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+}
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +35,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencounts.maintained(spark, sf_dir)
+    return tokencounts.maintained(spark, sf_dir, TOKENIZERS)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {
-    "op4_token_counts": tokencounts.SQL,
     "op5_warc": warc.SQL,
     "op9_line_dedup": linededup.SQL,
     "op10_mixing": mixing.SQL,
