@@ -134,7 +134,13 @@ class Matcher:
         own = self.vector(text)
         return max(((round(sum(x * own.get(t, 0.0) for t, x in v.items()), 6), name) for name, v in templates), key=_rank)
 
-    def best_window(self, text: str) -> tuple[float, str]:
+    def possible(self, text: str) -> list[tuple[str, dict[str, float]]]:
+        """The notices that something in ``text`` can match: no cosine exceeds the length of what
+        of a notice's vector lies in the terms that occur."""
+        own = set(terms(text))
+        return [(name, v) for name, v in self.notices if sum(x * x for t, x in v.items() if t in own) >= (THRESHOLD - 1e-6) ** 2]
+
+    def best_window(self, text: str, notices: list[tuple[str, dict[str, float]]] | None = None) -> tuple[float, str]:
         """The best match of any window of as many terms as a notice has that holds a key term.
 
         Running sums give every window's product with every notice, and the square of its own
@@ -152,7 +158,7 @@ class Matcher:
         marked = np.zeros(len(ids) + 1, dtype=np.int64)
         np.add.at(marked, np.maximum(np.searchsorted(starts, hits, side="right") - 1, 0), 1)
         marked = np.concatenate([[0], np.cumsum(marked[:-1])])
-        parts = [(name, np.array([v.get(t, 0.0) for t in number])) for name, v in self.notices]
+        parts = [(name, np.array([v.get(t, 0.0) for t in number])) for name, v in notices or self.notices]
         best = (0.0, "")
         for n in LENGTHS:
             n = min(n, len(ids))
@@ -181,7 +187,7 @@ class Matcher:
         """
         if whole and text.strip() and (full := self.best(text, self.texts))[0] >= WHOLE:
             return full
-        found = [self.best_window(h) if len(h) > LONG else self.best(h, self.notices) for h in set(headers(text))]
+        found = [self.best_window(h, own) if len(h) > LONG else self.best(h, own) for h in set(headers(text)) if (own := self.possible(h))]
         if whole and text.strip():
             found += [self.best(text, self.notices), full]
         return max(found, key=_rank, default=(0.0, ""))
