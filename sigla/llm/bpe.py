@@ -1,13 +1,21 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each task takes its share of the corpus in slices.  The distinct pre-tokens of a slice that it
-has not met before form one flat sequence of byte symbols; an inverted index lists for every
-adjacent pair that has a rank the positions where it stands.  Merges are applied in rank order,
-each at all its positions at once, and only the neighbours of a merged position are looked up
-again.  Nothing is shuffled: encoding is a narrow transformation of the documents.
-
-Edge cases: null and empty texts have no ids; invalid ids in decoding raise; repeated rows and
-extra columns pass through; columns that an operator adds replace ones of the same name.
+1. Texts are cut into pre-tokens once.  Each slice of the corpus becomes a row: its distinct words,
+   and for every document the places of its words in that list.
+2. The distinct words of the corpus that several slices have are counted by how many; those that
+   most have, VOCABULARY at most, are replayed once, dealt to tasks by hash.
+3. Replaying: the words of a task form one flat sequence of byte symbols; an inverted index lists
+   for every adjacent pair that has a rank the positions where it stands.  Merges are applied in
+   rank order, each at all its positions at once, and only the neighbours of a merged position are
+   looked up again.
+4. The replayed vocabulary, whose size is bounded, goes to all tasks; they replay what else their
+   slices hold, the tail of words that are rare or longer than LONGEST, in the same way, and put
+   documents' ids together by places.  Ids are the same whichever way a word took.
+
+Edge cases: null and empty texts have no ids; very long texts are slices of their own, and a very
+long word is replayed whole; invalid ids in decoding raise; repeated rows and ties of counts change
+nothing; empty tables give none; extra columns pass through, and columns that an operator adds
+replace ones of the same name in whatever case.
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices, utf8, with_columns
+from .common import free_name, others, slices, utf8, with_columns, write_shared
 
 #: Entries of a worker's memo; beyond it, only words of the last slices stay, which costs time
 #: and changes nothing.
 MEMO_WORDS = 300_000
+#: Words that are replayed once for the whole corpus and sent to all tasks, and their longest, in
+#: bytes; together they bound what is sent.
+VOCABULARY, LONGEST = 200_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -171,7 +183,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
     the pattern whose matches are encoded one by one.
     """
     raw = free_name(df, "utf8")
-    kept = [c for c in df.columns if c != ids]
+    kept = others(df, ids)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +198,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes that ``ids`` stand for (null ids: no bytes); unknown ids raise."""
-    kept = [c for c in df.columns if c != decoded]
+    kept = others(df, decoded)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(decoded, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,22 +215,86 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
+def sliced(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """A row for each slice of the corpus: doc_id and number of pre-tokens of its documents, the
+    distinct words among them, and every pre-token's place in that list (16 bits where they do)."""
+    schema = T.StructType([T.StructField("doc_id", T.ArrayType(df.schema["doc_id"].dataType)), *T._parse_datatype_string("n array<int>, words array<binary>, places binary")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern).findall
+        for batch in slices(batches, "utf8"):
+            found = [split(t.decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+            n = [len(x) for x in found]
+            number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+            places = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), dtype=np.int32, count=sum(n))
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            columns = [ids, pa.array([n], pa.list_(pa.int32())), pa.array([[w.encode() for w in number]], pa.list_(pa.binary())), pa.array([_narrow(places, len(number)).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "words", "places"])
+
+    return df.select("doc_id", utf8(f"`{text}`").alias("utf8")).mapInArrow(run, schema)
+
+
+def _narrow(places: np.ndarray, words: int) -> np.ndarray:
+    return places.astype(np.uint16 if words <= 1 << 16 else np.int32, copy=False)
+
+
+def replayed(words: DataFrame, ranks_path: str) -> DataFrame:
+    """word and ids (32-bit integers) of rows with distinct words, each replayed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = _codec(ranks_path).replayer.replay
+        for batch in slices(batches, "word"):
+            ids = [array("i", x).tobytes() for x in replay(batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+    return words.select("word").repartition("word").mapInArrow(run, "word binary, ids binary")
+
+
+def vocabulary(parts: DataFrame, ranks_path: str, most: int = VOCABULARY, longest: int = LONGEST) -> DataFrame:
+    """The words that most slices have (two at least), replayed; of equal counts the first words."""
+    words = parts.select(F.explode("words").alias("word")).where(F.octet_length("word") <= longest)
+    often = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return replayed(often.orderBy(F.desc("n"), "word").limit(most), ranks_path)
+
+
 def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents: encoded, then decoded from the ids.
 
     Both ways and the digests in one pass, so that ids need not leave the worker.
     """
-    schema = T.StructType([df.schema["doc_id"], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string")])
+    own = df.schema["doc_id"]
+    parts = write_shared(sliced(df, pattern), "pieces")
+    known = vocabulary(parts, ranks_path)
+    shared = df.sparkSession.sparkContext.broadcast({bytes(r.word): bytes(r.ids) for r in known.collect()})  # VOCABULARY words at most
+    schema = T.StructType([own, *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string")])
     names = schema.names
 
+    def ids_of(words: list[bytes], places: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a slice's pre-tokens in a row, and how many each has."""
+        codec, ready = _codec(ranks_path), shared.value
+        found = [ready.get(w) for w in words]
+        rare = iter(codec.replayer.replay([w for w, got in zip(words, found) if got is None]))
+        found = [array("i", next(rare)).tobytes() if got is None else got for got in found]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), dtype=np.int32), np.cumsum(lengths) - lengths
+        at = np.frombuffer(places, dtype=np.uint16 if len(words) <= 1 << 16 else np.int32)
+        n = lengths[at]
+        ends = np.cumsum(n)
+        return flat[np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path)
-        for batch in slices(batches, "utf8"):
-            n, spelled, back = [], [], []
-            for ids in codec.encode(batch.column(1).to_pylist(), pattern):
-                n.append(len(ids))
-                spelled.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
-                back.append(sha256(codec.decode(ids)[0].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spelled, pa.string()), pa.array(back, pa.string())], names=names)
-
-    return df.select("doc_id", utf8("text").alias("utf8")).mapInArrow(run, schema)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                docs, counts, words, places = (c[k] for c in batch.columns)
+                flat, n = ids_of(words.as_py(), places.as_py())
+                ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts.as_py())]
+                size, spelled, back, start = [], [], [], 0
+                for end in ends.tolist():
+                    ids, start = flat[start:end], end
+                    size.append(len(ids))
+                    spelled.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                    back.append(sha256(codec.decode(ids)[0].tobytes()).hexdigest())
+                yield pa.RecordBatch.from_arrays([docs.values, pa.array(size, pa.int64()), pa.array(spelled, pa.string()), pa.array(back, pa.string())], names=names)
+
+    return parts.mapInArrow(run, schema)

@@ -3,7 +3,7 @@ import random
 
 import public_tokenizers
 import tiktoken
-from sigla.llm import bpe
+from sigla.llm import bpe, common
 from sigla.llm.queries import RANKS, op7_byte_bpe
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +46,20 @@ def test_nulls_empty_long_repeated_and_clashing_columns(spark):
     assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
     again = bpe.encode(df.withColumnRenamed("utf8", "ids"), RANKS, public_tokenizers.PATTERN)
     assert again.columns == ["doc_id", "text", "ids"] and again.count() == 5
+
+
+def test_vocabulary_and_tail_give_the_same_ids(spark, monkeypatch):
+    encoding = reference_encoding()
+    texts = [f"common words {k % 7} and rare{k}x{k * k} \n" + "long" * (k % 40) for k in range(300)] + [None, "", "é\u0000"]
+    df = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id int, text string, N int, words string").repartition(5)
+    want = {k: hashlib.sha256(",".join(map(str, encoding.encode_ordinary(t or ""))).encode()).hexdigest() for k, t in enumerate(texts)}
+    monkeypatch.setattr(common, "SLICE_BYTES", 500)
+    for most, longest in ((bpe.VOCABULARY, bpe.LONGEST), (3, 64), (50, 4), (0, 0)):
+        monkeypatch.setattr(bpe.vocabulary, "__defaults__", (most, longest))
+        rows = bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).collect()
+        assert {r.doc_id: r.ids_sha256 for r in rows} == want and len(rows) == len(texts)
+    parts = bpe.sliced(df, public_tokenizers.PATTERN).cache()
+    assert parts.count() > 3
+    known = bpe.vocabulary(parts, RANKS, 20, 5).collect()
+    assert len(known) == 20 and all(len(r.word) <= 5 for r in known)
+    assert bpe.round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
