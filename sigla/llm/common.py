@@ -55,18 +55,29 @@ def write_shared(df: DataFrame, name: str, level: int = 3, page_bytes: int = 1 <
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     options = {"compression": "zstd", "parquet.compression.codec.zstd.level": level, "parquet.page.size": page_bytes}
     df.write.options(**options).parquet(path)
+    remove_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sigla_path = path
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of this application removed when the application ends."""
+    where, fs = _file_system(spark, path)
+    fs.deleteOnExit(where)
+
+
 def drop_shared(df: DataFrame) -> None:
     """Remove a table of :func:`write_shared` that no later result reads."""
-    path, spark = getattr(df, "_sigla_path", None), df.sparkSession
+    path = getattr(df, "_sigla_path", None)
     if path:
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        where, fs = _file_system(df.sparkSession, path)
+        fs.delete(where, True)
 
 
 def utf8(column: Column | str) -> Column:
@@ -102,6 +113,16 @@ def others(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
+def packed(df: DataFrame) -> Column:
+    """A row of ``df`` as one struct, so that no name of its columns can clash with an operator's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unpacked(name: str, columns: list[str]) -> list[Column]:
+    """Columns of a struct that :func:`packed` made."""
+    return [F.col(name).getField(c).alias(c) for c in columns]
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """``wish``, or with underscores appended until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -9,10 +9,12 @@ line, never the lines; the first exchange is by line and page, so a line that st
 page of a host is spread over all tasks, and the second carries partial counts.  Pages then meet
 the positions to drop by their own hash.
 
-Edge cases: null and empty texts have no line and stay as they are; lines without a word are
-neither counted nor dropped; null hosts are one host; repeated rows are copies of one page; a
-line must be on MIN_PAGES pages, which keeps hosts of a few pages as they are; extra columns pass
-through, and columns that are added replace ones of the same name.
+Edge cases: null and empty texts have no line and stay as they are; an empty table gives no rows;
+lines without a word are neither counted nor dropped; null hosts are one host; repeated rows are
+copies of one page; a share equal to the ratio does not exceed it; a line must be on MIN_PAGES
+pages, which keeps hosts of a few pages as they are; very long pages and lines are handled whole,
+in time and memory that grow with their length; extra columns pass through, and columns that are
+added replace ones of the same name in whatever case.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS
+from .common import WORD_CLASS, others, packed, unpacked
 
 RATIO = 0.07
 MIN_PAGES = 3
@@ -52,26 +54,31 @@ def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio:
 
 def without_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with clean_text, n_lines and n_dropped."""
-    t1, t2 = _hashes(F.col(f"`{text}`"))
-    passed = [c for c in pages.columns if c not in ("clean_text", "n_lines", "n_dropped")]
+    t1, t2 = _hashes(F.col("text"))
     bad = boilerplate(pages, host, text, ratio, min_pages).select("host", "h1", "h2")
-    own = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")).where("text is not null")
-    own = own.select("host", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"), *[h.alias(n) for h, n in zip(_hashes(F.col("text")), ("t1", "t2"))])
+    slim = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    own = slim.where("text is not null").select("host", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"), t1.alias("t1"), t2.alias("t2"))
     h1, h2 = _hashes(F.col("line"))
     own = own.where(F.col("line").rlike(WORD_CLASS)).select("host", "i", h1.alias("h1"), h2.alias("h2"), "t1", "t2")
     hit = own.join(bad, _same(own, bad, "host", "h1", "h2"), "left_semi").select("host", "t1", "t2", "i").distinct()
     # A page's positions are at most its lines; copies of a page have been merged above.
-    drop = hit.groupBy("host", "t1", "t2").agg(F.collect_list("i").alias("ld_drop")).select(F.col("host").alias("ld_host"), F.col("t1").alias("ld_a"), F.col("t2").alias("ld_b"), "ld_drop")
-    rows = pages.select(*[F.col(f"`{c}`") for c in passed], t1.alias("ld_t1"), t2.alias("ld_t2"))
-    on = F.col(f"`{host}`").eqNullSafe(F.col("ld_host")) & (F.col("ld_t1") == F.col("ld_a")) & (F.col("ld_t2") == F.col("ld_b"))
+    drop = hit.groupBy("host", "t1", "t2").agg(F.sort_array(F.collect_list("i")).alias("drop"))
+    drop = drop.select(F.col("host").alias("of"), F.col("t1").alias("a"), F.col("t2").alias("b"), "drop")
+    rows = pages.select(packed(pages).alias("row"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    rows = rows.select("row", "host", "text", t1.alias("t1"), t2.alias("t2"))
+    on = F.col("host").eqNullSafe(F.col("of")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b"))
     rows = rows.join(drop, on, "left")
-    lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("ld_drop", i))
+    # Whether each line goes, up to the last that does: looked up by position in the next step.
+    until = lambda i, k: F.array_repeat(F.lit(False), i - F.coalesce(F.get("drop", k - 1), F.lit(-1)) - 1)
+    goes = F.flatten(F.transform("drop", lambda i, k: F.concat(until(i, k), F.array(F.lit(True)))))
+    rows = rows.select("row", "text", goes.alias("goes"), F.size("drop").alias("n"))
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.get("goes", i), F.lit(False)))
     return rows.select(
-        *[F.col(f"`{c}`") for c in passed],
-        F.when(F.col("ld_drop").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
-        F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("ld_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *unpacked("row", others(pages, "clean_text", "n_lines", "n_dropped")),
+        F.when(F.col("goes").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(F.col("goes").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_dropped"),
     )
 
 

@@ -20,9 +20,11 @@ The chance that two documents just at the threshold meet in no band is below 2 i
 above it are found with more certainty still.
 
 Edge cases: a text without words (null and empty ones too) has an empty set and no link; with
-fewer than five words the whole sequence is its one shingle; rows that repeat a doc_id are one
-document, linked if any of its texts is; rows without doc_id take no part, are kept and have no
-component; extra columns are ignored.
+fewer than five words the whole sequence is its one shingle; very long texts are hashed whole, a
+slice of hashes at a time; rows that repeat a doc_id are one document, linked if any of its texts
+is; equal texts and ties are one class; rows without doc_id take no part, are kept and have no
+component; an empty table gives no rows; extra columns are ignored, or pass through
+:func:`deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_shared, slices, utf8, write_shared
+from .common import drop_shared, packed, slices, unpacked, utf8, write_shared
 
 WORDS = 5
 SHARE = 75  # of 100
@@ -356,8 +358,11 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: of the smallest id, and of rows that repeat it the first by text hash."""
-    kept = near_duplicates(docs, text).where("kept and doc_id is not null").select("doc_id").distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col(f"`{text}`"))))
-    own = docs.join(kept, "doc_id", "left_semi").withColumn("mh_once", once).where("mh_once = 1").select(docs.columns)
-    return own.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each group: of the smallest id, and of rows that repeat it the first
+    by text (null first); rows without id stay."""
+    kept = near_duplicates(docs, text).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept")).distinct()
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text"))
+    own = rows.join(kept, F.col("id") == F.col("kept"), "left_semi")
+    once = F.row_number().over(Window.partitionBy("id").orderBy("hash", "text"))
+    own = own.withColumn("place", once).where("place = 1").select("row")
+    return own.unionByName(rows.where("id is null").select("row")).select(*unpacked("row", docs.columns))

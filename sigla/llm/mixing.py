@@ -11,8 +11,10 @@ proportion to a source's documents, so a source with a third of all rows is as m
 size asks for; sums of ranges, then rows within a range, are added up.
 
 Edge cases: null texts have size 0; null sources are one source, the last; sources of size 0 have
-target 0; null ids draw from the size alone; repeated rows draw the same key, and are each taken;
-an empty table gives no rows; extra columns are ignored.
+target 0; null ids draw from the text's hash and size; repeated rows draw the same key, and are
+each taken; ties of keys go by id, then by size, and rows alike in all that are interchangeable;
+very long texts are only counted; an empty table gives no rows; extra columns are ignored, or pass
+through :func:`mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_CLASS, drop_shared, write_shared
+from .common import WORD_CLASS, drop_shared, packed, unpacked, write_shared
 
 WEIGHTS = (5, 2, 1)
 TOTAL_PERCENT = 150
@@ -95,11 +97,12 @@ def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows that share an id, or a text where they have none, are repeated alike.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    keyed = docs.withColumn("mx_key", key)
+    keyed = docs.select(packed(docs).alias("row"), key.alias("key"))
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
-    taken = mix(keyed, labels, ("mx_key",)).groupBy("mx_key").agg(F.max(copies).cast("int").alias("mx_copies")).where("mx_copies > 0")
-    out = keyed.join(taken, "mx_key").withColumn("mx_copy", F.explode(F.sequence(F.lit(1), "mx_copies")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    slim = docs.select("doc_id", "source", "text", key.alias("mix_key"))
+    taken = mix(slim, labels, ("mix_key",)).groupBy("mix_key").agg(F.max(copies).cast("int").alias("copies")).where("copies > 0")
+    out = keyed.join(taken, F.col("key") == F.col("mix_key")).select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return out.select(*unpacked("row", docs.columns))
 
 
 _WEIGHT = " ".join(f"WHEN {i} THEN {w}.0" for i, w in enumerate(WEIGHTS))

@@ -10,7 +10,9 @@ by hash, so the set of target ids that is broadcast has a fixed size (8 bytes ea
 
 Edge cases: null and empty texts, and texts without words, have no n-gram, score 0, and fail the
 base rules (fewer than MIN_WORDS words); rows that repeat a doc_id are scored each by its own
-text; without any label, or with an empty table, every score is 0; other columns pass through.
+text; ties with a threshold are kept; very long texts are scored whole, in memory that grows with
+their length; without any label every score is 0, and an empty table gives no rows; other columns
+pass through, and columns that are added replace ones of the same name in whatever case.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, WORD_CLASS
+from .common import SPACE_CLASS, WORD_CLASS, others, packed, unpacked
 
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
@@ -36,13 +38,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
 
 
-def _hashed(docs: DataFrame, text: str) -> DataFrame:
-    """Adds q_text, q_words and q_hash, the words' hash values, one step at a time."""
-    out = docs.withColumn("q_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    out = out.withColumn("q_words", words_of(F.col("q_text")))
+def _hashed(docs: DataFrame) -> DataFrame:
+    """Adds q_words and q_hash, the words' hash values, to rows with q_text, one step at a time."""
+    out = docs.withColumn("q_words", words_of(F.col("q_text")))
     return out.withColumn("q_hash", F.transform("q_words", lambda w: F.xxhash64(w)))
 
 
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(f"`{name}`"), F.lit("")).alias("q_text")
+
+
 def _pair(left: Column, right: Column) -> Column:
     return F.pmod(F.xxhash64(left, right), F.lit(BUCKETS))
 
@@ -56,8 +61,8 @@ def target_ids(labels: DataFrame) -> DataFrame:
 def ngram_weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """One row: ``weights``, the log ratio of each bucket in order, from counts over all of ``docs``."""
     chosen = target_ids(labels).select(F.col("doc_id").alias("q_id"))
-    flagged = docs.select("doc_id", text).join(F.broadcast(chosen), F.col("doc_id") == F.col("q_id"), "left")
-    hashed = _hashed(flagged, text).select(F.col("q_id").isNotNull().cast("long").alias("own"), "q_hash")
+    flagged = docs.select("doc_id", _text(text)).join(F.broadcast(chosen), F.col("doc_id") == F.col("q_id"), "left")
+    hashed = _hashed(flagged).select(F.col("q_id").isNotNull().cast("long").alias("own"), "q_hash")
     at = hashed.select("own", "q_hash", F.posexplode("q_hash").alias("i", "h"))
     following = F.get("q_hash", F.col("i") + 1)
     pair = F.when(following.isNotNull(), _pair(F.col("h"), following))
@@ -77,12 +82,12 @@ def ngram_weights(docs: DataFrame, labels: DataFrame, text: str = "text") -> Dat
 def rated(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    passed = [c for c in docs.columns if c not in names]
+    passed = others(docs, *names)
     # BUCKETS numbers, so collecting them takes the same space for any input; as text they become
     # one constant of the plan, which a lambda can look up.
     found = ngram_weights(docs, labels, text).first()["weights"]
     weights = F.split(F.lit(",".join(f"{w:.6f}" for w in found)), ",").cast("array<double>")
-    out = _hashed(docs.select(*[F.col(f"`{c}`") for c in passed]), text)
+    out = _hashed(docs.select(packed(docs).alias("row"), _text(text)))
     lines = F.filter(F.split("q_text", "\n", -1), lambda x: x.rlike(WORD_CLASS))
     out = out.withColumn("q_lines", lines)
     # Windows of WINDOW words by a hash of their words' hash values.
@@ -103,7 +108,7 @@ def rated(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     each = F.transform("q_hash", lambda h, k: F.coalesce(weight(F.pmod(h, F.lit(BUCKETS))), F.lit(0.0)) + F.when(k < last, pair(h, k)).otherwise(0.0))
     total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
     out = out.select(
-        *[F.col(f"`{c}`") for c in passed],
+        "row",
         F.size("q_words").cast("long").alias("n_words"),
         F.length(F.array_join("q_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("q_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -113,7 +118,8 @@ def rated(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    # The last term is always true.  As it is not deterministic, a filter on the verdict is not
-    # pushed below these steps, where it would have to repeat them in full within one another.
-    verdict = ~F.col("base_failed") & (F.col("score") >= THRESHOLD) & (F.monotonically_increasing_id() >= 0)
-    return out.withColumn("kept", verdict)
+    # A generator of one row: a filter on the verdict stays above it, where it is looked up.  Pushed
+    # below, it would repeat all these steps in full within one another.
+    verdict = ~F.col("base_failed") & (F.col("score") >= THRESHOLD)
+    told = F.struct(*[F.col(n) for n in names if n != "kept"], verdict.alias("kept"))
+    return out.select("row", F.explode(F.array(told)).alias("q")).select(*unpacked("row", passed), *[F.col("q").getField(n).alias(n) for n in names])
