@@ -2,15 +2,16 @@
 
 1. Texts are cut into pre-tokens once.  Each slice of the corpus becomes a row: its distinct words,
    and for every document the places of its words in that list.
-2. The distinct words of the corpus that several slices have are counted by how many; those that
-   most have, VOCABULARY at most, are replayed once, dealt to tasks by hash.
+2. The distinct words of the corpus are counted by how many slices have them; those that most
+   slices have, VOCABULARY at most, are replayed once, dealt to tasks by hash.
 3. Replaying: the words of a task form one flat sequence of byte symbols; an inverted index lists
    for every adjacent pair that has a rank the positions where it stands.  Merges are applied in
    rank order, each at all its positions at once, and only the neighbours of a merged position are
    looked up again.
-4. The replayed vocabulary, whose size is bounded, goes to all tasks; they replay what else their
-   slices hold, the tail of words that are rare or longer than LONGEST, in the same way, and put
-   documents' ids together by places.  Ids are the same whichever way a word took.
+4. The replayed vocabulary, whose size is bounded, goes to all tasks.  The tail of words that are
+   rare or longer than LONGEST is merged where it stands: short words in waves, in each of which
+   every word has its merge of the lowest rank, as words do not touch; long ones by replay.
+   Documents' ids are put together by places.  Ids are the same whichever way a word took.
 
 Edge cases: null and empty texts have no ids; very long texts are slices of their own, and a very
 long word is replayed whole; invalid ids in decoding raise; repeated rows and ties of counts change
@@ -29,6 +30,7 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -43,6 +45,8 @@ MEMO_WORDS = 300_000
 #: Words that are replayed once for the whole corpus and sent to all tasks, and their longest, in
 #: bytes; together they bound what is sent.
 VOCABULARY, LONGEST = 200_000, 64
+#: Bytes up to which a word of the tail is merged in waves, and bytes that are at a time.
+WAVE_WORD, WAVE_BYTES = 128, 1 << 18
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -133,11 +137,95 @@ class Replayer:
             yield tuple(ids)
 
 
+class Waves:
+    """Encodes many short words side by side, a merge in each of them at a time."""
+
+    def __init__(self, replayer: Replayer):
+        self.replayer, ranks = replayer, replayer.ranks
+        self.border = max(replayer.bytes_of) + 1
+        self.width = self.border + 1
+        # Every pair of tokens that together are one, as a number, with the rank of what they make.
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left * self.width + right] = rank
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.made = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.bytes_ = np.array([*(ranks[bytes([b])] for b in range(256)), self.border], dtype=np.int64)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as 32-bit integers."""
+        out: list[bytes | None] = [None] * len(words)
+        short, size, long = [], 0, []
+        for k, w in enumerate(words):
+            whole = self.replayer.ranks.get(w)
+            if whole is not None:
+                out[k] = array("i", (whole,)).tobytes()
+            elif len(w) > WAVE_WORD:
+                long.append(k)
+            else:
+                short.append(k)
+                size += len(w)
+                if size >= WAVE_BYTES:
+                    self._fill(out, short, words)
+                    short, size = [], 0
+        self._fill(out, short, words)
+        for k, ids in zip(long, self.replayer.replay([words[k] for k in long])):
+            out[k] = array("i", ids).tobytes()
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], self.border)
+
+    def _fill(self, out: list, chosen: list[int], words: list[bytes]) -> None:
+        if not chosen or not len(self.keys):
+            for k in chosen:
+                out[k] = array("i", (self.replayer.ranks[bytes([b])] for b in words[k])).tobytes()
+            return
+        # A border symbol before, between and after the words.
+        lengths = np.fromiter((len(words[k]) for k in chosen), dtype=np.int64, count=len(chosen))
+        ends = np.cumsum(lengths + 1)
+        symbol = np.full(int(ends[-1]) + 1, self.border, dtype=np.int64)
+        inside = np.ones(len(symbol), dtype=bool)
+        inside[0] = inside[ends] = False
+        symbol[inside] = self.bytes_[np.frombuffer(b"".join(words[k] for k in chosen), dtype=np.uint8)]
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        rank = np.append(self._ranks(symbol[:-1], symbol[1:]), self.border)
+        word = np.repeat(np.arange(len(chosen)), lengths)
+        live = np.flatnonzero(inside)  # where a symbol starts, in words that may still change
+        while len(live):
+            # The first of the lowest ranks of each word.
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.minimum.reduceat(rank[live] << 32 | live, first)
+            lowest, p = best >> 32, best & 0xFFFFFFFF
+            goes_on = lowest < self.border
+            lowest, p = lowest[goes_on], p[goes_on]
+            if not len(p):
+                break
+            q, m = after[p], before[p]
+            n = after[q]
+            symbol[p], symbol[q], after[p], before[n] = lowest, -1, n, p
+            rank[p], rank[q] = self._ranks(lowest, symbol[n]), self.border
+            rank[m] = self._ranks(symbol[m], lowest)
+            stays = np.repeat(goes_on, np.diff(np.append(first, len(live)))) & (symbol[live] >= 0)
+            live, word = live[stays], word[stays]
+        kept = (symbol >= 0) & inside
+        counts = np.add.reduceat(kept.astype(np.int64), ends - lengths)
+        data, at = symbol[kept].astype(np.int32).tobytes(), 0
+        for k, c in zip(chosen, (4 * counts).tolist()):
+            out[k], at = data[at : at + c], at + c
+
+
 class Codec:
     """Encoding and decoding of slices of texts; it remembers the words of the last ones."""
 
     def __init__(self, path: str):
         self.replayer = Replayer(load_ranks(path))
+        self.waves = Waves(self.replayer)
         self.memo: dict[str, bytes] = {}  # ids as 32-bit integers
         self.last: set[str] = set()
         tokens = self.replayer.bytes_of
@@ -162,13 +250,15 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of ids in a row, and where those of each id end."""
-        flat = ids.astype(np.int64)
-        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.length) or (self.length[flat] < 0).any()):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or (self.length[ids] < 0).any()):
             raise ValueError("an id is not in the vocabulary")
-        n = self.length[flat]
+        n = self.length[ids]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        return self.blob[np.repeat(self.start[flat] - (ends - n), n) + np.arange(total)], ends
+        narrow = np.int32 if total < 1 << 31 else np.int64
+        at = np.repeat((self.start[ids] - (ends - n)).astype(narrow), n)
+        at += np.arange(total, dtype=narrow)
+        return self.blob[at], ends
 
 
 @lru_cache(maxsize=2)
@@ -225,17 +315,16 @@ def sliced(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
         for batch in slices(batches, "utf8"):
             found = [split(t.decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
             n = [len(x) for x in found]
-            number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
-            places = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), dtype=np.int32, count=sum(n))
+            places, words = pd.factorize(np.fromiter(chain.from_iterable(found), dtype=object, count=sum(n)))
             ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
-            columns = [ids, pa.array([n], pa.list_(pa.int32())), pa.array([[w.encode() for w in number]], pa.list_(pa.binary())), pa.array([_narrow(places, len(number)).tobytes()], pa.binary())]
+            columns = [ids, pa.array([n], pa.list_(pa.int32())), pa.array([[w.encode() for w in words]], pa.list_(pa.binary())), pa.array([_narrow(places, len(words)).tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "words", "places"])
 
     return df.select("doc_id", utf8(f"`{text}`").alias("utf8")).mapInArrow(run, schema)
 
 
 def _narrow(places: np.ndarray, words: int) -> np.ndarray:
-    return places.astype(np.uint16 if words <= 1 << 16 else np.int32, copy=False)
+    return places.astype(np.uint16 if words <= 1 << 16 else np.int32)
 
 
 def replayed(words: DataFrame, ranks_path: str) -> DataFrame:
@@ -251,10 +340,26 @@ def replayed(words: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def vocabulary(parts: DataFrame, ranks_path: str, most: int = VOCABULARY, longest: int = LONGEST) -> DataFrame:
-    """The words that most slices have (two at least), replayed; of equal counts the first words."""
+    """The words that most slices have (two at least), replayed: ``most`` of them at most, as all
+    words with the same count, or above 64 with one in the same sixteenth of a power of two, are
+    taken or left together."""
     words = parts.select(F.explode("words").alias("word")).where(F.octet_length("word") <= longest)
     often = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
-    return replayed(often.orderBy(F.desc("n"), "word").limit(most), ranks_path)
+    level = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(16 * F.log2("n")) - 32).cast("int")
+    often = write_shared(often.withColumn("level", level), "words")
+    sizes = often.groupBy("level").agg(F.count("*").alias("n")).collect()  # some thousand levels at most
+    total, least = 0, 1 << 30
+    for level, n in sorted(sizes, reverse=True):
+        total += n
+        if total > most:
+            break
+        least = level
+    return replayed(often.where(F.col("level") >= least), ranks_path)
+
+
+def _told(ids: bytes) -> tuple[bytes, str]:
+    """A word's ids (32-bit integers), and the same in figures."""
+    return bytes(ids), ",".join(map(str, array("i", bytes(ids))))
 
 
 def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -262,39 +367,35 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     Both ways and the digests in one pass, so that ids need not leave the worker.
     """
-    own = df.schema["doc_id"]
     parts = write_shared(sliced(df, pattern), "pieces")
     known = vocabulary(parts, ranks_path)
-    shared = df.sparkSession.sparkContext.broadcast({bytes(r.word): bytes(r.ids) for r in known.collect()})  # VOCABULARY words at most
-    schema = T.StructType([own, *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string")])
+    listed = known.collect()  # VOCABULARY words at most
+    shared = df.sparkSession.sparkContext.broadcast({bytes(r.word): _told(r.ids) for r in listed})
+    schema = T.StructType([df.schema["doc_id"], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string")])
     names = schema.names
 
-    def ids_of(words: list[bytes], places: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of a slice's pre-tokens in a row, and how many each has."""
-        codec, ready = _codec(ranks_path), shared.value
+    def ids_of(words: list[bytes]) -> list[tuple[bytes, str]]:
+        ready = shared.value
         found = [ready.get(w) for w in words]
-        rare = iter(codec.replayer.replay([w for w, got in zip(words, found) if got is None]))
-        found = [array("i", next(rare)).tobytes() if got is None else got for got in found]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        flat, starts = np.frombuffer(b"".join(found), dtype=np.int32), np.cumsum(lengths) - lengths
-        at = np.frombuffer(places, dtype=np.uint16 if len(words) <= 1 << 16 else np.int32)
-        n = lengths[at]
-        ends = np.cumsum(n)
-        return flat[np.repeat(starts[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+        rare = iter(_codec(ranks_path).waves.merge([w for w, got in zip(words, found) if got is None]))
+        return [_told(next(rare)) if got is None else got for got in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path)
         for batch in batches:
             for k in range(batch.num_rows):
                 docs, counts, words, places = (c[k] for c in batch.columns)
-                flat, n = ids_of(words.as_py(), places.as_py())
-                ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts.as_py())]
+                words = words.as_py()
+                places = np.frombuffer(places.as_buffer(), dtype=np.uint16 if len(words) <= 1 << 16 else np.int32)
+                own, told = zip(*ids_of(words)) if words else ((), ())
                 size, spelled, back, start = [], [], [], 0
-                for end in ends.tolist():
-                    ids, start = flat[start:end], end
+                for n in counts.as_py():
+                    at = places[start : start + n].tolist()
+                    start += n
+                    ids = np.frombuffer(b"".join(map(own.__getitem__, at)), dtype=np.int32)
                     size.append(len(ids))
-                    spelled.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
-                    back.append(sha256(codec.decode(ids)[0].tobytes()).hexdigest())
+                    spelled.append(sha256(",".join(map(told.__getitem__, at)).encode()).hexdigest())
+                    back.append(sha256(codec.decode(ids)[0].data).hexdigest())
                 yield pa.RecordBatch.from_arrays([docs.values, pa.array(size, pa.int64()), pa.array(spelled, pa.string()), pa.array(back, pa.string())], names=names)
 
     return parts.mapInArrow(run, schema)

@@ -23,6 +23,16 @@ def test_replay_equals_word_by_word_merging():
         assert list(ids) == ([whole] if whole is not None else encoding._core_bpe.encode_single_piece(w.encode()))
 
 
+def test_waves_equal_replay():
+    replayer = bpe.Replayer(bpe.load_ranks(RANKS))
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abeinrst'!0é ") for _ in range(rng.randrange(1, 130))).encode() for _ in range(3000)]
+    words += [b"a" * k for k in range(1, 300)] + [b"ab" * 70, bytes(range(256)), b"\xff" * 9]
+    merged = bpe.Waves(replayer).merge(words)
+    assert [tuple(memoryview(x).cast("i")) for x in merged] == replayer.replay(words)
+    assert bpe.Waves(replayer).merge([]) == []
+
+
 def test_query_on_whole_table(spark):
     encoding = reference_encoding()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -61,5 +71,6 @@ def test_vocabulary_and_tail_give_the_same_ids(spark, monkeypatch):
     parts = bpe.sliced(df, public_tokenizers.PATTERN).cache()
     assert parts.count() > 3
     known = bpe.vocabulary(parts, RANKS, 20, 5).collect()
-    assert len(known) == 20 and all(len(r.word) <= 5 for r in known)
+    assert 5 < len(known) <= 20 and all(len(r.word) <= 5 for r in known)
+    assert len({r.word for r in known}) == len(known)
     assert bpe.round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
