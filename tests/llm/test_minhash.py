@@ -89,3 +89,40 @@ def test_estimate_is_unbiased():
             agree = (minhash.registers(a) == minhash.registers(b)).mean()
             errors.append(minhash.estimate(agree, len(a), len(b)) - len(common) / 400)
         assert abs(np.mean(errors)) < 0.012 and np.std(errors) < 1.3 * (share * (1 - share) / minhash.REGISTERS) ** 0.5
+
+
+def test_large_groups_are_divided_without_loss(spark, monkeypatch):
+    """Texts around a shared passage, some just above the threshold, in groups of many blocks."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    tail = [word() for _ in range(90)]
+    rows = [(k, " ".join(tail + [word() for _ in range(60)])) for k in range(150)]
+    for k in range(0, 150, 5):  # partners that differ in a word or a few more, some on either side
+        other = rows[k][1].split()
+        for at in range(0, 4 * (1 + k % 4), 4):
+            other[95 + at] = word()
+        rows.append((1000 + k, " ".join(other)))
+    got = lambda: {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: c for i, _, c in plain_components(rows)}
+    assert len(set(want.values())) > 140 and len(want) > len(set(want.values()))
+    assert got() == want
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    assert got() == want
+
+
+def test_deduplicated_keeps_odd_columns_and_rows(spark):
+    text = "one two three four five six seven eight"
+    rows = [(3, text, 1, "a"), (2, text.upper(), 2, "b"), (2, "another text that is first by its hash or not", 3, "c"), (None, text, 4, "d"), (None, None, 5, "e"), (7, None, 6, "f"), (7, None, 6, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mh_once int, KEPT string")
+    got = minhash.deduplicated(df)
+    assert got.columns == df.columns
+    out = sorted(((r.doc_id, r.mh_once) for r in got.collect()), key=str)
+    assert [i for i, _ in out] == [2, 7, None, None] and {m for i, m in out if i is None} == {4, 5}
+    assert minhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k % 70_001}" for k in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "w1 w2 w3")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == {1: (70_001, 1), 2: (70_002, 1), 3: (1, 3)}
