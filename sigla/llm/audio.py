@@ -305,3 +305,10 @@ def described(docs: DataFrame) -> DataFrame:
     stored there too, and measured as both are read back."""
     media = write_shared(stored(docs.select("doc_id", "text")), "media", LEVEL, PAGE_BYTES)
     return heard(write_shared(digested(media), "pcm", LEVEL, PAGE_BYTES))
+
+
+#: What is told of the payload in DuckDB SQL, which has no CRC-32 and no media.
+PAYLOAD_SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+p AS (SELECT doc_id, octet_length(raw) AS n, CASE WHEN octet_length(raw) = 0 THEN repeat('\\xFF'::BLOB, {UNIT}) ELSE raw || repeat('\\xFF'::BLOB, ({UNIT} - octet_length(raw) % {UNIT}) % {UNIT}) END AS payload FROM d)
+SELECT doc_id, n AS n_bytes, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_sha256 FROM p"""

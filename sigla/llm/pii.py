@@ -329,3 +329,24 @@ def digest(rows: DataFrame) -> DataFrame:
         F.size(F.filter("added", lambda s: s.kind == SECRET)).cast("long").alias("n_secret"),
         (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
+
+
+def _found_sql(kind: int, pattern: str, good: str) -> str:
+    """Leftmost matches that are good, with their places: matches are marked, and texts cut there."""
+    return f"""SELECT doc_id, {kind} AS kind, place AS start, place + length(m) AS stop FROM (
+    SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, CAST(coalesce(list_sum(list_transform(p[:i - 1], lambda x: length(replace(x, chr(57345), '')))), 0) AS BIGINT) AS place
+    FROM (SELECT doc_id, p, i, split_part(p[i], chr(57345), 1) AS m FROM (SELECT doc_id, p, unnest(range(2, len(p) + 1)) AS i
+          FROM (SELECT doc_id, string_split(regexp_replace(text, '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)) AS p FROM documents))))
+WHERE {good}"""
+
+
+_LUHN = "list_sum(list_transform(range(0, length(d)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(d[length(d) - i] AS INTEGER) WHEN d[length(d) - i] > '4' THEN 2 * CAST(d[length(d) - i] AS INTEGER) - 9 ELSE 2 * CAST(d[length(d) - i] AS INTEGER) END)) % 10 = 0"
+_BYTES = "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INTEGER), 256) > 255)) = 0"
+#: The base rules in DuckDB SQL.
+BASE_SQL = f"""
+WITH found AS ({_found_sql(0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")} UNION ALL {_found_sql(1, "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", _BYTES)}
+UNION ALL {_found_sql(2, "[0-9](?:[ -]?[0-9])+", "CASE WHEN length(d) BETWEEN 16 AND 19 THEN " + _LUHN + " ELSE false END")} UNION ALL {_found_sql(3, "[+][0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 8 AND 15")}),
+told AS (SELECT doc_id, count_if(kind = 0) AS n_email, count_if(kind = 1) AS n_ip, count_if(kind = 2) AS n_card, count_if(kind = 3) AS n_phone,
+         string_agg(['email', 'ip', 'card', 'phone'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY kind, start) AS spans FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_email, 0) AS BIGINT) AS n_email, CAST(coalesce(n_ip, 0) AS BIGINT) AS n_ip, CAST(coalesce(n_card, 0) AS BIGINT) AS n_card, CAST(coalesce(n_phone, 0) AS BIGINT) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM documents LEFT JOIN told USING (doc_id)"""

@@ -123,3 +123,15 @@ def rated(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     verdict = ~F.col("base_failed") & (F.col("score") >= THRESHOLD)
     told = F.struct(*[F.col(n) for n in names if n != "kept"], verdict.alias("kept"))
     return out.select("row", F.explode(F.array(told)).alias("q")).select(*unpacked("row", passed), *[F.col("q").getField(n).alias(n) for n in names])
+
+
+#: The base columns in DuckDB SQL.
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD_CLASS}') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD_CLASS}')) AS l FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1),
+spread AS (SELECT doc_id, CAST(sum(least({WINDOW}, coalesce(next - i, {WINDOW}))) AS BIGINT) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM again) GROUP BY doc_id),
+told AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN spread USING (doc_id))
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM told"""

@@ -59,6 +59,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# The columns of three of them that SQL can express, from the same operators.
+
+
+def audio_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_telephony_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_rules(spark, sf_dir).drop("score", "kept")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_telephony_audio": op2_telephony_audio,
@@ -70,9 +85,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "audio_payloads": audio_payloads,
+    "quality_base": quality_base,
+    "pii_base": pii_base,
 }
 ORACLES: dict[str, str] = {
     "op5_warc": warc.SQL,
     "op9_line_dedup": linededup.SQL,
     "op10_mixing": mixing.SQL,
+    "audio_payloads": audio.PAYLOAD_SQL,
+    "quality_base": quality.BASE_SQL,
+    "pii_base": pii.BASE_SQL,
 }
