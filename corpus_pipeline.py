@@ -1,6 +1,14 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, tokens.
 
 Every stage works on all that its predecessor kept.  ``run`` applies them to ``documents``.
+
+Edge cases, for every stage: stages return the columns of documents, so extra columns, whatever
+their names, end with the first; null and empty texts fail the base rules and go with the first
+stage, and a stage that is given some keeps them through line dedup and near-dedup (they have no
+line and no shingle) and leaves them out of the mix (size 0); rows without id pass line dedup and
+near-dedup and are mixed by their text; rows that repeat an id are judged each, one of them is kept
+by near-dedup, and rows alike are repeated alike by the mix; ties go as the operators say; very
+long texts are handled whole by every stage; empty tables give empty results.
 """
 
 from __future__ import annotations
