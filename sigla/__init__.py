@@ -1 +1 @@
-"""Abbreviation expansion, scoring and lineage over text corpora, as Spark DataFrames."""
+"""Abbreviation resolution, scoring and lineage over text corpora, as Spark DataFrames."""

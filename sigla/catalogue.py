@@ -12,7 +12,7 @@ from .functions import answers, morphology, spans, text
 from .functions.alignment import aligned, inserted
 from .operators import candidates, glossary, lexicon, rules, runs, scan, score, tei, vita
 from .plans import steps
-from .schema import RG
+from .schema import PLACES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,14 +131,14 @@ def token_contexts(spark, sf_dir):
 # --- entries ----------------------------------------------------------------------------------
 
 
-@query(f"SELECT conv_id % 10 + 1 AS volume, conv_id AS nr_RG, string_agg({S.LINE}, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id % 10 + 1 AS volume, conv_id AS entry, string_agg({S.LINE}, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def vita_texts(spark, sf_dir):
     return vita.to_texts(S.regests(spark, sf_dir))
 
 
 @query(f"""
-SELECT conv_id % 10 + 1 AS volume, conv_id AS nr_RG, turn AS nr_suffix, CASE WHEN turn = 0 THEN {S.LINE} END AS header_no_tags, CASE WHEN turn > 0 THEN {S.LINE} END AS regest_no_tags,
-       printf('1%02d%05d-%d', conv_id % 10 + 1, conv_id, turn) AS id_RG_all FROM conversations""")
+SELECT conv_id % 10 + 1 AS volume, conv_id AS entry, turn AS line_no, CASE WHEN turn = 0 THEN {S.LINE} END AS head_text, CASE WHEN turn > 0 THEN {S.LINE} END AS body_text,
+       printf('1%02d%05d-%d', conv_id % 10 + 1, conv_id, turn) AS line_id FROM conversations""")
 def vita_rows(spark, sf_dir):
     return vita.to_rows(vita.to_texts(S.regests(spark, sf_dir)))
 
@@ -151,32 +151,32 @@ def vita_roundtrip(spark, sf_dir):
     return new.agg(F.count("*").alias("rows")).join(same)
 
 
-@query(f"SELECT c.volume, c.nr_RG, md5(c.text) AS text_md5 FROM {S.CORPUS} c SEMI JOIN (SELECT doc_id AS nr_RG FROM labels WHERE quality = 1) USING (nr_RG)")
+@query(f"SELECT c.volume, c.entry, md5(c.text) AS text_md5 FROM {S.CORPUS} c SEMI JOIN (SELECT doc_id AS entry FROM labels WHERE quality = 1) USING (entry)")
 def subset_join(spark, sf_dir):
-    subset = S.table(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") % 10 + 1).alias("volume"), F.col("doc_id").alias("nr_RG"))
-    return vita.of_subset(S.corpus(spark, sf_dir), subset).select("volume", "nr_RG", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    subset = S.table(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") % 10 + 1).alias("volume"), F.col("doc_id").alias("entry"))
+    return vita.of_subset(S.corpus(spark, sf_dir), subset).select("volume", "entry", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query(f"SELECT c.volume, c.nr_RG FROM {S.CORPUS} c ANTI JOIN (SELECT doc_id AS nr_RG FROM labels) USING (nr_RG)")
+@query(f"SELECT c.volume, c.entry FROM {S.CORPUS} c ANTI JOIN (SELECT doc_id AS entry FROM labels) USING (entry)")
 def resume_todo(spark, sf_dir):
-    done = S.table(spark, sf_dir, "labels").select((F.col("doc_id") % 10 + 1).alias("volume"), F.col("doc_id").alias("nr_RG"))
-    return vita.still_to_do(S.corpus(spark, sf_dir), done).select("volume", "nr_RG")
+    done = S.table(spark, sf_dir, "labels").select((F.col("doc_id") % 10 + 1).alias("volume"), F.col("doc_id").alias("entry"))
+    return vita.still_to_do(S.corpus(spark, sf_dir), done).select("volume", "entry")
 
 
-@query(f"SELECT volume, nr_RG FROM {S.CORPUS} WHERE text IS NOT NULL AND NOT contains(text, 'a. ')")
+@query(f"SELECT volume, entry FROM {S.CORPUS} WHERE text IS NOT NULL AND NOT contains(text, 'a. ')")
 def stale_dump_guard(spark, sf_dir):
     stage = S.corpus(spark, sf_dir)
     entries = stage.withColumn("text", F.replace("text", F.lit("a. "), F.lit("a ")))
-    return runs.current_dump(entries, stage).select("volume", "nr_RG")
+    return runs.current_dump(entries, stage).select("volume", "entry")
 
 
 # --- rules ------------------------------------------------------------------------------------
 
 RULES = f"""
-WITH r AS (SELECT abbr, expansion, {', '.join(RG)} FROM {S.CLEAN_SQL} WHERE NOT complex UNION ALL BY NAME SELECT abbreviation AS abbr, expansion FROM {S.DIOCESE_SQL}),
-u AS (SELECT *, count(*) OVER (PARTITION BY abbr) = 1 AND coalesce({', '.join(RG)}) IS NULL AS everywhere FROM r),
-listed AS (SELECT CAST(v AS BIGINT) AS volume, abbr, expansion, CAST(len(string_split(abbr, ' ')) AS INTEGER) AS parts FROM u, range(1, 10) AS t(v)
-           WHERE everywhere OR contains([{', '.join(RG)}][v], abbr)),
+WITH r AS (SELECT abbr, resolution, {', '.join(PLACES)} FROM {S.CLEAN_SQL} WHERE NOT complex UNION ALL BY NAME SELECT abbreviation AS abbr, resolution FROM {S.DIOCESE_SQL}),
+u AS (SELECT *, count(*) OVER (PARTITION BY abbr) = 1 AND coalesce({', '.join(PLACES)}) IS NULL AS everywhere FROM r),
+listed AS (SELECT CAST(v AS BIGINT) AS volume, abbr, resolution, CAST(len(string_split(abbr, ' ')) AS INTEGER) AS parts FROM u, range(1, 10) AS t(v)
+           WHERE everywhere OR contains([{', '.join(PLACES)}][v], abbr)),
 flagged AS (SELECT *, count(*) OVER (PARTITION BY volume, abbr) = 1 AS applies FROM listed)"""
 
 
@@ -184,12 +184,12 @@ def _listed(spark):
     return rules.by_volume(rules.load(S.glossary(spark), S.dioceses(spark)))
 
 
-@query(f"SELECT abbr, expansion, {', '.join(RG)}, CAST(len(string_split(abbr, ' ')) AS INTEGER) AS parts FROM (SELECT abbr, expansion, {', '.join(RG)} FROM {S.CLEAN_SQL} WHERE NOT complex UNION ALL BY NAME SELECT abbreviation AS abbr, expansion FROM {S.DIOCESE_SQL})")
+@query(f"SELECT abbr, resolution, {', '.join(PLACES)}, CAST(len(string_split(abbr, ' ')) AS INTEGER) AS parts FROM (SELECT abbr, resolution, {', '.join(PLACES)} FROM {S.CLEAN_SQL} WHERE NOT complex UNION ALL BY NAME SELECT abbreviation AS abbr, resolution FROM {S.DIOCESE_SQL})")
 def rules_diagonal(spark, sf_dir):
-    return rules.load(S.glossary(spark), S.dioceses(spark)).select("abbr", "expansion", *RG, "parts")
+    return rules.load(S.glossary(spark), S.dioceses(spark)).select("abbr", "resolution", *PLACES, "parts")
 
 
-@query(RULES + " SELECT volume, abbr, expansion, parts FROM listed")
+@query(RULES + " SELECT volume, abbr, resolution, parts FROM listed")
 def rules_every_volume(spark, sf_dir):
     return _listed(spark)
 
@@ -199,21 +199,21 @@ def rules_per_volume(spark, sf_dir):
     return rules.per_volume(_listed(spark))
 
 
-@query(RULES + " SELECT volume, abbr, expansion, parts FROM flagged WHERE applies")
+@query(RULES + " SELECT volume, abbr, resolution, parts FROM flagged WHERE applies")
 def rules_unambiguous(spark, sf_dir):
     return rules.unambiguous(_listed(spark))
 
 
 EXPANDED = f"""
-WITH rules AS (SELECT map_from_entries(list((abbr, expansion))) AS m FROM {S.MINED_SQL}),
-expanded AS (SELECT volume, nr_RG, text, array_to_string(list_transform(regexp_extract_all(text, '(?s){W}+\\.|{W}+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda t: coalesce(m[t], t)), '') AS new FROM {S.CORPUS}, rules WHERE volume < 10)"""
+WITH rules AS (SELECT map_from_entries(list((abbr, resolution))) AS m FROM {S.MINED_SQL}),
+expanded AS (SELECT volume, entry, text, array_to_string(list_transform(regexp_extract_all(text, '(?s){W}+\\.|{W}+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda t: coalesce(m[t], t)), '') AS new FROM {S.CORPUS}, rules WHERE volume < 10)"""
 
 
-@query(EXPANDED + " SELECT volume, nr_RG, md5(new) AS text_md5, new <> text AS changed FROM expanded")
+@query(EXPANDED + " SELECT volume, entry, md5(new) AS text_md5, new <> text AS changed FROM expanded")
 def expand_rules(spark, sf_dir):
     docs = S.corpus(spark, sf_dir).withColumn("old", F.col("text"))
     done = rules.expand(docs, S.mined_rules(spark, sf_dir), "text")
-    return done.select("volume", "nr_RG", F.md5(F.col("text").cast("binary")).alias("text_md5"), (F.col("text") != F.col("old")).alias("changed"))
+    return done.select("volume", "entry", F.md5(F.col("text").cast("binary")).alias("text_md5"), (F.col("text") != F.col("old")).alias("changed"))
 
 
 @query(EXPANDED + f" SELECT volume, CAST(sum(len(regexp_extract_all(text, '{W}+\\.'))) AS BIGINT) AS before, CAST(sum(len(regexp_extract_all(new, '{W}+\\.'))) AS BIGINT) AS after FROM expanded GROUP BY volume")
@@ -232,8 +232,8 @@ def unrealised_potential(spark, sf_dir):
 @query()
 def expand_multiword(spark, sf_dir):
     """Rules of several parts, by volume, over headers and regests."""
-    done = rules.expand(S.regests(spark, sf_dir, len(RG)), rules.unambiguous(_listed(spark)))
-    return done.select("volume", "nr_RG", "nr_suffix", "header_no_tags", "regest_no_tags")
+    done = rules.expand(S.regests(spark, sf_dir, len(PLACES)), rules.unambiguous(_listed(spark)))
+    return done.select("volume", "entry", "line_no", "head_text", "body_text")
 
 
 # --- dictionary -------------------------------------------------------------------------------
@@ -249,51 +249,51 @@ def _reduced(spark):
     return glossary.volume_cells(glossary.normalised(_inherited(spark)))
 
 
-@query(f"SELECT row_order, abbr, expansion FROM {INHERITED}")
+@query(f"SELECT row_order, abbr, resolution FROM {INHERITED}")
 def glossary_inherit(spark, sf_dir):
-    return _inherited(spark).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "expansion")
+    return _inherited(spark).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution")
 
 
 @query(f"""
-WITH a AS (SELECT row_order, abbr, unnest(string_split(expansion, ';')) AS e, contains(expansion, ';') AS multi FROM {INHERITED} WHERE expansion NOT IN ('', '?') AND NOT starts_with(expansion, 'cf.:') AND NOT contains(expansion, '('))
-SELECT row_order, abbr, trim(regexp_replace(e, ' \\?$', '')) AS expansion, multi FROM a""")
+WITH a AS (SELECT row_order, abbr, unnest(string_split(resolution, ';')) AS e, contains(resolution, ';') AS multi FROM {INHERITED} WHERE resolution NOT IN ('', '?') AND NOT starts_with(resolution, 'cf.:') AND NOT contains(resolution, '('))
+SELECT row_order, abbr, trim(regexp_replace(e, ' \\?$', '')) AS resolution, multi FROM a""")
 def split_alternatives(spark, sf_dir):
-    plain = _inherited(spark).where("not contains(expansion, '(')")
-    return glossary.normalised(plain).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "expansion", "multi")
+    plain = _inherited(spark).where("not contains(resolution, '(')")
+    return glossary.normalised(plain).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", "multi")
 
 
-#: Cells of the dictionary whose expansions need no reading of brackets or marks.
+#: Cells of the dictionary whose resolutions need no reading of brackets or marks.
 CELLS = f"""
-WITH plain AS (SELECT row_order, abbr, expansion, {', '.join(RG)} FROM {INHERITED} WHERE regexp_full_match(expansion, '[A-Za-z]+')),
-cells AS (SELECT row_order, abbr, expansion, c.name AS name, trim(v) AS value FROM (SELECT *, unnest([{', '.join(f"struct_pack(name := '{c}', v := {c})" for c in RG)}]) AS c FROM plain), LATERAL (SELECT unnest(string_split(c.v, ';')) AS v)),
-told AS (SELECT * FROM cells WHERE value <> '' AND value <> expansion),
+WITH plain AS (SELECT row_order, abbr, resolution, {', '.join(PLACES)} FROM {INHERITED} WHERE regexp_full_match(resolution, '[A-Za-z]+')),
+cells AS (SELECT row_order, abbr, resolution, c.name AS name, trim(v) AS value FROM (SELECT *, unnest([{', '.join(f"struct_pack(name := '{c}', v := {c})" for c in PLACES)}]) AS c FROM plain), LATERAL (SELECT unnest(string_split(c.v, ';')) AS v)),
+told AS (SELECT * FROM cells WHERE value <> '' AND value <> resolution),
 odd AS (SELECT DISTINCT row_order FROM told WHERE value <> abbr AND NOT contains(value, '.'))"""
-SIMPLE = "expansion rlike '^[A-Za-z]+$'"
+SIMPLE = "resolution rlike '^[A-Za-z]+$'"
 
 
-@query(CELLS + " SELECT p.row_order, p.abbr, (SELECT count(*) FROM odd WHERE odd.row_order = p.row_order) > 0 AS rg_mismatch, " + ", ".join(f"CASE WHEN p.row_order IN (SELECT row_order FROM odd) THEN p.{c} WHEN EXISTS (SELECT 1 FROM told t WHERE t.row_order = p.row_order AND t.name = '{c}' AND t.value = p.abbr) THEN p.abbr ELSE '' END AS {c}" for c in RG) + " FROM plain p")
-def rg_cells(spark, sf_dir):
+@query(CELLS + " SELECT p.row_order, p.abbr, (SELECT count(*) FROM odd WHERE odd.row_order = p.row_order) > 0 AS foreign, " + ", ".join(f"CASE WHEN p.row_order IN (SELECT row_order FROM odd) THEN p.{c} WHEN EXISTS (SELECT 1 FROM told t WHERE t.row_order = p.row_order AND t.name = '{c}' AND t.value = p.abbr) THEN p.abbr ELSE '' END AS {c}" for c in PLACES) + " FROM plain p")
+def volume_cells(spark, sf_dir):
     rows = glossary.volume_cells(glossary.normalised(_inherited(spark).where(SIMPLE)))
-    return rows.where(F.size("row_order") == 1).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "rg_mismatch", *RG)
+    return rows.where(F.size("row_order") == 1).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "foreign", *PLACES)
 
 
-@query(CELLS + " SELECT row_order, value AS abbr, CASE WHEN regexp_matches(value, '^[A-Z]') AND regexp_matches(expansion, '^[a-z]') THEN upper(expansion[1]) || expansion[2:] ELSE expansion END AS expansion, string_agg(name, '|' ORDER BY name) AS named FROM told WHERE value <> abbr AND contains(value, '.') AND row_order NOT IN (SELECT row_order FROM odd) GROUP BY row_order, value, expansion")
-def rg_derived(spark, sf_dir):
+@query(CELLS + " SELECT row_order, value AS abbr, CASE WHEN regexp_matches(value, '^[A-Z]') AND regexp_matches(resolution, '^[a-z]') THEN upper(resolution[1]) || resolution[2:] ELSE resolution END AS resolution, string_agg(name, '|' ORDER BY name) AS named FROM told WHERE value <> abbr AND contains(value, '.') AND row_order NOT IN (SELECT row_order FROM odd) GROUP BY row_order, value, resolution")
+def derived_rows(spark, sf_dir):
     rows = glossary.volume_cells(glossary.normalised(_inherited(spark).where(SIMPLE))).where(F.size("row_order") > 1)
-    named = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) != "", F.lit(c)) for c in RG])), "|")
-    return rows.select(F.element_at("row_order", 1).alias("row_order"), "abbr", "expansion", named.alias("named"))
+    named = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) != "", F.lit(c)) for c in PLACES])), "|")
+    return rows.select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", named.alias("named"))
 
 
-@query(CELLS.replace("WITH plain", "WITH plain") + """, merged AS (SELECT abbr, lower(expansion) AS k, count(*) AS n FROM plain GROUP BY ALL) SELECT abbr, k, n FROM merged""")
+@query(CELLS.replace("WITH plain", "WITH plain") + """, merged AS (SELECT abbr, lower(resolution) AS k, count(*) AS n FROM plain GROUP BY ALL) SELECT abbr, k, n FROM merged""")
 def merge_duplicates(spark, sf_dir):
     rows = _inherited(spark).where(SIMPLE)
-    counts = rows.groupBy("abbr", F.lower("expansion").alias("k")).agg(F.count("*").alias("n"))
-    once = glossary.merged(rows).select("abbr", F.lower("expansion").alias("k"))
+    counts = rows.groupBy("abbr", F.lower("resolution").alias("k")).agg(F.count("*").alias("n"))
+    once = glossary.merged(rows).select("abbr", F.lower("resolution").alias("k"))
     return once.join(counts, ["abbr", "k"])
 
 
 @query(f"""
-WITH r AS (SELECT abbr, expansion, {', '.join(RG)}, concat_ws('', {', '.join(RG)}) AS cells FROM {INHERITED})
+WITH r AS (SELECT abbr, resolution, {', '.join(PLACES)}, concat_ws('', {', '.join(PLACES)}) AS cells FROM {INHERITED})
 SELECT DISTINCT abbr, bool_or(contains(abbr, ';') OR contains(cells, ';')) OVER w OR (count(*) OVER w > 1 AND bool_or(cells = '') OVER w) AS complex FROM r WINDOW w AS (PARTITION BY abbr)""")
 def complex_split(spark, sf_dir):
     return glossary.with_complex(_inherited(spark)).select("abbr", "complex").distinct()
@@ -309,13 +309,13 @@ def corpus_volumes(spark, sf_dir):
     return found.select("abbr", order.alias("volumes"))
 
 
-CHANGED = f"(SELECT * REPLACE (CASE WHEN abbr = 'de.' THEN 'decretum' ELSE expansion END AS expansion) FROM {S.CLEAN_SQL} WHERE abbr <> 'er.')"
-KEYS = ", ".join(f"coalesce({c}, '') AS {c}" for c in ["abbr", "expansion", *RG, "volumes"])
+CHANGED = f"(SELECT * REPLACE (CASE WHEN abbr = 'de.' THEN 'decretum' ELSE resolution END AS resolution) FROM {S.CLEAN_SQL} WHERE abbr <> 'er.')"
+KEYS = ", ".join(f"coalesce({c}, '') AS {c}" for c in ["abbr", "resolution", *PLACES, "volumes"])
 
 
 def _changed(spark):
     new = S.glossary(spark).where("abbr <> 'er.'")
-    return new.withColumn("expansion", F.when(F.col("abbr") == "de.", "decretum").otherwise(F.col("expansion")))
+    return new.withColumn("resolution", F.when(F.col("abbr") == "de.", "decretum").otherwise(F.col("resolution")))
 
 
 @query(f"SELECT {KEYS} FROM {CHANGED} EXCEPT SELECT {KEYS} FROM {S.CLEAN_SQL}")
@@ -328,12 +328,12 @@ def diff_removed(spark, sf_dir):
     return glossary.difference(_changed(spark), S.glossary(spark))[1]
 
 
-@query(f"SELECT abbr, expansion, CAST(v AS BIGINT) AS volume, volumes AS found_in FROM {S.CLEAN_SQL}, range(1, 10) AS t(v) WHERE coalesce([{', '.join(RG)}][v], '') <> '' AND NOT list_contains(string_split(coalesce(volumes, ''), '|'), CAST(v AS VARCHAR))")
+@query(f"SELECT abbr, resolution, CAST(v AS BIGINT) AS volume, volumes AS found_in FROM {S.CLEAN_SQL}, range(1, 10) AS t(v) WHERE coalesce([{', '.join(PLACES)}][v], '') <> '' AND NOT list_contains(string_split(coalesce(volumes, ''), '|'), CAST(v AS VARCHAR))")
 def volume_mismatch(spark, sf_dir):
     return glossary.volume_mismatches(S.glossary(spark))
 
 
-@query(f"SELECT min(abbr) AS abbr, word FROM (SELECT abbr, unnest(string_split(expansion, ' ')) AS word FROM {S.CLEAN_SQL}) ANTI JOIN {VOCABULARY} USING (word) GROUP BY word")
+@query(f"SELECT min(abbr) AS abbr, word FROM (SELECT abbr, unnest(string_split(resolution, ' ')) AS word FROM {S.CLEAN_SQL}) ANTI JOIN {VOCABULARY} USING (word) GROUP BY word")
 def unattested_words(spark, sf_dir):
     return glossary.unattested_words(S.glossary(spark), scan.vocabulary(S.table(spark, sf_dir, "documents"))).select("abbr", "word")
 
@@ -360,27 +360,27 @@ def _words_sql() -> tuple[str, str]:
     found = [(e, w) for e, s, d in S.MORPHOLOGY for w in morphology.analysed(e, s, d) or []]
     classes = [(e, w["pos"], w["word"], w["kind"], w["plural"], w["deponent"], c) for e, w in found for c in w["classes"] or [""]]
     stems = [(e, w["pos"], s["kind"], s["stem"]) for e, w in found for s in w["stems"]]
-    return S.values(classes, ["expansion", "pos", "word", "kind", "plural", "deponent", "class"]), S.values(stems, ["expansion", "pos", "stem_kind", "root"])
+    return S.values(classes, ["resolution", "pos", "word", "kind", "plural", "deponent", "class"]), S.values(stems, ["resolution", "pos", "stem_kind", "root"])
 
 
 _CLASSES, _STEMS = _words_sql()
 FORMS = f"""
 WITH w AS (SELECT * FROM {_CLASSES}), s AS (SELECT * FROM {_STEMS}),
 made AS (
-    SELECT w.expansion, w.pos, w.word, s.root || e.ending AS form FROM w JOIN s USING (expansion, pos) JOIN {ENDINGS} e ON e.tab = w.kind AND e.class = w.class AND (NOT w.plural OR e.plural)
-    UNION ALL SELECT w.expansion, w.pos, w.word, s.root FROM w JOIN s USING (expansion, pos) WHERE w.kind IN ('noun', 'adjective') AND ends_with(s.root, 'r')
-    UNION ALL SELECT w.expansion, w.pos, w.word, s.root || e.ending FROM w JOIN s USING (expansion, pos) JOIN {SUFFIXES} e ON w.kind = 'verb' AND e.class = w.class AND e.stem_kind = s.stem_kind AND (NOT w.deponent OR e.for_deponents)
-    UNION ALL SELECT expansion, pos, word, word FROM w WHERE kind NOT IN ('fixed', 'unknown')),
-forms AS (SELECT DISTINCT expansion, CAST(pos AS INTEGER) AS pos, word, form FROM (SELECT expansion, pos, word, unnest([form, replace(form, 'ae', 'e')]) AS form FROM made
-          UNION ALL SELECT expansion, pos, word, word FROM w WHERE kind = 'fixed' UNION ALL SELECT expansion, pos, word, NULL FROM w WHERE kind = 'unknown'))"""
+    SELECT w.resolution, w.pos, w.word, s.root || e.ending AS form FROM w JOIN s USING (resolution, pos) JOIN {ENDINGS} e ON e.tab = w.kind AND e.class = w.class AND (NOT w.plural OR e.plural)
+    UNION ALL SELECT w.resolution, w.pos, w.word, s.root FROM w JOIN s USING (resolution, pos) WHERE w.kind IN ('noun', 'adjective') AND ends_with(s.root, 'r')
+    UNION ALL SELECT w.resolution, w.pos, w.word, s.root || e.ending FROM w JOIN s USING (resolution, pos) JOIN {SUFFIXES} e ON w.kind = 'verb' AND e.class = w.class AND e.stem_kind = s.stem_kind AND (NOT w.deponent OR e.for_deponents)
+    UNION ALL SELECT resolution, pos, word, word FROM w WHERE kind NOT IN ('fixed', 'unknown')),
+forms AS (SELECT DISTINCT resolution, CAST(pos AS INTEGER) AS pos, word, form FROM (SELECT resolution, pos, word, unnest([form, replace(form, 'ae', 'e')]) AS form FROM made
+          UNION ALL SELECT resolution, pos, word, word FROM w WHERE kind = 'fixed' UNION ALL SELECT resolution, pos, word, NULL FROM w WHERE kind = 'unknown'))"""
 
 
 @query(FORMS + " SELECT * FROM forms")
 def entry_forms(spark, sf_dir):
-    return lexicon.entry_forms(S.morphology(spark)).select("expansion", "pos", "word", "form")
+    return lexicon.entry_forms(S.morphology(spark)).select("resolution", "pos", "word", "form")
 
 
-LEXICON = FORMS + """, several AS (SELECT word, form FROM (SELECT *, count(*) OVER (PARTITION BY expansion, pos) AS n FROM forms WHERE form IS NOT NULL) WHERE n > 1),
+LEXICON = FORMS + """, several AS (SELECT word, form FROM (SELECT *, count(*) OVER (PARTITION BY resolution, pos) AS n FROM forms WHERE form IS NOT NULL) WHERE n > 1),
 lexicon AS (SELECT word, form FROM several UNION SELECT upper(word[1]) || lower(word[2:]), upper(form[1]) || lower(form[2:]) FROM several WHERE regexp_matches(word, '^[a-z]'))"""
 
 
@@ -394,7 +394,7 @@ def ranked_forms(spark, sf_dir):
     return lexicon.ranked_forms(lexicon.lexicon(S.morphology(spark)), scan.vocabulary(S.table(spark, sf_dir, "documents")))
 
 
-@query(f"SELECT expansion, expansion[:-3] || CASE WHEN ends_with(expansion, 'is') THEN ' -is' ELSE ' -i' END AS stem, CASE WHEN ends_with(expansion, 'is') THEN 'i (Adj.)' ELSE 'o/a (Adj.)' END AS declension FROM {S.DIOCESE_SQL} WHERE regexp_matches(expansion, '(is|us)$')")
+@query(f"SELECT resolution, resolution[:-3] || CASE WHEN ends_with(resolution, 'is') THEN ' -is' ELSE ' -i' END AS stem, CASE WHEN ends_with(resolution, 'is') THEN 'i (Adj.)' ELSE 'o/a (Adj.)' END AS declension FROM {S.DIOCESE_SQL} WHERE regexp_matches(resolution, '(is|us)$')")
 def diocese_entries(spark, sf_dir):
     return lexicon.diocese_entries(S.dioceses(spark))
 
@@ -406,57 +406,57 @@ def lemma_index(spark, sf_dir):
 
 @query()
 def anchor_index(spark, sf_dir):
-    return lexicon.anchor_index(S.morphology(spark).withColumn("abbr", F.concat(F.left("expansion", F.lit(2)), F.lit("."))))
+    return lexicon.anchor_index(S.morphology(spark).withColumn("abbr", F.concat(F.left("resolution", F.lit(2)), F.lit("."))))
 
 
 # --- candidates and choices -------------------------------------------------------------------
 
-OFFERED = RULES.replace(f"UNION ALL BY NAME SELECT abbreviation AS abbr, expansion FROM {S.DIOCESE_SQL}", "") + f""",
-offers AS (SELECT volume, abbr, expansion FROM flagged WHERE NOT applies UNION ALL SELECT NULL, abbr, expansion FROM {S.CLEAN_SQL} WHERE complex)"""
+OFFERED = RULES.replace(f"UNION ALL BY NAME SELECT abbreviation AS abbr, resolution FROM {S.DIOCESE_SQL}", "") + f""",
+offers AS (SELECT volume, abbr, resolution FROM flagged WHERE NOT applies UNION ALL SELECT NULL, abbr, resolution FROM {S.CLEAN_SQL} WHERE complex)"""
 
 
-@query(OFFERED + f""", {grams_sql(S.CORPUS, 'text', 'volume, nr_RG,').replace('WITH runs', 'runs')},
-mine AS (SELECT DISTINCT volume, nr_RG, unnest([abbreviation, regexp_replace(abbreviation, '\\.({W})', '. \\1', 'g')]) AS abbr FROM grams)
-SELECT m.volume, m.nr_RG, m.abbr, array_to_string(list_sort(list(DISTINCT o.expansion)), '|') AS candidates FROM mine m JOIN offers o ON m.abbr = o.abbr AND (o.volume IS NULL OR o.volume = m.volume) GROUP BY ALL""")
+@query(OFFERED + f""", {grams_sql(S.CORPUS, 'text', 'volume, entry,').replace('WITH runs', 'runs')},
+mine AS (SELECT DISTINCT volume, entry, unnest([abbreviation, regexp_replace(abbreviation, '\\.({W})', '. \\1', 'g')]) AS abbr FROM grams)
+SELECT m.volume, m.entry, m.abbr, array_to_string(list_sort(list(DISTINCT o.resolution)), '|') AS candidates FROM mine m JOIN offers o ON m.abbr = o.abbr AND (o.volume IS NULL OR o.volume = m.volume) GROUP BY ALL""")
 def candidates_step2(spark, sf_dir):
     found = candidates.of_entries(S.corpus(spark, sf_dir), S.glossary(spark))
-    return found.select("volume", "nr_RG", "abbr", F.array_join("candidates", "|").alias("candidates"))
+    return found.select("volume", "entry", "abbr", F.array_join("candidates", "|").alias("candidates"))
 
 
 @query()
 def occurrences_marked(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
     own = candidates.marked(candidates.with_occurrences(docs, candidates.of_entries(docs, S.glossary(spark))))
-    return own.select("volume", "nr_RG", F.size("occurrences").alias("n"), "marked")
+    return own.select("volume", "entry", F.size("occurrences").alias("n"), "marked")
 
 
 @query()
 def expanded_by_choice(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
     own = candidates.first_choices(candidates.with_occurrences(docs, candidates.of_entries(docs, S.glossary(spark))))
-    return own.select("volume", "nr_RG", "expanded")
+    return own.select("volume", "entry", "expanded")
 
 
 @query()
 def step2_decisions(spark, sf_dir):
     got = steps.step2(S.corpus(spark, sf_dir), S.glossary(spark), steps.FirstCandidate())
-    return got.select("volume", "nr_RG", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
+    return got.select("volume", "entry", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
 
 
 @query()
 def step3_decisions(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
     got = steps.step3(docs, docs, steps.FirstCandidate())
-    return got.select("volume", "nr_RG", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
+    return got.select("volume", "entry", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
 
 
 @query()
 def step4_decisions(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
     third = steps.assembled(docs, steps.step2(docs, S.glossary(spark), steps.FirstCandidate()))
-    entries = S.morphology(spark).unionByName(S.glossary(spark).select("expansion", F.concat(F.left("expansion", F.lit(4)), F.lit(" -i")).alias("stem"), F.lit("o").alias("declension")))
+    entries = S.morphology(spark).unionByName(S.glossary(spark).select("resolution", F.concat(F.left("resolution", F.lit(4)), F.lit(" -i")).alias("stem"), F.lit("o").alias("declension")))
     got = steps.step4(third, docs, entries, docs, steps.FirstCandidate())
-    return got.select("volume", "nr_RG", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
+    return got.select("volume", "entry", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
 
 
 ANSWERS = [(1, '{"1": "ecclesia", "2": "SKIP"}'), (2, 'so: {"1": "`of`", "3": "x"} done'), (3, "none"), (4, '{"1": "eccl", "2": null}'), (5, "[1]"), (6, '{"1": "ecclesiam"}')]
@@ -481,32 +481,32 @@ def parse_tiers(spark, sf_dir):
 
 @query()
 def inserted_spans(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir, len(RG)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
-    return docs.select("volume", "nr_RG", F.explode_outer(inserted("old", "text")).alias("s")).select("volume", "nr_RG", "s.start", "s.end")
+    docs = rules.expand(S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    return docs.select("volume", "entry", F.explode_outer(inserted("old", "text")).alias("s")).select("volume", "entry", "s.start", "s.end")
 
 
 @query()
 def aligned_spans(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir, len(RG)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
-    return docs.select("volume", "nr_RG", F.posexplode(aligned("old", "text")).alias("pos", "a")).select("volume", "nr_RG", "pos", "a.*")
+    docs = rules.expand(S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    return docs.select("volume", "entry", F.posexplode(aligned("old", "text")).alias("pos", "a")).select("volume", "entry", "pos", "a.*")
 
 
 LONG = f"""
-WITH o AS (SELECT volume, nr_RG, CAST(id - 1 AS INTEGER) AS pos, abbreviation AS abbr, rtrim(abbreviation, '.') AS stem, length(abbreviation) + id - 1 AS n FROM {remaining_sql('volume, nr_RG', S.CORPUS)}),
+WITH o AS (SELECT volume, entry, CAST(id - 1 AS INTEGER) AS pos, abbreviation AS abbr, rtrim(abbreviation, '.') AS stem, length(abbreviation) + id - 1 AS n FROM {remaining_sql('volume, entry', S.CORPUS)}),
 g AS (SELECT *, CASE WHEN n % 11 = 0 THEN NULL WHEN n % 13 = 0 THEN abbr ELSE stem || 'ia' END AS gold,
       CASE WHEN n % 5 = 0 THEN stem || 'ie' WHEN n % 7 = 0 THEN stem || 'ya' WHEN n % 17 = 0 THEN 'aliud' ELSE stem || 'ia' END AS good FROM o),
-rows AS (SELECT volume, nr_RG, pos, abbr, gold, CAST(k AS INTEGER) AS stage, CASE WHEN n % 4 < k THEN CASE WHEN k = 4 THEN good ELSE stem || 'ia' END WHEN n % 19 = 0 THEN NULL ELSE abbr END AS expansion FROM g, range(1, 5) AS t(k)),
+rows AS (SELECT volume, entry, pos, abbr, gold, CAST(k AS INTEGER) AS stage, CASE WHEN n % 4 < k THEN CASE WHEN k = 4 THEN good ELSE stem || 'ia' END WHEN n % 19 = 0 THEN NULL ELSE abbr END AS resolution FROM g, range(1, 5) AS t(k)),
 index(key, lemma) AS (SELECT w, w[:-2] || 'a' FROM (SELECT unnest(['theia', 'theie', 'isia', 'isie', 'ofia', 'ofie', 'enia', 'enie', 'andia', 'andie']) AS w)),
-pairs AS (SELECT DISTINCT gold, expansion, {key_sql('gold')} AS gk, {key_sql('expansion')} AS ek FROM rows WHERE gold IS NOT NULL AND expansion IS NOT NULL),
-judged AS (SELECT gold, expansion, gk, ek, EXISTS (SELECT 1 FROM index a JOIN index b USING (lemma) WHERE a.key = gk AND b.key = ek) AS lemma,
+pairs AS (SELECT DISTINCT gold, resolution, {key_sql('gold')} AS gk, {key_sql('resolution')} AS ek FROM rows WHERE gold IS NOT NULL AND resolution IS NOT NULL),
+judged AS (SELECT gold, resolution, gk, ek, EXISTS (SELECT 1 FROM index a JOIN index b USING (lemma) WHERE a.key = gk AND b.key = ek) AS lemma,
            len(list_filter(range(3, 1 + len(list_filter(range(1, 1 + least(length(gk), length(ek))), lambda i: gk[:i] = ek[:i]))),
                lambda i: list_contains(ends, gk[i + 1:]) AND list_contains(ends, ek[i + 1:]))) > 0 AS ending FROM pairs, (SELECT list(DISTINCT e) AS ends FROM (SELECT coalesce({key_sql('ending')}, '') AS e FROM {ENDINGS} UNION SELECT ''))),
-scored AS (SELECT r.*, CASE WHEN r.gold IS NULL THEN 'unaligned' WHEN r.gold LIKE '%.' THEN 'no_gold_label' WHEN r.expansion IS NULL THEN 'unaligned' WHEN r.expansion LIKE '%.' THEN 'not_expanded'
-           WHEN r.gold = r.expansion THEN 'exact' WHEN gk = ek THEN 'orthographic' WHEN lemma THEN 'wrong_form' WHEN ending THEN 'wrong_form?' ELSE 'wrong_word' END AS verdict
-           FROM rows r LEFT JOIN judged j ON r.gold = j.gold AND r.expansion = j.expansion),
-settled AS (SELECT volume, nr_RG, pos, min(stage) FILTER (expansion NOT LIKE '%.') AS first_stage FROM rows WHERE expansion IS NOT NULL GROUP BY ALL),
-stepped AS (SELECT s.*, CASE WHEN f.first_stage IS NULL THEN NULL WHEN f.first_stage < 4 AND (SELECT max(expansion) FROM rows r WHERE r.volume = s.volume AND r.nr_RG = s.nr_RG AND r.pos = s.pos AND r.stage = 4) <> rtrim(s.abbr, '.') || 'ia' THEN 4 ELSE f.first_stage END AS step
-            FROM scored s LEFT JOIN settled f USING (volume, nr_RG, pos))"""
+scored AS (SELECT r.*, CASE WHEN r.gold IS NULL THEN 'unaligned' WHEN r.gold LIKE '%.' THEN 'no_gold_label' WHEN r.resolution IS NULL THEN 'unaligned' WHEN r.resolution LIKE '%.' THEN 'not_expanded'
+           WHEN r.gold = r.resolution THEN 'exact' WHEN gk = ek THEN 'orthographic' WHEN lemma THEN 'wrong_form' WHEN ending THEN 'wrong_form?' ELSE 'wrong_word' END AS verdict
+           FROM rows r LEFT JOIN judged j ON r.gold = j.gold AND r.resolution = j.resolution),
+settled AS (SELECT volume, entry, pos, min(stage) FILTER (resolution NOT LIKE '%.') AS first_stage FROM rows WHERE resolution IS NOT NULL GROUP BY ALL),
+stepped AS (SELECT s.*, CASE WHEN f.first_stage IS NULL THEN NULL WHEN f.first_stage < 4 AND (SELECT max(resolution) FROM rows r WHERE r.volume = s.volume AND r.entry = s.entry AND r.pos = s.pos AND r.stage = 4) <> rtrim(s.abbr, '.') || 'ia' THEN 4 ELSE f.first_stage END AS step
+            FROM scored s LEFT JOIN settled f USING (volume, entry, pos))"""
 _GOOD, _FORM = "('exact', 'orthographic', 'wrong_form', 'wrong_form?')", "('exact', 'orthographic')"
 _SCORED = "('exact', 'orthographic', 'wrong_form', 'wrong_form?', 'wrong_word', 'not_expanded')"
 
@@ -520,9 +520,9 @@ def _scored(spark, sf_dir):
     return score.with_steps(score.with_verdicts(S.long_table(spark, sf_dir), S.lemmas(spark)))
 
 
-@query(LONG + " SELECT volume, nr_RG, pos, stage, verdict, CAST(step AS INTEGER) AS step FROM stepped")
+@query(LONG + " SELECT volume, entry, pos, stage, verdict, CAST(step AS INTEGER) AS step FROM stepped")
 def verdicts(spark, sf_dir):
-    return _scored(spark, sf_dir).select("volume", "nr_RG", "pos", "stage", "verdict", "step")
+    return _scored(spark, sf_dir).select("volume", "entry", "pos", "stage", "verdict", "step")
 
 
 @query(LONG + f" SELECT stage, {rates_sql()} FROM stepped GROUP BY stage")
@@ -536,8 +536,8 @@ def by_step(spark, sf_dir):
 
 
 @query(LONG + f""", sums AS (SELECT abbr, {rates_sql()}, array_to_string(list_sort(list(DISTINCT coalesce(gold, '')))[:5], ', ') AS gold_variants FROM stepped WHERE stage = 4 GROUP BY abbr),
-wrong AS (SELECT abbr, expansion, row_number() OVER (PARTITION BY abbr ORDER BY n DESC, expansion) AS k FROM (SELECT abbr, expansion, count(*) AS n FROM stepped WHERE stage = 4 AND verdict IN ('wrong_word', 'wrong_form', 'wrong_form?') GROUP BY abbr, expansion))
-SELECT s.abbr, scoreable AS occurrences, round(word_accuracy, 4) AS word_accuracy, round(form_accuracy, 4) AS form_accuracy, no_gold_label, gold_variants, coalesce(w.expansion, '') AS most_frequent_error, round(scoreable * (1 - round(form_accuracy, 4)), 4) AS potential_gain
+wrong AS (SELECT abbr, resolution, row_number() OVER (PARTITION BY abbr ORDER BY n DESC, resolution) AS k FROM (SELECT abbr, resolution, count(*) AS n FROM stepped WHERE stage = 4 AND verdict IN ('wrong_word', 'wrong_form', 'wrong_form?') GROUP BY abbr, resolution))
+SELECT s.abbr, scoreable AS occurrences, round(word_accuracy, 4) AS word_accuracy, round(form_accuracy, 4) AS form_accuracy, no_gold_label, gold_variants, coalesce(w.resolution, '') AS most_frequent_error, round(scoreable * (1 - round(form_accuracy, 4)), 4) AS potential_gain
 FROM sums s LEFT JOIN wrong w ON s.abbr = w.abbr AND w.k = 1""")
 def by_abbreviation(spark, sf_dir):
     return score.by_abbreviation(_scored(spark, sf_dir))
@@ -552,7 +552,7 @@ def _offers(spark, sf_dir):
 OFFERS = "(SELECT DISTINCT abbr, CAST(s AS INTEGER) AS step, rtrim(abbr, '.') || CASE WHEN length(abbr) % 2 = 0 THEN 'ia' ELSE 'um' END AS candidate FROM o, range(2, 5) AS t(s))"
 
 
-@query(LONG + f""", offered AS (SELECT volume, nr_RG, pos, s.step, s.gold, s.verdict AS own, c.candidate, {key_sql('s.gold')} AS gk, {key_sql('c.candidate')} AS ek FROM stepped s JOIN {OFFERS} c ON s.abbr = c.abbr AND s.step = c.step
+@query(LONG + f""", offered AS (SELECT volume, entry, pos, s.step, s.gold, s.verdict AS own, c.candidate, {key_sql('s.gold')} AS gk, {key_sql('c.candidate')} AS ek FROM stepped s JOIN {OFFERS} c ON s.abbr = c.abbr AND s.step = c.step
            WHERE stage = 4 AND s.verdict IN {_SCORED}),
 ends AS (SELECT list(DISTINCT e) AS ends FROM (SELECT coalesce({key_sql('ending')}, '') AS e FROM {ENDINGS} UNION SELECT '')),
 told AS (SELECT step, own IN {_GOOD} AS ok, gold = candidate OR gk = ek OR EXISTS (SELECT 1 FROM index a JOIN index b USING (lemma) WHERE a.key = gk AND b.key = ek)
@@ -572,22 +572,22 @@ def baseline_diff(spark, sf_dir):
     return score.baseline_difference(score.headline(_scored(spark, sf_dir)), baseline)
 
 
-@query(LONG + """ SELECT volume, nr_RG, pos, abbr, gold, CAST(step AS INTEGER) AS step, max(expansion) FILTER (stage = 4) AS system, max(verdict) FILTER (stage = 4) AS verdict, """ + ", ".join(f"max(expansion) FILTER (stage = {k}) AS expansion_{k}, max(verdict) FILTER (stage = {k}) AS verdict_{k}" for k in (1, 2, 3)) + " FROM stepped GROUP BY ALL HAVING max(verdict) FILTER (stage = 4) <> 'exact'")
+@query(LONG + """ SELECT volume, entry, pos, abbr, gold, CAST(step AS INTEGER) AS step, max(resolution) FILTER (stage = 4) AS system, max(verdict) FILTER (stage = 4) AS verdict, """ + ", ".join(f"max(resolution) FILTER (stage = {k}) AS resolution_{k}, max(verdict) FILTER (stage = {k}) AS verdict_{k}" for k in (1, 2, 3)) + " FROM stepped GROUP BY ALL HAVING max(verdict) FILTER (stage = 4) <> 'exact'")
 def mismatches(spark, sf_dir):
     return score.mismatches(_scored(spark, sf_dir))
 
 
 @query()
 def mismatch_candidates(spark, sf_dir):
-    return score.mismatches(_scored(spark, sf_dir), _offers(spark, sf_dir), S.lemmas(spark)).select("volume", "nr_RG", "pos", "candidates", "candidate_miss")
+    return score.mismatches(_scored(spark, sf_dir), _offers(spark, sf_dir), S.lemmas(spark)).select("volume", "entry", "pos", "candidates", "candidate_miss")
 
 
 @query()
 def evaluated_texts(spark, sf_dir):
-    """Documents against their own expansion, from texts to verdicts."""
-    done = rules.expand(S.corpus(spark, sf_dir, len(RG)).withColumn("source", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    """Documents against their own resolution, from texts to verdicts."""
+    done = rules.expand(S.corpus(spark, sf_dir, len(PLACES)).withColumn("source", F.col("text")), S.mined_rules(spark, sf_dir), "text")
     plain = F.regexp_replace("text", "[<>]", "")
-    rows = score.aligned_occurrences(done.select("volume", "nr_RG", "source", plain.alias("gold"), F.array("source", plain).alias("stages")))
+    rows = score.aligned_occurrences(done.select("volume", "entry", "source", plain.alias("gold"), F.array("source", plain).alias("stages")))
     return score.with_verdicts(rows, S.lemmas(spark)).groupBy("stage", "verdict").agg(F.count("*").alias("n"))
 
 
@@ -674,10 +674,10 @@ def runs_with_step(spark, sf_dir):
     return runs.having(S.manifests(spark), 3)
 
 
-@query(f"SELECT volume, nr_RG FROM {S.CORPUS} SEMI JOIN (SELECT doc_id AS nr_RG FROM labels WHERE quality = 1) USING (nr_RG) SEMI JOIN (SELECT doc_id AS nr_RG FROM labels WHERE toxic = 0) USING (nr_RG)")
+@query(f"SELECT volume, entry FROM {S.CORPUS} SEMI JOIN (SELECT doc_id AS entry FROM labels WHERE quality = 1) USING (entry) SEMI JOIN (SELECT doc_id AS entry FROM labels WHERE toxic = 0) USING (entry)")
 def entries_in_every_stage(spark, sf_dir):
-    docs, labels = S.corpus(spark, sf_dir), S.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "nr_RG")
-    return vita.in_every_stage([docs, *(docs.join(labels.where(c), "nr_RG", "left_semi") for c in ("quality = 1", "toxic = 0"))])
+    docs, labels = S.corpus(spark, sf_dir), S.table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "entry")
+    return vita.in_every_stage([docs, *(docs.join(labels.where(c), "entry", "left_semi") for c in ("quality = 1", "toxic = 0"))])
 
 
 @query(f"SELECT DISTINCT abbr FROM {S.CLEAN_SQL} UNION SELECT abbreviation FROM {S.DIOCESE_SQL}")
@@ -685,7 +685,7 @@ def known_abbreviations(spark, sf_dir):
     return scan.known_abbreviations(S.glossary(spark), S.dioceses(spark).withColumnRenamed("abbreviation", "abbr"))
 
 
-@query(FORMS + f", counted AS (SELECT f.expansion, f.pos, f.word, count(*) AS forms, sum(v.n) AS n FROM forms f LEFT JOIN {VOCABULARY} v ON v.word = f.form WHERE f.form IS NOT NULL GROUP BY ALL) SELECT expansion, word, forms FROM counted WHERE forms > 1 AND n IS NULL")
+@query(FORMS + f", counted AS (SELECT f.resolution, f.pos, f.word, count(*) AS forms, sum(v.n) AS n FROM forms f LEFT JOIN {VOCABULARY} v ON v.word = f.form WHERE f.form IS NOT NULL GROUP BY ALL) SELECT resolution, word, forms FROM counted WHERE forms > 1 AND n IS NULL")
 def unattested_paradigms(spark, sf_dir):
     return glossary.unattested_paradigms(S.morphology(spark), scan.vocabulary(S.table(spark, sf_dir, "documents")))
 
@@ -695,15 +695,15 @@ def unattested_paradigms(spark, sf_dir):
 
 @query()
 def tei_roundtrip(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir, len(RG)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
-    return tei.lines(docs.select("volume", "nr_RG", "old", "text"), "old", ["text"], known=frozenset(["the."])).select("volume", "nr_RG", "status", "choices", "kept", "unplaced")
+    docs = rules.expand(S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    return tei.lines(docs.select("volume", "entry", "old", "text"), "old", ["text"], known=frozenset(["the."])).select("volume", "entry", "status", "choices", "kept", "unplaced")
 
 
 @query()
 def tei_entries(spark, sf_dir):
-    rows = S.regests(spark, sf_dir, len(RG)).withColumn("old", F.coalesce("header_no_tags", "regest_no_tags"))
+    rows = S.regests(spark, sf_dir, len(PLACES)).withColumn("old", F.coalesce("head_text", "body_text"))
     done = rules.expand(rows.withColumn("new", F.col("old")), S.mined_rules(spark, sf_dir), "new")
-    marked = tei.lines(done.select("volume", "nr_RG", "nr_suffix", "id_RG_all", "old", "new"), "old", ["new"])
+    marked = tei.lines(done.select("volume", "entry", "line_no", "line_id", "old", "new"), "old", ["new"])
     return tei.entries(marked)
 
 

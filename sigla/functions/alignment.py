@@ -1,4 +1,4 @@
-"""Alignment of a text with its expansion, token by token.
+"""Alignment of a text with its resolution, token by token.
 
 Matching blocks are those of difflib's SequenceMatcher without its junk heuristic; there is no
 built-in expression for them.

@@ -45,7 +45,7 @@ def _choice(o, value: str, offered: list[str]) -> str:
     return "choice" if value in offered else "rejected"
 
 
-def _expansion(o, value: str, offered: list[str]) -> str:
+def _resolution(o, value: str, offered: list[str]) -> str:
     if value.upper() == "SKIP":
         return "skip"
     return "suggestion" if value in offered else "free" if extends(o.abbreviation, value) else "rejected"
@@ -56,7 +56,7 @@ def _form(o, value: str, offered: list[str]) -> str:
 
 
 #: The rule of each step that chooses.
-RULES: dict[int, Callable] = {2: _choice, 3: _expansion, 4: _form}
+RULES: dict[int, Callable] = {2: _choice, 3: _resolution, 4: _form}
 
 
 def judge(step: int, answer: str | None, occurrences, candidates: dict[str, list[str]]) -> tuple[Judged | None, str | None]:
@@ -72,7 +72,7 @@ def judge(step: int, answer: str | None, occurrences, candidates: dict[str, list
         if tier in TIERS:
             out.choices[o.id] = value
         accepted = value if tier in TIERS or tier == "kept" else None
-        out.details.append({"id": o.id, "abbreviation": o.matched, "expansion": accepted, "tier": tier})
+        out.details.append({"id": o.id, "abbreviation": o.matched, "resolution": accepted, "tier": tier})
         if tier in ("missing", "rejected"):
             out.errors.append(f"{tier.capitalize()}: [[{o.id}]] {o.matched!r}" + (f" -> {value!r}" if value is not None else ""))
     known = {str(o.id) for o in occurrences}

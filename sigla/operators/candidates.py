@@ -9,26 +9,26 @@ from pyspark.sql.window import Window
 from ..functions import spans, text
 from . import rules, scan
 
-KEY = ["volume", "nr_RG"]
+KEY = ["volume", "entry"]
 
 
 def listed_for_volumes(glossary: DataFrame) -> DataFrame:
-    """volume (null: any), abbr, expansion of what may be offered.
+    """volume (null: any), abbr, resolution of what may be offered.
 
     Complex entries are offered in every volume, simple ones where their volume has several.
     """
     simple = rules.by_volume(glossary.where(~F.col("complex")).withColumn("parts", text.parts_of(F.col("abbr"))))
     several = simple.withColumn("n", F.count("*").over(Window.partitionBy("volume", "abbr"))).where("n > 1")
-    odd = glossary.where("complex").select(F.lit(None).cast("long").alias("volume"), "abbr", "expansion")
-    return several.select("volume", "abbr", "expansion").unionByName(odd)
+    odd = glossary.where("complex").select(F.lit(None).cast("long").alias("volume"), "abbr", "resolution")
+    return several.select("volume", "abbr", "resolution").unionByName(odd)
 
 
 def of_entries(texts: DataFrame, glossary: DataFrame) -> DataFrame:
-    """volume, nr_RG, abbr, candidates (sorted): for all entries (volume, nr_RG, text) together."""
+    """volume, entry, abbr, candidates (sorted): for all entries (volume, entry, text) together."""
     found = scan.distinct_abbreviations(texts, "text", keys=tuple(KEY)).withColumnRenamed("abbreviation", "abbr")
-    offers = listed_for_volumes(glossary).select(F.col("volume").alias("of"), "abbr", "expansion")
+    offers = listed_for_volumes(glossary).select(F.col("volume").alias("of"), "abbr", "resolution")
     joined = found.join(offers, "abbr").where(F.col("of").isNull() | (F.col("of") == F.col("volume")))
-    return joined.groupBy(*KEY, "abbr").agg(F.array_sort(F.collect_set("expansion")).alias("candidates"))
+    return joined.groupBy(*KEY, "abbr").agg(F.array_sort(F.collect_set("resolution")).alias("candidates"))
 
 
 def clashes(glossary: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def marked(entries: DataFrame) -> DataFrame:
     return entries.withColumn("marked", spans.marked("text", "occurrences"))
 
 
-def prompts(entries: DataFrame, task: str = "Choose an expansion for every marked abbreviation.") -> DataFrame:
+def prompts(entries: DataFrame, task: str = "Choose an resolution for every marked abbreviation.") -> DataFrame:
     """With ``prompt``: the marked text, then what is offered for each occurrence."""
     line = lambda o: F.concat(F.lit("- [["), o.id.cast("string"), F.lit("]] "), o.matched, F.lit(": "), F.coalesce(F.array_join(F.try_element_at("candidates", o.abbreviation), ", "), F.lit("(none)")))
     lists = F.array_join(F.transform("occurrences", line), "\n")

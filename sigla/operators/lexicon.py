@@ -29,16 +29,16 @@ def _with_e(forms: DataFrame) -> DataFrame:
 
 
 def entry_words(entries: DataFrame) -> DataFrame:
-    """A row for each word of each entry (expansion, stem, declension) that can be interpreted."""
-    own = entries.select("expansion", "stem", "declension").distinct()
-    own = own.withColumn("w", F.explode(morphology.analysis("expansion", "stem", "declension")))
-    return own.select("expansion", "stem", "declension", "w.*", F.col("w.stems").alias("w_stems")).drop("stems")
+    """A row for each word of each entry (resolution, stem, declension) that can be interpreted."""
+    own = entries.select("resolution", "stem", "declension").distinct()
+    own = own.withColumn("w", F.explode(morphology.analysis("resolution", "stem", "declension")))
+    return own.select("resolution", "stem", "declension", "w.*", F.col("w.stems").alias("w_stems")).drop("stems")
 
 
 def entry_forms(entries: DataFrame) -> DataFrame:
-    """expansion, stem, declension, pos, word, known, form (null for words of unknown morphology)."""
+    """resolution, stem, declension, pos, word, known, form (null for words of unknown morphology)."""
     words = entry_words(entries)
-    key = ["expansion", "stem", "declension", "pos", "word", "kind"]
+    key = ["resolution", "stem", "declension", "pos", "word", "kind"]
     tall = words.select(*key, "plural", "deponent", F.explode("classes").alias("class"), "w_stems")
     tall = tall.select(*key, "plural", "deponent", "class", F.explode("w_stems").alias("s")).select(*key, "plural", "deponent", "class", F.col("s.kind").alias("stem_kind"), F.col("s.stem").alias("root"))
     # The tables have a fixed size, so broadcasting them is bounded.
@@ -67,20 +67,20 @@ def _capitalised(word: Column) -> Column:
 
 def lexicon(entries: DataFrame) -> DataFrame:
     """word, form: words with more than one form, and capitalised variants of lower-case ones."""
-    forms = entry_forms(entries).where("known").select("expansion", "stem", "declension", "pos", "word", "form").distinct()
-    several = Window.partitionBy("expansion", "stem", "declension", "pos")
+    forms = entry_forms(entries).where("known").select("resolution", "stem", "declension", "pos", "word", "form").distinct()
+    several = Window.partitionBy("resolution", "stem", "declension", "pos")
     own = forms.withColumn("n", F.count("*").over(several)).where("n > 1").select("word", "form").distinct()
     small = own.where(F.left("word", F.lit(1)).rlike(r"^\p{Ll}"))
     return own.unionByName(small.select(_capitalised(F.col("word")).alias("word"), _capitalised(F.col("form")).alias("form"))).distinct()
 
 
 def diocese_entries(dioceses: DataFrame) -> DataFrame:
-    """expansion, stem, declension of diocese adjectives, which the list gives no morphology for."""
-    cut = F.col("expansion").substr(F.lit(1), F.length("expansion") - 2)
-    ending = F.right("expansion", F.lit(2))
+    """resolution, stem, declension of diocese adjectives, which the list gives no morphology for."""
+    cut = F.col("resolution").substr(F.lit(1), F.length("resolution") - 2)
+    ending = F.right("resolution", F.lit(2))
     known = dioceses.where(ending.isin("is", "us"))
     return known.select(
-        "expansion",
+        "resolution",
         F.concat(cut, F.when(ending == "is", " -is").otherwise(" -i")).alias("stem"),
         F.when(ending == "is", "i (Adj.)").otherwise("o/a (Adj.)").alias("declension"),
     )
@@ -105,11 +105,11 @@ def lemma_index(entries: DataFrame) -> DataFrame:
 
 
 def anchor_index(entries: DataFrame) -> DataFrame:
-    """abbr, key: what an expansion of an abbreviation may start with, short words left out."""
-    first = F.element_at(F.split(F.trim("expansion"), r"\s+"), 1)
-    own = entries.where("abbr is not null and expansion is not null").withColumn("first_word", first)
-    forms = entry_forms(entries).where("known").select(F.col("expansion").alias("of"), F.col("stem").alias("of_stem"), F.col("declension").alias("of_declension"), "word", "form")
-    joined = own.join(forms, (own.expansion == forms.of) & (own.stem == forms.of_stem) & (own.declension == forms.of_declension) & (own.first_word == forms.word))
+    """abbr, key: what an resolution of an abbreviation may start with, short words left out."""
+    first = F.element_at(F.split(F.trim("resolution"), r"\s+"), 1)
+    own = entries.where("abbr is not null and resolution is not null").withColumn("first_word", first)
+    forms = entry_forms(entries).where("known").select(F.col("resolution").alias("of"), F.col("stem").alias("of_stem"), F.col("declension").alias("of_declension"), "word", "form")
+    joined = own.join(forms, (own.resolution == forms.of) & (own.stem == forms.of_stem) & (own.declension == forms.of_declension) & (own.first_word == forms.word))
     keys = own.select("abbr", text.orthographic_key(F.col("first_word")).alias("key")).union(joined.select("abbr", text.orthographic_key(F.col("form")).alias("key")))
     return keys.where(F.length("key") >= LEAST_ANCHOR).distinct()
 

@@ -1,4 +1,4 @@
-"""Rule expansion: abbreviations with one reading in a volume are replaced throughout it."""
+"""Rule resolution: abbreviations with one reading in a volume are replaced throughout it."""
 
 from __future__ import annotations
 
@@ -11,28 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import occurrence_pattern, parts_of
-from ..schema import RG, VOLUMES
+from ..schema import PLACES, VOLUMES
 
 
 def load(glossary: DataFrame, dioceses: DataFrame) -> DataFrame:
     """Simple entries and diocese adjectives; columns that the latter lack are null."""
     simple = glossary.where(~F.col("complex")).drop("complex")
-    both = simple.unionByName(dioceses.select(F.col("abbreviation").alias("abbr"), "expansion"), allowMissingColumns=True)
+    both = simple.unionByName(dioceses.select(F.col("abbreviation").alias("abbr"), "resolution"), allowMissingColumns=True)
     return both.withColumn("parts", parts_of(F.col("abbr")))
 
 
 def by_volume(rules: DataFrame) -> DataFrame:
-    """volume, abbr, expansion, parts: a row for each volume that a rule is listed for.
+    """volume, abbr, resolution, parts: a row for each volume that a rule is listed for.
 
     A rule without any volume is for all of them if its abbreviation has no other rule.
     """
     alone = F.count("*").over(Window.partitionBy("abbr")) == 1
     nowhere = F.lit(True)
-    for c in RG:
+    for c in PLACES:
         nowhere &= F.col(c).isNull()
-    cells = F.array(*[F.when(F.col(c).contains(F.col("abbr")), F.lit(v)) for v, c in zip(VOLUMES, RG)])
+    cells = F.array(*[F.when(F.col(c).contains(F.col("abbr")), F.lit(v)) for v, c in zip(VOLUMES, PLACES)])
     listed = F.when(alone & nowhere, F.lit(list(VOLUMES))).otherwise(F.array_compact(cells))
-    return rules.withColumn("volumes", listed.cast("array<long>")).select(F.explode("volumes").alias("volume"), "abbr", "expansion", "parts")
+    return rules.withColumn("volumes", listed.cast("array<long>")).select(F.explode("volumes").alias("volume"), "abbr", "resolution", "parts")
 
 
 def flagged(listed: DataFrame) -> DataFrame:
@@ -73,21 +73,21 @@ def expand_text(text: str, compiled) -> str:
 
 def expand_in_turn(text: str, rules: list[tuple[str, str, int]]) -> str:
     """Rule after rule: the definition, for tests."""
-    for abbr, expansion, _ in _ordered(rules):
-        text = re.sub(occurrence_pattern(abbr), lambda m, e=expansion: e, text)
+    for abbr, resolution, _ in _ordered(rules):
+        text = re.sub(occurrence_pattern(abbr), lambda m, e=resolution: e, text)
     return text
 
 
 def expand(stage: DataFrame, rules: DataFrame, *columns: str) -> DataFrame:
-    """``stage`` with the rules (volume, abbr, expansion, parts) of its volume applied to columns.
+    """``stage`` with the rules (volume, abbr, resolution, parts) of its volume applied to columns.
 
     The rules, a dictionary's, become part of the function: one pass over the corpus without a
     join.  Volumes that no rule can exist for are dropped.
     """
-    columns = columns or ("header_no_tags", "regest_no_tags")
+    columns = columns or ("head_text", "body_text")
     own: dict[int, list] = defaultdict(list)
-    for r in rules.select("volume", "abbr", "expansion", "parts").collect():
-        own[r.volume].append((r.abbr, r.expansion, r.parts))
+    for r in rules.select("volume", "abbr", "resolution", "parts").collect():
+        own[r.volume].append((r.abbr, r.resolution, r.parts))
 
     cache: dict[int, list] = {}
 
@@ -107,9 +107,9 @@ def expand_by_expressions(stage: DataFrame, rules: DataFrame, *columns: str) ->
 
     For few rules; each is compiled anew for each row.
     """
-    columns = columns or ("header_no_tags", "regest_no_tags")
+    columns = columns or ("head_text", "body_text")
     escaped = F.regexp_replace(F.regexp_replace("abbr", r"([\\.\[\]{}()*+?^$|])", r"\\$1"), " ", r"[ \\t]*")
-    item = F.struct((-F.col("parts")).alias("p"), (-F.length("abbr")).alias("l"), F.col("abbr").alias("a"), F.concat(F.lit(r"(?U)\b"), escaped).alias("pattern"), F.regexp_replace("expansion", r"([\\$])", r"\\$1").alias("to"))
+    item = F.struct((-F.col("parts")).alias("p"), (-F.length("abbr")).alias("l"), F.col("abbr").alias("a"), F.concat(F.lit(r"(?U)\b"), escaped).alias("pattern"), F.regexp_replace("resolution", r"([\\$])", r"\\$1").alias("to"))
     listed = rules.groupBy("volume").agg(F.sort_array(F.collect_list(item)).alias("rules"))
     known = stage.where(F.col("volume").isin(list(VOLUMES))).join(listed, "volume", "left")
     none = F.slice(F.array(F.struct(F.lit("").alias("pattern"), F.lit("").alias("to"))), 1, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-FIRST_OUTPUT = "data/step1.csv"
+FIRST_OUTPUT = "base/step1.csv"
 
 
 def name(model: Column, thinking: Column, effort: Column) -> Column:
@@ -16,7 +16,7 @@ def name(model: Column, thinking: Column, effort: Column) -> Column:
 
 
 def output_path(run: str, step: int) -> str:
-    return FIRST_OUTPUT if step == 1 else f"data/runs/{run}/step{step}.csv"
+    return FIRST_OUTPUT if step == 1 else f"runs/{run}/step{step}.csv"
 
 
 def chain(manifests: DataFrame, run: str) -> DataFrame:
@@ -102,7 +102,7 @@ def slots(requests: DataFrame, spacing: float, at: str = "at", order: tuple[str,
 
 
 def current_dump(entries: DataFrame, stage: DataFrame) -> DataFrame:
-    """Recorded entries (volume, nr_RG, text) whose text is still the stage's: the others are stale."""
-    own = stage.select("volume", "nr_RG", F.sha2("text", 256).alias("h"), F.col("text").alias("now"))
-    both = entries.withColumn("h", F.sha2("text", 256)).join(own, ["volume", "nr_RG", "h"])
+    """Recorded entries (volume, entry, text) whose text is still the stage's: the others are stale."""
+    own = stage.select("volume", "entry", F.sha2("text", 256).alias("h"), F.col("text").alias("now"))
+    both = entries.withColumn("h", F.sha2("text", 256)).join(own, ["volume", "entry", "h"])
     return both.where(F.col("text") == F.col("now")).drop("h", "now")

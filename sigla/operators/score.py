@@ -1,7 +1,7 @@
-"""Scoring: verdicts of expansions against gold, one abbreviation and stage at a time.
+"""Scoring: verdicts of resolutions against gold, one abbreviation and stage at a time.
 
-The long table has a row for an occurrence and a stage: volume, nr_RG, pos, abbr, gold (null: not
-aligned), stage (1 to 4), expansion (null: not aligned).
+The long table has a row for an occurrence and a stage: volume, entry, pos, abbr, gold (null: not
+aligned), stage (1 to 4), resolution (null: not aligned).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..functions import alignment, text
 from ..functions.spans import EVALUATED
 from . import lexicon
 
-OCCURRENCE = ["volume", "nr_RG", "pos"]
+OCCURRENCE = ["volume", "entry", "pos"]
 STEPS = {1: "step 1 (rule)", 2: "step 2 (candidates)", 3: "step 3 (mined)", 4: "step 4 (normalized)"}
 WORD = ["exact", "orthographic", "wrong_form", "wrong_form?"]
 FORM = ["exact", "orthographic"]
@@ -25,8 +25,8 @@ SCOREABLE = [*WORD, "wrong_word", "not_expanded"]
 
 
 def aligned_occurrences(texts: DataFrame, anchors: dict[str, set[str]] | None = None) -> DataFrame:
-    """The long table of entries (volume, nr_RG, source, gold, stages array of texts), with context."""
-    row = "pos int, abbr string, context string, gold string, expansions array<string>"
+    """The long table of entries (volume, entry, source, gold, stages array of texts), with context."""
+    row = "pos int, abbr string, context string, gold string, resolutions array<string>"
 
     @F.pandas_udf(f"array<struct<{row}>>")
     def occurrences(sources: pd.Series, golds: pd.Series, stages: pd.Series) -> pd.Series:
@@ -39,41 +39,41 @@ def aligned_occurrences(texts: DataFrame, anchors: dict[str, set[str]] | None =
             words = EVALUATED.findall(source or "")
             columns = [spelled(words, t) for t in (gold, *own)]
             found = [k for k, w in enumerate(words) if w.endswith(".")]
-            out.append([{"pos": k, "abbr": words[k], "context": " ".join(words[max(0, k - 4) : k + 5]), "gold": columns[0][k], "expansions": [c[k] for c in columns[1:]]} for k in found])
+            out.append([{"pos": k, "abbr": words[k], "context": " ".join(words[max(0, k - 4) : k + 5]), "gold": columns[0][k], "resolutions": [c[k] for c in columns[1:]]} for k in found])
         return pd.Series(out)
 
-    rows = texts.select("volume", "nr_RG", F.explode(occurrences("source", "gold", "stages")).alias("o")).select("volume", "nr_RG", "o.*")
-    return rows.select("volume", "nr_RG", "pos", "abbr", "context", "gold", F.posexplode("expansions").alias("k", "expansion")).withColumn("stage", F.col("k") + 1).drop("k")
+    rows = texts.select("volume", "entry", F.explode(occurrences("source", "gold", "stages")).alias("o")).select("volume", "entry", "o.*")
+    return rows.select("volume", "entry", "pos", "abbr", "context", "gold", F.posexplode("resolutions").alias("k", "resolution")).withColumn("stage", F.col("k") + 1).drop("k")
 
 
-def abbreviated(expansion: Column) -> Column:
+def abbreviated(resolution: Column) -> Column:
     """Whether any token still ends in a period."""
-    return F.exists(F.split(F.trim(expansion), r"\s+"), lambda w: w.endswith("."))
+    return F.exists(F.split(F.trim(resolution), r"\s+"), lambda w: w.endswith("."))
 
 
 def same_lemma(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """gold, expansion, form: wrong_form, wrong_form? or null of pairs of different phrase keys.
+    """gold, resolution, form: wrong_form, wrong_form? or null of pairs of different phrase keys.
 
     Words are compared one by one; the index is joined once for each side, so a word with many
     lemmas makes rows, not a product of lists.
     """
     words = lambda c: F.split(F.trim(c), r"\s+")
-    pairs = pairs.select("gold", "expansion").distinct()
-    even = pairs.where(F.size(words("gold")) == F.size(words("expansion")))
-    each = even.select("gold", "expansion", F.posexplode(F.arrays_zip(words("gold").alias("a"), words("expansion").alias("b"))).alias("i", "w"))
-    each = each.select("gold", "expansion", "i", text.orthographic_key(F.col("w.a")).alias("a"), text.orthographic_key(F.col("w.b")).alias("b")).where("a <> b")
+    pairs = pairs.select("gold", "resolution").distinct()
+    even = pairs.where(F.size(words("gold")) == F.size(words("resolution")))
+    each = even.select("gold", "resolution", F.posexplode(F.arrays_zip(words("gold").alias("a"), words("resolution").alias("b"))).alias("i", "w"))
+    each = each.select("gold", "resolution", "i", text.orthographic_key(F.col("w.a")).alias("a"), text.orthographic_key(F.col("w.b")).alias("b")).where("a <> b")
     distinct = each.select("a", "b").distinct()
     left, right = index.select(F.col("key").alias("a"), "lemma"), index.select(F.col("key").alias("b"), F.col("lemma").alias("lemma_b"))
     shared = distinct.join(left, "a").join(right, "b").where("lemma = lemma_b").select("a", "b").distinct().withColumn("lemma", F.lit(True))
     judged = distinct.join(shared, ["a", "b"], "left").withColumn("how", F.when(F.col("lemma"), 2).when(lexicon.inflectional(F.col("a"), F.col("b")), 1).otherwise(0))
-    least = each.join(judged.select("a", "b", "how"), ["a", "b"]).groupBy("gold", "expansion").agg(F.min("how").alias("how"))
-    return least.select("gold", "expansion", F.when(F.col("how") == 2, "wrong_form").when(F.col("how") == 1, "wrong_form?").alias("form"))
+    least = each.join(judged.select("a", "b", "how"), ["a", "b"]).groupBy("gold", "resolution").agg(F.min("how").alias("how"))
+    return least.select("gold", "resolution", F.when(F.col("how") == 2, "wrong_form").when(F.col("how") == 1, "wrong_form?").alias("form"))
 
 
 def with_verdicts(rows: DataFrame, index: DataFrame) -> DataFrame:
     """The long table with ``verdict``."""
     blank = lambda c: F.trim(c) == ""
-    gold, own = F.col("gold"), F.col("expansion")
+    gold, own = F.col("gold"), F.col("resolution")
     early = (
         F.when(gold.isNull(), "unaligned")
         .when(blank(gold) | abbreviated(gold), "no_gold_label")
@@ -84,19 +84,19 @@ def with_verdicts(rows: DataFrame, index: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("early", early)
     forms = same_lemma(rows.where("early is null"), index)
-    out = rows.join(forms, ["gold", "expansion"], "left")
+    out = rows.join(forms, ["gold", "resolution"], "left")
     return out.withColumn("verdict", F.coalesce("early", "form", F.lit("wrong_word"))).drop("early", "form")
 
 
 def with_steps(rows: DataFrame) -> DataFrame:
-    """With ``step``: the stage that settled the expansion, later ones that changed it included."""
-    item = F.struct("stage", "expansion")
+    """With ``step``: the stage that settled the resolution, later ones that changed it included."""
+    item = F.struct("stage", "resolution")
     per = rows.groupBy(*OCCURRENCE, "abbr").agg(F.sort_array(F.collect_list(item)).alias("stages"))
     start = F.struct(F.lit(None).cast("int").alias("step"), F.col("abbr").alias("before"))
 
     def fold(a, s):
-        now = F.when(a.step.isNull() & ~abbreviated(s.expansion), s.stage).when(a.step.isNotNull() & (s.expansion != a.before), s.stage).otherwise(a.step)
-        return F.when(s.expansion.isNull(), a).otherwise(F.struct(now.cast("int").alias("step"), s.expansion.alias("before")))
+        now = F.when(a.step.isNull() & ~abbreviated(s.resolution), s.stage).when(a.step.isNotNull() & (s.resolution != a.before), s.stage).otherwise(a.step)
+        return F.when(s.resolution.isNull(), a).otherwise(F.struct(now.cast("int").alias("step"), s.resolution.alias("before")))
 
     steps = per.select(*OCCURRENCE, F.aggregate("stages", start, fold).step.alias("step"))
     return rows.join(steps, OCCURRENCE)
@@ -124,17 +124,17 @@ def by_stage(scored: DataFrame) -> DataFrame:
 
 
 def by_step(scored: DataFrame) -> DataFrame:
-    """Rates of the last stage's expansions by the step that settled them."""
+    """Rates of the last stage's resolutions by the step that settled them."""
     last = scored.where(F.col("stage") == F.lit(max(STEPS)))
     return last.where("step is not null").groupBy("step").agg(*_rates())
 
 
 def by_abbreviation(scored: DataFrame) -> DataFrame:
-    """Rates of the last stage, the most frequent wrong expansion, up to five golds, and the gain left."""
+    """Rates of the last stage, the most frequent wrong resolution, up to five golds, and the gain left."""
     last = scored.where(F.col("stage") == F.lit(max(STEPS)))
     sums = last.groupBy("abbr").agg(*_rates(), F.array_join(F.slice(F.array_sort(F.collect_set(F.coalesce("gold", F.lit("")))), 1, 5), ", ").alias("gold_variants"))
-    wrong = last.where(F.col("verdict").isin("wrong_word", "wrong_form", "wrong_form?")).groupBy("abbr", "expansion").agg(F.count("*").alias("n"))
-    mode = wrong.groupBy("abbr").agg(F.min(F.struct((-F.col("n")).alias("n"), "expansion")).alias("m")).select("abbr", F.col("m.expansion").alias("most_frequent_error"))
+    wrong = last.where(F.col("verdict").isin("wrong_word", "wrong_form", "wrong_form?")).groupBy("abbr", "resolution").agg(F.count("*").alias("n"))
+    mode = wrong.groupBy("abbr").agg(F.min(F.struct((-F.col("n")).alias("n"), "resolution")).alias("m")).select("abbr", F.col("m.resolution").alias("most_frequent_error"))
     out = sums.join(mode, "abbr", "left").withColumn("most_frequent_error", F.coalesce("most_frequent_error", F.lit("")))
     rounded = {c: F.round(c, 4) for c in ("word_accuracy", "form_accuracy")}
     out = out.withColumns(rounded)
@@ -145,7 +145,7 @@ def by_abbreviation(scored: DataFrame) -> DataFrame:
 def covered(scored: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:
     """OCCURRENCE, step, covered: whether any candidate (abbr, step, candidate) would have been right."""
     last = scored.where(F.col("stage") == F.lit(max(STEPS))).where(F.col("verdict").isin(SCOREABLE) & F.col("step").isNotNull())
-    offered = last.select(*OCCURRENCE, "abbr", "step", "gold", "verdict").join(candidates.select("abbr", "step", F.col("candidate").alias("expansion")), ["abbr", "step"])
+    offered = last.select(*OCCURRENCE, "abbr", "step", "gold", "verdict").join(candidates.select("abbr", "step", F.col("candidate").alias("resolution")), ["abbr", "step"])
     judged = with_verdicts(offered.withColumnRenamed("verdict", "own"), index)
     return judged.groupBy(*OCCURRENCE, "step", "own").agg(F.max(F.col("verdict").isin(WORD)).alias("covered"))
 
@@ -171,9 +171,9 @@ def mismatches(scored: DataFrame, candidates: DataFrame | None = None, index: Da
     """
     last, earlier = max(STEPS), [k for k in STEPS if k != max(STEPS)]
     at = lambda k, c: F.max(F.when(F.col("stage") == k, F.col(c)))
-    columns = [at(last, "expansion").alias("system"), at(last, "verdict").alias("verdict")]
+    columns = [at(last, "resolution").alias("system"), at(last, "verdict").alias("verdict")]
     for k in earlier:
-        columns += [at(k, "expansion").alias(f"expansion_{k}"), at(k, "verdict").alias(f"verdict_{k}")]
+        columns += [at(k, "resolution").alias(f"resolution_{k}"), at(k, "verdict").alias(f"verdict_{k}")]
     keys = [*OCCURRENCE, "abbr", "gold", "step", *(c for c in scored.columns if c == "context")]
     out = scored.groupBy(*keys).agg(*columns).where("verdict <> 'exact'")
     if candidates is None:
@@ -184,8 +184,8 @@ def mismatches(scored: DataFrame, candidates: DataFrame | None = None, index: Da
 
 
 def without_gold_errors(rows: DataFrame, errors: DataFrame) -> DataFrame:
-    """Without occurrences (volume, nr_RG, abbr, gold) known to be wrong in the gold; stale ones raise."""
-    keys = ["volume", "nr_RG", "abbr", "gold"]
+    """Without occurrences (volume, entry, abbr, gold) known to be wrong in the gold; stale ones raise."""
+    keys = ["volume", "entry", "abbr", "gold"]
     stale = errors.select(*keys).distinct().join(rows.select(*keys).distinct(), keys, "left_anti").limit(5).collect()
     if stale:
         raise ValueError(f"known gold errors that match nothing: {[tuple(r) for r in stale]}")

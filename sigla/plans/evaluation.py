@@ -12,7 +12,7 @@ from ..operators.vita import KEY
 
 
 def together(source: DataFrame, gold: DataFrame, stages: list[DataFrame]) -> DataFrame:
-    """volume, nr_RG, source, gold, stages of entries (volume, nr_RG, text) that all tables have."""
+    """volume, entry, source, gold, stages of entries (volume, entry, text) that all tables have."""
     out = source.select(*KEY, F.col("text").alias("source")).join(gold.select(*KEY, F.col("text").alias("gold")), KEY)
     for k, stage in enumerate(stages, 1):
         out = out.join(stage.select(*KEY, F.col("text").alias(f"stage_{k}")), KEY)
@@ -29,7 +29,7 @@ def missing(gold: DataFrame, stages: list[DataFrame]) -> DataFrame:
 
 
 def anchors_of(glossary: DataFrame) -> dict[str, set[str]]:
-    """What expansions may start with, by abbreviation: a dictionary's worth, so it is collected."""
+    """What resolutions may start with, by abbreviation: a dictionary's worth, so it is collected."""
     found: dict[str, set[str]] = defaultdict(set)
     for r in lexicon.anchor_index(glossary).collect():
         found[r.abbr].add(r.key)
@@ -39,9 +39,9 @@ def anchors_of(glossary: DataFrame) -> dict[str, set[str]]:
 def evaluated(source: DataFrame, gold: DataFrame, stages: list[DataFrame], glossary: DataFrame, dioceses: DataFrame | None = None, gold_errors: DataFrame | None = None) -> DataFrame:
     """The long table with verdicts and steps.
 
-    ``glossary``: abbr, expansion, stem, declension; dioceses add their adjectives' lemmas.
+    ``glossary``: abbr, resolution, stem, declension; dioceses add their adjectives' lemmas.
     """
-    entries = glossary.select("expansion", "stem", "declension")
+    entries = glossary.select("resolution", "stem", "declension")
     if dioceses is not None:
         entries = entries.unionByName(lexicon.diocese_entries(dioceses))
     rows = score.aligned_occurrences(together(source, gold, stages), anchors_of(glossary))

@@ -13,7 +13,7 @@ def percent(column: str):
     return F.concat(F.format_number(100 * F.col(column), 1), F.lit(" %")).alias(column)
 
 
-def expansion(before: DataFrame, after: DataFrame, listed: DataFrame, glossary: DataFrame, *columns: str, most: int = 20) -> str:
+def resolution(before: DataFrame, after: DataFrame, listed: DataFrame, glossary: DataFrame, *columns: str, most: int = 20) -> str:
     """What the rules did, by volume, and what is left although the dictionary knows it."""
     totals = scan.counted_before_and_after(before, after, *columns)
     left = scan.abbreviation_counts(after, *columns)
@@ -49,12 +49,12 @@ def step(decisions: DataFrame) -> str:
     """Effort, tiers, errors and the most frequent choices of a step's decisions."""
     details = decisions.select(F.explode("details").alias("d")).select("d.*")
     errors = decisions.select(F.explode("errors").alias("message"))
-    chosen = details.where("expansion is not null").groupBy("abbreviation", "expansion").agg(F.count("*").alias("n"))
+    chosen = details.where("resolution is not null").groupBy("abbreviation", "resolution").agg(F.count("*").alias("n"))
     parts = [
         markdown(score.effort(decisions.select("effort.*")), "Effort"),
         markdown(score.tiers(details).orderBy("tier"), "Answers"),
         markdown(score.error_kinds(errors).orderBy(F.desc("n"), "kind"), "Errors"),
-        markdown(chosen.orderBy(F.desc("n"), "abbreviation", "expansion").limit(20), "Choices"),
+        markdown(chosen.orderBy(F.desc("n"), "abbreviation", "resolution").limit(20), "Choices"),
     ]
     return "\n".join(parts)
 

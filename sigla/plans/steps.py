@@ -23,8 +23,8 @@ from ..operators import lexicon, scan, vita
 
 ATTEMPTS = 5
 EFFORT = "tries int, server_retries int, readable boolean, seconds double"
-DETAIL = "id int, abbreviation string, expansion string, tier string"
-RESULT = f"volume long, nr_RG long, text string, processed string, prompt string, candidates map<string, array<string>>, choices map<string, string>, details array<struct<{DETAIL}>>, errors array<string>, effort struct<{EFFORT}>"
+DETAIL = "id int, abbreviation string, resolution string, tier string"
+RESULT = f"volume long, entry long, text string, processed string, prompt string, candidates map<string, array<string>>, choices map<string, string>, details array<struct<{DETAIL}>>, errors array<string>, effort struct<{EFFORT}>"
 TASKS = {
     2: "Choose one of the candidates for every marked abbreviation.",
     3: "Expand every marked abbreviation to one word, or answer SKIP.",
@@ -206,11 +206,11 @@ def asked(step: int, chooser: Chooser, text: str, occurrences, listed, attempts:
 
 
 def chosen(entries: DataFrame, step: int, chooser: Chooser, attempts: int = ATTEMPTS) -> DataFrame:
-    """Decisions for entries (volume, nr_RG, text, occurrences, candidates).
+    """Decisions for entries (volume, entry, text, occurrences, candidates).
 
     A null list of occurrences means that the entry must not be touched (its alignment failed).
     """
-    own = entries.select("volume", "nr_RG", "text", "occurrences", "candidates")
+    own = entries.select("volume", "entry", "text", "occurrences", "candidates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,8 +222,8 @@ def chosen(entries: DataFrame, step: int, chooser: Chooser, attempts: int = ATTE
                 made = asked(step, chooser, text, found, listed, attempts)
                 if r.occurrences is None:
                     made["errors"] = ["Alignment failed: the text was not made by substitution alone"]
-                rows.append({"volume": r.volume, "nr_RG": r.nr_RG, "text": r.text, **made})
-            yield pd.DataFrame(rows, columns="volume nr_RG text processed prompt candidates choices details errors effort".split())
+                rows.append({"volume": r.volume, "entry": r.entry, "text": r.text, **made})
+            yield pd.DataFrame(rows, columns="volume entry text processed prompt candidates choices details errors effort".split())
 
     return own.mapInPandas(run, RESULT)
 
@@ -236,10 +236,10 @@ def step2(texts: DataFrame, glossary: DataFrame, chooser: Chooser) -> DataFrame:
 def step3(texts: DataFrame, corpus: DataFrame, chooser: Chooser) -> DataFrame:
     """Choose among corpus words that go on where an abbreviation stops."""
     found = texts.withColumn("occurrences", spans.located_remaining("text"))
-    own = found.select("volume", "nr_RG", F.explode("occurrences.abbreviation").alias("abbreviation")).distinct()
+    own = found.select("volume", "entry", F.explode("occurrences.abbreviation").alias("abbreviation")).distinct()
     mined = scan.mined_candidates(own, scan.vocabulary(corpus))
     listed = mined.groupBy("abbreviation").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "candidate"))), lambda c: c.candidate).alias("c"))
-    maps = own.join(listed, "abbreviation").groupBy("volume", "nr_RG").agg(F.map_from_entries(F.collect_list(F.struct("abbreviation", "c"))).alias("candidates"))
+    maps = own.join(listed, "abbreviation").groupBy("volume", "entry").agg(F.map_from_entries(F.collect_list(F.struct("abbreviation", "c"))).alias("candidates"))
     return chosen(found.join(maps, vita.KEY, "left"), 3, chooser)
 
 
@@ -265,7 +265,7 @@ def step4(texts: DataFrame, originals: DataFrame, entries: DataFrame, corpus: Da
 
 
 def assembled(stage: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The next stage (volume, nr_RG, text): processed texts, and entries that were not among them."""
+    """The next stage (volume, entry, text): processed texts, and entries that were not among them."""
     done = decisions.select(*vita.KEY, F.col("processed").alias("text"))
     return done.unionByName(stage.select(*vita.KEY, "text").join(done, vita.KEY, "left_anti"))
 

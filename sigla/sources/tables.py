@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..schema import MANIFEST, RAW, REGESTS, VITAE
 
 CSV = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
-DECISIONS = "volume long, nr_RG long, text string, candidates map<string, array<string>>, choices map<string, string>, errors array<string>, effort struct<tries int, server_retries int, readable boolean, seconds double>"
+DECISIONS = "volume long, entry long, text string, candidates map<string, array<string>>, choices map<string, string>, errors array<string>, effort struct<tries int, server_retries int, readable boolean, seconds double>"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -100,7 +100,7 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str = DECISIONS) ->
     checked = F.when(bad, F.raise_error(F.concat(F.lit("unreadable line in "), F.col("file"))).cast("long")).otherwise(F.col("r.volume"))
     name = lambda c: F.substring_index(c, "/", -1)
     own = own.join(modified, name(F.col("file")) == name(F.col("file_")))
-    newest = F.row_number().over(Window.partitionBy("volume", "r.nr_RG").orderBy(F.desc("at"), F.desc("file"), F.desc("line")))
+    newest = F.row_number().over(Window.partitionBy("volume", "r.entry").orderBy(F.desc("at"), F.desc("file"), F.desc("line")))
     own = own.withColumn("volume", checked).withColumn("k", newest).where("k = 1")
     return own.select("volume", *[F.col(f"r.{f.split(' ')[0]}") for f in _split(schema)[1:]])
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text
-from .schema import RAW, RG
+from .schema import RAW, PLACES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str, volumes: int = 10) -> DataFrame:
-    """documents as entries of ten volumes, or of nine: rules exist for nine, and expansion drops others."""
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") % volumes + 1).alias("volume"), F.col("doc_id").alias("nr_RG"), "text")
+    """documents as entries of ten volumes, or of nine: rules exist for nine, and resolution drops others."""
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") % volumes + 1).alias("volume"), F.col("doc_id").alias("entry"), "text")
 
 
-CORPUS = "(SELECT doc_id % 10 + 1 AS volume, doc_id AS nr_RG, text FROM documents)"
+CORPUS = "(SELECT doc_id % 10 + 1 AS volume, doc_id AS entry, text FROM documents)"
 
 
 def regests(spark: SparkSession, sf_dir: str, volumes: int = 10) -> DataFrame:
@@ -29,12 +29,12 @@ def regests(spark: SparkSession, sf_dir: str, volumes: int = 10) -> DataFrame:
     line = F.regexp_replace("text", "\n", " ")
     rows = table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") % volumes + 1).alias("volume"),
-        F.col("conv_id").alias("nr_RG"),
-        F.col("turn").alias("nr_suffix"),
-        F.when(F.col("turn") == 0, line).alias("header_no_tags"),
-        F.when(F.col("turn") > 0, line).alias("regest_no_tags"),
+        F.col("conv_id").alias("entry"),
+        F.col("turn").alias("line_no"),
+        F.when(F.col("turn") == 0, line).alias("head_text"),
+        F.when(F.col("turn") > 0, line).alias("body_text"),
     )
-    return rows.withColumn("id_RG_all", F.format_string("1%02d%05d-%d", "volume", "nr_RG", "nr_suffix"))
+    return rows.withColumn("line_id", F.format_string("1%02d%05d-%d", "volume", "entry", "line_no"))
 
 
 LINE = "replace(text, chr(10), ' ')"
@@ -46,23 +46,23 @@ def _cells(**given: str) -> tuple:
 
 #: A dictionary of toy rows: continuation rows, alternatives, marks, volumes, other abbreviations.
 RAW_ROWS = [
-    _cells(abbr="eccl.", expansion="ecclesia", stem="ecclesi -e", declension="a", RG1="eccl.", RG2="eccl.; ecl.", RG3="eccl."),
-    _cells(abbr="", expansion="ecclesiasticus", RG4="eccl."),
-    _cells(abbr="dioc.", expansion="diocesis", stem="dioces -is", declension="i"),
-    _cells(abbr="d.", expansion="dominus; dictus", RG1="d.", RG5="d."),
-    _cells(abbr="nat.", expansion="natalis (def.)", RG2="nat."),
-    _cells(abbr="def. nat. s. c.", expansion="defectus natalium (de soluto)", RG7="def. nat. s. c."),
-    _cells(abbr="op.", expansion="oppidum ?", RG1="op.", RG2="oppidum"),
-    _cells(abbr="decl.", expansion="declinare (dekliniert)", RG1="decl."),
-    _cells(abbr="x.", expansion="?"),
-    _cells(abbr="y.", expansion="cf.: z."),
-    _cells(abbr="S.", expansion="sanctus", RG1="S.; SS."),
-    _cells(abbr="s.", expansion="sanctus", RG2="s."),
-    _cells(abbr="s.", expansion="Sanctus", RG3="s.", notes="again"),
-    _cells(abbr="prep.", expansion="prepositus", stem="preposit -i", declension="o", RG1="prep.", RG2="prep."),
-    _cells(abbr="prep.", expansion="prepositura", stem="prepositur -e", declension="a", RG2="prep.", RG3="prep."),
-    _cells(abbr="th.", expansion="theologia", RG1="th.", RG8="th."),
-    _cells(abbr="en.", expansion="enim", RG2="en."),
+    _cells(abbr="eccl.", resolution="ecclesia", stem="ecclesi -e", declension="a", in_1="eccl.", in_2="eccl.; ecl.", in_3="eccl."),
+    _cells(abbr="", resolution="ecclesiasticus", in_4="eccl."),
+    _cells(abbr="dioc.", resolution="diocesis", stem="dioces -is", declension="i"),
+    _cells(abbr="d.", resolution="dominus; dictus", in_1="d.", in_5="d."),
+    _cells(abbr="nat.", resolution="natalis (def.)", in_2="nat."),
+    _cells(abbr="def. nat. s. c.", resolution="defectus natalium (de soluto)", in_7="def. nat. s. c."),
+    _cells(abbr="op.", resolution="oppidum ?", in_1="op.", in_2="oppidum"),
+    _cells(abbr="decl.", resolution="declinare (dekliniert)", in_1="decl."),
+    _cells(abbr="x.", resolution="?"),
+    _cells(abbr="y.", resolution="cf.: z."),
+    _cells(abbr="S.", resolution="sanctus", in_1="S.; SS."),
+    _cells(abbr="s.", resolution="sanctus", in_2="s."),
+    _cells(abbr="s.", resolution="Sanctus", in_3="s.", notes="again"),
+    _cells(abbr="prep.", resolution="prepositus", stem="preposit -i", declension="o", in_1="prep.", in_2="prep."),
+    _cells(abbr="prep.", resolution="prepositura", stem="prepositur -e", declension="a", in_2="prep.", in_3="prep."),
+    _cells(abbr="th.", resolution="theologia", in_1="th.", in_8="th."),
+    _cells(abbr="en.", resolution="enim", in_2="en."),
 ]
 
 
@@ -81,12 +81,12 @@ def values(rows, names: list[str]) -> str:
 RAW_SQL = values([(*r, k) for k, r in enumerate(RAW_ROWS)], [*RAW, "row_order"])
 
 
-def _clean(abbr: str, expansion: str, volumes: str, complex_: bool, *rg: int, stem=None, declension=None) -> tuple:
-    return (abbr, expansion, stem, declension, *[abbr if v in rg else None for v in range(1, 10)], volumes, complex_)
+def _clean(abbr: str, resolution: str, volumes: str, complex_: bool, *rg: int, stem=None, declension=None) -> tuple:
+    return (abbr, resolution, stem, declension, *[abbr if v in rg else None for v in range(1, 10)], volumes, complex_)
 
 
 #: A clean glossary: rules for every volume, for some, ambiguous ones, and complex entries.
-CLEAN_NAMES = ["abbr", "expansion", "stem", "declension", *RG, "volumes", "complex"]
+CLEAN_NAMES = ["abbr", "resolution", "stem", "declension", *PLACES, "volumes", "complex"]
 CLEAN_ROWS = [
     _clean("the.", "theologus", "1|2", False),
     _clean("of.", "officium", "1|2|3", False, 1, 2, 3),
@@ -109,11 +109,11 @@ def glossary(spark: SparkSession, sf_dir: str = "") -> DataFrame:
 
 
 def dioceses(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    return spark.createDataFrame(DIOCESES, "abbreviation string, expansion string")
+    return spark.createDataFrame(DIOCESES, "abbreviation string, resolution string")
 
 
 CLEAN_SQL = values(CLEAN_ROWS, CLEAN_NAMES)
-DIOCESE_SQL = values(DIOCESES, ["abbreviation", "expansion"])
+DIOCESE_SQL = values(DIOCESES, ["abbreviation", "resolution"])
 
 MORPHOLOGY = [
     ("ecclesia", "ecclesi -e", "a"),
@@ -133,7 +133,7 @@ MORPHOLOGY = [
 
 
 def morphology(spark: SparkSession, sf_dir: str = "") -> DataFrame:
-    return spark.createDataFrame(MORPHOLOGY, "expansion string, stem string, declension string")
+    return spark.createDataFrame(MORPHOLOGY, "resolution string, stem string, declension string")
 
 
 def mined_rules(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
@@ -143,11 +143,11 @@ def mined_rules(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
     counts = scan.abbreviation_counts(corpus(spark, sf_dir), "text", most=1)
     best = scan.top(counts, "n", "abbreviation", most).select("abbreviation")
     word = F.rtrim(F.col("abbreviation"), F.lit("."))
-    return best.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("volume"), F.col("abbreviation").alias("abbr"), F.concat(F.lit("<"), word, F.lit(">")).alias("expansion"), F.lit(1).alias("parts"))
+    return best.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("volume"), F.col("abbreviation").alias("abbr"), F.concat(F.lit("<"), word, F.lit(">")).alias("resolution"), F.lit(1).alias("parts"))
 
 
 W = r"[\p{L}\p{M}\p{N}_]"
-MINED_SQL = f"(SELECT a AS abbr, '<' || rtrim(a, '.') || '>' AS expansion FROM (SELECT unnest(regexp_extract_all(text, '{W}+\\.')) AS a FROM documents) GROUP BY a ORDER BY count(*) DESC, a LIMIT 300)"
+MINED_SQL = f"(SELECT a AS abbr, '<' || rtrim(a, '.') || '>' AS resolution FROM (SELECT unnest(regexp_extract_all(text, '{W}+\\.')) AS a FROM documents) GROUP BY a ORDER BY count(*) DESC, a LIMIT 300)"
 
 
 def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,14 +156,14 @@ def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     Which stage settles an occurrence, and how well, follows from a word's length and letters.
     """
     docs = corpus(spark, sf_dir)
-    rows = docs.select("volume", "nr_RG", F.posexplode(text.remaining(F.col("text"))).alias("pos", "abbr"))
+    rows = docs.select("volume", "entry", F.posexplode(text.remaining(F.col("text"))).alias("pos", "abbr"))
     stem = F.rtrim(F.col("abbr"), F.lit("."))
     n = F.length("abbr") + F.col("pos")
     gold = F.when(n % 11 == 0, F.lit(None)).when(n % 13 == 0, F.col("abbr")).otherwise(F.concat(stem, F.lit("ia")))
     good = F.when(n % 5 == 0, F.concat(stem, F.lit("ie"))).when(n % 7 == 0, F.concat(stem, F.lit("ya"))).when(n % 17 == 0, F.lit("aliud")).otherwise(F.concat(stem, F.lit("ia")))
     stage = lambda k: F.when(n % 4 < k, F.when(F.lit(k == 4), good).otherwise(F.concat(stem, F.lit("ia")))).when(n % 19 == 0, F.lit(None)).otherwise(F.col("abbr"))
-    rows = rows.withColumn("gold", gold).withColumn("expansions", F.array(*[stage(k) for k in range(1, 5)]))
-    return rows.select("volume", "nr_RG", "pos", "abbr", "gold", F.posexplode("expansions").alias("k", "expansion")).select("volume", "nr_RG", "pos", "abbr", "gold", (F.col("k") + 1).alias("stage"), "expansion")
+    rows = rows.withColumn("gold", gold).withColumn("resolutions", F.array(*[stage(k) for k in range(1, 5)]))
+    return rows.select("volume", "entry", "pos", "abbr", "gold", F.posexplode("resolutions").alias("k", "resolution")).select("volume", "entry", "pos", "abbr", "gold", (F.col("k") + 1).alias("stage"), "resolution")
 
 
 def lemmas(spark: SparkSession) -> DataFrame:
@@ -174,15 +174,15 @@ def lemmas(spark: SparkSession) -> DataFrame:
 
 
 MANIFESTS = [
-    ("base", 1, None, None, "data/step1.csv"),
-    ("base", 2, "m1", "data/step1.csv", "data/runs/base/step2.csv"),
-    ("base", 3, "m1", "data/runs/base/step2.csv", "data/runs/base/step3.csv"),
-    ("base", 4, "m1", "data/runs/base/step3.csv", "data/runs/base/step4.csv"),
-    ("fork", 2, "m2", "data/step1.csv", "data/runs/fork/step2.csv"),
-    ("fork", 3, "m2", "data/runs/base/step2.csv", "data/runs/fork/step3.csv"),
-    ("lost", 3, "m3", "data/runs/gone/step2.csv", "data/runs/lost/step3.csv"),
-    ("loop", 2, "m4", "data/runs/loop/step3.csv", "data/runs/loop/step2.csv"),
-    ("loop", 3, "m4", "data/runs/loop/step2.csv", "data/runs/loop/step3.csv"),
+    ("base", 1, None, None, "base/step1.csv"),
+    ("base", 2, "m1", "base/step1.csv", "runs/base/step2.csv"),
+    ("base", 3, "m1", "runs/base/step2.csv", "runs/base/step3.csv"),
+    ("base", 4, "m1", "runs/base/step3.csv", "runs/base/step4.csv"),
+    ("fork", 2, "m2", "base/step1.csv", "runs/fork/step2.csv"),
+    ("fork", 3, "m2", "runs/base/step2.csv", "runs/fork/step3.csv"),
+    ("lost", 3, "m3", "runs/gone/step2.csv", "runs/lost/step3.csv"),
+    ("loop", 2, "m4", "runs/loop/step3.csv", "runs/loop/step2.csv"),
+    ("loop", 3, "m4", "runs/loop/step2.csv", "runs/loop/step3.csv"),
 ]
 MANIFEST_NAMES = ["run", "step", "model", "input", "output"]
 

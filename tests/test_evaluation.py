@@ -17,19 +17,19 @@ STAGES = [
 
 
 def frame(spark, text):
-    return spark.createDataFrame([(2, 370, text), (2, 371, "only here")], "volume long, nr_RG long, text string")
+    return spark.createDataFrame([(2, 370, text), (2, 371, "only here")], "volume long, entry long, text string")
 
 
 def scored(spark):
-    glossary = spark.createDataFrame([("aep.", "archiepiscopus", "archiepiscop -i", "o"), ("eccl.", "ecclesia", "ecclesi -e", "a")], "abbr string, expansion string, stem string, declension string")
-    stages = [frame(spark, s).where("nr_RG = 370 or " + str(k == 0).lower()) for k, s in enumerate(STAGES)]
+    glossary = spark.createDataFrame([("aep.", "archiepiscopus", "archiepiscop -i", "o"), ("eccl.", "ecclesia", "ecclesi -e", "a")], "abbr string, resolution string, stem string, declension string")
+    stages = [frame(spark, s).where("entry = 370 or " + str(k == 0).lower()) for k, s in enumerate(STAGES)]
     found = evaluation.evaluated(frame(spark, SOURCE), frame(spark, GOLD), stages, glossary, stand_in.dioceses(spark))
     return found, glossary, stages
 
 
 def test_texts_to_verdicts(spark):
     found, glossary, stages = scored(spark)
-    got = {(r.abbr, r.stage): (r.expansion, r.verdict, r.step) for r in found.collect()}
+    got = {(r.abbr, r.stage): (r.resolution, r.verdict, r.step) for r in found.collect()}
     assert {k[0] for k in got} == {"conc.", "aep.", "etc.", "eccl.", "mai.", "apr."}
     assert got["aep.", 1] == ("archiepiscopus", "exact", 4) and got["aep.", 4][1] == "wrong_form"
     assert got["etc.", 2][:2] == ("prepositus et canonici", "exact")
@@ -45,11 +45,11 @@ def test_reports(spark):
     baseline = spark.createDataFrame([(4, 0.5, 0.5)], "stage int, word_accuracy double, form_accuracy double")
     told = reports.evaluation(found, offers, index, baseline)
     assert all(f"## {t}" in told for t in ("Stages", "Deciding steps", "Candidates", "Potential gains", "Against the baseline")) and " %" in told
-    texts = spark.createDataFrame([(3, 1, "of. de. x")], "volume long, nr_RG long, text string")
+    texts = spark.createDataFrame([(3, 1, "of. de. x")], "volume long, entry long, text string")
     done = steps.step2(texts, stand_in.glossary(spark), steps.FirstCandidate())
     assert "officialis" in reports.step(done) and "| choice | 2 |" in reports.step(done)
     listed = rules.by_volume(rules.load(stand_in.glossary(spark), stand_in.dioceses(spark)))
     after = rules.expand(texts, rules.unambiguous(listed), "text")
-    assert "| de. | 1 | 1 |" in reports.expansion(texts, after, listed, stand_in.glossary(spark), "text")
+    assert "| de. | 1 | 1 |" in reports.resolution(texts, after, listed, stand_in.glossary(spark), "text")
     lines = tei.lines(texts.withColumn("new", F.replace("text", F.lit("de."), F.lit("decanus"))), "text", ["new"])
     assert "| accepted | 1 | 1 |" in reports.markup(lines)

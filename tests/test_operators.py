@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigla import stand_in
 from sigla.functions import morphology
 from sigla.operators import candidates, glossary, lexicon, rules, runs, scan, score, tei, vita
-from sigla.schema import RAW, REGESTS, RG
+from sigla.schema import RAW, REGESTS, PLACES
 
 
 def rows(df, *columns):
@@ -30,7 +30,7 @@ def test_texts_and_rows_are_inverse(spark):
     assert rows(texts) == [(1, 37, "head\nfirst\nsecond"), (9, 5, "only")]
     assert rows(vita.to_rows(texts)) == sorted(given, key=str)
     with pytest.raises(Exception, match="not exactly one header"):
-        vita.to_texts(df.where("nr_suffix > 0")).collect()
+        vita.to_texts(df.where("line_no > 0")).collect()
 
 
 def in_turn(text, *given):
@@ -53,7 +53,7 @@ def in_turn(text, *given):
 def test_rules(spark, text, given, wanted):
     assert in_turn(text, *given) == (wanted, wanted)
     df = spark.createDataFrame([(1, text), (10, text), (2, None)], "volume long, text string")
-    table = spark.createDataFrame([(1, *g) for g in given], "volume long, abbr string, expansion string, parts int")
+    table = spark.createDataFrame([(1, *g) for g in given], "volume long, abbr string, resolution string, parts int")
     want = [(1, wanted), (2, None)]
     assert rows(rules.expand(df, table, "text")) == want
     assert rows(rules.expand_by_expressions(df, table, "text")) == want
@@ -90,19 +90,19 @@ def normal(spark, **given):
 
 
 def test_unusable_rows_and_marks(spark):
-    assert normal(spark, abbr="a. ", expansion="?") == [] == normal(spark, abbr="b.", expansion="cf.: c.")
-    (r,) = normal(spark, abbr="omn.  ss.", expansion=" Omnium  sanctorum ;")
-    assert (r.abbr, r.expansion, r.multi) == ("omn. ss.", "Omnium sanctorum", True)
-    assert [(r.expansion, r.multi) for r in normal(spark, abbr="adh.", expansion="adherens; adherentes")] == [("adherens", True), ("adherentes", True)]
-    (r,) = normal(spark, abbr="off.", expansion="officium ?", notes="n")
-    assert r.expansion == "officium" and r.notes.startswith("n; ") and "?" in r.notes
-    (r,) = normal(spark, abbr="fratr.", expansion="frater (dekliniert)")
-    assert (r.expansion, r.forced) == ("frater", True) and "dekliniert" in r.notes
-    assert normal(spark, abbr="opid.", expansion="(opidum)")[0].expansion == "opidum"
+    assert normal(spark, abbr="a. ", resolution="?") == [] == normal(spark, abbr="b.", resolution="cf.: c.")
+    (r,) = normal(spark, abbr="omn.  ss.", resolution=" Omnium  sanctorum ;")
+    assert (r.abbr, r.resolution, r.multi) == ("omn. ss.", "Omnium sanctorum", True)
+    assert [(r.resolution, r.multi) for r in normal(spark, abbr="adh.", resolution="adherens; adherentes")] == [("adherens", True), ("adherentes", True)]
+    (r,) = normal(spark, abbr="off.", resolution="officium ?", notes="n")
+    assert r.resolution == "officium" and r.notes.startswith("n; ") and "?" in r.notes
+    (r,) = normal(spark, abbr="fratr.", resolution="frater (dekliniert)")
+    assert (r.resolution, r.forced) == ("frater", True) and "dekliniert" in r.notes
+    assert normal(spark, abbr="opid.", resolution="(opidum)")[0].resolution == "opidum"
 
 
 @pytest.mark.parametrize(
-    "abbr, expansion, wanted, notes",
+    "abbr, resolution, wanted, notes",
     [
         ("nat.", "natalis (def.)", "natalis", "def."),
         ("sign.", "(sola) signatura", "signatura", "sola"),
@@ -111,19 +111,19 @@ def test_unusable_rows_and_marks(spark):
         ("d. n. s. c.", "defectus natalium (de soluto)", "defectus natalium de soluto", ""),
     ],
 )
-def test_brackets(spark, abbr, expansion, wanted, notes):
-    (r,) = normal(spark, abbr=abbr, expansion=expansion)
-    assert (r.expansion, r.notes) == (wanted, notes)
+def test_brackets(spark, abbr, resolution, wanted, notes):
+    (r,) = normal(spark, abbr=abbr, resolution=resolution)
+    assert (r.resolution, r.notes) == (wanted, notes)
 
 
 def test_volume_cells(spark):
     given = [
-        {"abbr": "abb.", "expansion": "abbas", "RG1": "abb.", "RG2": "abb.; abbas"},
-        {"abbr": "apr.", "expansion": "aprilis", "RG4": "apr.; april.", "RG5": "apr."},
-        {"abbr": "abol.", "expansion": "abolere", "RG1": "abolitio", "RG2": "ab."},
-        {"abbr": "apl.", "expansion": "apostolus", "RG1": "Ap."},
+        {"abbr": "abb.", "resolution": "abbas", "in_1": "abb.", "in_2": "abb.; abbas"},
+        {"abbr": "apr.", "resolution": "aprilis", "in_4": "apr.; april.", "in_5": "apr."},
+        {"abbr": "abol.", "resolution": "abolere", "in_1": "abolitio", "in_2": "ab."},
+        {"abbr": "apl.", "resolution": "apostolus", "in_1": "Ap."},
     ]
-    got = rows(glossary.volume_cells(raw(spark, *given)), "abbr", "expansion", "rg_mismatch", "RG1", "RG2", "RG4", "RG5")
+    got = rows(glossary.volume_cells(raw(spark, *given)), "abbr", "resolution", "foreign", "in_1", "in_2", "in_4", "in_5")
     assert got == [
         ("Ap.", "Apostolus", False, "Ap.", "", "", ""),
         ("abb.", "abbas", False, "abb.", "abb.", "", ""),
@@ -135,7 +135,7 @@ def test_volume_cells(spark):
 
 
 @pytest.mark.parametrize(
-    "abbr, expansion, counts, wanted",
+    "abbr, resolution, counts, wanted",
     [
         ("opp.", "op(p)idum", {}, ["oppidum"]),
         ("mart.", "mart[iy]r", {}, ["martir"]),
@@ -151,29 +151,29 @@ def test_volume_cells(spark):
         ("s. s.", "sedes sancta", {}, ["sedes sancta"]),
     ],
 )
-def test_variants(abbr, expansion, counts, wanted):
-    assert glossary.resolve(abbr, expansion, counts) == wanted
+def test_variants(abbr, resolution, counts, wanted):
+    assert glossary.resolve(abbr, resolution, counts) == wanted
 
 
 def test_merging(spark):
     given = [
-        {"abbr": "S.", "expansion": "sanctus", "RG1": "S.", "notes": ""},
-        {"abbr": "S.", "expansion": "Sanctus", "RG1": "S.; x.", "RG2": "S.", "notes": "n"},
-        {"abbr": "s.", "expansion": "sanctus"},
+        {"abbr": "S.", "resolution": "sanctus", "in_1": "S.", "notes": ""},
+        {"abbr": "S.", "resolution": "Sanctus", "in_1": "S.; x.", "in_2": "S.", "notes": "n"},
+        {"abbr": "s.", "resolution": "sanctus"},
     ]
-    got = rows(glossary.merged(raw(spark, *given)), "abbr", "expansion", "RG1", "RG2", "notes")
+    got = rows(glossary.merged(raw(spark, *given)), "abbr", "resolution", "in_1", "in_2", "notes")
     assert got == [("S.", "Sanctus", "S.; x.", "S.", "n"), ("s.", "sanctus", "", "", "")]
 
 
 def test_corrections_go_in_turn_and_must_fit(spark):
-    base = raw(spark, {"abbr": "a.", "expansion": "x"}, {"abbr": "", "expansion": "y"}, {"abbr": "b.", "expansion": "z"})
+    base = raw(spark, {"abbr": "a.", "resolution": "x"}, {"abbr": "", "resolution": "y"}, {"abbr": "b.", "resolution": "z"})
     edits = [
-        glossary.Correction({"abbr": "a."}, put={"expansion": "xx"}),
-        glossary.Correction({"expansion": "xx"}, put={"notes": "twice"}, insert=[{"abbr": "c.", "expansion": "new"}], complex=True),
+        glossary.Correction({"abbr": "a."}, put={"resolution": "xx"}),
+        glossary.Correction({"resolution": "xx"}, put={"notes": "twice"}, insert=[{"abbr": "c.", "resolution": "new"}], complex=True),
         glossary.Correction({"abbr": "b."}, delete=True),
     ]
-    got = glossary.corrected(base, edits, [{"abbr": "d.", "expansion": "last"}]).orderBy("row_order").collect()
-    assert [(r.abbr, r.expansion, r.notes, r.forced, r.added) for r in got] == [("a.", "xx", "twice", True, False), ("c.", "new", "", False, False), ("", "y", "", False, False), ("d.", "last", "", False, True)]
+    got = glossary.corrected(base, edits, [{"abbr": "d.", "resolution": "last"}]).orderBy("row_order").collect()
+    assert [(r.abbr, r.resolution, r.notes, r.forced, r.added) for r in got] == [("a.", "xx", "twice", True, False), ("c.", "new", "", False, False), ("", "y", "", False, False), ("d.", "last", "", False, True)]
     with pytest.raises(ValueError, match="stale"):
         glossary.corrected(base, [glossary.Correction({"abbr": "gone"})])
 
@@ -181,11 +181,11 @@ def test_corrections_go_in_turn_and_must_fit(spark):
 def test_whole_extraction(spark):
     docs = spark.createDataFrame([(1, "eccl. dioc. op. s. S. prep. SS."), (3, "eccl. s. oppidum oppidi"), (10, "d. nat.")], "volume long, text string")
     clean, review = glossary.extract(stand_in.raw_glossary(spark), docs)
-    got = {(r.abbr, r.expansion): r for r in clean.collect()}
+    got = {(r.abbr, r.resolution): r for r in clean.collect()}
     assert got["eccl.", "ecclesia"].volumes == "1|3" and not got["eccl.", "ecclesia"].complex
     assert got["prep.", "prepositura"].declension == "a" and got["nat.", "natalis"].notes == "def."
     assert ("th.", "theologia") not in got and ("d.", "dictus") in got and got["d.", "dictus"].complex
-    assert got["s.", "Sanctus" if ("s.", "Sanctus") in got else "sanctus"].RG3 == "s."
+    assert got["s.", "Sanctus" if ("s.", "Sanctus") in got else "sanctus"].in_3 == "s."
     assert ("SS.", "Sanctus") in got or ("SS.", "sanctus") in got
     assert review.count() == 0
 
@@ -194,7 +194,7 @@ def test_whole_extraction(spark):
 
 
 def forms_of(spark, *entry):
-    df = spark.createDataFrame([entry], "expansion string, stem string, declension string")
+    df = spark.createDataFrame([entry], "resolution string, stem string, declension string")
     return {r.form for r in lexicon.entry_forms(df).collect()}
 
 
@@ -233,11 +233,11 @@ def test_inflectional_variants(spark):
 
 
 def test_candidates_and_choices(spark):
-    texts = spark.createDataFrame([(3, 1, "of. de. of. the."), (1, 2, "of. de."), (5, 3, None)], "volume long, nr_RG long, text string")
+    texts = spark.createDataFrame([(3, 1, "of. de. of. the."), (1, 2, "of. de."), (5, 3, None)], "volume long, entry long, text string")
     offered = candidates.of_entries(texts, stand_in.glossary(spark))
     assert rows(offered) == [(1, 2, "de.", ["decanus"]), (3, 1, "de.", ["decanus"]), (3, 1, "of.", ["officialis", "officium"])]
     own = candidates.first_choices(candidates.prompts(candidates.with_occurrences(texts, offered)))
-    got = {r.nr_RG: r for r in own.collect()}
+    got = {r.entry: r for r in own.collect()}
     assert got[1].expanded == "officialis decanus officialis the." and got[1].marked == "[[1|of.]] [[2|de.]] [[3|of.]] the."
     assert "- [[2]] de.: decanus" in got[1].prompt and got[3].expanded == ""
     assert rows(candidates.clashes(stand_in.glossary(spark))) == [("de.",)] or candidates.clashes(stand_in.glossary(spark)).count() == 0
@@ -257,8 +257,8 @@ STAGES = ["conc. indulg. ecclesia mai. 26 apr. 1394", "concessio indulgentia ecc
 
 @pytest.fixture
 def scored(spark):
-    texts = spark.createDataFrame([(2, 370, "conc. indulg. eccl. mai. 26 apr. 1394", "concessio indulgentie ecclesie maiori 26 apr. 1394", STAGES)], "volume long, nr_RG long, source string, gold string, stages array<string>")
-    entries = spark.createDataFrame([("ecclesia", "ecclesi -e", "a"), ("ordo", "ordin -is", "kons.")], "expansion string, stem string, declension string")
+    texts = spark.createDataFrame([(2, 370, "conc. indulg. eccl. mai. 26 apr. 1394", "concessio indulgentie ecclesie maiori 26 apr. 1394", STAGES)], "volume long, entry long, source string, gold string, stages array<string>")
+    entries = spark.createDataFrame([("ecclesia", "ecclesi -e", "a"), ("ordo", "ordin -is", "kons.")], "resolution string, stem string, declension string")
     index = lexicon.lemma_index(entries)
     return score.with_steps(score.with_verdicts(score.aligned_occurrences(texts), index)).cache(), index
 
@@ -280,7 +280,7 @@ def test_rollups(scored, spark):
     offers = spark.createDataFrame([("eccl.", 4, "ecclesia"), ("indulg.", 4, "aliud"), ("conc.", 2, "nothing")], "abbr string, step int, candidate string")
     got = {r.step: r for r in score.candidate_summary(rows_, offers, index).collect()}
     assert (got[4].offered, got[4].n_covered, got[4].beyond) == (2, 1, 1) and got[2].choice_accuracy == 0.0
-    errors = spark.createDataFrame([(2, 370, "eccl.", "ecclesie")], "volume long, nr_RG long, abbr string, gold string")
+    errors = spark.createDataFrame([(2, 370, "eccl.", "ecclesie")], "volume long, entry long, abbr string, gold string")
     assert score.without_gold_errors(rows_, errors).where("abbr = 'eccl.'").count() == 0
     with pytest.raises(ValueError, match="match nothing"):
         score.without_gold_errors(rows_, errors.withColumn("abbr", F.lit("x.")))
@@ -291,7 +291,7 @@ VERDICTS = [("ordinis", "ordo", "wrong_form"), ("ecclesiam", "ecclesia", "wrong_
 
 def test_single_verdicts(spark, scored):
     _, index = scored
-    df = spark.createDataFrame([(k, g, e, v) for k, (g, e, v) in enumerate(VERDICTS)], "pos int, gold string, expansion string, want string")
+    df = spark.createDataFrame([(k, g, e, v) for k, (g, e, v) in enumerate(VERDICTS)], "pos int, gold string, resolution string, want string")
     assert rows(score.with_verdicts(df, index).where("verdict <> want")) == []
 
 
@@ -310,7 +310,7 @@ def test_runs(spark):
         with pytest.raises(LookupError, match=said):
             runs.only_run(own, name)
     path, inherited = runs.with_inherited(own, "new", 3, "base")
-    assert path == "data/runs/base/step2.csv" and rows(inherited, "run", "step") == [("new", 1), ("new", 2)]
+    assert path == "runs/base/step2.csv" and rows(inherited, "run", "step") == [("new", 1), ("new", 2)]
     with pytest.raises(LookupError, match="to build on"):
         runs.with_inherited(own, "fork", 5)
     with pytest.raises(ValueError):
@@ -349,11 +349,11 @@ def test_markup_reads_back(source, final, held):
     assert tei.readings(got["markup"]) == (source, final)
 
 
-def test_steps_of_an_expansion_and_entries(spark):
+def test_steps_of_an_resolution_and_entries(spark):
     got = tei.check("in eccl.", ["in eccl.", "in ecclesia", "in ecclesia", "in ecclesie"])
     assert 'resp="#step2 #step4"' in got["markup"]
     given = [(1, 5, 0, "10100005-0", "in eccl.", "in ecclesia"), (1, 5, 1, "10100005-1", "x", "x"), (1, 6, 0, "10100006-0", "y", "")]
-    df = spark.createDataFrame(given, "volume long, nr_RG long, nr_suffix long, id_RG_all string, old string, new string")
+    df = spark.createDataFrame(given, "volume long, entry long, line_no long, line_id string, old string, new string")
     marked = tei.lines(df, "old", ["new"])
     assert rows(tei.report(marked), "status", "regests") == [("accepted", 2), ("empty", 1)]
     document = tei.document_lines(tei.entries(marked), "A <title>", [{"step": 1, "model": None}])
@@ -365,4 +365,4 @@ def test_steps_of_an_expansion_and_entries(spark):
 
 
 def test_schema_has_nine_volumes():
-    assert len(RG) == 9
+    assert len(PLACES) == 9

@@ -17,41 +17,41 @@ TEXTS = [(3, 1, "of. de. x"), (1, 2, "nothing here"), (2, 3, None)]
 
 
 def entries(spark):
-    return spark.createDataFrame(TEXTS, "volume long, nr_RG long, text string")
+    return spark.createDataFrame(TEXTS, "volume long, entry long, text string")
 
 
 def test_choosing_among_candidates(spark):
-    got = {r.nr_RG: r for r in steps.step2(entries(spark), stand_in.glossary(spark), steps.FirstCandidate()).collect()}
+    got = {r.entry: r for r in steps.step2(entries(spark), stand_in.glossary(spark), steps.FirstCandidate()).collect()}
     assert got[1].processed == "officialis decanus x" and got[1].choices == {"1": "officialis", "2": "decanus"}
     assert got[2].processed == "nothing here" and got[2].prompt is None and got[2].effort.tries == 0
 
 
 def test_asking_again_and_giving_up(spark):
     script = steps.Scripted({"of. de. x": ["nonsense", "{broken", '{"1": "officium", "9": "x"}']})
-    got = {r.nr_RG: r for r in steps.step2(entries(spark), stand_in.glossary(spark), script).collect()}
+    got = {r.entry: r for r in steps.step2(entries(spark), stand_in.glossary(spark), script).collect()}
     assert got[1].processed == "officium de. x" and got[1].effort.tries == 3 and got[1].effort.readable
     assert {e.split(":")[0] for e in got[1].errors} == {"Missing", "Unknown id"}
-    never = {r.nr_RG: r for r in steps.step2(entries(spark), stand_in.glossary(spark), steps.Scripted({}, "no")).collect()}
+    never = {r.entry: r for r in steps.step2(entries(spark), stand_in.glossary(spark), steps.Scripted({}, "no")).collect()}
     assert never[1].processed == "of. de. x" and never[1].effort.tries == steps.ATTEMPTS and not never[1].effort.readable
 
 
 def test_mined_and_inflected_steps(spark):
-    corpus = spark.createDataFrame([(1, 1, "ecclesia ecclesia ecclesie ecclesie ecclesie decanus decanus")], "volume long, nr_RG long, text string")
-    texts = spark.createDataFrame([(1, 7, "in eccl. et dec. zz."), (1, 8, "gone word")], "volume long, nr_RG long, text string")
+    corpus = spark.createDataFrame([(1, 1, "ecclesia ecclesia ecclesie ecclesie ecclesie decanus decanus")], "volume long, entry long, text string")
+    texts = spark.createDataFrame([(1, 7, "in eccl. et dec. zz."), (1, 8, "gone word")], "volume long, entry long, text string")
     third = steps.step3(texts, corpus, steps.FirstCandidate())
-    got = {r.nr_RG: r for r in third.collect()}
+    got = {r.entry: r for r in third.collect()}
     assert got[7].processed == "in ecclesie et decanus zz." and [d.tier for d in got[7].details] == ["suggestion", "suggestion", "missing"]
-    lemma = spark.createDataFrame([("ecclesie", "ecclesi -e", "a"), ("decanus", "decan -i", "o")], "expansion string, stem string, declension string")
+    lemma = spark.createDataFrame([("ecclesie", "ecclesi -e", "a"), ("decanus", "decan -i", "o")], "resolution string, stem string, declension string")
     stage = steps.assembled(texts, third).withColumn("text", F.replace("text", F.lit("gone"), F.lit("other")))
-    fourth = {r.nr_RG: r for r in steps.step4(stage, texts, lemma, corpus, steps.Scripted({"in ecclesie et decanus zz.": ['{"1": "ecclesiam", "2": "decanus"}']})).collect()}
+    fourth = {r.entry: r for r in steps.step4(stage, texts, lemma, corpus, steps.Scripted({"in ecclesie et decanus zz.": ['{"1": "ecclesiam", "2": "decanus"}']})).collect()}
     assert fourth[7].processed == "in ecclesiam et decanus zz." and [d.tier for d in fourth[7].details] == ["changed", "kept"]
     assert fourth[8].errors[0].startswith("Alignment failed")
 
 
 def test_resuming(spark):
     process = lambda df: steps.step2(df, stand_in.glossary(spark), steps.FirstCandidate())
-    done = process(entries(spark).where("nr_RG = 1"))
-    assert sorted(r.nr_RG for r in steps.resumed(entries(spark), done, process).collect()) == [1, 2, 3]
+    done = process(entries(spark).where("entry = 1"))
+    assert sorted(r.entry for r in steps.resumed(entries(spark), done, process).collect()) == [1, 2, 3]
     assert vita.still_to_do(entries(spark), done, 1).count() == 1
 
 
@@ -86,7 +86,7 @@ def test_thinking_settings():
 
 def test_csv_round_trip_and_dry_run(spark, tmp_path):
     path = str(tmp_path / "vitae")
-    df = spark.createDataFrame([(1, 2, 'head\nline "quoted", x'), (3, 4, "ü")], "volume long, nr_RG long, text string")
+    df = spark.createDataFrame([(1, 2, 'head\nline "quoted", x'), (3, 4, "ü")], "volume long, entry long, text string")
     tables.write_csv(df, path)
     assert not os.path.exists(path)
     tables.write_csv(df, path, write=True, one_file=True)
@@ -98,24 +98,24 @@ def test_raw_glossary_keeps_order_and_asserts_its_header(spark, tmp_path):
     names = [f"c{k}" for k in range(17)]
     file.write_text("﻿" + ",".join(names) + "\n" + ' b. ,"x\ny"' + "," * 15 + "\na.,z" + "," * 15 + "\n", encoding="utf-8")
     got = tables.read_raw_glossary(spark, str(file), names).orderBy("row_order").collect()
-    assert [(r.abbr, r.expansion, r.RG1) for r in got] == [("b.", "x\ny", ""), ("a.", "z", "")]
+    assert [(r.abbr, r.resolution, r.in_1) for r in got] == [("b.", "x\ny", ""), ("a.", "z", "")]
     with pytest.raises(ValueError, match="header"):
         tables.read_raw_glossary(spark, str(file), names[::-1])
 
 
 def test_checkpoints(spark, tmp_path):
     path = str(tmp_path / "checkpoint")
-    schema = "volume long, nr_RG long, text string"
+    schema = "volume long, entry long, text string"
     tables.append_checkpoint(spark.createDataFrame([(1, 1, "old"), (1, 2, "b")], schema), path)
     tables.append_checkpoint(spark.createDataFrame([(1, 1, "new")], schema), path)
     file = next(f for f in sorted(os.listdir(path)) if f.endswith(".json") and os.path.getsize(f"{path}/{f}"))
     os.remove(f"{path}/.{file}.crc")  # of the file as Spark wrote it
     with open(f"{path}/{file}", "a") as out:
-        out.write('{"volume": 1, "nr_RG"')
-    got = {(r.nr_RG): r.text for r in tables.read_checkpoint(spark, path, schema).collect()}
+        out.write('{"volume": 1, "entry"')
+    got = {(r.entry): r.text for r in tables.read_checkpoint(spark, path, schema).collect()}
     assert got.keys() == {1, 2}
     with open(f"{path}/{file}", "a") as out:
-        out.write('\n{"volume": 5, "nr_RG": 5, "text": "after"}\n')
+        out.write('\n{"volume": 5, "entry": 5, "text": "after"}\n')
     with pytest.raises(Exception, match="unreadable line"):
         tables.read_checkpoint(spark, path, schema).collect()
 
@@ -123,7 +123,7 @@ def test_checkpoints(spark, tmp_path):
 def test_manifests_last_entry_counts(spark, tmp_path):
     path = str(tmp_path / "manifests")
     for output in ("o1", "o2"):
-        entry = steps.entry_of("r", 2, "m", "2020", output, "data/step1.csv", entries(spark))
+        entry = steps.entry_of("r", 2, "m", "2020", output, "base/step1.csv", entries(spark))
         tables.record_manifest(entry, path)
     (got,) = tables.read_manifests(spark, path).collect()
     assert (got.run, got.step, got.output, got.vitae) == ("r", 2, "o2", 3) and got.prompt_sha1 == steps.prompt_digest(2)
@@ -131,18 +131,18 @@ def test_manifests_last_entry_counts(spark, tmp_path):
 
 
 def test_dump(spark, tmp_path):
-    (tmp_path / "d.json").write_text('{"step": 2, "run": "r", "results": [{"volume": 1, "nr_RG": 2, "candidates": {"a.": ["b"]}, "effort": {"tries": 1}}]}')
+    (tmp_path / "d.json").write_text('{"step": 2, "run": "r", "results": [{"volume": 1, "entry": 2, "candidates": {"a.": ["b"]}, "effort": {"tries": 1}}]}')
     (got,) = tables.read_dump(spark, str(tmp_path / "d.json")).collect()
-    assert (got.step, got.nr_RG, got.candidates, got.effort.tries) == (2, 2, {"a.": ["b"]}, 1)
+    assert (got.step, got.entry, got.candidates, got.effort.tries) == (2, 2, {"a.": ["b"]}, 1)
 
 
 def test_streaming_works_on_new_files_only(spark, tmp_path):
     source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
-    process = lambda df: steps.step2(df, stand_in.glossary(df.sparkSession), steps.FirstCandidate()).select("volume", "nr_RG", "processed")
-    for part in ("nr_RG = 1", "nr_RG > 1"):
+    process = lambda df: steps.step2(df, stand_in.glossary(df.sparkSession), steps.FirstCandidate()).select("volume", "entry", "processed")
+    for part in ("entry = 1", "entry > 1"):
         entries(spark).where(part).write.mode("append").parquet(source)
         incremental.run(spark, source, sink, check, process).awaitTermination()
-    got = sorted((r.nr_RG, r.processed) for r in incremental.results(spark, sink).collect())
+    got = sorted((r.entry, r.processed) for r in incremental.results(spark, sink).collect())
     assert got == [(1, "officialis decanus x"), (2, "nothing here"), (3, "")]
 
 
@@ -181,14 +181,14 @@ def test_markup_of_documents_reads_back(spark):
     assert counts.get("accepted", 0) >= 0.9 * sum(counts.values())
 
 
-def test_expansion_leaves_no_document_or_conversation_out(spark):
+def test_resolution_leaves_no_document_or_conversation_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     turns = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn").collect()
     ids = {d.doc_id for d in docs}
-    own = lambda name: {r.nr_RG for r in catalogue.QUERIES[name](spark, SF).select("nr_RG").distinct().collect()}
+    own = lambda name: {r.entry for r in catalogue.QUERIES[name](spark, SF).select("entry").distinct().collect()}
     assert own("inserted_spans") == own("tei_roundtrip") == ids
     assert own("aligned_spans") == {d.doc_id for d in docs if (d.text or "").split()}
-    expanded = catalogue.expand_multiword(spark, SF).select("nr_RG", "nr_suffix").collect()
+    expanded = catalogue.expand_multiword(spark, SF).select("entry", "line_no").collect()
     assert sorted(map(tuple, expanded)) == sorted(map(tuple, turns))
     assert {c for c in own("tei_entries") if c % 10 == 9} == {t.conv_id for t in turns if t.conv_id % 10 == 9}
     found = sum(w.endswith(".") for d in docs for w in score.EVALUATED.findall(d.text or ""))
