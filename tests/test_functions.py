@@ -127,8 +127,8 @@ def test_alignment():
     assert words("m. evoc. can.", "mandatum evocandi canonicos") == ["mandatum", "evocandi", "canonicos"]
     assert words("Alb. aep. etc. Magd", "Albertus archiepiscopus prepositus et canonici Magd", {"aep.": {"archiepiscopus"}}) == ["Albertus", "archiepiscopus", "prepositus et canonici", "Magd"]
     assert words("conc. indulg. iub", "conc.") == ["conc.", "", ""]
-    assert alignment.distribute(["x.", "y."], ["alpha", "beta", "gamma"], {}) == [None, None]
-    assert alignment.distribute(["x."], ["alpha"], {}) == [(0, 1)]
+    assert alignment.dealt(["x.", "y."], ["alpha", "beta", "gamma"], {}) == [None, None]
+    assert alignment.dealt(["x."], ["alpha"], {}) == [(0, 1)]
     assert words("a s.p.d. b", "a s.p.d. b") == ["a", "s.p.d.", "b"]
 
 
@@ -139,7 +139,7 @@ def test_spans_of_a_changed_block_never_overlap():
     for _ in range(500):
         source = [rng.choice("ab") * rng.randrange(1, 3) + "." for _ in range(rng.randrange(1, 6))]
         target = [rng.choice("abc") * rng.randrange(1, 5) for _ in range(rng.randrange(1, 7))]
-        found = [s for s in alignment.distribute(source, target, {}) if s]
+        found = [s for s in alignment.dealt(source, target, {}) if s]
         assert all(0 <= a <= b <= len(target) for a, b in found)
         assert all(x[1] <= y[0] for x, y in zip(found, found[1:]) if x[0] < x[1])
 
@@ -149,13 +149,13 @@ def test_spans_of_a_changed_block_never_overlap():
     [("ecclesi -(a)e", "ecclesi -e"), ("archidiacon-i", "archidiacon -i"), ("acolit(h) -i", "acolit/acolith -i"), ("a -i/b -i", "a/b -i"), ("a -i/b -e", None), ("bare", None), ("dom -us ?", "dom -us ?"), ("mart[iy]r -is", "martir/martyr -is")],
 )
 def test_noun_parts(part, clean):
-    assert morphology.clean_noun(part) == clean
+    assert morphology.noun_part(part) == clean
 
 
 def test_verb_parts_and_conjugations():
-    assert morphology.clean_verb("ingred, ingress") == "ingred, ingress, -"
-    assert morphology.clean_verb("confer, contul, collat (conlat)") == "confer, contul, collat/conlat"
-    assert morphology.clean_verb("one") is None and morphology.clean_verb("a, b c d") is None
+    assert morphology.verb_part("ingred, ingress") == "ingred, ingress, -"
+    assert morphology.verb_part("confer, contul, collat (conlat)") == "confer, contul, collat/conlat"
+    assert morphology.verb_part("one") is None and morphology.verb_part("a, b c d") is None
     got = [morphology.conjugation_of(w, s) for w, s in (("taxare", "tax, x, y"), ("audire", "audi, x, y"), ("valere", "vale, x, y"), ("capere", "capi, x, y"), ("mittere", "mitt, x, y"), ("conferre", "confer, x, y"), ("a b", "x, y, z"))]
     assert got == ["a-Konj.", "i-Konj.", "e-Konj.", "halbkons.-Konj.", "kons.-Konj.", None, None]
 
