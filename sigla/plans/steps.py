@@ -1,7 +1,8 @@
 """The steps that choose: what is offered, who chooses, what is accepted, what comes out.
 
 A chooser gets a batch of requests and answers each with a string; it never returns text.  The
-answers are parsed and judged against what was offered, so any chooser can be put in.
+answers are parsed and judged against what was offered, so any chooser can be put in.  A request
+that fails fails alone: its entry carries the failure, stays as it is, and is left to the next run.
 """
 
 from __future__ import annotations
@@ -10,25 +11,33 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import NamedTuple, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import alignment, answers, spans
 from ..operators import candidates as offers
 from ..operators import lexicon, scan, vita
+from ..sources import tables
+from .models import Model, ThinkingUnsupported, worth_another
 
 ATTEMPTS = 5
+#: Requests that a chooser gets at a time.
+BATCH = 32
 EFFORT = "tries int, server_retries int, readable boolean, seconds double"
 DETAIL = "id int, abbreviation string, resolution string, tier string"
-RESULT = f"volume long, entry long, text string, processed string, prompt string, candidates map<string, array<string>>, choices map<string, string>, details array<struct<{DETAIL}>>, errors array<string>, effort struct<{EFFORT}>"
+RESULT = f"volume long, entry long, text string, processed string, prompt string, candidates map<string, array<string>>, choices map<string, string>, details array<struct<{DETAIL}>>, errors array<string>, effort struct<{EFFORT}>, failure string"
+#: What every step says about its texts and its answers.
+SETTING = "The texts are summaries of late medieval church records in Latin, full of abbreviations. Marked places look like [[number|word]]. Judge each by its own sentence: case, number and gender follow from the words around it."
+ANSWER = "Answer with one JSON object whose keys are the numbers, as strings, and whose values are strings. No other text."
 TASKS = {
-    2: "Choose one of the candidates for every marked abbreviation.",
-    3: "Expand every marked abbreviation to one word, or answer SKIP.",
-    4: "Choose the form of every marked word that its sentence asks for.",
+    2: "Choose one of the candidates for every marked abbreviation. Use a candidate exactly as it is listed, even where its form would have to change.",
+    3: "Expand every marked abbreviation to one word that starts with its letters. Candidates from other texts are listed, most frequent first; any other word that goes on with the abbreviation's letters may be given too. Answer SKIP for names, and where you cannot tell.",
+    4: "Choose the form of every marked word that its sentence asks for, among the forms listed. Repeat the word itself where it is right as it stands.",
 }
 
 
@@ -40,9 +49,15 @@ class Request(NamedTuple):
     prompt: str
     attempt: int
 
+    @property
+    def system(self) -> str:
+        return "\n\n".join([SETTING, TASKS[self.step], ANSWER])
+
 
 class Chooser(Protocol):
-    def choose(self, requests: list[Request]) -> list[str]: ...
+    """Answers to requests, in order; in place of one that failed, its exception."""
+
+    def choose(self, requests: list[Request]) -> list[str | Exception]: ...
 
 
 class FirstCandidate:
@@ -71,102 +86,30 @@ class Replay(Scripted):
 
 
 @dataclass
-class Spaced:
-    """A chooser that calls a remote model through ``call``, ``spacing`` seconds apart.
+class Asking:
+    """A chooser that asks a model (or anything else with ``ask``), several requests at a time.
 
     It must run in one place (see ``one_caller``): a limiter on each executor would multiply the
-    budget.  Errors that ``again`` recognises are tried up to five times more.
+    budget of calls.
     """
 
-    call: Callable[[str], str]
-    spacing: float = 4.1
-    again: Callable[[Exception], bool] = lambda e: isinstance(e, ConnectionError)
-    clock: Callable[[], float] = time.monotonic
-    sleep: Callable[[float], None] = time.sleep
-    free: float = 0.0
-    retries: int = 0
-
-    def _one(self, prompt: str) -> str:
-        for left in range(5, -1, -1):
-            at = max(self.clock(), self.free)
-            self.free = at + self.spacing
-            self.sleep(max(0.0, at - self.clock()))
-            try:
-                return self.call(prompt)
-            except Exception as e:
-                if not left or not self.again(e):
-                    raise
-                self.retries += 1
-        raise AssertionError
+    model: Model
+    workers: int = 1
+    repeated: tuple[int, ...] = ()
 
-    def choose(self, requests: list[Request]) -> list[str]:
-        return [self._one(r.prompt) for r in requests]
-
-
-class Family(NamedTuple):
-    """How a family of models is told to think: a switch, levels, and levels that stand for a switch."""
-
-    thinks: bool = True
-    switch: str | None = None
-    levels: tuple[str, ...] = ()
-    as_parameter: bool = False
-    on: str | None = None
-    off: str | None = None
-
-
-# Settings by the start of a model's name, of which the longest counts.
-FAMILIES = {
-    "apertus": Family(thinks=False),
-    "deepseek-v4": Family(switch="thinking", levels=("low", "high", "max")),
-    "devstral": Family(thinks=False),
-    "gemma-4": Family(switch="enable_thinking"),
-    "glm-4": Family(switch="enable_thinking"),
-    "meta-llama-3.1": Family(thinks=False),
-    "mistral-medium-3.5": Family(levels=("none", "high"), as_parameter=True, on="high", off="none"),
-    "openai-gpt-oss": Family(levels=("low", "medium", "high"), as_parameter=True),
-    "qwen3": Family(switch="enable_thinking"),
-    "qwen3.8": Family(switch="enable_thinking", levels=("low", "medium", "xhigh"), as_parameter=True),
-}
+    def _one(self, request: Request) -> tuple[str | Exception, int]:
+        try:
+            return self.model.ask(request.system, request.prompt)
+        except ThinkingUnsupported:  # every other request would fail alike
+            raise
+        except Exception as error:
+            return error, self.model.again if worth_another(error) else 0
 
-
-def thinking(model: str, switch: bool | None = None, level: str | None = None) -> dict:
-    """Request settings that make a model think as asked; what it cannot do is refused.
-
-    A level implies thinking.  Thinking without a level is refused where there are several.
-    """
-    if switch is None and level is None:
-        return {}
-    names = [p for p in FAMILIES if model.startswith(p)]
-    if not names:
-        raise ValueError(f"no thinking settings are known for {model}")
-    own = FAMILIES[max(names, key=len)]
-    on = switch is not False
-    if not own.thinks:
-        if on:
-            raise ValueError(f"{model} does not think")
-        return {}
-    if level is not None and level not in own.levels:
-        raise ValueError(f"{model} has no level {level!r}; it has: {', '.join(own.levels) or 'none'}")
-    if on and level is None and len([x for x in own.levels if x != own.off]) > 1:
-        raise ValueError(f"{model} thinks at one of several levels; name one of {', '.join(own.levels)}")
-    variables = {own.switch: on} if own.switch else {}
-    if not own.switch and level is None:
-        level = own.on if on else own.off
-        if level is None:
-            raise ValueError(f"{model} cannot be told {'to think' if on else 'not to think'}")
-    elif not own.switch and switch is not None and on != (level != own.off):
-        raise ValueError(f"level {level!r} and thinking={switch} contradict")
-    out = {"reasoning_effort": level} if level and own.as_parameter else {}
-    if level and not own.as_parameter:
-        variables["reasoning_effort"] = level
-    return out | ({"extra_body": {"chat_template_kwargs": variables}} if variables else {})
-
-
-def known_model(model: str, available: list[str]) -> str:
-    """``model`` if an endpoint lists it; a message with those that it does list otherwise."""
-    if model not in available:
-        raise LookupError(f"there is no model {model!r}; there is: {', '.join(sorted(available)) or 'none'}")
-    return model
+    def choose(self, requests: list[Request]) -> list[str | Exception]:
+        with ThreadPoolExecutor(self.workers) as pool:
+            got = list(pool.map(self._one, requests))
+        self.repeated = tuple(n for _, n in got)
+        return [answer for answer, _ in got]
 
 
 def one_caller(entries: DataFrame) -> DataFrame:
@@ -175,34 +118,80 @@ def one_caller(entries: DataFrame) -> DataFrame:
 
 
 def prompt_of(step: int, text: str, occurrences, listed: dict[str, list[str]]) -> str:
+    """The marked text, and what is offered for each mark."""
     rows = [f"- [[{o.id}]] {o.matched}: {', '.join(listed.get(o.abbreviation) or []) or '(none)'}" for o in occurrences]
-    return "\n\n".join([TASKS[step], spans.mark(text, occurrences), "\n".join(rows), "Answer with a JSON object of ids and strings."])
+    return "\n\n".join([spans.mark(text, occurrences), "\n".join(rows)])
 
 
 def prompt_digest(step: int) -> str:
-    return hashlib.sha1(TASKS[step].encode()).hexdigest()
-
-
-def asked(step: int, chooser: Chooser, text: str, occurrences, listed, attempts: int = ATTEMPTS) -> dict:
-    """Ask until an answer can be read; a text without occurrences is not asked about."""
-    began, prompt = time.monotonic(), prompt_of(step, text, occurrences, listed)
-    judged, why, tries = None, None, 0
-    while occurrences and judged is None and tries < attempts:
-        tries += 1
-        before = getattr(chooser, "retries", 0)
-        judged, why = answers.judge(step, chooser.choose([Request(step, text, occurrences, listed, prompt, tries)])[0], occurrences, listed)
-    judged = judged or answers.Judged({}, [], [why] if why else [])
-    retries = getattr(chooser, "retries", 0) - before if tries else 0
-    used = {a: listed.get(a) or [] for a in dict.fromkeys(o.abbreviation for o in occurrences)}
-    return {
-        "processed": spans.substitute(text, occurrences, judged.choices),
-        "prompt": prompt if occurrences else None,
-        "candidates": used,
-        "choices": {str(k): v for k, v in judged.choices.items()},
-        "details": judged.details,
-        "errors": judged.errors,
-        "effort": {"tries": tries, "server_retries": retries, "readable": why is None, "seconds": time.monotonic() - began},
-    }
+    return hashlib.sha1("\n\n".join([SETTING, TASKS[step], ANSWER]).encode()).hexdigest()
+
+
+class _Work:
+    """An entry that is being decided on."""
+
+    def __init__(self, step: int, text: str, occurrences, listed):
+        self.step, self.text, self.occurrences, self.listed = step, text, occurrences, listed
+        self.prompt = prompt_of(step, text, occurrences, listed) if occurrences else None
+        self.judged, self.why, self.failure = None, None, None
+        self.tries = self.repeated = 0
+        self.seconds = 0.0
+
+    def open(self, attempts: int) -> bool:
+        return bool(self.occurrences) and self.judged is None and self.failure is None and self.tries < attempts
+
+    def take(self, answer: str | Exception, repeated: int, seconds: float) -> None:
+        self.seconds += seconds
+        self.repeated += repeated
+        if isinstance(answer, Exception):
+            self.failure = f"{type(answer).__name__}: {answer}"
+        else:
+            self.judged, self.why = answers.judge(self.step, answer, self.occurrences, self.listed)
+
+    def result(self) -> dict:
+        judged = self.judged or answers.Judged({}, [], [self.why] if self.why else [])
+        return {
+            "processed": spans.substitute(self.text, self.occurrences, judged.choices),
+            "prompt": self.prompt,
+            "candidates": {a: self.listed.get(a) or [] for a in dict.fromkeys(o.abbreviation for o in self.occurrences)},
+            "choices": {str(k): v for k, v in judged.choices.items()},
+            "details": judged.details,
+            "errors": judged.errors,
+            "effort": {"tries": self.tries, "server_retries": self.repeated, "readable": self.why is None and self.failure is None, "seconds": self.seconds},
+            "failure": self.failure,
+        }
+
+
+def _answers(chooser: Chooser, requests: list[Request]) -> list[str | Exception]:
+    """The chooser's answers; if it gives up on a batch, each request is put to it alone."""
+    try:
+        got = list(chooser.choose(requests))
+    except ThinkingUnsupported:
+        raise
+    except Exception as error:
+        return [error] if len(requests) == 1 else [a for r in requests for a in _answers(chooser, [r])]
+    if len(got) != len(requests):
+        raise ValueError(f"{len(got)} answers to {len(requests)} requests")
+    return got
+
+
+def asked(step: int, chooser: Chooser, items: list[tuple[str, list, dict]], attempts: int = ATTEMPTS) -> list[dict]:
+    """Decisions on (text, occurrences, candidates): asked again while an answer cannot be read.
+
+    A text without occurrences is not asked about.
+    """
+    works = [_Work(step, *item) for item in items]
+    while pending := [w for w in works if w.open(attempts)]:
+        for at in range(0, len(pending), BATCH):
+            part, began = pending[at : at + BATCH], time.monotonic()
+            for w in part:
+                w.tries += 1
+            got = _answers(chooser, [Request(step, w.text, w.occurrences, w.listed, w.prompt, w.tries) for w in part])
+            repeated = getattr(chooser, "repeated", ()) or [0] * len(part)
+            each = (time.monotonic() - began) / len(part)
+            for w, answer, again in zip(part, got, [*repeated, *[0] * len(part)]):
+                w.take(answer, again, each)
+    return [w.result() for w in works]
 
 
 def chosen(entries: DataFrame, step: int, chooser: Chooser, attempts: int = ATTEMPTS) -> DataFrame:
@@ -214,16 +203,17 @@ def chosen(entries: DataFrame, step: int, chooser: Chooser, attempts: int = ATTE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            items = []
             for r in batch.itertuples(index=False):
-                text = r.text or ""
                 found = [] if r.occurrences is None else spans._rows(r.occurrences)
-                listed = {k: list(v) for k, v in dict(r.candidates if r.candidates is not None else {}).items()}
-                made = asked(step, chooser, text, found, listed, attempts)
-                if r.occurrences is None:
-                    made["errors"] = ["Alignment failed: the text was not made by substitution alone"]
-                rows.append({"volume": r.volume, "entry": r.entry, "text": r.text, **made})
-            yield pd.DataFrame(rows, columns="volume entry text processed prompt candidates choices details errors effort".split())
+                offered = dict(r.candidates) if r.candidates is not None else {}
+                items.append((r.text or "", found, {k: list(v) for k, v in offered.items()}))
+            rows = asked(step, chooser, items, attempts)
+            for row, whole in zip(rows, batch["occurrences"]):
+                if whole is None:
+                    row["errors"] = ["Alignment failed: the text was not made by substitution alone"]
+            made = pd.DataFrame(rows, columns="processed prompt candidates choices details errors effort failure".split())
+            yield pd.concat([batch[["volume", "entry", "text"]].reset_index(drop=True), made], axis=1)
 
     return own.mapInPandas(run, RESULT)
 
@@ -275,6 +265,30 @@ def resumed(work: DataFrame, done: DataFrame, process: Callable[[DataFrame], Dat
     return done.unionByName(process(vita.still_to_do(work, done, limit)), allowMissingColumns=True)
 
 
+class TooManyFailures(Exception):
+    """A step was stopped: what it had decided is in its checkpoint."""
+
+
+def worked_off(work: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, batches: int = 1, most_failures: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Decide on the entries that a checkpoint lacks, batch by batch; decisions, and failures.
+
+    A batch is written to the checkpoint before the next begins, so no answer is lost when a later
+    one fails.  Entries that failed are not in it and come again in the next run; a step with more
+    than ``most_failures`` of them stops after their batch.
+    """
+    spark, failed = work.sparkSession, 0
+    for number in range(batches):
+        own = work.where(F.pmod(F.xxhash64(*vita.KEY), F.lit(batches)) == number)
+        told = Observation()
+        made = process(vita.still_to_do(own, tables.done_in(spark, path)))
+        tables.append_checkpoint(made.observe(told, F.count_if(F.col("failure").isNotNull()).alias("n")), path)
+        failed += told.get.get("n") or 0
+        if most_failures is not None and failed > most_failures:
+            raise TooManyFailures(f"{failed} entries failed; what was decided is in {path}")
+    rows = tables.read_checkpoint(spark, path, RESULT)
+    return rows.where("failure is null"), rows.where("failure is not null").select(*vita.KEY, "failure")
+
+
 def entry_of(run: str, step: int, model: str | None, written: str, output: str, source: str, decisions: DataFrame) -> DataFrame:
     """The manifest row of a finished step."""
     n = decisions.agg(F.count("*").alias("vitae"))

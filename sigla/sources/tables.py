@@ -80,26 +80,53 @@ def _split(fields: str) -> list[str]:
     return [f.strip() for f in out]
 
 
+def write_dump(spark: SparkSession, path: str, decisions: DataFrame, write: bool = False, **settings) -> dict:
+    """One JSON object of a step's settings and its results, ordered by entry, in one file.
+
+    The results of a step are a corpus of hand-made size; they go through one task, not the driver.
+    """
+    head = {"step": None, "run": None, "model": None, "prompt_sha1": None, "input": None, "written": None} | settings
+    if write:
+        place = lambda x: F.struct(x.volume.alias("volume"), x.entry.alias("entry"))
+        before = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+        rows = F.array_sort(F.collect_list(F.struct(*decisions.columns)), before)
+        types = {"step": "int"}
+        one = decisions.agg(rows.alias("results")).select(*[F.lit(v).cast(types.get(k, "string")).alias(k) for k, v in head.items()], "results")
+        one.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return head
+
+
 def append_checkpoint(rows: DataFrame, path: str) -> None:
     """Add a batch of decisions as JSON lines."""
     rows.write.mode("append").json(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def done_in(spark: SparkSession, path: str) -> DataFrame:
+    """volume, entry of the entries that a checkpoint has a decision for, without those that failed."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "volume long, entry long")
+    return read_checkpoint(spark, path, "volume long, entry long, failure string").where("failure is null").select("volume", "entry")
+
+
 def read_checkpoint(spark: SparkSession, path: str, schema: str = DECISIONS) -> DataFrame:
     """Decisions of a checkpoint, for each entry the last one written.
 
     A line that cannot be read is left out where it is a file's last one (the write broke off);
-    anywhere else it raises.
+    anywhere else it raises.  A file is a batch's part and is read whole, so that the order of its
+    lines is that of the file whatever Spark's split size.
     """
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    modified = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_"), F.unix_micros("modificationTime").alias("at"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.unix_micros("_metadata.file_modification_time").alias("at"))
+    split = F.filter(F.split("value", "\n", -1), lambda x: F.trim(x) != "")
+    lines = files.select("file", "at", F.size(split).alias("last"), F.posexplode(split).alias("line", "value"))
     own = lines.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-    last = F.max("line").over(Window.partitionBy("file"))
-    own = own.withColumn("last", last).where((F.col("r._bad").isNull() & F.col("r.volume").isNotNull()) | (F.col("line") < F.col("last")))
     bad = F.col("r._bad").isNotNull() | F.col("r.volume").isNull()
+    own = own.where(~bad | (F.col("line") + 1 < F.col("last")))
     checked = F.when(bad, F.raise_error(F.concat(F.lit("unreadable line in "), F.col("file"))).cast("long")).otherwise(F.col("r.volume"))
-    name = lambda c: F.substring_index(c, "/", -1)
-    own = own.join(modified, name(F.col("file")) == name(F.col("file_")))
     newest = F.row_number().over(Window.partitionBy("volume", "r.entry").orderBy(F.desc("at"), F.desc("file"), F.desc("line")))
     own = own.withColumn("volume", checked).withColumn("k", newest).where("k = 1")
     return own.select("volume", *[F.col(f"r.{f.split(' ')[0]}") for f in _split(schema)[1:]])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sigla import catalogue, stand_in
 from sigla.operators import score, vita
-from sigla.plans import steps
+from sigla.plans import models, steps
 from sigla.sources import tables
 from sigla.streaming import incremental
 
@@ -55,33 +55,96 @@ def test_resuming(spark):
     assert vita.still_to_do(entries(spark), done, 1).count() == 1
 
 
+class Refused(Exception):
+    def __init__(self, status):
+        self.status_code = status
+
+
 def test_spacing_and_retries():
     now, slept, calls = [0.0], [], []
 
-    def call(prompt):
-        calls.append(prompt)
-        if len(calls) == 2:
-            raise ConnectionError
+    def send(request):
+        calls.append(request)
+        if len(calls) in (2, 3):
+            raise Refused(429) if len(calls) == 2 else ConnectionError()
         return "{}"
 
     def sleep(s):
         slept.append(s)
         now[0] += s
 
-    chooser = steps.Spaced(call, 4.0, clock=lambda: now[0], sleep=sleep)
+    model = models.Model(send, "gemma-4-x", models.thinking("gemma-4-x", False), 4.0, clock=lambda: now[0], sleep=sleep)
+    chooser = steps.Asking(model)
+    request = steps.Request(2, "t", [], {}, "p", 1)
+    assert chooser.choose([request, request]) == ["{}", "{}"] and model.retries == 2 and chooser.repeated == (0, 2)
+    assert slept == [0.0, 4.0, 4.0, 4.0]
+    assert calls[0]["temperature"] == 0 and [m["role"] for m in calls[0]["messages"]] == ["system", "user"]
+    assert calls[0]["extra_body"] == {"chat_template_kwargs": {"enable_thinking": False}}
+
+
+def failing(status, settings=None):
+    def send(request):
+        raise Refused(status)
+
+    return steps.Asking(models.Model(send, "m", settings or {}, 0.0, again=2, sleep=lambda s: None), workers=3)
+
+
+def test_calls_that_fail_for_good():
     request = steps.Request(2, "t", [], {}, "p", 1)
-    assert chooser.choose([request, request]) == ["{}", "{}"] and chooser.retries == 1 and slept == [0.0, 4.0, 4.0]
-    with pytest.raises(ValueError):
-        steps.Spaced(lambda p: int(p), sleep=lambda s: None).choose([request])
+    (error,) = failing(500).choose([request])
+    assert error.status_code == 500
+    assert failing(404).choose([request])[0].status_code == 404
+    assert failing(400).choose([request])[0].status_code == 400
+    with pytest.raises(models.ThinkingUnsupported):
+        failing(400, {"reasoning_effort": "low"}).choose([request])
+
+
+def moody(word, as_batch):
+    """A chooser that fails for texts that hold a word; made in a function, so that workers get it whole."""
+
+    class Moody:
+        def choose(self, requests):
+            if as_batch and any(word in r.text for r in requests):
+                raise RuntimeError("the whole batch")
+            return [RuntimeError("this one") if word in r.text else '{"1": "officium"}' for r in requests]
+
+    return Moody()
+
+
+@pytest.mark.parametrize("as_batch", [False, True])
+def test_failures_are_alone_and_come_again(spark, tmp_path, as_batch):
+    path = str(tmp_path / "checkpoint")
+    work = spark.createDataFrame([(3, k, "of. bad" if k in (4, 9) else f"of. {k}") for k in range(12)], "volume long, entry long, text string")
+    process = lambda chooser: lambda df: steps.step2(df, stand_in.glossary(spark), chooser)
+    done, failures = steps.worked_off(work, process(moody("bad", as_batch)), path, batches=3)
+    assert sorted(r.entry for r in failures.collect()) == [4, 9]
+    assert sorted(r.entry for r in done.collect()) == [k for k in range(12) if k not in (4, 9)]
+    texts = {r.entry: r.text for r in steps.assembled(work, done).collect()}
+    assert texts[4] == "of. bad" and texts[5] == "officium 5"
+    done, failures = steps.worked_off(work, process(moody("none", as_batch)), path, batches=2)
+    assert failures.count() == 0 and done.count() == 12
+
+
+def test_too_many_failures_stop_a_step(spark, tmp_path):
+    path = str(tmp_path / "checkpoint")
+    work = spark.createDataFrame([(3, k, f"of. {k}") for k in range(8)], "volume long, entry long, text string")
+    with pytest.raises(steps.TooManyFailures, match="checkpoint"):
+        steps.worked_off(work, lambda df: steps.step2(df, stand_in.glossary(spark), moody("of", False)), path, most_failures=3)
+    assert tables.done_in(spark, path).count() == 0
 
 
 def test_thinking_settings():
-    assert steps.thinking("gemma-4-31b", False) == {"extra_body": {"chat_template_kwargs": {"enable_thinking": False}}}
-    assert steps.thinking("qwen3.8-27b", level="low") == {"reasoning_effort": "low", "extra_body": {"chat_template_kwargs": {"enable_thinking": True}}}
-    assert steps.thinking("mistral-medium-3.5-x", False) == {"reasoning_effort": "none"} and steps.thinking("unknown") == {}
-    for args in (("apertus-70b", True), ("glm-4.7", None, "low"), ("openai-gpt-oss-120b", False), ("deepseek-v4-flash", True), ("mistral-medium-3.5", False, "high"), ("unknown", True)):
+    ask = models.thinking
+    assert ask("gemma-4-31b", False) == {"extra_body": {"chat_template_kwargs": {"enable_thinking": False}}}
+    assert ask("qwen3.8-27b", level="low") == ask("qwen3.8-27b", True, "low") == {"reasoning_effort": "low", "extra_body": {"chat_template_kwargs": {"enable_thinking": True}}}
+    assert ask("mistral-medium-3.5-x", False) == ask("mistral-medium-3.5-x", False, "none") == {"reasoning_effort": "none"}
+    assert ask("unknown") == {} and ask("apertus-70b", False) == {}
+    for args in (("apertus-70b", True), ("glm-4.7", None, "low"), ("openai-gpt-oss-120b", False), ("deepseek-v4-flash", True), ("mistral-medium-3.5", False, "high"), ("mistral-medium-3.5", True, "none"), ("unknown", True)):
         with pytest.raises(ValueError):
-            steps.thinking(*args)
+            ask(*args)
+    assert models.known_model("a", ["b", "a"]) == "a"
+    with pytest.raises(LookupError, match="there is: b"):
+        models.known_model("a", ["b"])
 
 
 def test_csv_round_trip_and_dry_run(spark, tmp_path):
@@ -130,6 +193,16 @@ def test_manifests_last_entry_counts(spark, tmp_path):
     assert "| r |" in tables.markdown(tables.read_manifests(spark, path), "Runs")
 
 
+def test_written_dump_reads_back(spark, tmp_path):
+    done = steps.step2(entries(spark), stand_in.glossary(spark), steps.FirstCandidate())
+    path = str(tmp_path / "dump")
+    tables.write_dump(spark, path, done, step=2, run="r")
+    assert not os.path.exists(path)
+    tables.write_dump(spark, path, done, write=True, step=2, run="r", prompt_sha1=steps.prompt_digest(2))
+    got = {r.entry: r for r in tables.read_dump(spark, path).collect()}
+    assert got.keys() == {1, 2, 3} and got[1].choices == {"1": "officialis", "2": "decanus"} and got[1].step == 2 and got[1].run == "r"
+
+
 def test_dump(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"step": 2, "run": "r", "results": [{"volume": 1, "entry": 2, "candidates": {"a.": ["b"]}, "effort": {"tries": 1}}]}')
     (got,) = tables.read_dump(spark, str(tmp_path / "d.json")).collect()
