@@ -28,7 +28,19 @@ def grams(text: Column, parts: int) -> Column:
 
 
 def all_grams(text: Column, most: int = 5) -> Column:
-    return F.concat(*[grams(text, n) for n in range(1, most + 1)])
+    """All abbreviations of 1 to ``most`` parts, in one pass for the runs of words with periods.
+
+    Within a run, any neighbouring parts are an abbreviation.
+    """
+    if most == 1:
+        return grams(text, 1)
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\b(\w+\.(?: ?\w+\.)*)"), 1)
+    parts = lambda run: F.regexp_extract_all(run, F.lit(r"(?U)( ?\w+\.)"), 1)
+    sizes = lambda p, i: F.sequence(F.lit(1), F.least(F.lit(most), F.size(p) - i + 1))
+    at = lambda p, i: F.transform(sizes(p, i), lambda n: F.ltrim(F.array_join(F.slice(p, i, n), "")))
+    windows = lambda p: F.flatten(F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: at(p, i)))
+    # The array around the parts makes them a variable of the function, cut out once for each run.
+    return F.flatten(F.transform(runs, lambda run: F.flatten(F.transform(F.array(parts(run)), windows))))
 
 
 def count_abbreviations(text: Column) -> Column:
@@ -111,3 +123,29 @@ def query_pattern(abbreviation: str) -> str:
     body = abbreviation[:-1] if abbreviation.endswith(".") else abbreviation
     parts = [r"\.?".join(re.escape(x) for x in word.split(".")) for word in body.split(" ")]
     return r"\b" + " ".join(parts) + ("" if body.endswith(")") else r"\b")
+
+
+def query_forms(abbreviation: str, most: int = 256) -> list[str] | None:
+    """The spellings, as they stand between word boundaries, that :func:`query_pattern` finds.
+
+    None where it cannot be told by words, periods and single blanks, or there are too many.
+    """
+    if not re.fullmatch(r"\w+(?:\.\w+)*\.?(?: \w+(?:\.\w+)*\.?)*", abbreviation):
+        return None
+    forms = [""]
+    for piece in re.findall(r"\w+|\. |\.| ", abbreviation.removesuffix(".")):
+        ways = {".": [".", ""], ". ": [". ", " "]}.get(piece, [piece])
+        forms = [f + w for f in forms for w in ways]
+        if len(forms) > most:
+            return None
+    return forms
+
+
+def word_runs(words: Column, gaps: Column, n: int) -> Column:
+    """All runs of ``n`` words with periods, blanks, or both between them, as they stand.
+
+    ``words`` and ``gaps`` (before, between and after them) have to be columns, not expressions.
+    """
+    joined = lambda i: [x for k in range(n) for x in ([F.get(gaps, i + k)] if k else []) + [F.get(words, i + k)]]
+    good = lambda i: F.when(sum([F.get(gaps, i + k).isin(".", " ", ". ").cast("int") for k in range(1, n)], F.lit(0)) == n - 1, F.concat(*joined(i)))
+    return F.when(F.size(words) >= n, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(words) - n), good))).otherwise(F.array().cast("array<string>"))

@@ -19,6 +19,19 @@ def output_path(run: str, step: int) -> str:
     return FIRST_OUTPUT if step == 1 else f"runs/{run}/step{step}.csv"
 
 
+def layout(run: str, step: int) -> dict[str, str]:
+    """Where a run's step keeps what it reads, writes and tells."""
+    home = f"runs/{run}"
+    return {
+        "output": output_path(run, step),
+        "dump": f"{home}/step{step}.json",
+        "report": f"{home}/step{step}_report.md",
+        "manifest": f"{home}/manifest.json",
+        "checkpoint": f"checkpoints/{run}/step{step}.jsonl",
+        "baseline": f"{home}/evaluation_baseline.json",
+    }
+
+
 def chain(manifests: DataFrame, run: str) -> DataFrame:
     """A run's steps by number."""
     return manifests.where(F.col("run") == run).orderBy("step")

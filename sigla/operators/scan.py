@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,19 +78,58 @@ def mined_candidates(abbreviations: DataFrame, words: DataFrame, most: int = 10,
     return found.withColumn("rank", rank).where(F.col("rank") <= most).select("abbreviation", "rank", F.col("word").alias("candidate"), "n")
 
 
-def corpus_volumes(docs: DataFrame, patterns: DataFrame, column: str = "text") -> DataFrame:
-    """query, volume, rows: in which volumes, and in how many texts of each, a pattern occurs.
+#: Rows of a dictionary, at most, where they come to the driver or go through one task.
+MOST_ROWS = 200_000
 
-    ``patterns`` is a dictionary's worth of rows (query, pattern).  They are applied together in
-    one pass over the corpus, each text against the list, rather than by a pass for each.
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, or an error if they are more than a dictionary can have."""
+    if rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows for a dictionary")
+    return rows
+
+
+def corpus_volumes(docs: DataFrame, queries: DataFrame, column: str = "text") -> DataFrame:
+    """query, volume, rows: in which volumes, and in how many texts of each, an abbreviation occurs.
+
+    An abbreviation's spellings are joined with the runs of as many words that texts have, each
+    text cut into words once; only what is not made of words, periods and blanks is looked for as
+    a pattern.  ``queries`` (query) is a dictionary's worth.
+    """
+    spark = docs.sparkSession
+    names = [r.query for r in few(queries.select("query").distinct()).collect()]
+    forms = [(n, f) for n in names for f in text.query_forms(n) or ()]
+    odd = [n for n in names if text.query_forms(n) is None]
+    whole = docs.select("volume", F.monotonically_increasing_id().alias("id"), F.coalesce(F.col(column), F.lit("")).alias("t"))
+    cut = whole.select("volume", "id", F.regexp_extract_all("t", F.lit(r"(?U)\w+"), 0).alias("words"), F.split("t", r"(?U)\w+", -1).alias("gaps"))
+    sizes = sorted({len(re.findall(r"\w+", f)) for _, f in forms}) or [1]
+    runs = F.array_distinct(F.concat(*[text.word_runs(F.col("words"), F.col("gaps"), n) for n in sizes]))
+    found = cut.select("volume", "id", F.explode(runs).alias("form")).join(spark.createDataFrame(forms, "query string, form string"), "form").select("query", "volume", "id")
+    if odd:
+        hits = [F.when(F.col("t").rlike("(?U)" + text.query_pattern(q)), F.lit(q)) for q in odd]
+        found = found.unionByName(whole.select("volume", "id", F.explode(F.array_compact(F.array(*hits))).alias("query")))
+    return found.distinct().groupBy("query", "volume").agg(F.count("*").alias("rows"))
+
+
+def cached_volumes(docs: DataFrame, queries: DataFrame, path: str, corpus: str, column: str = "text") -> DataFrame:
+    """As :func:`corpus_volumes`, with what was found before kept in ``path`` (Parquet).
+
+    ``corpus`` names the state of the corpus: another name asks anew.  A query without any row is
+    kept too, so that it is not looked for again.
     """
-    listed = [(r.query, r.pattern) for r in patterns.select("query", "pattern").distinct().orderBy("query").collect()]
-    whole = F.coalesce(F.col(column), F.lit(""))
-    hits = [F.when(whole.rlike("(?U)" + p), F.lit(q)) for q, p in listed]
-    if not hits:
-        return docs.select(F.lit("").alias("query"), "volume", F.lit(0).cast("long").alias("rows")).limit(0)
-    rows = docs.select("volume", F.explode(F.array_compact(F.array(*hits))).alias("query"))
-    return rows.groupBy("query", "volume").agg(F.count("*").alias("rows"))
+    spark = docs.sparkSession
+    schema = "query string, volume long, rows long, corpus string"
+    try:
+        known = spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # nothing has been kept yet
+        known = spark.createDataFrame([], schema)
+    own = known.where(F.col("corpus") == corpus)
+    missing = queries.select("query").distinct().join(own.select("query").distinct(), "query", "left_anti")
+    if not missing.isEmpty():
+        found = missing.join(corpus_volumes(docs, missing, column), "query", "left")
+        found.select("query", F.col("volume").cast("long").alias("volume"), "rows", F.lit(corpus).alias("corpus")).write.mode("append").parquet(path)
+        own = spark.read.schema(schema).parquet(path).where(F.col("corpus") == corpus)
+    return own.join(queries.select("query").distinct(), "query", "left_semi").where("volume is not null").select("query", "volume", "rows")
 
 
 def known_abbreviations(*lists: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ OCCURRENCE = ["volume", "entry", "pos"]
 STEPS = {1: "step 1 (rule)", 2: "step 2 (candidates)", 3: "step 3 (mined)", 4: "step 4 (normalized)"}
 WORD = ["exact", "orthographic", "wrong_form", "wrong_form?"]
 FORM = ["exact", "orthographic"]
+#: Golds that are listed for an abbreviation.
+GOLDS = 5
 SCOREABLE = [*WORD, "wrong_word", "not_expanded"]
 
 
@@ -89,17 +91,20 @@ def with_verdicts(rows: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def with_steps(rows: DataFrame) -> DataFrame:
-    """With ``step``: the stage that settled the resolution, later ones that changed it included."""
-    item = F.struct("stage", "resolution")
-    per = rows.groupBy(*OCCURRENCE, "abbr").agg(F.sort_array(F.collect_list(item)).alias("stages"))
-    start = F.struct(F.lit(None).cast("int").alias("step"), F.col("abbr").alias("before"))
+    """With ``step``: the stage that settled the resolution, later ones that changed it included.
+
+    An occurrence's rows, one for each stage, are brought together once and taken apart again.
+    """
+    rest = [c for c in rows.columns if c not in (*OCCURRENCE, "stage")]
+    per = rows.groupBy(*OCCURRENCE).agg(F.array_sort(F.collect_list(F.struct("stage", *rest))).alias("stages"))
+    start = F.struct(F.lit(None).cast("int").alias("step"), F.get("stages", 0).abbr.alias("before"))
 
     def fold(a, s):
         now = F.when(a.step.isNull() & ~abbreviated(s.resolution), s.stage).when(a.step.isNotNull() & (s.resolution != a.before), s.stage).otherwise(a.step)
         return F.when(s.resolution.isNull(), a).otherwise(F.struct(now.cast("int").alias("step"), s.resolution.alias("before")))
 
-    steps = per.select(*OCCURRENCE, F.aggregate("stages", start, fold).step.alias("step"))
-    return rows.join(steps, OCCURRENCE)
+    steps = per.select(*OCCURRENCE, "stages", F.aggregate("stages", start, fold).step.alias("step"))
+    return steps.select(*OCCURRENCE, F.explode("stages").alias("s"), "step").select(*[c if c in OCCURRENCE else f"s.{c}" for c in rows.columns], "step")
 
 
 def _share(good: Column, of: Column) -> Column:
@@ -132,7 +137,10 @@ def by_step(scored: DataFrame) -> DataFrame:
 def by_abbreviation(scored: DataFrame) -> DataFrame:
     """Rates of the last stage, the most frequent wrong resolution, up to five golds, and the gain left."""
     last = scored.where(F.col("stage") == F.lit(max(STEPS)))
-    sums = last.groupBy("abbr").agg(*_rates(), F.array_join(F.slice(F.array_sort(F.collect_set(F.coalesce("gold", F.lit("")))), 1, 5), ", ").alias("gold_variants"))
+    golds = last.select("abbr", F.coalesce("gold", F.lit("")).alias("gold")).distinct()
+    golds = golds.withColumn("k", F.row_number().over(Window.partitionBy("abbr").orderBy("gold"))).where(F.col("k") <= GOLDS)
+    listed = golds.groupBy("abbr").agg(F.array_join(F.array_sort(F.collect_list("gold")), ", ").alias("gold_variants"))
+    sums = last.groupBy("abbr").agg(*_rates()).join(listed, "abbr")
     wrong = last.where(F.col("verdict").isin("wrong_word", "wrong_form", "wrong_form?")).groupBy("abbr", "resolution").agg(F.count("*").alias("n"))
     mode = wrong.groupBy("abbr").agg(F.min(F.struct((-F.col("n")).alias("n"), "resolution")).alias("m")).select("abbr", F.col("m.resolution").alias("most_frequent_error"))
     out = sums.join(mode, "abbr", "left").withColumn("most_frequent_error", F.coalesce("most_frequent_error", F.lit("")))
@@ -163,6 +171,15 @@ def candidate_summary(scored: DataFrame, candidates: DataFrame, index: DataFrame
     return sums.withColumns({"ceiling": _share(F.col("n_covered"), F.col("offered")), "choice_accuracy": _share(F.col("chosen"), F.col("n_covered"))})
 
 
+def worst_misses(scored: DataFrame, candidates: DataFrame, index: DataFrame, most: int = 5) -> DataFrame:
+    """step, rank, abbr, n: abbreviations for which most often nothing right was offered or found."""
+    told = covered(scored, candidates, index).where(~F.col("covered") & ~F.col("own").isin(WORD)).select(*OCCURRENCE, "step")
+    names = scored.where(F.col("stage") == F.lit(max(STEPS))).select(*OCCURRENCE, "abbr")
+    counts = told.join(names, OCCURRENCE).groupBy("step", "abbr").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("step").orderBy(F.desc("n"), "abbr"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= most).select("step", "rank", "abbr", "n")
+
+
 def mismatches(scored: DataFrame, candidates: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """Occurrences that the last stage did not get exactly, with what every stage made of them.
 

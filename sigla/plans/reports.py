@@ -28,6 +28,16 @@ def resolution(before: DataFrame, after: DataFrame, listed: DataFrame, glossary:
     return "\n".join(parts)
 
 
+def extraction(log: DataFrame, most: int = 200) -> str:
+    """What the stages of a dictionary did, counted and then listed."""
+    counts = log.groupBy("stage").agg(F.count("*").alias("n")).orderBy("stage")
+    parts = [markdown(counts, "Decisions")]
+    for r in counts.collect():  # a row for each stage
+        own = log.where(F.col("stage") == r.stage).select("abbr", "resolution", "detail").orderBy("abbr", "resolution", "detail")
+        parts.append(markdown(own, r.stage.capitalize(), most))
+    return "\n".join(parts)
+
+
 def evaluation(scored: DataFrame, candidates: DataFrame, index: DataFrame, baseline: DataFrame | None = None, most: int = 20) -> str:
     """Rates by stage, by deciding step, of candidates, and where most is to be won."""
     rates = ("expanded", "word_accuracy", "form_accuracy")
@@ -38,6 +48,7 @@ def evaluation(scored: DataFrame, candidates: DataFrame, index: DataFrame, basel
         markdown(by_stage, "Stages"),
         markdown(by_step, "Deciding steps"),
         markdown(score.candidate_summary(scored, candidates, index).orderBy("step"), "Candidates"),
+        markdown(score.worst_misses(scored, candidates, index).orderBy("step", "rank"), "Most frequent candidate misses"),
         markdown(gains, "Potential gains"),
     ]
     if baseline is not None:

@@ -366,3 +366,40 @@ def test_steps_of_an_resolution_and_entries(spark):
 
 def test_schema_has_nine_volumes():
     assert len(PLACES) == 9
+
+
+def test_corpus_volumes_equal_patterns(spark):
+    import re
+
+    from sigla.functions import text
+
+    rng = random.Random(4)
+    names = ["e.", "e. m.", "e.m.", "ex. m.", "m", "e m.", "a.e. m.", "x. (s.)", "ü.", "e. m. a.", "9."]
+    bits = ["e", "m", "a", "ex", "ü", "s", "9", ".", ". ", " ", "  ", ",", "(s)", "x", "_"]
+    docs = [(k % 3, "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for k in range(400)] + [(1, None), (2, "")]
+    want = {}
+    for name in names:
+        for volume, body in docs:
+            if re.search(text.query_pattern(name), body or ""):
+                want[name, volume] = want.get((name, volume), 0) + 1
+    df = spark.createDataFrame(docs, "volume long, text string")
+    queries = spark.createDataFrame([(n,) for n in names + names[:2]], "query string")
+    assert {(r.query, r.volume): r.rows for r in scan.corpus_volumes(df, queries).collect()} == want
+
+
+def test_cached_volumes_ask_once(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    docs = spark.createDataFrame([(1, "a. b"), (2, "a")], "volume long, text string")
+    asked = lambda names, df, state="one": rows(scan.cached_volumes(df, spark.createDataFrame([(n,) for n in names], "query string"), path, state))
+    assert asked(["a."], docs) == [("a.", 1, 1), ("a.", 2, 1)]
+    # What is known is not looked for again, what is new is; another state of the corpus asks anew.
+    assert asked(["a.", "b.", "q."], docs.limit(0)) == [("a.", 1, 1), ("a.", 2, 1)]
+    assert asked(["b."], docs) == [] and asked(["b."], docs, "two") == [("b.", 1, 1)]
+
+
+def test_extraction_log(spark):
+    docs = spark.createDataFrame([(1, "eccl. dioc. op. s. S. prep. SS. d. nat."), (10, "ecl. x")], "volume long, text string")
+    out = glossary.extracted(stand_in.raw_glossary(spark), docs)
+    log = {(r.stage, r.abbr, r.resolution) for r in out.log.collect()}
+    assert ("unusable", "x.", "?") in log and ("alternatives", "d.", "dictus") in log and ("merged", "s.", "Sanctus") in log
+    assert ("not in corpus", "th.", "theologia") in log and ("volume cells", "ecl.", "ecclesia") in log and ("note", "nat.", "natalis") in log
