@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import stand_in as S
-from .functions import answers, morphology, spans, text
+from .functions import answers, spans, text
 from .functions.alignment import aligned, inserted
 from .operators import candidates, glossary, lexicon, rules, runs, scan, score, tei, vita
 from .plans import steps
@@ -93,7 +93,14 @@ def remaining_occurrences(spark, sf_dir):
     return scan.remaining(S.table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query()
+PIECES = f"regexp_extract_all(text, '(?s){W}+\\.|{W}+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
+STANDS = "regexp_full_match(t, '[A-Za-z]{2,}\\.') AND NOT regexp_full_match(t, '[IVXLCDM]+\\.')"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, i, l[i] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, {PIECES} AS l FROM documents))),
+placed AS (SELECT doc_id, i, t, CAST(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS stop FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS id, t AS abbreviation, CAST(stop - length(t) AS INTEGER) AS start, stop AS "end" FROM placed WHERE {STANDS}""")
 def remaining_offsets(spark, sf_dir):
     docs = S.table(spark, sf_dir, "documents").select("doc_id", F.explode(spans.located_remaining("text")).alias("o"))
     return docs.select("doc_id", "o.id", "o.abbreviation", "o.start", "o.end")
@@ -222,14 +229,22 @@ def expand_report(spark, sf_dir):
     return scan.counted_before_and_after(docs, rules.expand(docs, S.mined_rules(spark, sf_dir), "text"), "text")
 
 
-@query(EXPANDED + f", {grams_sql('expanded', 'new').replace('WITH runs', 'runs')} SELECT abbreviation, len(string_split(abbreviation, ' ')) AS parts, count(*) AS n FROM grams SEMI JOIN (SELECT abbr AS abbreviation FROM {S.CLEAN_SQL}) USING (abbreviation) GROUP BY ALL")
+@query(EXPANDED + f", {grams_sql('expanded', 'new').replace('WITH runs', 'runs')}, known AS (SELECT a AS abbreviation FROM (SELECT unnest(regexp_extract_all(text, '{W}+\\.')) AS a FROM documents) GROUP BY a HAVING count(*) > 1) SELECT abbreviation, len(string_split(abbreviation, ' ')) AS parts, count(*) AS n FROM grams SEMI JOIN known USING (abbreviation) GROUP BY ALL")
 def unrealised_potential(spark, sf_dir):
+    """A dictionary of all that occurs twice, of which the rules have the most frequent."""
     docs = S.corpus(spark, sf_dir).where("volume < 10")
     left = scan.abbreviation_counts(rules.expand(docs, S.mined_rules(spark, sf_dir), "text"), "text")
-    return scan.known_but_left(left, S.glossary(spark).select(F.col("abbr").alias("abbreviation")))
+    known = scan.abbreviation_counts(S.table(spark, sf_dir, "documents"), "text", most=1).where("n > 1")
+    return scan.known_but_left(left, known.select("abbreviation"))
 
 
-@query()
+@query(RULES + f""",
+own AS (SELECT conv_id % 9 + 1 AS volume, conv_id AS entry, turn AS line_no, {S.LINE} AS text FROM conversations),
+long AS (SELECT DISTINCT volume, resolution, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || replace(replace(abbr, '.', '\\.'), ' ', '[ \\t]*') AS p FROM flagged WHERE applies AND parts = 2),
+first AS (SELECT o.*, coalesce(regexp_replace(o.text, l.p, '\\1' || l.resolution, 'g'), o.text) AS done FROM own o LEFT JOIN long l USING (volume)),
+short AS (SELECT volume, map_from_entries(list((abbr, resolution))) AS m FROM flagged WHERE applies AND parts = 1 GROUP BY volume),
+spelled AS (SELECT f.volume, entry, line_no, array_to_string(list_transform({PIECES.replace('text', 'done')}, lambda t: coalesce(m[t], t)), '') AS new FROM first f LEFT JOIN short USING (volume))
+SELECT volume, entry, line_no, CASE WHEN line_no = 0 THEN new END AS head_text, CASE WHEN line_no > 0 THEN new END AS body_text FROM spelled""")
 def expand_multiword(spark, sf_dir):
     """Rules of several parts, by volume, over headers and regests."""
     done = rules.expand(S.regests(spark, sf_dir, len(PLACES)), rules.unambiguous(_listed(spark)))
@@ -254,42 +269,60 @@ def glossary_inherit(spark, sf_dir):
     return _inherited(spark).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution")
 
 
-@query(f"""
-WITH a AS (SELECT row_order, abbr, unnest(string_split(resolution, ';')) AS e, contains(resolution, ';') AS multi FROM {INHERITED} WHERE resolution NOT IN ('', '?') AND NOT starts_with(resolution, 'cf.:') AND NOT contains(resolution, '('))
-SELECT row_order, abbr, trim(regexp_replace(e, ' \\?$', '')) AS resolution, multi FROM a""")
+#: Resolutions without marks and remarks; brackets are part of them where the abbreviation has parts for them.
+NORMAL = f"""
+WITH usable AS (SELECT *, trim(regexp_replace(regexp_replace(resolution, ' \\?$', ''), ' \\((dekliniert|ungekürzt, dekl\\.)\\)$', '')) AS plain FROM {INHERITED} WHERE resolution NOT IN ('', '?') AND NOT starts_with(resolution, 'cf.:')),
+cut AS (SELECT *, trim(regexp_replace(regexp_replace(plain, '\\([^()]*\\)', ' ', 'g'), ' +', ' ', 'g')) AS outside FROM usable),
+told AS (SELECT * EXCLUDE (resolution, plain, outside), CASE WHEN NOT contains(plain, '(') THEN plain WHEN len(string_split(abbr, ' ')) > len(string_split(outside, ' ')) THEN regexp_replace(plain, '[()]', '', 'g') ELSE outside END AS whole FROM cut),
+rows AS (SELECT * EXCLUDE (whole), trim(part) AS resolution, contains(whole, ';') AS multi FROM (SELECT *, unnest(string_split(whole, ';')) AS part FROM told))"""
+
+
+@query(NORMAL + " SELECT row_order, abbr, resolution, multi FROM rows")
 def split_alternatives(spark, sf_dir):
-    plain = _inherited(spark).where("not contains(resolution, '(')")
-    return glossary.normalised(plain).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", "multi")
+    return glossary.normalised(_inherited(spark)).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", "multi")
+
+
+CELLS = NORMAL + f""",
+cells AS (SELECT row_order, abbr, resolution, c.name AS name, trim(v) AS value FROM (SELECT *, unnest([{', '.join(f"struct_pack(name := '{c}', v := {c})" for c in PLACES)}]) AS c FROM rows), LATERAL (SELECT unnest(string_split(c.v, ';')) AS v)),
+said AS (SELECT * FROM cells WHERE value <> '' AND value <> resolution),
+odd AS (SELECT DISTINCT row_order, resolution FROM said WHERE value <> abbr AND NOT contains(value, '.'))"""
+_ODD = "EXISTS (SELECT 1 FROM odd o WHERE o.row_order = p.row_order AND o.resolution = p.resolution)"
+
 
+def _place_sql(c: str) -> str:
+    own = f"EXISTS (SELECT 1 FROM said t WHERE t.row_order = p.row_order AND t.resolution = p.resolution AND t.name = '{c}' AND t.value = p.abbr)"
+    return f"CASE WHEN {_ODD} THEN p.{c} WHEN {own} THEN p.abbr ELSE '' END AS {c}"
 
-#: Cells of the dictionary whose resolutions need no reading of brackets or marks.
-CELLS = f"""
-WITH plain AS (SELECT row_order, abbr, resolution, {', '.join(PLACES)} FROM {INHERITED} WHERE regexp_full_match(resolution, '[A-Za-z]+')),
-cells AS (SELECT row_order, abbr, resolution, c.name AS name, trim(v) AS value FROM (SELECT *, unnest([{', '.join(f"struct_pack(name := '{c}', v := {c})" for c in PLACES)}]) AS c FROM plain), LATERAL (SELECT unnest(string_split(c.v, ';')) AS v)),
-told AS (SELECT * FROM cells WHERE value <> '' AND value <> resolution),
-odd AS (SELECT DISTINCT row_order FROM told WHERE value <> abbr AND NOT contains(value, '.'))"""
-SIMPLE = "resolution rlike '^[A-Za-z]+$'"
 
+def _depth():
+    """How long the order of a row is that no cell has made: two numbers for an alternative."""
+    return F.when(F.col("multi"), 2).otherwise(1)
 
-@query(CELLS + " SELECT p.row_order, p.abbr, (SELECT count(*) FROM odd WHERE odd.row_order = p.row_order) > 0 AS foreign, " + ", ".join(f"CASE WHEN p.row_order IN (SELECT row_order FROM odd) THEN p.{c} WHEN EXISTS (SELECT 1 FROM told t WHERE t.row_order = p.row_order AND t.name = '{c}' AND t.value = p.abbr) THEN p.abbr ELSE '' END AS {c}" for c in PLACES) + " FROM plain p")
+
+@query(CELLS + f" SELECT p.row_order, p.abbr, p.resolution, {_ODD} AS foreign, " + ", ".join(map(_place_sql, PLACES)) + " FROM rows p")
 def volume_cells(spark, sf_dir):
-    rows = glossary.volume_cells(glossary.normalised(_inherited(spark).where(SIMPLE)))
-    return rows.where(F.size("row_order") == 1).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "foreign", *PLACES)
+    rows = glossary.volume_cells(glossary.normalised(_inherited(spark))).where(F.size("row_order") == _depth())
+    return rows.select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", "foreign", *PLACES)
 
 
-@query(CELLS + " SELECT row_order, value AS abbr, CASE WHEN regexp_matches(value, '^[A-Z]') AND regexp_matches(resolution, '^[a-z]') THEN upper(resolution[1]) || resolution[2:] ELSE resolution END AS resolution, string_agg(name, '|' ORDER BY name) AS named FROM told WHERE value <> abbr AND contains(value, '.') AND row_order NOT IN (SELECT row_order FROM odd) GROUP BY row_order, value, resolution")
+@query(CELLS + " SELECT row_order, value AS abbr, CASE WHEN regexp_matches(value, '^[A-Z]') AND regexp_matches(resolution, '^[a-z]') THEN upper(resolution[1]) || resolution[2:] ELSE resolution END AS resolution, string_agg(name, '|' ORDER BY name) AS named FROM said WHERE value <> abbr AND contains(value, '.') AND (row_order, resolution) NOT IN (SELECT (row_order, resolution) FROM odd) GROUP BY row_order, value, resolution")
 def derived_rows(spark, sf_dir):
-    rows = glossary.volume_cells(glossary.normalised(_inherited(spark).where(SIMPLE))).where(F.size("row_order") > 1)
+    rows = glossary.volume_cells(glossary.normalised(_inherited(spark))).where(F.size("row_order") > _depth())
     named = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) != "", F.lit(c)) for c in PLACES])), "|")
     return rows.select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", named.alias("named"))
 
 
-@query(CELLS.replace("WITH plain", "WITH plain") + """, merged AS (SELECT abbr, lower(resolution) AS k, count(*) AS n FROM plain GROUP BY ALL) SELECT abbr, k, n FROM merged""")
+_FIRST = [c for c in S.RAW if c not in ("abbr", "resolution", *PLACES)]
+_UNITED = ", ".join(f"coalesce((SELECT string_agg(v, '; ' ORDER BY k) FROM (SELECT v, min(row_order * 100 + i) AS k FROM (SELECT row_order, unnest(list_transform(string_split({c}, ';'), lambda x: trim(x))) AS v, unnest(range(1, len(string_split({c}, ';')) + 1)) AS i FROM r WHERE r.abbr = g.abbr AND lower(r.resolution) = g.k) WHERE v <> '' GROUP BY v)), '') AS {c}" for c in PLACES)
+
+
+@query(f"""
+WITH r AS (SELECT * FROM {INHERITED}),
+g AS (SELECT abbr, lower(resolution) AS k, coalesce(CASE WHEN regexp_matches(abbr, '^[A-Z]') THEN arg_min(resolution, row_order) FILTER (regexp_matches(resolution, '^[A-Z]')) END, arg_min(resolution, row_order)) AS resolution,
+      {', '.join(f"coalesce(arg_min({c}, row_order) FILTER ({c} <> ''), '') AS {c}" for c in _FIRST)} FROM r GROUP BY abbr, lower(resolution))
+SELECT g.abbr, g.resolution, {', '.join(f'g.{c}' for c in _FIRST)}, {_UNITED} FROM g""")
 def merge_duplicates(spark, sf_dir):
-    rows = _inherited(spark).where(SIMPLE)
-    counts = rows.groupBy("abbr", F.lower("resolution").alias("k")).agg(F.count("*").alias("n"))
-    once = glossary.merged(rows).select("abbr", F.lower("resolution").alias("k"))
-    return once.join(counts, ["abbr", "k"])
+    return glossary.merged(_inherited(spark)).select("abbr", "resolution", *_FIRST, *PLACES)
 
 
 @query(f"""
@@ -351,19 +384,48 @@ def morphology_review(spark, sf_dir):
 
 # --- paradigms --------------------------------------------------------------------------------
 
-ENDINGS = S.values(list(morphology.ending_rows()), ["tab", "class", "plural", "ending"])
-SUFFIXES = S.values(list(morphology.verb_rows()), ["class", "stem_kind", "ending", "for_deponents"])
-
-
-def _words_sql() -> tuple[str, str]:
-    """The stand-in's entries taken apart, as tables of classes and of stems."""
-    found = [(e, w) for e, s, d in S.MORPHOLOGY for w in morphology.analysed(e, s, d) or []]
-    classes = [(e, w["pos"], w["word"], w["kind"], w["plural"], w["deponent"], c) for e, w in found for c in w["classes"] or [""]]
-    stems = [(e, w["pos"], s["kind"], s["stem"]) for e, w in found for s in w["stems"]]
-    return S.values(classes, ["resolution", "pos", "word", "kind", "plural", "deponent", "class"]), S.values(stems, ["resolution", "pos", "stem_kind", "root"])
-
-
-_CLASSES, _STEMS = _words_sql()
+# Written out here on their own, so that a wrong table or a wrong reading of an entry is seen.
+# Endings of classes, singular and plural.
+ENDINGS = """(SELECT tab, class, plural, ending FROM (
+    SELECT tab, class, false AS plural, unnest(string_split(one, ' ')) AS ending FROM e UNION SELECT tab, class, true, unnest(string_split(more, ' ')) FROM e))""".replace(
+    "FROM e",
+    """FROM (VALUES ('noun', 'a', 'a ae am', 'ae arum is as'), ('noun', 'o', 'us i o um e', 'i orum is os'), ('noun', 'o_n', 'um i o', 'a orum is'), ('noun', 'u', 'us ui um u', 'us uum ibus'),
+    ('noun', 'e', 'es ei em e', 'es erum ebus'), ('noun', 'kons', 'is i em e', 'es um ibus'), ('noun', 'kons_n', 'is i e', 'a um ibus'), ('noun', 'gem', 'is i em e', 'es ium ibus'), ('noun', 'gem_n', 'is i e', 'ia ium ibus'),
+    ('noun', 'i', 'is i em im e', 'es ium ibus is'), ('noun', 'i_n', 'is i', 'ia ium ibus'), ('adjective', 'i', 'is i em e', 'es ia ium ibus'), ('adjective', 'kons', 'is i em e', 'es a um ibus'),
+    ('adjective', 'o/a', 'us i o um e a ae am', 'i orum is os ae arum as a')) AS e(tab, class, one, more)""",
+)
+_DECLINED = "us i o um e a ae am orum is os arum as".split()
+_PERFECT = "i isti it imus istis erunt ere eram eras erat eramus eratis erant ero eris erit erimus eritis erint erim issem isses isset issemus issetis issent isse".split()
+
+
+def _verb_sql(name: str, active: str, passive: str, others: str, participle: str) -> list[tuple]:
+    """Suffixes of the stand-in's verbs: tenses (vowel:first:third), other forms, participles."""
+    own = set(others.split("|"))
+    for tenses, persons in ((active, "s t mus tis"), (passive, "ris tur mur mini")):
+        for vowel, first, third in (t.split(":") for t in tenses.split()):
+            own |= {first, third, *(vowel + x for x in persons.split())}
+    first, stem, gerund = participle.split()
+    also = {first, *(stem + e for e in "is i em e es ium ibus ia".split()), *(gerund + e for e in _DECLINED)}
+    passive_ = lambda x: x.endswith(("r", "ris", "tur", "mur", "mini")) or x in ("i", "ri", "ari")
+    rows = [(name, "present", x, passive_(x)) for x in sorted(own)] + [(name, "present", x, True) for x in sorted(also)]
+    rows += [(name, "perfect", x, False) for x in _PERFECT]
+    return rows + [(name, "supine", x, True) for x in sorted({*_DECLINED, *("ur" + e for e in _DECLINED), "um", "u"})]
+
+
+SUFFIXES = S.values(
+    _verb_sql("a", "a:o:ant aba:abam:abant abi:abo:abunt e:em:ent are:arem:arent", "a:or:antur aba:abar:abantur e:er:entur are:arer:arentur", "are|a|ate|abor|aberis|abitur|abimur|abimini|abuntur|ari", "ans ant and")
+    + _verb_sql("e", ":o:nt ba:bam:bant bi:bo:bunt a:am:ant re:rem:rent", ":or:ntur ba:bar:bantur a:ar:antur re:rer:rentur", "re||te|bor|beris|bitur|bimur|bimini|buntur|ri", "ns nt nd")
+    + _verb_sql("halbkons", "i:io:iunt ieba:iebam:iebant ie:iam:ient ia:iam:iant ere:erem:erent", "i:ior:iuntur ieba:iebar:iebantur ia:iar:iantur ere:erer:erentur", "ere|e|ite|eris|iar|ieris|ietur|iemur|iemini|ientur|i", "iens ient iend"),
+    ["class", "stem_kind", "ending", "for_deponents"],
+)
+# The stand-in's entries, read by hand.
+_CLASSES = """(SELECT * FROM (VALUES ('ecclesia', 0, 'ecclesia', 'noun', false, false, 'a'), ('ordo', 0, 'ordo', 'noun', false, false, 'kons'), ('annus', 0, 'annus', 'noun', false, false, 'o'),
+    ('altare', 0, 'altare', 'noun', false, false, 'i_n'), ('gratia expectativa', 0, 'gratia', 'noun', false, false, 'a'), ('gratia expectativa', 1, 'expectativa', 'adjective', false, false, 'o/a'),
+    ('presbiter', 0, 'presbiter', 'noun', false, false, 'o'), ('arma', 0, 'arma', 'noun', true, false, 'o_n'), ('providere', 0, 'providere', 'verb', false, false, 'e'), ('ingredi', 0, 'ingredi', 'verb', false, true, 'halbkons'),
+    ('taxare', 0, 'taxare', 'verb', false, false, 'a'), ('et', 0, 'et', 'fixed', false, false, ''), ('litterae', 0, 'litterae', 'unknown', false, false, '')) AS t(resolution, pos, word, kind, plural, deponent, class))"""
+_STEMS = """(SELECT * FROM (VALUES ('ecclesia', 0, 'noun', 'ecclesi'), ('ordo', 0, 'noun', 'ordin'), ('annus', 0, 'noun', 'ann'), ('altare', 0, 'noun', 'altar'), ('gratia expectativa', 0, 'noun', 'grati'),
+    ('gratia expectativa', 1, 'noun', 'expectativ'), ('presbiter', 0, 'noun', 'presbiter'), ('arma', 0, 'noun', 'arm'), ('providere', 0, 'present', 'provide'), ('providere', 0, 'perfect', 'provid'), ('providere', 0, 'supine', 'provis'),
+    ('ingredi', 0, 'present', 'ingred'), ('ingredi', 0, 'supine', 'ingress'), ('taxare', 0, 'present', 'tax'), ('taxare', 0, 'perfect', 'taxav'), ('taxare', 0, 'supine', 'taxat')) AS t(resolution, pos, stem_kind, root))"""
 FORMS = f"""
 WITH w AS (SELECT * FROM {_CLASSES}), s AS (SELECT * FROM {_STEMS}),
 made AS (
@@ -404,7 +466,9 @@ def lemma_index(spark, sf_dir):
     return lexicon.lemma_index(S.morphology(spark))
 
 
-@query()
+@query(FORMS + f""", firsts AS (SELECT DISTINCT resolution, resolution[:2] || '.' AS abbr, string_split(resolution, ' ')[1] AS first FROM w),
+keys AS (SELECT abbr, {key_sql('first')} AS key FROM firsts UNION SELECT abbr, {key_sql('form')} FROM firsts JOIN forms USING (resolution) WHERE first = word AND form IS NOT NULL)
+SELECT abbr, key FROM keys WHERE length(key) >= 4""")
 def anchor_index(spark, sf_dir):
     return lexicon.anchor_index(S.morphology(spark).withColumn("abbr", F.concat(F.left("resolution", F.lit(2)), F.lit("."))))
 
@@ -423,27 +487,38 @@ def candidates_step2(spark, sf_dir):
     return found.select("volume", "entry", "abbr", F.array_join("candidates", "|").alias("candidates"))
 
 
-@query()
+#: Pieces of the documents, those that something is offered for with the first of it, numbered.
+CHOSEN = OFFERED + f""",
+firsts AS (SELECT c.volume, abbr, min(resolution) AS r FROM (SELECT DISTINCT volume FROM {S.CORPUS}) c JOIN offers o ON o.volume IS NULL OR o.volume = c.volume GROUP BY ALL),
+cut AS (SELECT volume, entry, i, l[i] AS t FROM (SELECT volume, entry, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT volume, entry, {PIECES} AS l FROM {S.CORPUS}))),
+hits AS (SELECT cut.*, r, sum(CASE WHEN r IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY cut.volume, entry ORDER BY i) AS k FROM cut LEFT JOIN firsts f ON f.volume = cut.volume AND f.abbr = t)"""
+_ALL = f"FROM {S.CORPUS} LEFT JOIN made USING (volume, entry)"
+
+
+@query(CHOSEN + f", made AS (SELECT volume, entry, max(k) AS n, string_agg(CASE WHEN r IS NULL THEN t ELSE '[[' || CAST(k AS INTEGER) || '|' || t || ']]' END, '' ORDER BY i) AS marked FROM hits GROUP BY ALL) SELECT volume, entry, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(marked, '') AS marked {_ALL}")
 def occurrences_marked(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
     own = candidates.marked(candidates.with_occurrences(docs, candidates.of_entries(docs, S.glossary(spark))))
     return own.select("volume", "entry", F.size("occurrences").alias("n"), "marked")
 
 
-@query()
+@query(CHOSEN + f", made AS (SELECT volume, entry, string_agg(coalesce(r, t), '' ORDER BY i) AS expanded FROM hits GROUP BY ALL) SELECT volume, entry, coalesce(expanded, '') AS expanded {_ALL}")
 def expanded_by_choice(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
     own = candidates.first_choices(candidates.with_occurrences(docs, candidates.of_entries(docs, S.glossary(spark))))
     return own.select("volume", "entry", "expanded")
 
 
-@query()
+@query(CHOSEN + f", made AS (SELECT volume, entry, max(k) AS n, string_agg(coalesce(r, t), '' ORDER BY i) AS processed FROM hits GROUP BY ALL) SELECT volume, entry, coalesce(processed, '') AS processed, CAST(coalesce(n, 0) AS INTEGER) AS choices, CAST(0 AS INTEGER) AS errors {_ALL}")
 def step2_decisions(spark, sf_dir):
     got = steps.step2(S.corpus(spark, sf_dir), S.glossary(spark), steps.FirstCandidate())
     return got.select("volume", "entry", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
 
 
-@query()
+@query(ORACLES["prefix_candidates"].replace("SELECT * FROM ranked WHERE rank <= 10", f""", best AS (SELECT map_from_entries(list((abbreviation, candidate))) AS m FROM ranked WHERE rank = 1),
+cut AS (SELECT volume, entry, {PIECES} AS l FROM {S.CORPUS})
+SELECT volume, entry, coalesce(array_to_string(list_transform(l, lambda t: CASE WHEN {STANDS} THEN coalesce(m[t], t) ELSE t END), ''), '') AS processed,
+       CAST(len(list_filter(l, lambda t: {STANDS} AND m[t] IS NOT NULL)) AS INTEGER) AS choices, CAST(len(list_filter(l, lambda t: {STANDS} AND m[t] IS NULL)) AS INTEGER) AS errors FROM cut, best"""))
 def step3_decisions(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
     got = steps.step3(docs, docs, steps.FirstCandidate())
@@ -459,35 +534,52 @@ def step4_decisions(spark, sf_dir):
     return got.select("volume", "entry", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
 
 
-ANSWERS = [(1, '{"1": "ecclesia", "2": "SKIP"}'), (2, 'so: {"1": "`of`", "3": "x"} done'), (3, "none"), (4, '{"1": "eccl", "2": null}'), (5, "[1]"), (6, '{"1": "ecclesiam"}')]
-
-
-@query(f"""
-WITH a AS (SELECT k, json_extract_string(body, '$."1"') AS one, json_extract_string(body, '$."2"') AS two FROM (SELECT k, regexp_extract(answer, '(?s)\\{{.*\\}}') AS body FROM {S.values(ANSWERS, ['k', 'answer'])}) WHERE body <> ''),
-b AS (SELECT k, unnest([1, 2]) AS id, unnest([one, two]) AS v FROM a)
-SELECT CAST(k AS BIGINT) AS k, CAST(id AS INTEGER) AS id, CASE WHEN v IS NULL THEN 'missing' WHEN upper(trim(trim(v), '`')) = 'SKIP' THEN 'skip' WHEN trim(trim(v), '`') = 'ecclesia' THEN 'suggestion'
-       WHEN starts_with(trim(trim(v), '`'), 'eccl') AND length(trim(trim(v), '`')) > 4 AND id = 1 THEN 'free' ELSE 'rejected' END AS tier FROM b""")
+@query("""
+WITH a AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]+') AS w FROM documents), b AS (SELECT * FROM a WHERE w <> '' AND doc_id % 7 > 0)
+SELECT doc_id, CAST(1 AS INTEGER) AS id, CASE WHEN w IN ('the', 'that') THEN 'suggestion' WHEN starts_with(w, 'th') AND length(w) > 2 THEN 'free' WHEN upper(w) = 'SKIP' THEN 'skip' ELSE 'rejected' END AS tier FROM b
+UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 2 = 0 THEN 'skip' ELSE 'missing' END FROM b""")
 def parse_tiers(spark, sf_dir):
-    found = [spans.Occurrence(1, "eccl.", "eccl.", 0, 5), spans.Occurrence(2, "dioc.", "dioc.", 6, 11)]
-    rows = []
-    for k, answer in ANSWERS:
-        judged, _ = answers.judge(3, answer, found, {"eccl.": ["ecclesia"]})
-        rows += [(k, d["id"], d["tier"]) for d in (judged.details if judged else [])]
-    return spark.createDataFrame(rows, "k long, id int, tier string")
+    """An answer for each document, of its first word; every seventh cannot be read."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("w"))
+    second = F.when(F.col("doc_id") % 2 == 0, F.lit(', "2": "skip"')).otherwise("")
+    given = F.when((F.col("w") == "") | (F.col("doc_id") % 7 == 0), F.lit("no object")).otherwise(F.concat(F.lit('So: {"1": "`'), "w", F.lit('`"'), second, F.lit("} done")))
+    found = [spans.Occurrence(1, "th.", "th.", 0, 3), spans.Occurrence(2, "dioc.", "dioc.", 4, 9)]
+    judged = answers.tiers(3, found, {"th.": ["the", "that"]})
+    return docs.select("doc_id", F.explode(judged(given)).alias("d")).select("doc_id", "d.id", "d.tier")
 
 
 # --- alignment and scores ---------------------------------------------------------------------
 
 
-@query()
+#: Documents and what plain rules make of them: pieces, and a resolution where there is one.
+MADE = f"""
+WITH rules AS (SELECT map_from_entries(list((abbr, resolution))) AS m FROM {S.PLAIN_SQL}),
+cut AS (SELECT doc_id % 9 + 1 AS volume, doc_id AS entry, text, l, list_transform(l, lambda t: coalesce(m[t], t)) AS made, len(list_filter(l, lambda t: m[t] IS NOT NULL)) AS hits FROM (SELECT doc_id, text, {PIECES} AS l FROM documents), rules),
+done AS (SELECT *, array_to_string(made, '') AS new FROM cut)"""
+TOKEN = "[A-Za-z]+\\.?|\\p{Nd}+"
+
+
+def _expanded(spark, sf_dir):
+    """Documents, their texts before (old) and after (text) the plain rules."""
+    docs = S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text"))
+    return rules.expand(docs, S.plain_rules(spark, sf_dir), "text")
+
+
+@query(MADE + """, placed AS (SELECT volume, entry, l[i] AS t, made[i] AS r, i FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM done)),
+ends AS (SELECT *, sum(length(r)) OVER (PARTITION BY entry ORDER BY i) AS stop FROM placed),
+spans AS (SELECT entry, CAST(stop - length(r) AS INTEGER) AS start, CAST(stop - 1 AS INTEGER) AS "end" FROM ends WHERE t <> r)
+SELECT volume, entry, start, "end" FROM done LEFT JOIN spans USING (entry)""")
 def inserted_spans(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    docs = _expanded(spark, sf_dir)
     return docs.select("volume", "entry", F.explode_outer(inserted("old", "text")).alias("s")).select("volume", "entry", "s.start", "s.end")
 
 
-@query()
+@query(MADE + f""", tokens AS (SELECT volume, entry, regexp_extract_all(text, '{TOKEN}') AS a, regexp_extract_all(new, '{TOKEN}') AS b FROM done),
+each AS (SELECT volume, entry, a, b, unnest(range(1, len(a) + 1)) AS i FROM tokens)
+SELECT volume, entry, CAST(i - 1 AS INTEGER) AS pos, a[i] AS token, CAST(i - 1 AS INTEGER) AS start, CAST(i AS INTEGER) AS "end", b[i] AS text FROM each""")
 def aligned_spans(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
+    """The rules put one token in the place of one, so the n-th token of a text belongs to the n-th."""
+    docs = _expanded(spark, sf_dir)
     return docs.select("volume", "entry", F.posexplode(aligned("old", "text")).alias("pos", "a")).select("volume", "entry", "pos", "a.*")
 
 
@@ -577,17 +669,23 @@ def mismatches(spark, sf_dir):
     return score.mismatches(_scored(spark, sf_dir))
 
 
-@query()
+@query(LONG + f""", offered AS (SELECT volume, entry, pos, s.abbr, s.step, s.gold, s.verdict AS own, c.candidate, {key_sql('s.gold')} AS gk, {key_sql('c.candidate')} AS ek FROM stepped s JOIN {OFFERS} c ON s.abbr = c.abbr AND s.step = c.step
+           WHERE stage = 4 AND s.verdict IN {_SCORED}),
+ends AS (SELECT list(DISTINCT e) AS ends FROM (SELECT coalesce({key_sql('ending')}, '') AS e FROM {ENDINGS} UNION SELECT '')),
+told AS (SELECT volume, entry, pos, NOT (gold = candidate OR gk = ek OR EXISTS (SELECT 1 FROM index a JOIN index b USING (lemma) WHERE a.key = gk AND b.key = ek)
+         OR len(list_filter(range(3, 1 + len(list_filter(range(1, 1 + least(length(gk), length(ek))), lambda i: gk[:i] = ek[:i]))), lambda i: list_contains(ends, gk[i + 1:]) AND list_contains(ends, ek[i + 1:]))) > 0) AS miss FROM offered, ends)
+SELECT s.volume, s.entry, s.pos, c.candidate AS candidates, t.miss AS candidate_miss FROM stepped s LEFT JOIN {OFFERS} c ON s.abbr = c.abbr AND s.step = c.step LEFT JOIN told t ON t.volume = s.volume AND t.entry = s.entry AND t.pos = s.pos
+WHERE s.stage = 4 AND s.verdict <> 'exact'""")
 def mismatch_candidates(spark, sf_dir):
     return score.mismatches(_scored(spark, sf_dir), _offers(spark, sf_dir), S.lemmas(spark)).select("volume", "entry", "pos", "candidates", "candidate_miss")
 
 
-@query()
+@query(MADE + f""", sums AS (SELECT sum(hits) AS hits, sum(len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda t: ends_with(t, '.')))) AS n FROM done)
+SELECT CAST(stage AS INTEGER) AS stage, verdict, CAST(k AS BIGINT) AS n FROM (SELECT unnest([1, 2, 1, 2]) AS stage, unnest(['not_expanded', 'exact', 'no_gold_label', 'no_gold_label']) AS verdict, unnest([hits, hits, n - hits, n - hits]) AS k FROM sums)""")
 def evaluated_texts(spark, sf_dir):
     """Documents against their own resolution, from texts to verdicts."""
-    done = rules.expand(S.corpus(spark, sf_dir, len(PLACES)).withColumn("source", F.col("text")), S.mined_rules(spark, sf_dir), "text")
-    plain = F.regexp_replace("text", "[<>]", "")
-    rows = score.aligned_occurrences(done.select("volume", "entry", "source", plain.alias("gold"), F.array("source", plain).alias("stages")))
+    done = _expanded(spark, sf_dir)
+    rows = score.aligned_occurrences(done.select("volume", "entry", F.col("old").alias("source"), F.col("text").alias("gold"), F.array("old", "text").alias("stages")))
     return score.with_verdicts(rows, S.lemmas(spark)).groupBy("stage", "verdict").agg(F.count("*").alias("n"))
 
 
@@ -693,22 +791,25 @@ def unattested_paradigms(spark, sf_dir):
 # --- markup -----------------------------------------------------------------------------------
 
 
-@query()
+@query(MADE + """ SELECT volume, entry, CASE WHEN coalesce(new, '') = '' THEN 'empty' ELSE 'accepted' END AS status, CAST(coalesce(hits, 0) AS INTEGER) AS choices,
+CAST(coalesce(len(regexp_extract_all(new, '(?:^|[^\\p{Nd}A-Za-z])the\\.')), 0) AS INTEGER) AS kept, CAST(0 AS INTEGER) AS unplaced FROM done""")
 def tei_roundtrip(spark, sf_dir):
-    docs = rules.expand(S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text")), S.mined_rules(spark, sf_dir), "text")
-    return tei.lines(docs.select("volume", "entry", "old", "text"), "old", ["text"], known=frozenset(["the."])).select("volume", "entry", "status", "choices", "kept", "unplaced")
+    docs = _expanded(spark, sf_dir).select("volume", "entry", "old", "text")
+    return tei.lines(docs, "old", ["text"], known=frozenset(["the."])).select("volume", "entry", "status", "choices", "kept", "unplaced")
 
 
 @query()
 def tei_entries(spark, sf_dir):
     rows = S.regests(spark, sf_dir, len(PLACES)).withColumn("old", F.coalesce("head_text", "body_text"))
-    done = rules.expand(rows.withColumn("new", F.col("old")), S.mined_rules(spark, sf_dir), "new")
+    done = rules.expand(rows.withColumn("new", F.col("old")), S.plain_rules(spark, sf_dir), "new")
     marked = tei.lines(done.select("volume", "entry", "line_no", "line_id", "old", "new"), "old", ["new"])
     return tei.entries(marked)
 
 
-@query("SELECT doc_id, regexp_extract(t, '[A-Za-z]+\\.') AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\p{Nd}[A-Za-z]+\\.')) AS t FROM documents)")
+@query("SELECT doc_id, regexp_extract(t, '[A-Za-z]+\\.') AS token FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, ' of', ' 7of'), '\\p{Nd}[A-Za-z]+\\.')) AS t FROM documents)")
 def tei_shelfmarks(spark, sf_dir):
-    return tei.shelfmarks(S.table(spark, sf_dir, "documents"), "doc_id")
+    """Folios are made of some words: a number is put before them."""
+    docs = S.table(spark, sf_dir, "documents")
+    return tei.shelfmarks(docs.withColumn("text", F.replace("text", F.lit(" of"), F.lit(" 7of"))), "doc_id")
 
 

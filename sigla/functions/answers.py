@@ -9,6 +9,11 @@ import json
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pandas as pd
+
+from . import vectorised
+from .spans import Occurrence
+
 TIERS = {"changed", "choice", "suggestion", "free"}  # those that are put into the text
 
 
@@ -78,3 +83,14 @@ def judge(step: int, answer: str | None, occurrences, candidates: dict[str, list
     known = {str(o.id) for o in occurrences}
     out.errors.extend(f"Unknown id: {k!r}" for k in found if k not in known)
     return out, None
+
+
+def tiers(step: int, occurrences: list[Occurrence], candidates: dict[str, list[str]]):
+    """A vectorised function of answers to the same occurrences: the tier of each; null if unreadable."""
+
+    @vectorised("array<struct<id int, tier string>>")
+    def judged(given: pd.Series) -> pd.Series:
+        found = (judge(step, a, occurrences, candidates)[0] for a in given)
+        return pd.Series([f and [{"id": d["id"], "tier": d["tier"]} for d in f.details] for f in found], dtype=object)
+
+    return judged

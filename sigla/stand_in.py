@@ -63,6 +63,12 @@ RAW_ROWS = [
     _cells(abbr="prep.", resolution="prepositura", stem="prepositur -e", declension="a", in_2="prep.", in_3="prep."),
     _cells(abbr="th.", resolution="theologia", in_1="th.", in_8="th."),
     _cells(abbr="en.", resolution="enim", in_2="en."),
+    _cells(abbr="the.", resolution="theologus", stem="theolog -i", declension="o", in_1="the.", in_2="the."),
+    _cells(abbr="of.", resolution="officium", stem="only stem", declension="o", in_2="of."),
+    _cells(abbr="de.", resolution="decanus; decretum", in_3="de."),
+    _cells(abbr="and.", resolution="andreas", stem="andre -e", declension="weird"),
+    _cells(abbr="la.", resolution="latus (lat.)", in_4="la.; lat."),
+    _cells(abbr="que.", resolution="quedam", stem="?", declension="?", in_5="que.; quedam"),
 ]
 
 
@@ -146,6 +152,18 @@ def mined_rules(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
     return best.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("volume"), F.col("abbreviation").alias("abbr"), F.concat(F.lit("<"), word, F.lit(">")).alias("resolution"), F.lit(1).alias("parts"))
 
 
+def plain_rules(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
+    """The most frequent abbreviations of ASCII letters as rules of every volume: an ending and a hyphen."""
+    from .operators import scan
+
+    counts = scan.abbreviation_counts(corpus(spark, sf_dir), "text", most=1).where(F.col("abbreviation").rlike(r"^[A-Za-z]+\.$"))
+    best = scan.top(counts, "n", "abbreviation", most).select("abbreviation")
+    full = F.concat(F.rtrim(F.col("abbreviation"), F.lit(".")), F.lit("um-"))
+    return best.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("volume"), F.col("abbreviation").alias("abbr"), full.alias("resolution"), F.lit(1).alias("parts"))
+
+
+PLAIN_SQL = r"(SELECT a AS abbr, rtrim(a, '.') || 'um-' AS resolution FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+\.')) AS a FROM documents) WHERE regexp_full_match(a, '[A-Za-z]+\.') GROUP BY a ORDER BY count(*) DESC, a LIMIT 300)"
+
 W = r"[\p{L}\p{M}\p{N}_]"
 MINED_SQL = f"(SELECT a AS abbr, '<' || rtrim(a, '.') || '>' AS resolution FROM (SELECT unnest(regexp_extract_all(text, '{W}+\\.')) AS a FROM documents) GROUP BY a ORDER BY count(*) DESC, a LIMIT 300)"
 
