@@ -111,16 +111,18 @@ def _share(good: Column, of: Column) -> Column:
     return F.when(of == 0, 0.0).otherwise(good / of)
 
 
-def _rates() -> list[Column]:
-    n = F.count_if(F.col("verdict").isin(SCOREABLE))
-    done = F.count_if(F.col("verdict").isin([v for v in SCOREABLE if v != "not_expanded"]))
+def _rates(rows: Column | None = None) -> list[Column]:
+    """Counts and shares of verdicts; ``rows``: how many occurrences a row stands for."""
+    counted = lambda which: F.coalesce(F.sum(F.when(which, F.lit(1).cast("long") if rows is None else rows)), F.lit(0).cast("long"))
+    among = lambda names: counted(F.col("verdict").isin(names))
+    n = among(SCOREABLE)
     return [
-        F.count("*").alias("occurrences"),
+        counted(F.lit(True)).alias("occurrences"),
         n.alias("scoreable"),
-        _share(done, n).alias("expanded"),
-        _share(F.count_if(F.col("verdict").isin(WORD)), n).alias("word_accuracy"),
-        _share(F.count_if(F.col("verdict").isin(FORM)), n).alias("form_accuracy"),
-        F.count_if(F.col("verdict") == "no_gold_label").alias("no_gold_label"),
+        _share(among([v for v in SCOREABLE if v != "not_expanded"]), n).alias("expanded"),
+        _share(among(WORD), n).alias("word_accuracy"),
+        _share(among(FORM), n).alias("form_accuracy"),
+        among(["no_gold_label"]).alias("no_gold_label"),
     ]
 
 
@@ -137,11 +139,13 @@ def by_step(scored: DataFrame) -> DataFrame:
 def by_abbreviation(scored: DataFrame) -> DataFrame:
     """Rates of the last stage, the most frequent wrong resolution, up to five golds, and the gain left."""
     last = scored.where(F.col("stage") == F.lit(max(STEPS)))
-    golds = last.select("abbr", F.coalesce("gold", F.lit("")).alias("gold")).distinct()
+    # Counted once by all that is asked about; what follows shares that exchange.
+    counts = last.groupBy("abbr", F.coalesce("gold", F.lit("")).alias("gold"), "resolution", "verdict").agg(F.count("*").alias("n"))
+    golds = counts.groupBy("abbr", "gold").agg(F.sum("n").alias("n"))
     golds = golds.withColumn("k", F.row_number().over(Window.partitionBy("abbr").orderBy("gold"))).where(F.col("k") <= GOLDS)
     listed = golds.groupBy("abbr").agg(F.array_join(F.array_sort(F.collect_list("gold")), ", ").alias("gold_variants"))
-    sums = last.groupBy("abbr").agg(*_rates()).join(listed, "abbr")
-    wrong = last.where(F.col("verdict").isin("wrong_word", "wrong_form", "wrong_form?")).groupBy("abbr", "resolution").agg(F.count("*").alias("n"))
+    sums = counts.groupBy("abbr").agg(*_rates(F.col("n"))).join(listed, "abbr")
+    wrong = counts.where(F.col("verdict").isin("wrong_word", "wrong_form", "wrong_form?")).groupBy("abbr", "resolution").agg(F.sum("n").alias("n"))
     mode = wrong.groupBy("abbr").agg(F.min(F.struct((-F.col("n")).alias("n"), "resolution")).alias("m")).select("abbr", F.col("m.resolution").alias("most_frequent_error"))
     out = sums.join(mode, "abbr", "left").withColumn("most_frequent_error", F.coalesce("most_frequent_error", F.lit("")))
     rounded = {c: F.round(c, 4) for c in ("word_accuracy", "form_accuracy")}
