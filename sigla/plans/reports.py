@@ -30,12 +30,16 @@ def resolution(before: DataFrame, after: DataFrame, listed: DataFrame, glossary:
 
 def extraction(log: DataFrame, most: int = 200) -> str:
     """What the stages of a dictionary did, counted and then listed."""
-    counts = log.groupBy("stage").agg(F.count("*").alias("n")).orderBy("stage")
-    parts = [markdown(counts, "Decisions")]
-    for r in counts.collect():  # a row for each stage
-        own = log.where(F.col("stage") == r.stage).select("abbr", "resolution", "detail").orderBy("abbr", "resolution", "detail")
-        parts.append(markdown(own, r.stage.capitalize(), most))
-    return "\n".join(parts)
+    log = log.persist()  # all stages of a dictionary are behind each of its rows
+    try:
+        counts = log.groupBy("stage").agg(F.count("*").alias("n")).orderBy("stage")
+        parts = [markdown(counts, "Decisions")]
+        for r in counts.collect():  # a row for each stage
+            own = log.where(F.col("stage") == r.stage).select("abbr", "resolution", "detail").orderBy("abbr", "resolution", "detail")
+            parts.append(markdown(own, r.stage.capitalize(), most))
+        return "\n".join(parts)
+    finally:
+        log.unpersist()
 
 
 def evaluation(scored: DataFrame, candidates: DataFrame, index: DataFrame, baseline: DataFrame | None = None, most: int = 20) -> str:
