@@ -15,12 +15,9 @@ chance that two registers agree is the Jaccard similarity whatever the size of t
    of different components once, in the first band it shares.  Only rows with a candidate leave a
    block; they come back with their texts, full sets decide, and a block returns no more links
    than its components need.
-5. A group that is larger than a block is first divided by a prefix filter: estimates that pass
-   need NEEDED equal registers, so of such a pair's registers, ordered by how rare they are in the
-   group, the first PREFIX of each have one in common.  A row goes to PREFIX parts at most, to
-   those only that hold different components; registers that no other row has lead nowhere.  Parts
-   that are still larger, where many rows have even their rarest registers in common, are cut into
-   chunks whose pairs are blocks, so that no pair is lost.
+5. In a group, one component holds most rows as a rule.  Its rows are compared with the other
+   components' only, and go to as many blocks as those fill; so a group of copies with a few rows
+   of its own costs its rows once, and only rows outside the largest component meet each other.
 
 The chance that two documents just at the threshold meet in no band is below 2 in 100,000; those
 above it are found with more certainty still.
@@ -35,7 +32,6 @@ component; an empty table gives no rows; extra columns are ignored, or pass thro
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -57,11 +53,8 @@ MANTISSA_BITS = 10
 #: Estimates this many standard deviations below the threshold are trusted to be below it.
 DEVIATIONS = 4.5
 LEAST = SHARE / 100 - DEVIATIONS * (SHARE / 100 * (1 - SHARE / 100) / REGISTERS) ** 0.5
-#: Registers that have to agree, at least, for an estimate that passes, and the prefix that follows.
-NEEDED = math.ceil(LEAST * REGISTERS)
-PREFIX = REGISTERS - NEEDED + 1
-#: Rows, and shingles together, of a chunk of a large group; a block is two chunks.
-BLOCK, BLOCK_SHINGLES = 256, 400_000
+#: Rows, and shingles together, of a chunk of a group; a block is two chunks.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 MEMO_WORDS = 250_000
 
 
@@ -323,44 +316,27 @@ def _chunks(rows: Column, size: Column) -> Column:
     return F.greatest(F.ceil(rows / BLOCK), F.least(rows, F.ceil(size / BLOCK_SHINGLES)))
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """Rows of groups (key) that hold several components, with the group's number of chunks."""
-    groups = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"), F.sum("n_shingles").alias("size"))
-    groups = groups.where("least <> most").select("key", _chunks(F.col("rows"), F.col("size")).alias("chunks"))
-    return rows.join(groups, "key")
-
-
-def _divided(rows: DataFrame) -> DataFrame:
-    """Rows of large groups, each in the parts that its rarest registers stand for."""
-    told = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.substring("registers", 2 * i + 1, F.lit(2)))
-    tokens = rows.select("key", "node", "label", F.posexplode(told).alias("i", "value"))
-    counts = tokens.groupBy("key", "i", "value").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most"))
-    both = tokens.join(counts, ["key", "i", "value"]).withColumn("apart", F.col("least") != F.col("most"))
-    # A row's registers, of which there is a fixed number, in an order that all rows of a group share.
-    listed = both.groupBy("key", "node").agg(F.sort_array(F.collect_list(F.struct("n", "i", "value", "apart"))).alias("own"))
-    prefix = F.filter(F.slice("own", 1, PREFIX), lambda t: t.apart)
-    parts = listed.select("key", "node", F.explode(prefix).alias("t")).select("key", "node", F.xxhash64("key", "t.i", "t.value").alias("part"))
-    return rows.join(parts, ["key", "node"]).select(F.col("part").alias("key"), *[c for c in rows.columns if c != "key"])
-
-
 def _between_components(banded: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between different components that share a band, by blocks."""
     labelled = banded.join(labels.select("node", F.col("component").alias("c")), "node", "left").withColumn("label", F.coalesce("c", "node")).drop("c")
-    rows = labelled.join(nodes.select("node", "n_shingles", "registers"), "node").select("key", "band", "node", "label", "n_shingles", "registers")
-    rows = write_shared(_apart(rows), "apart")
-    parts = _apart(_divided(rows.where("chunks > 1").drop("chunks")))
-    whole = rows.where("chunks = 1").unionByName(parts)
-    # A part that is still large is cut into chunks; each pair of chunks is a block, and so is each chunk.
-    dealt = whole.withColumn("own", F.pmod(F.xxhash64("node"), "chunks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "label", "n_shingles", "registers")
+    rows = labelled.join(nodes.select("node", "n_shingles", "registers"), "node")
+    held = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    most = F.max(F.struct("n", "size", "label"))
+    groups = held.groupBy("key").agg(most.alias("main"), F.sum("n").alias("rows"), F.sum("size").alias("all")).where("rows > main.n")
+    groups = groups.select("key", F.col("main.label").alias("main"), _chunks(F.col("rows") - F.col("main.n"), F.col("all") - F.col("main.size")).alias("others"), _chunks(F.col("main.n"), F.col("main.size")).alias("mains"))
+    # Chunks of the other components come first, then those of the main one.  Each pair of other
+    # chunks is a block, and so is each pair of one of them and a main one.
+    rows = rows.join(groups, "key").withColumn("apart", F.col("label") != F.col("main"))
+    own = F.when(F.col("apart"), F.pmod(F.xxhash64("node"), "others")).otherwise(F.col("others") + F.pmod(F.xxhash64("node"), "mains"))
+    last = F.when(F.col("apart"), F.col("others") + F.col("mains")).otherwise(F.col("others"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+    dealt = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "node", "label", "n_shingles", "registers")
     schema = dealt.schema
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     needed = write_shared(dealt.mapInArrow(_needed, schema), "blocks")
     both = needed.join(texts, "node").select(*needed.columns, "t").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = write_shared(both.mapInArrow(_linked_in_blocks, "a long, b long").distinct(), "links")
     drop_shared(needed)
-    drop_shared(rows)
     return links
 
 
