@@ -213,26 +213,26 @@ def rules_unambiguous(spark, sf_dir):
 
 EXPANDED = f"""
 WITH rules AS (SELECT map_from_entries(list((abbr, resolution))) AS m FROM {S.MINED_SQL}),
-expanded AS (SELECT volume, entry, text, array_to_string(list_transform(regexp_extract_all(text, '(?s){W}+\\.|{W}+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda t: coalesce(m[t], t)), '') AS new FROM {S.CORPUS}, rules WHERE volume < 10)"""
+expanded AS (SELECT volume, entry, text, array_to_string(list_transform(regexp_extract_all(text, '(?s){W}+\\.|{W}+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda t: coalesce(m[t], t)), '') AS new FROM (SELECT doc_id % 9 + 1 AS volume, doc_id AS entry, text FROM documents), rules)"""
 
 
 @query(EXPANDED + " SELECT volume, entry, md5(new) AS text_md5, new <> text AS changed FROM expanded")
 def expand_rules(spark, sf_dir):
-    docs = S.corpus(spark, sf_dir).withColumn("old", F.col("text"))
+    docs = S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text"))
     done = rules.expand(docs, S.mined_rules(spark, sf_dir), "text")
     return done.select("volume", "entry", F.md5(F.col("text").cast("binary")).alias("text_md5"), (F.col("text") != F.col("old")).alias("changed"))
 
 
 @query(EXPANDED + f" SELECT volume, CAST(sum(len(regexp_extract_all(text, '{W}+\\.'))) AS BIGINT) AS before, CAST(sum(len(regexp_extract_all(new, '{W}+\\.'))) AS BIGINT) AS after FROM expanded GROUP BY volume")
 def expand_report(spark, sf_dir):
-    docs = S.corpus(spark, sf_dir).where("volume < 10")
+    docs = S.corpus(spark, sf_dir, len(PLACES))
     return scan.counted_before_and_after(docs, rules.expand(docs, S.mined_rules(spark, sf_dir), "text"), "text")
 
 
 @query(EXPANDED + f", {grams_sql('expanded', 'new').replace('WITH runs', 'runs')}, known AS (SELECT a AS abbreviation FROM (SELECT unnest(regexp_extract_all(text, '{W}+\\.')) AS a FROM documents) GROUP BY a HAVING count(*) > 1) SELECT abbreviation, len(string_split(abbreviation, ' ')) AS parts, count(*) AS n FROM grams SEMI JOIN known USING (abbreviation) GROUP BY ALL")
 def unrealised_potential(spark, sf_dir):
     """A dictionary of all that occurs twice, of which the rules have the most frequent."""
-    docs = S.corpus(spark, sf_dir).where("volume < 10")
+    docs = S.corpus(spark, sf_dir, len(PLACES))
     left = scan.abbreviation_counts(rules.expand(docs, S.mined_rules(spark, sf_dir), "text"), "text")
     known = scan.abbreviation_counts(S.table(spark, sf_dir, "documents"), "text", most=1).where("n > 1")
     return scan.known_but_left(left, known.select("abbreviation"))
