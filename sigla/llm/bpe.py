@@ -220,7 +220,29 @@ class Waves:
             out[k], at = data[at : at + c], at + c
 
 
-class Codec:
+class Decoder:
+    """Bytes of token ids."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        size = max(tokens) + 1
+        self.length = np.full(size, -1, dtype=np.int64)
+        self.length[list(tokens)] = list(map(len, tokens.values()))
+        self.start = np.concatenate([[0], np.cumsum(np.maximum(self.length, 0))])[:-1]
+        self.blob = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of ids in a row, and where those of each id end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or (self.length[ids] < 0).any()):
+            raise ValueError("an id is not in the vocabulary")
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        narrow = np.int32 if total < 1 << 31 else np.int64
+        at = np.repeat((self.start[ids] - (ends - n)).astype(narrow), n)
+        at += np.arange(total, dtype=narrow)
+        return self.blob[at], ends
+
+class Codec(Decoder):
     """Encoding and decoding of slices of texts; it remembers the words of the last ones."""
 
     def __init__(self, path: str):
@@ -228,12 +250,7 @@ class Codec:
         self.waves = Waves(self.replayer)
         self.memo: dict[str, bytes] = {}  # ids as 32-bit integers
         self.last: set[str] = set()
-        tokens = self.replayer.bytes_of
-        size = max(tokens) + 1
-        self.length = np.full(size, -1, dtype=np.int64)
-        self.length[list(tokens)] = list(map(len, tokens.values()))
-        self.start = np.concatenate([[0], np.cumsum(np.maximum(self.length, 0))])[:-1]
-        self.blob = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), dtype=np.uint8)
+        super().__init__(self.replayer.bytes_of)
 
     def encode(self, texts: list[bytes], pattern: str) -> list[np.ndarray]:
         """Ids of each text."""
@@ -248,18 +265,6 @@ class Codec:
             memo[w] = array("i", own).tobytes()
         return [np.frombuffer(b"".join(map(memo.__getitem__, found)), dtype=np.int32) for found in pieces]
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of ids in a row, and where those of each id end."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.length) or (self.length[ids] < 0).any()):
-            raise ValueError("an id is not in the vocabulary")
-        n = self.length[ids]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        narrow = np.int32 if total < 1 << 31 else np.int64
-        at = np.repeat((self.start[ids] - (ends - n)).astype(narrow), n)
-        at += np.arange(total, dtype=narrow)
-        return self.blob[at], ends
-
 
 @lru_cache(maxsize=2)
 def _codec(path: str) -> Codec:

@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import audio, bpe, licenses, linededup, minhash, mixing, pii, quality, tokencounts, warc
+from . import audio, bpe, funnels, licenses, linededup, minhash, mixing, pii, quality, speculative, tokencounts, warc, whitening
 from .common import table
 
 #: The query's parameter; a cluster has this file installed with the tokenizers on each machine.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+FUNNELS = [
+    funnels.Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+    funnels.Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+    funnels.Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+]
 TOKENIZERS = {
     "byte-bpe-multi-50k": (RANKS, public_tokenizers.PATTERN),
     "byte-bpe-50k": (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
@@ -74,6 +81,19 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
+def op11_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return speculative.round_trip(table(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN)
+
+
+def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnels.counted(table(spark, sf_dir, "clicks"), FUNNELS)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_telephony_audio": op2_telephony_audio,
@@ -85,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_speculative_bpe": op11_speculative_bpe,
+    "op12_funnels": op12_funnels,
+    "op13_whitening": op13_whitening,
     "audio_payloads": audio_payloads,
     "quality_base": quality_base,
     "pii_base": pii_base,
@@ -93,6 +116,7 @@ ORACLES: dict[str, str] = {
     "op5_warc": warc.SQL,
     "op9_line_dedup": linededup.SQL,
     "op10_mixing": mixing.SQL,
+    "op12_funnels": funnels.sql(FUNNELS),
     "audio_payloads": audio.PAYLOAD_SQL,
     "quality_base": quality.BASE_SQL,
     "pii_base": pii.BASE_SQL,
