@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import stand_in as S
-from .functions import answers, spans, text
-from .functions.alignment import aligned, inserted
+from .functions import answers, edits, matching, spans, text
 from .operators import candidates, glossary, lexicon, rules, runs, scan, score, tei, vita
 from .plans import steps
 from .schema import PLACES
@@ -102,7 +101,7 @@ WITH p AS (SELECT doc_id, i, l[i] AS t FROM (SELECT doc_id, l, unnest(range(1, l
 placed AS (SELECT doc_id, i, t, CAST(sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS stop FROM p)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS id, t AS abbreviation, CAST(stop - length(t) AS INTEGER) AS start, stop AS "end" FROM placed WHERE {STANDS}""")
 def remaining_offsets(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.explode(spans.located_remaining("text")).alias("o"))
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.explode(edits.occurrences(matching.remaining(F.col("text")))).alias("o"))
     return docs.select("doc_id", "o.id", "o.abbreviation", "o.start", "o.end")
 
 
@@ -556,31 +555,43 @@ MADE = f"""
 WITH rules AS (SELECT map_from_entries(list((abbr, resolution))) AS m FROM {S.PLAIN_SQL}),
 cut AS (SELECT doc_id % 9 + 1 AS volume, doc_id AS entry, text, l, list_transform(l, lambda t: coalesce(m[t], t)) AS made, len(list_filter(l, lambda t: m[t] IS NOT NULL)) AS hits FROM (SELECT doc_id, text, {PIECES} AS l FROM documents), rules),
 done AS (SELECT *, array_to_string(made, '') AS new FROM cut)"""
+#: The same with rules of two parts: kind 2 is a pair with a blank, 1 a glued one; what a pair takes up is empty.
+PAIRED = f"""
+WITH rules AS (SELECT map_from_entries(list((abbr, resolution))) AS m FROM {S.PLAIN_SQL}), pairs AS (SELECT map_from_entries(list((abbr, resolution))) AS p FROM {S.PAIRS_SQL}),
+cut AS (SELECT doc_id % 9 + 1 AS volume, doc_id AS entry, text, l, m, p, list_transform(l, lambda t, i: CASE WHEN regexp_full_match(l[i + 1], '[ \\t]+') AND p[t || ' ' || l[i + 2]] IS NOT NULL THEN 2 WHEN p[t || ' ' || l[i + 1]] IS NOT NULL THEN 1 ELSE 0 END) AS kind
+        FROM (SELECT doc_id, text, {PIECES} AS l FROM documents), rules, pairs),
+made AS (SELECT volume, entry, text,
+    list_transform(l, lambda t, i: CASE WHEN kind[i] = 2 THEN t || l[i + 1] || l[i + 2] WHEN kind[i] = 1 THEN t || l[i + 1] WHEN i > 1 AND kind[i - 1] > 0 OR i > 2 AND kind[i - 2] = 2 THEN '' ELSE t END) AS old,
+    list_transform(l, lambda t, i: CASE WHEN kind[i] > 0 THEN p[t || ' ' || l[i + kind[i]]] WHEN i > 1 AND kind[i - 1] > 0 OR i > 2 AND kind[i - 2] = 2 THEN '' ELSE coalesce(m[t], t) END) AS made FROM cut),
+done AS (SELECT *, array_to_string(made, '') AS new, CAST(len(list_filter(range(1, len(old) + 1), lambda i: old[i] <> made[i])) AS INTEGER) AS hits FROM made)"""
 TOKEN = "[A-Za-z]+\\.?|\\p{Nd}+"
 
 
 def _expanded(spark, sf_dir):
-    """Documents, their texts before (old) and after (text) the plain rules."""
+    """Documents, their texts before (old) and after (text) rules of one part and of two, and the script between."""
     docs = S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text"))
-    return rules.expand(docs, S.plain_rules(spark, sf_dir), "text")
+    return rules.expand_with_script(docs, S.paired_rules(spark, sf_dir), "text")
 
 
-@query(MADE + """, placed AS (SELECT volume, entry, l[i] AS t, made[i] AS r, i FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM done)),
-ends AS (SELECT *, sum(length(r)) OVER (PARTITION BY entry ORDER BY i) AS stop FROM placed),
-spans AS (SELECT entry, CAST(stop - length(r) AS INTEGER) AS start, CAST(stop - 1 AS INTEGER) AS "end" FROM ends WHERE t <> r)
-SELECT volume, entry, start, "end" FROM done LEFT JOIN spans USING (entry)""")
+@query(PAIRED + """, placed AS (SELECT volume, entry, old[i] AS t, made[i] AS r, i FROM (SELECT *, unnest(range(1, len(old) + 1)) AS i FROM done)),
+ends AS (SELECT *, sum(length(r)) OVER (PARTITION BY entry ORDER BY i) - length(r) AS low, string_split(r, ' ') AS w FROM placed),
+spans AS (SELECT entry, unnest(CASE WHEN contains(r, ' ') THEN [(low, low + length(w[1])), (low + length(w[1]) + 1, low + length(w[1]) + 3), (low + length(r) - length(w[3]), low + length(r) - 1)] ELSE [(low, low + length(r) - 1)] END) AS s FROM ends WHERE t <> r)
+SELECT volume, entry, CAST(s[1] AS INTEGER) AS start, CAST(s[2] AS INTEGER) AS "end" FROM done LEFT JOIN spans USING (entry)""")
 def inserted_spans(spark, sf_dir):
     docs = _expanded(spark, sf_dir)
-    return docs.select("volume", "entry", F.explode_outer(inserted("old", "text")).alias("s")).select("volume", "entry", "s.start", "s.end")
+    return docs.select("volume", "entry", F.explode_outer(edits.inserted(F.col("script"))).alias("s")).select("volume", "entry", "s.start", "s.end")
 
 
-@query(MADE + f""", tokens AS (SELECT volume, entry, regexp_extract_all(text, '{TOKEN}') AS a, regexp_extract_all(new, '{TOKEN}') AS b FROM done),
-each AS (SELECT volume, entry, a, b, unnest(range(1, len(a) + 1)) AS i FROM tokens)
-SELECT volume, entry, CAST(i - 1 AS INTEGER) AS pos, a[i] AS token, CAST(i - 1 AS INTEGER) AS start, CAST(i AS INTEGER) AS "end", b[i] AS text FROM each""")
+@query(PAIRED + f""", placed AS (SELECT volume, entry, i, old[i] <> made[i] AS hit, regexp_extract_all(old[i], '{TOKEN}') AS a, regexp_extract_all(made[i], '{TOKEN}') AS b FROM (SELECT *, unnest(range(1, len(old) + 1)) AS i FROM done)),
+counted AS (SELECT *, sum(len(a)) OVER w - len(a) AS before, sum(len(b)) OVER w - len(b) AS base FROM placed WINDOW w AS (PARTITION BY entry ORDER BY i)),
+each AS (SELECT *, unnest(range(1, len(a) + 1)) AS k, hit AND len(a) = 2 AS pair FROM counted),
+spans AS (SELECT *, CASE WHEN pair AND k = 2 THEN 3 ELSE k END AS first, CASE WHEN pair THEN k + 1 ELSE k END AS last FROM each)
+SELECT volume, entry, CAST(before + k - 1 AS INTEGER) AS pos, a[k] AS token, CAST(base + first - 1 AS INTEGER) AS start, CAST(base + last AS INTEGER) AS "end", array_to_string(b[first:last], ' ') AS text FROM spans""")
 def aligned_spans(spark, sf_dir):
-    """The rules put one token in the place of one, so the n-th token of a text belongs to the n-th."""
+    """A rule of one part puts a word in the place of one; one of two parts puts three, of which the
+    first two are the first part's."""
     docs = _expanded(spark, sf_dir)
-    return docs.select("volume", "entry", F.posexplode(aligned("old", "text")).alias("pos", "a")).select("volume", "entry", "pos", "a.*")
+    return docs.select("volume", "entry", F.posexplode(edits.aligned(F.col("script"))).alias("pos", "a")).select("volume", "entry", "pos", "a.*")
 
 
 LONG = f"""
@@ -684,7 +695,8 @@ def mismatch_candidates(spark, sf_dir):
 SELECT CAST(stage AS INTEGER) AS stage, verdict, CAST(k AS BIGINT) AS n FROM (SELECT unnest([1, 2, 1, 2]) AS stage, unnest(['not_expanded', 'exact', 'no_gold_label', 'no_gold_label']) AS verdict, unnest([hits, hits, n - hits, n - hits]) AS k FROM sums)""")
 def evaluated_texts(spark, sf_dir):
     """Documents against their own resolution, from texts to verdicts."""
-    done = _expanded(spark, sf_dir)
+    docs = S.corpus(spark, sf_dir, len(PLACES)).withColumn("old", F.col("text"))
+    done = rules.expand(docs, S.plain_rules(spark, sf_dir), "text")
     rows = score.aligned_occurrences(done.select("volume", "entry", F.col("old").alias("source"), F.col("text").alias("gold"), F.array("old", "text").alias("stages")))
     return score.with_verdicts(rows, S.lemmas(spark)).groupBy("stage", "verdict").agg(F.count("*").alias("n"))
 
@@ -791,19 +803,25 @@ def unattested_paradigms(spark, sf_dir):
 # --- markup -----------------------------------------------------------------------------------
 
 
-@query(MADE + """ SELECT volume, entry, CASE WHEN coalesce(new, '') = '' THEN 'empty' ELSE 'accepted' END AS status, CAST(coalesce(hits, 0) AS INTEGER) AS choices,
-CAST(coalesce(len(regexp_extract_all(new, '(?:^|[^\\p{Nd}A-Za-z])the\\.')), 0) AS INTEGER) AS kept, CAST(0 AS INTEGER) AS unplaced FROM done""")
+_XML = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(PAIRED + f""", spelled AS (SELECT *, array_to_string(list_transform(range(1, len(old) + 1), lambda i: CASE WHEN made[i] <> old[i]
+    THEN '<choice><abbr>' || {_XML('old[i]')} || '</abbr><expan resp="#step1">' || {_XML('made[i]')} || '</expan></choice>'
+    ELSE regexp_replace({_XML('old[i]')}, '(^|[^\\p{{Nd}}A-Za-z])(the\\.)', '\\1<abbr>\\2</abbr>', 'g') END), '') AS markup FROM done)
+SELECT volume, entry, CASE WHEN coalesce(new, '') = '' THEN 'empty' ELSE 'accepted' END AS status, CAST(coalesce(hits, 0) AS INTEGER) AS choices,
+CAST(coalesce(len(regexp_extract_all(new, '(?:^|[^\\p{{Nd}}A-Za-z])the\\.')), 0) AS INTEGER) AS kept, CAST(0 AS INTEGER) AS unplaced, CASE WHEN coalesce(new, '') <> '' THEN md5(markup) END AS markup_md5 FROM spelled""")
 def tei_roundtrip(spark, sf_dir):
-    docs = _expanded(spark, sf_dir).select("volume", "entry", "old", "text")
-    return tei.lines(docs, "old", ["text"], known=frozenset(["the."])).select("volume", "entry", "status", "choices", "kept", "unplaced")
+    docs = _expanded(spark, sf_dir).select("volume", "entry", "old", "script")
+    rows = tei.lines_of(docs, "old", known=["the."])
+    return rows.select("volume", "entry", "status", "choices", "kept", "unplaced", F.md5(F.col("markup").cast("binary")).alias("markup_md5"))
 
 
 @query()
 def tei_entries(spark, sf_dir):
     rows = S.regests(spark, sf_dir, len(PLACES)).withColumn("old", F.coalesce("head_text", "body_text"))
-    done = rules.expand(rows.withColumn("new", F.col("old")), S.plain_rules(spark, sf_dir), "new")
-    marked = tei.lines(done.select("volume", "entry", "line_no", "line_id", "old", "new"), "old", ["new"])
-    return tei.entries(marked)
+    done = rules.expand_with_script(rows.withColumn("new", F.col("old")), S.plain_rules(spark, sf_dir), "new")
+    return tei.entries(tei.lines_of(done.select("volume", "entry", "line_no", "line_id", "old", "script"), "old"))
 
 
 @query("SELECT doc_id, regexp_extract(t, '[A-Za-z]+\\.') AS token FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, ' of', ' 7of'), '\\p{Nd}[A-Za-z]+\\.')) AS t FROM documents)")

@@ -1,7 +1,7 @@
 """Spans within one text: locating, marking, substituting.
 
-Plain functions on one text, and vectorised wrappers of them.  Leftmost-longest matching with
-overlap resolution has no counterpart among built-in expressions.
+Plain functions on one text: what :mod:`matching` and :mod:`edits` do for columns, and what the
+steps need for the few texts that are being decided on.
 """
 
 from __future__ import annotations
@@ -10,10 +10,6 @@ import re
 from functools import lru_cache
 from typing import NamedTuple
 
-import pandas as pd
-
-from . import vectorised
-from ..schema import OCCURRENCE
 from .text import occurrence_pattern
 
 EVALUATED = re.compile(r"[A-Za-z]+\.?|\d+")
@@ -76,31 +72,5 @@ def token_spans(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], *m.span()) for m in EVALUATED.finditer(text)]
 
 
-@vectorised(f"array<{OCCURRENCE}>")
-def located(texts: pd.Series, abbreviations: pd.Series) -> pd.Series:
-    """Occurrences in each text of its own list of abbreviations."""
-    return pd.Series([[o._asdict() for o in locate(t or "", list(a) if a is not None else [])] for t, a in zip(texts, abbreviations)])
-
-
-@vectorised(f"array<{OCCURRENCE}>")
-def located_remaining(texts: pd.Series) -> pd.Series:
-    return pd.Series([[o._asdict() for o in locate_remaining(t or "")] for t in texts])
-
-
 def _rows(cells) -> list[Occurrence]:
     return [Occurrence(c["id"], c["abbreviation"], c["matched"], c["start"], c["end"]) for c in cells]
-
-
-@vectorised("string")
-def marked(texts: pd.Series, occurrences: pd.Series) -> pd.Series:
-    return pd.Series([mark(t or "", _rows(o)) for t, o in zip(texts, occurrences)])
-
-
-@vectorised("string")
-def substituted(texts: pd.Series, occurrences: pd.Series, choices: pd.Series) -> pd.Series:
-    """``choices``: an array with the choice for each occurrence, null where there is none."""
-    out = []
-    for t, o, c in zip(texts, occurrences, choices):
-        rows = _rows(o)
-        out.append(substitute(t or "", rows, {x.id: v for x, v in zip(rows, c) if v is not None}))
-    return pd.Series(out)

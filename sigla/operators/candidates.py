@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import spans, text
+from ..functions import edits, matching, text
 from . import rules, scan
 
 KEY = ["volume", "entry"]
@@ -38,16 +38,18 @@ def clashes(glossary: DataFrame) -> DataFrame:
 
 
 def with_occurrences(texts: DataFrame, offered: DataFrame) -> DataFrame:
-    """Entries with candidates, as a map, and the occurrences of their abbreviations."""
+    """Entries with candidates, as a map, the occurrences of their abbreviations, and ``found``: the
+    script in which these stand."""
     item = F.struct("abbr", "candidates")
     own = offered.groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(item))).alias("candidates"))
-    out = texts.join(own, KEY, "left")
-    names = F.coalesce(F.map_keys("candidates"), F.array().cast("array<string>"))
-    return out.withColumn("occurrences", spans.located("text", names))
+    keys = matching.spelled_keys(F.coalesce(F.map_keys("candidates"), F.array().cast("array<string>")))
+    out = texts.join(own, KEY, "left").withColumn("found", keys)
+    out = out.withColumn("found", matching.located(F.col("text"), F.col("found")))
+    return out.withColumn("occurrences", edits.occurrences(F.col("found")))
 
 
 def marked(entries: DataFrame) -> DataFrame:
-    return entries.withColumn("marked", spans.marked("text", "occurrences"))
+    return entries.withColumn("marked", edits.marked(F.col("found")))
 
 
 def prompts(entries: DataFrame, task: str = "Choose an resolution for every marked abbreviation.") -> DataFrame:
@@ -60,5 +62,6 @@ def prompts(entries: DataFrame, task: str = "Choose an resolution for every mark
 
 def first_choices(entries: DataFrame) -> DataFrame:
     """With ``expanded``: every occurrence replaced by its first candidate."""
-    first = F.transform("occurrences", lambda o: F.try_element_at(F.try_element_at("candidates", o.abbreviation), F.lit(1)))
-    return entries.withColumn("expanded", spans.substituted("text", "occurrences", first))
+    first = lambda e: F.try_element_at(F.try_element_at("candidates", e.new), F.lit(1))
+    put = F.transform("found", lambda e: F.concat(e.gap, F.coalesce(first(e), e.old)))
+    return entries.withColumn("expanded", F.array_join(put, ""))

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import edits, matching
 from ..functions.text import occurrence_pattern, parts_of
 from ..schema import PLACES, VOLUMES
+from . import scan
 
 
 def load(glossary: DataFrame, dioceses: DataFrame) -> DataFrame:
@@ -66,6 +66,7 @@ def passes(rules: list[tuple[str, str, int]]):
 
 
 def expand_text(text: str, compiled) -> str:
+    """Pass after pass: what :func:`expand` does, on one text; for tests."""
     for pattern, bare in compiled:
         text = pattern.sub(lambda m, bare=bare: bare["".join(m[0].split())], text)
     return text
@@ -78,41 +79,58 @@ def expand_in_turn(text: str, rules: list[tuple[str, str, int]]) -> str:
     return text
 
 
-def expand(stage: DataFrame, rules: DataFrame, *columns: str) -> DataFrame:
-    """``stage`` with the rules (volume, abbr, resolution, parts) of its volume applied to columns.
+def _levels(rules: DataFrame, volume: Column) -> list:
+    """Matchers of a dictionary, those of most parts first; within as many parts, the few that are
+    not made of words with periods come first, by a pattern."""
+    rows = scan.listed(rules.select("volume", "abbr", "resolution", "parts"), len(VOLUMES) * scan.MOST_ROWS)
+    out = []
+    for parts in sorted({r.parts for r in rows}, reverse=True):
+        own = sorted(((r.abbr, r.volume, r.resolution) for r in rows if r.parts == parts), key=lambda r: (-len(r[0]), r[0]))
+        odd = [r for r in own if not matching.regular(r[0])]
+        plain = [r for r in own if matching.regular(r[0])]
+        if odd:
+            names = list(dict.fromkeys(r[0] for r in odd))
+            ways = "|".join(r"[ \t]*".join(rf"\Q{part}\E" for part in name.split(" ")) for name in names)
+            look = _lookup(volume, {v: {"".join(a.split()): e for a, w, e in reversed(odd) if w == v} for v in VOLUMES})
+            out.append(matching.Patterned(rf"(?U)\b(?:{ways})", lambda m, look=look: look(F.regexp_replace(m, r"\s", ""))))
+        if plain:
+            words = [matching.words_of(a) for a, *_ in plain]
+            look = _lookup(volume, {v: matching.dictionary((a, e) for a, w, e in plain if w == v) for v in VOLUMES})
+            out.append(matching.Matcher(look, max(words), min(words), any(matching.has_bare_words(a) for a, *_ in plain)))
+    return out
 
-    The rules, a dictionary's, become part of the function: one pass over the corpus without a
-    join.  Volumes that no rule can exist for are dropped.
-    """
-    columns = columns or ("head_text", "body_text")
-    own: dict[int, list] = defaultdict(list)
-    for r in rules.select("volume", "abbr", "resolution", "parts").collect():
-        own[r.volume].append((r.abbr, r.resolution, r.parts))
 
-    cache: dict[int, list] = {}
+def _lookup(volume: Column, of: dict[int, dict[str, str]]):
+    """A key's value in a volume; values that all volumes share are kept once."""
+    everywhere = dict(set.intersection(*(set(d.items()) for d in of.values())))
+    own = {f"{v}|{k}": e for v, d in of.items() for k, e in d.items() if k not in everywhere}
+    tables = [(matching.Table(own), lambda k: F.concat(volume.cast("string"), F.lit("|"), k))] if own else []
+    tables += [(matching.Table(everywhere), lambda k: k)] if everywhere else []
+    return lambda key: F.coalesce(*[t.get(spelled(key)) for t, spelled in tables])
 
-    @F.pandas_udf("string")
-    def expanded(volume: pd.Series, text: pd.Series) -> pd.Series:
-        for v in volume.unique():
-            if v not in cache:
-                cache[v] = passes(own.get(v, []))
-        return pd.Series([None if t is None else expand_text(t, cache[v]) for v, t in zip(volume, text)], dtype=object)
 
-    known = stage.where(F.col("volume").isin(list(VOLUMES)))
-    return known.withColumns({c: expanded("volume", c) for c in columns})
+def script_of(text: Column, levels: list, step: str = "#step1") -> Column:
+    """The edit script of a text, level after level; what a level has put in stays as it is."""
+    out = levels[0].script(text, step) if levels else edits.none(text)
+    for level in levels[1:]:
+        out = edits.within_gaps(out, lambda gap, level=level: level.script(gap, step))
+    return out
 
 
-def expand_by_expressions(stage: DataFrame, rules: DataFrame, *columns: str) -> DataFrame:
-    """The same inside the JVM: a fold over the volume's rules, which a join brings along.
+def expand(stage: DataFrame, rules: DataFrame, *columns: str) -> DataFrame:
+    """``stage`` with the rules (volume, abbr, resolution, parts) of its volume applied to columns.
 
-    For few rules; each is compiled anew for each row.
+    The rules, a dictionary's, become a constant of the plan: one pass over the corpus, without a
+    join or a Python worker.  Volumes that no rule can exist for are dropped.
     """
-    columns = columns or ("head_text", "body_text")
-    escaped = F.regexp_replace(F.regexp_replace("abbr", r"([\\.\[\]{}()*+?^$|])", r"\\$1"), " ", r"[ \\t]*")
-    item = F.struct((-F.col("parts")).alias("p"), (-F.length("abbr")).alias("l"), F.col("abbr").alias("a"), F.concat(F.lit(r"(?U)\b"), escaped).alias("pattern"), F.regexp_replace("resolution", r"([\\$])", r"\\$1").alias("to"))
-    listed = rules.groupBy("volume").agg(F.sort_array(F.collect_list(item)).alias("rules"))
-    known = stage.where(F.col("volume").isin(list(VOLUMES))).join(listed, "volume", "left")
-    none = F.slice(F.array(F.struct(F.lit("").alias("pattern"), F.lit("").alias("to"))), 1, 0)
-    short = F.coalesce(F.transform("rules", lambda r: F.struct(r.pattern.alias("pattern"), r.to.alias("to"))), none)
-    done = known.withColumn("rules", short)
-    return done.withColumns({c: F.aggregate("rules", F.col(c), lambda t, r: F.regexp_replace(t, r.pattern, r.to)) for c in columns}).drop("rules")
+    known = stage.where(F.col("volume").isin(list(VOLUMES)))
+    levels = _levels(rules, F.col("volume"))
+    done = lambda c: F.when(F.col(c).isNotNull(), edits.result(script_of(F.col(c), levels)))
+    return known.withColumns({c: done(c) for c in columns or ("head_text", "body_text")})
+
+
+def expand_with_script(stage: DataFrame, rules: DataFrame, column: str, script: str = "script", step: str = "#step1") -> DataFrame:
+    """As :func:`expand` for one column, with the edit script from the old text to the new one."""
+    known = stage.where(F.col("volume").isin(list(VOLUMES)))
+    known = known.withColumn(script, script_of(F.col(column), _levels(rules, F.col("volume")), step))
+    return known.withColumn(column, F.when(F.col(column).isNotNull(), edits.result(F.col(script))))

@@ -89,6 +89,14 @@ def few(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def listed(rows: DataFrame, most: int = MOST_ROWS) -> list:
+    """The rows of a dictionary, or an error if they are more than one can have."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows for a dictionary")
+    return got
+
+
 def corpus_volumes(docs: DataFrame, queries: DataFrame, column: str = "text") -> DataFrame:
     """query, volume, rows: in which volumes, and in how many texts of each, an abbreviation occurs.
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions import alignment, answers, spans
+from ..functions import alignment, answers, edits, matching, spans
 from ..operators import candidates as offers
 from ..operators import lexicon, scan, vita
 from ..sources import tables
@@ -225,7 +225,7 @@ def step2(texts: DataFrame, glossary: DataFrame, chooser: Chooser) -> DataFrame:
 
 def step3(texts: DataFrame, corpus: DataFrame, chooser: Chooser) -> DataFrame:
     """Choose among corpus words that go on where an abbreviation stops."""
-    found = texts.withColumn("occurrences", spans.located_remaining("text"))
+    found = texts.withColumn("occurrences", edits.occurrences(matching.remaining(F.col("text"))))
     own = found.select("volume", "entry", F.explode("occurrences.abbreviation").alias("abbreviation")).distinct()
     mined = scan.mined_candidates(own, scan.vocabulary(corpus))
     listed = mined.groupBy("abbreviation").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "candidate"))), lambda c: c.candidate).alias("c"))

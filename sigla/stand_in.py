@@ -142,7 +142,11 @@ def morphology(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     return spark.createDataFrame(MORPHOLOGY, "resolution string, stem string, declension string")
 
 
-def mined_rules(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
+#: Rules of the stand-in dictionaries, of one part and of two.
+RULES, PAIRS = 5000, 500
+
+
+def mined_rules(spark: SparkSession, sf_dir: str, most: int = RULES) -> DataFrame:
     """The most frequent abbreviations as rules of every volume: upper case between brackets."""
     from .operators import scan
 
@@ -152,7 +156,7 @@ def mined_rules(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
     return best.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("volume"), F.col("abbreviation").alias("abbr"), F.concat(F.lit("<"), word, F.lit(">")).alias("resolution"), F.lit(1).alias("parts"))
 
 
-def plain_rules(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
+def plain_rules(spark: SparkSession, sf_dir: str, most: int = RULES) -> DataFrame:
     """The most frequent abbreviations of ASCII letters as rules of every volume: an ending and a hyphen."""
     from .operators import scan
 
@@ -162,10 +166,26 @@ def plain_rules(spark: SparkSession, sf_dir: str, most: int = 300) -> DataFrame:
     return best.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("volume"), F.col("abbreviation").alias("abbr"), full.alias("resolution"), F.lit(1).alias("parts"))
 
 
-PLAIN_SQL = r"(SELECT a AS abbr, rtrim(a, '.') || 'um-' AS resolution FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+\.')) AS a FROM documents) WHERE regexp_full_match(a, '[A-Za-z]+\.') GROUP BY a ORDER BY count(*) DESC, a LIMIT 300)"
+def paired_rules(spark: SparkSession, sf_dir: str, most: int = PAIRS) -> DataFrame:
+    """Plain rules, and the most frequent abbreviations of two parts, each with three words in its place.
+
+    The first part has an even number of characters and the second an odd one, so no two overlap.
+    """
+    from .operators import scan
+
+    counts = scan.abbreviation_counts(corpus(spark, sf_dir), "text", most=2).where(F.col("abbreviation").rlike(PAIR))
+    first, second = F.split_part("abbreviation", F.lit(" "), F.lit(1)), F.split_part("abbreviation", F.lit(" "), F.lit(2))
+    best = scan.top(counts.where((F.length(first) % 2 == 0) & (F.length(second) % 2 == 1)), "n", "abbreviation", most)
+    full = F.concat(F.rtrim(first, F.lit(".")), F.lit("um xx "), F.rtrim(second, F.lit(".")), F.lit("um-"))
+    pairs = best.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("volume"), F.col("abbreviation").alias("abbr"), full.alias("resolution"), F.lit(2).alias("parts"))
+    return plain_rules(spark, sf_dir).unionByName(pairs)
+
+
+PAIR = r"^[A-WYZa-wyz][A-Za-z]*\. [A-WYZa-wyz][A-Za-z]*\.$"
+PLAIN_SQL = r"(SELECT a AS abbr, rtrim(a, '.') || 'um-' AS resolution FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+\.')) AS a FROM documents) WHERE regexp_full_match(a, '[A-Za-z]+\.') GROUP BY a ORDER BY count(*) DESC, a LIMIT " + f"{RULES})"
 
 W = r"[\p{L}\p{M}\p{N}_]"
-MINED_SQL = f"(SELECT a AS abbr, '<' || rtrim(a, '.') || '>' AS resolution FROM (SELECT unnest(regexp_extract_all(text, '{W}+\\.')) AS a FROM documents) GROUP BY a ORDER BY count(*) DESC, a LIMIT 300)"
+MINED_SQL = f"(SELECT a AS abbr, '<' || rtrim(a, '.') || '>' AS resolution FROM (SELECT unnest(regexp_extract_all(text, '{W}+\\.')) AS a FROM documents) GROUP BY a ORDER BY count(*) DESC, a LIMIT {RULES})"
 
 
 def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,3 +230,6 @@ def manifests(spark: SparkSession, sf_dir: str = "") -> DataFrame:
 
 
 MANIFEST_SQL = values(MANIFESTS, MANIFEST_NAMES)
+PAIRS_SQL = rf"""(SELECT a AS abbr, rtrim(string_split(a, ' ')[1], '.') || 'um xx ' || rtrim(string_split(a, ' ')[2], '.') || 'um-' AS resolution FROM (
+    SELECT ltrim(p[i]) || ' ' || ltrim(p[i + 1]) AS a, p[i + 1][1] = ' ' AS apart FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT regexp_extract_all(r, ' ?{W}+\.') AS p FROM (SELECT unnest(regexp_extract_all(text, '{W}+\.(?: ?{W}+\.)*')) AS r FROM documents))))
+    WHERE apart AND regexp_full_match(a, '{PAIR[1:-1]}') AND length(string_split(a, ' ')[1]) % 2 = 0 AND length(string_split(a, ' ')[2]) % 2 = 1 GROUP BY a ORDER BY count(*) DESC, a LIMIT {PAIRS})"""
