@@ -60,7 +60,7 @@ def byte_alphabet() -> dict[str, int]:
 
 @lru_cache(maxsize=1)
 def younger_letters() -> str:
-    """A pattern of the characters whose kind (letter, digit, space, other) has changed since Unicode 3.2."""
+    """The characters whose kind (letter, digit, space, other) has changed since Unicode 3.2."""
     kinds = [regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"\s")]
     whole = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
     now = np.zeros(0x110000, dtype=np.int8)
@@ -79,8 +79,7 @@ def younger_letters() -> str:
         then[ord(c)] = 3
     changed = now != then
     changed[0xD800:0xE000] = False
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], changed.astype(np.int8), [0]])))
-    return "[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2)) + "]"
+    return "".join(map(chr, np.flatnonzero(changed).tolist()))
 
 
 class Merges:
@@ -259,7 +258,7 @@ class Speculator(Decoder):
         self.merges = Merges(path)
         self.exact = Exact(self.merges)
         self.cutter = Tokenizer.from_file(path).pre_tokenizer
-        self.split, self.doubtful = regex.compile(pattern).findall, regex.compile(doubtful)
+        self.split, self.doubtful = regex.compile(pattern).findall, frozenset(doubtful)
         added = self.merges.added
         longest_first = sorted(added, key=lambda t: (-len(t), t))
         self.added = regex.compile("|".join(map(regex.escape, longest_first))) if added else None
@@ -273,7 +272,7 @@ class Speculator(Decoder):
 
     def words(self, text: str) -> list[str | int]:
         """Words of a text, and ids for added tokens."""
-        if self.added is None or not self.added.search(text):
+        if not any(t in text for t in self.merges.added):
             return self._cut(text)
         out, at = [], 0
         for m in self.added.finditer(text):
@@ -283,7 +282,7 @@ class Speculator(Decoder):
         return out + self._cut(text[at:])
 
     def _cut(self, text: str) -> list[str]:
-        if not text.isascii() and self.doubtful.search(text):
+        if not text.isascii() and not self.doubtful.isdisjoint(text):
             return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
         return self.split(text)
 
