@@ -1,20 +1,19 @@
 """Line dedup by site-relative frequency.
 
 For each host, the pages that contain a line are divided by the host's pages; lines whose share
-exceeds a boilerplate ratio are dropped from the host's pages.  Pages with equal texts are one
-page in both counts, so that a page with many copies does not make its own lines boilerplate.
-
-Lines are counted by 128 bits of hash.  Counting shuffles two numbers and a page's hash for each
-line, never the lines; the first exchange is by line and page, so a line that stands on every
-page of a host is spread over all tasks, and the second carries partial counts.  Pages then meet
-the positions to drop by their own hash.
-
-Edge cases: null and empty texts have no line and stay as they are; an empty table gives no rows;
-lines without a word are neither counted nor dropped; null hosts are one host; repeated rows are
-copies of one page; a share equal to the ratio does not exceed it; a line must be on MIN_PAGES
-pages, which keeps hosts of a few pages as they are; very long pages and lines are handled whole,
-in time and memory that grow with their length; extra columns pass through, and columns that are
-added replace ones of the same name in whatever case.
+exceeds a boilerplate ratio are dropped from the host's pages.  Every page counts, copies too.  A
+line on one page alone is not repeated, whatever its share.
+
+Lines are counted by 128 bits of hash.  A page's distinct lines are told within its row, so counting
+shuffles no text and no page: partial counts by line meet, and a line that stands on every page of a
+host is as many rows as there are tasks.  Pages then meet the positions to drop by their own hash.
+
+Edge cases: null and empty texts have no line and stay as they are (an empty text is a page, a null
+one is none); an empty table gives no rows; lines without a word are neither counted nor dropped;
+null hosts are one host; repeated rows are pages each; a share equal to the ratio does not exceed
+it; a host of one page keeps its lines; very long pages and lines are handled whole, in time and
+memory that grow with their length; extra columns pass through, whatever their names, and columns
+that are added replace ones of the same name in whatever case.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ from pyspark.sql import functions as F
 from .common import WORD_CLASS, others, packed, unpacked
 
 RATIO = 0.07
-MIN_PAGES = 3
 
 
 def _hashes(column: Column) -> list[Column]:
@@ -39,23 +37,21 @@ def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
     return out
 
 
-def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO) -> DataFrame:
     """host, line hashes h1 and h2, pages that contain the line, and the host's pages."""
-    t1, t2 = _hashes(F.col("text"))
-    own = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")).where("text is not null").select("host", "text", t1.alias("t1"), t2.alias("t2"))
-    totals = own.select("host", "t1", "t2").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
+    own = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    totals = own.groupBy("host").agg(F.count("*").alias("host_pages"))
     h1, h2 = _hashes(F.col("line"))
-    lines = own.select("host", "t1", "t2", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.col("line").rlike(WORD_CLASS))
-    lines = lines.select("host", h1.alias("h1"), h2.alias("h2"), "t1", "t2").distinct()
-    counts = lines.groupBy("host", "h1", "h2").agg(F.count("*").alias("line_pages")).where(F.col("line_pages") >= min_pages)
+    lines = own.select("host", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(F.col("line").rlike(WORD_CLASS))
+    counts = lines.select("host", h1.alias("h1"), h2.alias("h2")).groupBy("host", "h1", "h2").agg(F.count("*").alias("line_pages")).where("line_pages > 1")
     both = counts.join(totals.withColumnRenamed("host", "host_"), F.col("host").eqNullSafe(F.col("host_"))).drop("host_")
     return both.where(F.col("line_pages") > ratio * F.col("host_pages"))
 
 
-def without_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def without_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", ratio: float = RATIO) -> DataFrame:
     """``pages`` with clean_text, n_lines and n_dropped."""
     t1, t2 = _hashes(F.col("text"))
-    bad = boilerplate(pages, host, text, ratio, min_pages).select("host", "h1", "h2")
+    bad = boilerplate(pages, host, text, ratio).select("host", "h1", "h2")
     slim = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
     own = slim.where("text is not null").select("host", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"), t1.alias("t1"), t2.alias("t2"))
     h1, h2 = _hashes(F.col("line"))
@@ -74,12 +70,15 @@ def without_boilerplate(pages: DataFrame, host: str = "host", text: str = "text"
     rows = rows.select("row", "text", goes.alias("goes"), F.size("drop").alias("n"))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.coalesce(F.get("goes", i), F.lit(False)))
-    return rows.select(
-        *unpacked("row", others(pages, "clean_text", "n_lines", "n_dropped")),
-        F.when(F.col("goes").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("goes").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_dropped"),
+    # Unpacked in a step of its own, in which no name can be taken for one of these.
+    done = rows.select(
+        "row",
+        F.when(F.col("goes").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("clean"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("all"),
+        F.when(F.col("goes").isNull(), 0).otherwise(F.col("n")).cast("long").alias("gone"),
     )
+    added = [F.col("clean").alias("clean_text"), F.col("all").alias("n_lines"), F.col("gone").alias("n_dropped")]
+    return done.select(*unpacked("row", others(pages, "clean_text", "n_lines", "n_dropped")), *added)
 
 
 def digest(rows: DataFrame) -> DataFrame:
@@ -90,12 +89,12 @@ def digest(rows: DataFrame) -> DataFrame:
 
 #: The same in DuckDB SQL, for pages of documents whose host is their source.
 SQL = f"""
-WITH pages AS (SELECT source, text, list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS lines
-               FROM documents WHERE text IS NOT NULL GROUP BY source, text),
+WITH pages AS (SELECT source, list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS lines
+               FROM documents WHERE text IS NOT NULL),
 totals AS (SELECT source, count(*) AS n FROM pages GROUP BY source),
 counts AS (SELECT source, line, count(*) AS k FROM (SELECT source, unnest(lines) AS line FROM pages) GROUP BY source, line),
 bad AS (SELECT c.source, list(c.line) AS bad FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-        WHERE c.k >= {MIN_PAGES} AND c.k > {RATIO} * t.n GROUP BY c.source),
+        WHERE c.k > 1 AND c.k > {RATIO} * t.n GROUP BY c.source),
 cut AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines,
         list_filter(string_split(d.text, chr(10)), lambda x: NOT coalesce(list_contains(b.bad, x), false)) AS kept
         FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source)
