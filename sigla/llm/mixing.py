@@ -11,8 +11,7 @@ proportion to a source's documents, so a source with a third of all rows is as m
 size asks for; sums of ranges, then rows within a range, are added up.
 
 Edge cases: null texts have size 0; null sources are one source, the last; sources of size 0 have
-target 0; null ids draw from the text's hash and size; repeated rows draw the same key, and are
-each taken; ties of keys go by id, then by size, and rows alike in all that are interchangeable;
+target 0; null ids draw from the text's hash; repeated rows draw the same key, and are each taken; ties of keys go by id, then by size, and rows alike in all that are interchangeable;
 very long texts are only counted; an empty table gives no rows; extra columns are ignored, or pass
 through :func:`mixed`, whatever their names.
 """
@@ -58,9 +57,14 @@ def targets(sources: DataFrame) -> DataFrame:
     return own.withColumn("target", F.least(F.lit(unit) * F.col("weight"), (CAP * F.col("source_size")).cast("double")))
 
 
-def draw(doc_id: Column, size: Column) -> Column:
+def identity(doc_id: Column, text: Column) -> Column:
+    """What tells documents apart: the id, or the text's hash where there is none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("t"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)))
+
+
+def draw(name: Column, size: Column) -> Column:
     """A number between 0 and 1, both excluded, by a hash of the document and 52 bits of it."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("-"), size.cast("string"), F.lit(f"-{SALT}"))
+    text = F.concat(name, F.lit("-"), size.cast("string"), F.lit(f"-{SALT}"))
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -68,11 +72,11 @@ def mix(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Data
     """doc_id, size, source_size, target, taken, and columns to carry, for each row of ``docs``."""
     quality = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q")).withColumnRenamed("doc_id", "of")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *carry)
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), identity(F.col("doc_id"), F.col("text")).alias("mix_name"), *carry)
     rows = rows.join(quality, F.col("doc_id") == F.col("of"), "left").drop("of")
     weight = F.coalesce(LOW + (1 - LOW) * F.col("q"), F.lit(UNLABELLED))
-    key = -F.log(draw(F.col("doc_id"), F.col("size"))) / weight
-    rows = write_shared(rows.select("doc_id", "source", "size", key.alias("key"), *carry), "sizes")
+    key = -F.log(draw(F.col("mix_name"), F.col("size"))) / weight
+    rows = write_shared(rows.select("doc_id", "source", "size", "mix_name", key.alias("key"), *carry), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     aims = targets(sources)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -86,7 +90,7 @@ def mix(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ()) -> Data
     before = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(F.col("source").alias("of"), F.col("range").alias("at"), F.coalesce(before, F.lit(0)).alias("before"))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("at")))
-    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "mix_name").rowsBetween(Window.unboundedPreceding, -1))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.coalesce(inside, F.lit(0))))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *carry)
 
@@ -96,7 +100,7 @@ def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Rows that share an id, or a text where they have none, are repeated alike.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    key = identity(F.col("doc_id"), F.col("text"))
     keyed = docs.select(packed(docs).alias("row"), key.alias("key"))
     copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
     slim = docs.select("doc_id", "source", "text", key.alias("mix_key"))
@@ -109,9 +113,9 @@ _WEIGHT = " ".join(f"WHEN {i} THEN {w}.0" for i, w in enumerate(WEIGHTS))
 #: The same in DuckDB SQL.
 SQL = f"""
 WITH quality AS (SELECT doc_id, avg(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-sized AS (SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, coalesce({LOW} + {1 - LOW} * q.q, {UNLABELLED}) AS w
+sized AS (SELECT d.doc_id, d.source, coalesce(d.doc_id::VARCHAR, 't' || sha256(coalesce(d.text, ''))) AS name, len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, coalesce({LOW} + {1 - LOW} * q.q, {UNLABELLED}) AS w
           FROM documents d LEFT JOIN quality q ON d.doc_id = q.doc_id),
-rows AS (SELECT doc_id, source, size, -ln((('0x' || md5(coalesce(doc_id::VARCHAR, '') || '-' || size || '-{SALT}')[1:13])::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r}) / w AS key FROM sized),
+rows AS (SELECT doc_id, source, size, name, -ln((('0x' || md5(name || '-' || size || '-{SALT}')[1:13])::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r}) / w AS key FROM sized),
 sums AS (SELECT source, sum(size)::DOUBLE AS s FROM rows GROUP BY source),
 weighed AS (SELECT source, s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} {_WEIGHT} END AS w FROM sums),
 ordered AS (SELECT *, row_number() OVER (ORDER BY {CAP} * s / w, source NULLS LAST) AS k FROM weighed),
@@ -121,7 +125,7 @@ unit AS (SELECT coalesce((SELECT (total - full_before) / free FROM run WHERE (to
 aims AS (SELECT source, s, least(u * w, {CAP} * s) AS target FROM weighed, unit),
 split AS (SELECT source, s, target, CASE WHEN s > 0 THEN floor(target / s) ELSE 0 END AS epochs FROM aims),
 placed AS (SELECT r.doc_id, r.size, a.s, a.target, a.epochs, floor(a.target - a.epochs * a.s + 0.5) AS rest,
-           coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+           coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id, r.size, r.name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
            FROM rows r JOIN split a ON r.source IS NOT DISTINCT FROM a.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, CAST(target AS DOUBLE) AS target,
        CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM placed

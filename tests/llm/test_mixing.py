@@ -68,3 +68,13 @@ def test_nulls_ties_repeats_and_clashing_columns(spark, monkeypatch):
     assert rows_of(mixing.mix(df, lab)) == plain(docs, labels)[0]
     assert mixing.mix(df.limit(0), lab.limit(0)).count() == 0
     assert rows_of(mixing.mix(df.where("source = 'empty'"), lab)) == [(100, 0, 0, 0.0, 0), (101, 0, 0, 0.0, 0)]
+
+
+def test_rows_without_id_are_drawn_by_their_text_whatever_the_partitions(spark):
+    rows = [(None, f"{chr(97 + i % 26)}{i} two three", "s") for i in range(40)] + [(k, "one two three", "r") for k in range(30)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    taken = []
+    for n in (1, 5, 9):
+        docs = spark.createDataFrame(rows[::-1] if n == 5 else rows, "doc_id long, text string, source string").repartition(n)
+        taken.append(sorted((r.text, r.source, r.doc_id) for r in mixing.mixed(docs, labels).where("doc_id is null").collect()))
+    assert taken[0] == taken[1] == taken[2] and 0 < len(taken[0]) != 40
