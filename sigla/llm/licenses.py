@@ -1,10 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-Headers are the lines of a file, and their sentences, that hold one of the templates' key terms,
-compared with the notices that licenses ask for or are named by.  A line of more than LONG
-characters is not compared as one but by its sentences and by its windows: all runs of as many
-terms as a notice has that hold a key term, with running sums.  A license
-file (by its name) is compared as a whole too, with the licenses' full texts.  Vectors are sparse:
+Headers are the lines of a file that hold one of the templates' key terms, compared with the notices
+that licenses ask for or are named by: as a whole, by sentences, and by windows, which are all runs
+of as many terms as a notice has that hold a key term, with running sums.  A license file (by its
+name) is compared as a whole too, with the licenses' full texts.  Vectors are sparse:
 weights of the terms that occur, term frequency times a logarithmic inverse of how many files hold
 the term.  File counts of the templates' terms, of which there is a fixed number, are taken over
 all files; terms that no template has weigh as if no file held them.
@@ -79,8 +78,6 @@ KEY_TERMS = re.compile(r"licen[sc]e|copyright|\bmit\b|apache|\bgnu\b|mozilla|\bc
 THRESHOLD = 0.7
 #: From this score on a license file is the license whose full text it matches best.
 WHOLE = 0.9
-#: Characters up to which a document of the query can be a license file.
-LICENSE_CHARS = 1000
 LICENSE_FILE = re.compile(r"(^|/)(LICEN[SC]E|COPYING|NOTICE)[^/]*$", re.I)
 _TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -91,24 +88,25 @@ def terms(text: str) -> list[str]:
 
 VOCABULARY = sorted({t for texts in (*TEMPLATES.values(), [*TEXTS.values()]) for x in texts for t in terms(x)})
 
-#: Lengths of the notices, in terms, and characters from which a line is long.
+#: Lengths of the notices, in terms.
 LENGTHS = sorted({len(terms(x)) for texts in TEMPLATES.values() for x in texts})
-LONG = 400
 #: Windows that are scored at a time.
 PIECE = 1 << 16
 
 
 def headers(text: str) -> Iterator[str]:
-    """Lines, and their sentences of up to LONG characters, that hold a key term, each line once."""
+    """Lines that hold a key term, each once."""
     done = -1
     for m in KEY_TERMS.finditer(text):
-        if m.start() <= done:
-            continue
-        start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        done = end if end >= 0 else len(text)
-        line = text[start:done]
-        yield line
-        yield from (x for x in line.split(". ") if len(x) <= LONG and KEY_TERMS.search(x))
+        if m.start() > done:
+            start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            done = end if end >= 0 else len(text)
+            yield text[start:done]
+
+
+def sentences(line: str) -> set[str]:
+    """A line, and its sentences that hold a key term."""
+    return {line, *(x for x in line.split(". ") if KEY_TERMS.search(x))}
 
 
 def _rank(match: tuple[float, str]) -> tuple[float, list[int]]:
@@ -187,7 +185,10 @@ class Matcher:
         """
         if whole and text.strip() and (full := self.best(text, self.texts))[0] >= WHOLE:
             return full
-        found = [self.best_window(h, own) if len(h) > LONG else self.best(h, own) for h in set(headers(text)) if (own := self.possible(h))]
+        found = []
+        for line in set(headers(text)):
+            if own := self.possible(line):
+                found += [self.best_window(line, own), *(self.best(x, own) for x in sentences(line))]
         if whole and text.strip():
             found += [self.best(text, self.notices), full]
         return max(found, key=_rank, default=(0.0, ""))
@@ -257,12 +258,13 @@ def inherited(files: DataFrame, declares: str, path: str = "path") -> DataFrame:
 def tree_path() -> str:
     """SQL for a document's path: source, language, and a directory for each digit but the last two.
 
-    A short text that ends with a line on a license is a license file of its directory; any other
-    is a plain file.
+    A text of which one of the first two lines, or the last, is on a license, a copyright or a
+    permission is a license file of its directory, however long; any other is a plain file.
     """
     digits = "cast(doc_id as string)"
     head = f"substring({digits}, 1, greatest(0, length({digits}) - 2))"
-    is_license = f"length(text) <= {LICENSE_CHARS} and text rlike '(?i)licen[sc]e[^\\\\n]*$'"
+    about = "(licen[sc]e|copyright|public domain|permission to use)"
+    is_license = f"text rlike '(?i)\\\\A\\\\s*([^\\\\n]*\\\\n\\\\s*)?[^\\\\n]*{about}' or text rlike '(?i){about}[^\\\\n]*\\\\s*\\\\z'"
     name = f"if(coalesce({is_license}, false), concat('LICENSE-', {digits}), concat({digits}, '.txt'))"
     return f"concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), nullif(array_join(split({head}, ''), '/'), ''), {name})"
 

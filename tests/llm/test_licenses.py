@@ -29,8 +29,7 @@ def plain(files):
         for line in filter(keyed, (text or "").split("\n")):
             own = licenses.terms(line)
             runs = [" ".join(own[k : k + n]) for _, t in notices for n in [len(licenses.terms(t))] for k in range(max(1, len(own) - n + 1))]
-            heads |= {line} if len(line) <= 400 else set(filter(keyed, runs))
-            heads |= {x for x in line.split(". ") if len(x) <= 400 and keyed(x)}
+            heads |= {line, *filter(keyed, runs), *filter(keyed, line.split(". "))}
         pairs = [(h, name, t) for h in heads for name, t in notices]
         if text and licenses.LICENSE_FILE.search(path or ""):
             full = [(text, name, t) for name, t in licenses.TEXTS.items()]
@@ -140,3 +139,19 @@ def test_clashing_names_in_any_case(spark):
     files = licenses.scanned(df).withColumn("told", F.col("path").isNotNull())
     got = licenses.inherited(files, "told").first()
     assert (got["li_dir"], got["Of"], got["license"], got["license_from"]) == (7, "x", "MIT", "a/LICENSE")
+
+
+def test_a_notice_counts_wherever_it_stands_in_a_line(spark):
+    notice = "Released under the MIT License"
+    files = [(n, f"f{n}", "foo bar " * n + notice + " baz" * (n % 3)) for n in (0, 1, 10, 45, 60, 400)]
+    got = licenses.scanned(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
+    assert {(r.own_license, r.own_score) for r in got} == {("MIT", 1.0)}
+
+
+def test_full_texts_of_any_length_are_license_files_of_the_query(spark):
+    texts = dict(enumerate(licenses.TEXTS.values(), 1000)) | {1100: "just a text\nof two lines", 1101: ""}
+    docs = spark.createDataFrame([(k, t, "src", "en") for k, t in texts.items()], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in licenses.licensed(docs).collect()}
+    for k, name in enumerate(licenses.TEXTS, 1000):
+        assert got[k].own_license == name and got[k].own_score > 0.95 and "/LICENSE-" in got[k].path
+    assert got[1100].own_license is None and got[1100].path.endswith("/1100.txt")
