@@ -186,28 +186,28 @@ listed AS (SELECT CAST(v AS BIGINT) AS volume, abbr, resolution, CAST(len(string
 flagged AS (SELECT *, count(*) OVER (PARTITION BY volume, abbr) = 1 AS applies FROM listed)"""
 
 
-def _listed(spark):
-    return rules.by_volume(rules.load(S.glossary(spark), S.dioceses(spark)))
+def _listed(spark, sf_dir):
+    return rules.by_volume(rules.load(S.glossary(spark, sf_dir), S.dioceses(spark)))
 
 
 @query(f"SELECT abbr, resolution, {', '.join(PLACES)}, CAST(len(string_split(abbr, ' ')) AS INTEGER) AS parts FROM (SELECT abbr, resolution, {', '.join(PLACES)} FROM {S.CLEAN_SQL} WHERE NOT complex UNION ALL BY NAME SELECT abbreviation AS abbr, resolution FROM {S.DIOCESE_SQL})")
 def rules_diagonal(spark, sf_dir):
-    return rules.load(S.glossary(spark), S.dioceses(spark)).select("abbr", "resolution", *PLACES, "parts")
+    return rules.load(S.glossary(spark, sf_dir), S.dioceses(spark)).select("abbr", "resolution", *PLACES, "parts")
 
 
 @query(RULES + " SELECT volume, abbr, resolution, parts FROM listed")
 def rules_every_volume(spark, sf_dir):
-    return _listed(spark)
+    return _listed(spark, sf_dir)
 
 
 @query(RULES + " SELECT volume, count(*) AS rules, count_if(applies) AS applied, count_if(NOT applies) AS \"left\" FROM flagged GROUP BY volume")
 def rules_per_volume(spark, sf_dir):
-    return rules.per_volume(_listed(spark))
+    return rules.per_volume(_listed(spark, sf_dir))
 
 
 @query(RULES + " SELECT volume, abbr, resolution, parts FROM flagged WHERE applies")
 def rules_unambiguous(spark, sf_dir):
-    return rules.unambiguous(_listed(spark))
+    return rules.unambiguous(_listed(spark, sf_dir))
 
 
 EXPANDED = f"""
@@ -246,7 +246,7 @@ spelled AS (SELECT f.volume, entry, line_no, array_to_string(list_transform({PIE
 SELECT volume, entry, line_no, CASE WHEN line_no = 0 THEN new END AS head_text, CASE WHEN line_no > 0 THEN new END AS body_text FROM spelled""")
 def expand_multiword(spark, sf_dir):
     """Rules of several parts, by volume, over headers and regests."""
-    done = rules.expand(S.regests(spark, sf_dir, len(PLACES)), rules.unambiguous(_listed(spark)))
+    done = rules.expand(S.regests(spark, sf_dir, len(PLACES)), rules.unambiguous(_listed(spark, sf_dir)))
     return done.select("volume", "entry", "line_no", "head_text", "body_text")
 
 
@@ -255,17 +255,13 @@ def expand_multiword(spark, sf_dir):
 INHERITED = f"(SELECT * REPLACE (coalesce(last_value(nullif(abbr, '') IGNORE NULLS) OVER (ORDER BY row_order), '') AS abbr) FROM {S.RAW_SQL})"
 
 
-def _inherited(spark):
-    return glossary.inherited(glossary.raw(S.raw_glossary(spark)))
-
-
-def _reduced(spark):
-    return glossary.volume_cells(glossary.normalised(_inherited(spark)))
+def _inherited(spark, sf_dir):
+    return glossary.inherited(glossary.raw(S.raw_glossary(spark, sf_dir)))
 
 
 @query(f"SELECT row_order, abbr, resolution FROM {INHERITED}")
 def glossary_inherit(spark, sf_dir):
-    return _inherited(spark).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution")
+    return _inherited(spark, sf_dir).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution")
 
 
 #: Resolutions without marks and remarks; brackets are part of them where the abbreviation has parts for them.
@@ -278,7 +274,7 @@ rows AS (SELECT * EXCLUDE (whole), trim(part) AS resolution, contains(whole, ';'
 
 @query(NORMAL + " SELECT row_order, abbr, resolution, multi FROM rows")
 def split_alternatives(spark, sf_dir):
-    return glossary.normalised(_inherited(spark)).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", "multi")
+    return glossary.normalised(_inherited(spark, sf_dir)).select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", "multi")
 
 
 CELLS = NORMAL + f""",
@@ -300,13 +296,13 @@ def _depth():
 
 @query(CELLS + f" SELECT p.row_order, p.abbr, p.resolution, {_ODD} AS foreign, " + ", ".join(map(_place_sql, PLACES)) + " FROM rows p")
 def volume_cells(spark, sf_dir):
-    rows = glossary.volume_cells(glossary.normalised(_inherited(spark))).where(F.size("row_order") == _depth())
+    rows = glossary.volume_cells(glossary.normalised(_inherited(spark, sf_dir))).where(F.size("row_order") == _depth())
     return rows.select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", "foreign", *PLACES)
 
 
 @query(CELLS + " SELECT row_order, value AS abbr, CASE WHEN regexp_matches(value, '^[A-Z]') AND regexp_matches(resolution, '^[a-z]') THEN upper(resolution[1]) || resolution[2:] ELSE resolution END AS resolution, string_agg(name, '|' ORDER BY name) AS named FROM said WHERE value <> abbr AND contains(value, '.') AND (row_order, resolution) NOT IN (SELECT (row_order, resolution) FROM odd) GROUP BY row_order, value, resolution")
 def derived_rows(spark, sf_dir):
-    rows = glossary.volume_cells(glossary.normalised(_inherited(spark))).where(F.size("row_order") > _depth())
+    rows = glossary.volume_cells(glossary.normalised(_inherited(spark, sf_dir))).where(F.size("row_order") > _depth())
     named = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) != "", F.lit(c)) for c in PLACES])), "|")
     return rows.select(F.element_at("row_order", 1).alias("row_order"), "abbr", "resolution", named.alias("named"))
 
@@ -321,21 +317,21 @@ g AS (SELECT abbr, lower(resolution) AS k, coalesce(CASE WHEN regexp_matches(abb
       {', '.join(f"coalesce(arg_min({c}, row_order) FILTER ({c} <> ''), '') AS {c}" for c in _FIRST)} FROM r GROUP BY abbr, lower(resolution))
 SELECT g.abbr, g.resolution, {', '.join(f'g.{c}' for c in _FIRST)}, {_UNITED} FROM g""")
 def merge_duplicates(spark, sf_dir):
-    return glossary.merged(_inherited(spark)).select("abbr", "resolution", *_FIRST, *PLACES)
+    return glossary.merged(_inherited(spark, sf_dir)).select("abbr", "resolution", *_FIRST, *PLACES)
 
 
 @query(f"""
 WITH r AS (SELECT abbr, resolution, {', '.join(PLACES)}, concat_ws('', {', '.join(PLACES)}) AS cells FROM {INHERITED})
 SELECT DISTINCT abbr, bool_or(contains(abbr, ';') OR contains(cells, ';')) OVER w OR (count(*) OVER w > 1 AND bool_or(cells = '') OVER w) AS complex FROM r WINDOW w AS (PARTITION BY abbr)""")
 def complex_split(spark, sf_dir):
-    return glossary.with_complex(_inherited(spark)).select("abbr", "complex").distinct()
+    return glossary.with_complex(_inherited(spark, sf_dir)).select("abbr", "complex").distinct()
 
 
 @query(f"""
 SELECT abbr, string_agg(DISTINCT CAST(volume AS VARCHAR), '|' ORDER BY CAST(volume AS VARCHAR)) AS volumes
 FROM (SELECT DISTINCT abbr FROM {S.CLEAN_SQL}) JOIN (SELECT DISTINCT volume, {TOKENS} AS t FROM {S.CORPUS}) ON rtrim(t, '.') = rtrim(abbr, '.') GROUP BY abbr""")
 def corpus_volumes(spark, sf_dir):
-    rows = S.glossary(spark).select("abbr").distinct().withColumn("added", F.lit(False))
+    rows = S.glossary(spark, sf_dir).select("abbr").distinct().withColumn("added", F.lit(False))
     found = glossary.in_corpus(rows, S.corpus(spark, sf_dir))
     order = F.array_join(F.array_sort(F.split("volumes", r"\|")), "|")
     return found.select("abbr", order.alias("volumes"))
@@ -345,40 +341,40 @@ CHANGED = f"(SELECT * REPLACE (CASE WHEN abbr = 'de.' THEN 'decretum' ELSE resol
 KEYS = ", ".join(f"coalesce({c}, '') AS {c}" for c in ["abbr", "resolution", *PLACES, "volumes"])
 
 
-def _changed(spark):
-    new = S.glossary(spark).where("abbr <> 'er.'")
+def _changed(spark, sf_dir):
+    new = S.glossary(spark, sf_dir).where("abbr <> 'er.'")
     return new.withColumn("resolution", F.when(F.col("abbr") == "de.", "decretum").otherwise(F.col("resolution")))
 
 
 @query(f"SELECT {KEYS} FROM {CHANGED} EXCEPT SELECT {KEYS} FROM {S.CLEAN_SQL}")
 def diff_added(spark, sf_dir):
-    return glossary.difference(_changed(spark), S.glossary(spark))[0]
+    return glossary.difference(_changed(spark, sf_dir), S.glossary(spark, sf_dir))[0]
 
 
 @query(f"SELECT {KEYS} FROM {S.CLEAN_SQL} EXCEPT SELECT {KEYS} FROM {CHANGED}")
 def diff_removed(spark, sf_dir):
-    return glossary.difference(_changed(spark), S.glossary(spark))[1]
+    return glossary.difference(_changed(spark, sf_dir), S.glossary(spark, sf_dir))[1]
 
 
 @query(f"SELECT abbr, resolution, CAST(v AS BIGINT) AS volume, volumes AS found_in FROM {S.CLEAN_SQL}, range(1, 10) AS t(v) WHERE coalesce([{', '.join(PLACES)}][v], '') <> '' AND NOT list_contains(string_split(coalesce(volumes, ''), '|'), CAST(v AS VARCHAR))")
 def volume_mismatch(spark, sf_dir):
-    return glossary.volume_mismatches(S.glossary(spark))
+    return glossary.volume_mismatches(S.glossary(spark, sf_dir))
 
 
 @query(f"SELECT min(abbr) AS abbr, word FROM (SELECT abbr, unnest(string_split(resolution, ' ')) AS word FROM {S.CLEAN_SQL}) ANTI JOIN {VOCABULARY} USING (word) GROUP BY word")
 def unattested_words(spark, sf_dir):
-    return glossary.unattested_words(S.glossary(spark), scan.vocabulary(S.table(spark, sf_dir, "documents"))).select("abbr", "word")
+    return glossary.unattested_words(S.glossary(spark, sf_dir), scan.vocabulary(S.table(spark, sf_dir, "documents"))).select("abbr", "word")
 
 
 @query()
 def glossary_extract(spark, sf_dir):
     """All stages of the dictionary over the documents."""
-    return glossary.extract(S.raw_glossary(spark), S.corpus(spark, sf_dir))[0]
+    return glossary.extract(S.raw_glossary(spark, sf_dir), S.corpus(spark, sf_dir))[0]
 
 
 @query()
 def morphology_review(spark, sf_dir):
-    return glossary.extract(S.raw_glossary(spark), S.corpus(spark, sf_dir))[1]
+    return glossary.extract(S.raw_glossary(spark, sf_dir), S.corpus(spark, sf_dir))[1]
 
 
 # --- paradigms --------------------------------------------------------------------------------
@@ -482,7 +478,7 @@ offers AS (SELECT volume, abbr, resolution FROM flagged WHERE NOT applies UNION
 mine AS (SELECT DISTINCT volume, entry, unnest([abbreviation, regexp_replace(abbreviation, '\\.({W})', '. \\1', 'g')]) AS abbr FROM grams)
 SELECT m.volume, m.entry, m.abbr, array_to_string(list_sort(list(DISTINCT o.resolution)), '|') AS candidates FROM mine m JOIN offers o ON m.abbr = o.abbr AND (o.volume IS NULL OR o.volume = m.volume) GROUP BY ALL""")
 def candidates_step2(spark, sf_dir):
-    found = candidates.of_entries(S.corpus(spark, sf_dir), S.glossary(spark))
+    found = candidates.of_entries(S.corpus(spark, sf_dir), S.glossary(spark, sf_dir))
     return found.select("volume", "entry", "abbr", F.array_join("candidates", "|").alias("candidates"))
 
 
@@ -497,20 +493,20 @@ _ALL = f"FROM {S.CORPUS} LEFT JOIN made USING (volume, entry)"
 @query(CHOSEN + f", made AS (SELECT volume, entry, max(k) AS n, string_agg(CASE WHEN r IS NULL THEN t ELSE '[[' || CAST(k AS INTEGER) || '|' || t || ']]' END, '' ORDER BY i) AS marked FROM hits GROUP BY ALL) SELECT volume, entry, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(marked, '') AS marked {_ALL}")
 def occurrences_marked(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
-    own = candidates.marked(candidates.with_occurrences(docs, candidates.of_entries(docs, S.glossary(spark))))
+    own = candidates.marked(candidates.with_occurrences(docs, candidates.of_entries(docs, S.glossary(spark, sf_dir))))
     return own.select("volume", "entry", F.size("occurrences").alias("n"), "marked")
 
 
 @query(CHOSEN + f", made AS (SELECT volume, entry, string_agg(coalesce(r, t), '' ORDER BY i) AS expanded FROM hits GROUP BY ALL) SELECT volume, entry, coalesce(expanded, '') AS expanded {_ALL}")
 def expanded_by_choice(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
-    own = candidates.first_choices(candidates.with_occurrences(docs, candidates.of_entries(docs, S.glossary(spark))))
+    own = candidates.first_choices(candidates.with_occurrences(docs, candidates.of_entries(docs, S.glossary(spark, sf_dir))))
     return own.select("volume", "entry", "expanded")
 
 
 @query(CHOSEN + f", made AS (SELECT volume, entry, max(k) AS n, string_agg(coalesce(r, t), '' ORDER BY i) AS processed FROM hits GROUP BY ALL) SELECT volume, entry, coalesce(processed, '') AS processed, CAST(coalesce(n, 0) AS INTEGER) AS choices, CAST(0 AS INTEGER) AS errors {_ALL}")
 def step2_decisions(spark, sf_dir):
-    got = steps.step2(S.corpus(spark, sf_dir), S.glossary(spark), steps.FirstCandidate())
+    got = steps.step2(S.corpus(spark, sf_dir), S.glossary(spark, sf_dir), steps.FirstCandidate())
     return got.select("volume", "entry", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
 
 
@@ -527,8 +523,8 @@ def step3_decisions(spark, sf_dir):
 @query()
 def step4_decisions(spark, sf_dir):
     docs = S.corpus(spark, sf_dir)
-    third = steps.assembled(docs, steps.step2(docs, S.glossary(spark), steps.FirstCandidate()))
-    entries = S.morphology(spark).unionByName(S.glossary(spark).select("resolution", F.concat(F.left("resolution", F.lit(4)), F.lit(" -i")).alias("stem"), F.lit("o").alias("declension")))
+    third = steps.assembled(docs, steps.step2(docs, S.glossary(spark, sf_dir), steps.FirstCandidate()))
+    entries = S.morphology(spark).unionByName(S.glossary(spark, sf_dir).select("resolution", F.concat(F.left("resolution", F.lit(4)), F.lit(" -i")).alias("stem"), F.lit("o").alias("declension")))
     got = steps.step4(third, docs, entries, docs, steps.FirstCandidate())
     return got.select("volume", "entry", "processed", F.size("choices").alias("choices"), F.size("errors").alias("errors"))
 
@@ -703,39 +699,27 @@ def evaluated_texts(spark, sf_dir):
 
 # --- runs -------------------------------------------------------------------------------------
 
-RATED = [(r, s, i, o, 0.5 + 0.07 * s + 0.01 * len(r), 0.3 + 0.05 * s - 0.01 * len(r)) for r, s, _, i, o in S.MANIFESTS]
-RATED_NAMES = ["run", "step", "input", "output", "word_accuracy", "form_accuracy"]
-RATED_SQL = S.values(RATED, RATED_NAMES)
-
-
-def _rated(spark):
-    return spark.createDataFrame(RATED, "run string, step int, input string, output string, word_accuracy double, form_accuracy double")
-
-
-@query(f"SELECT run, CAST(step AS INTEGER) AS stage, CAST(word_accuracy AS DOUBLE) AS word_accuracy, CAST(form_accuracy AS DOUBLE) AS form_accuracy FROM {RATED_SQL} QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) = 1")
+@query(S.EVENT_RUNS + " SELECT run, CAST(k AS INTEGER) AS stage, value AS word_accuracy, value / 2 AS form_accuracy FROM runs WHERE k = n")
 def run_comparison(spark, sf_dir):
-    return score.compared_runs([_rated(spark).select("run", F.col("step").alias("stage"), "word_accuracy", "form_accuracy")])
+    return score.compared_runs([S.event_runs(spark, sf_dir).select("run", F.col("step").alias("stage"), "word_accuracy", "form_accuracy")])
 
 
-@query(f"""
-WITH r AS (SELECT *, CAST(word_accuracy AS DOUBLE) AS accuracy FROM {RATED_SQL}), own AS (SELECT * FROM r WHERE step = 3 QUALIFY row_number() OVER (PARTITION BY output ORDER BY run) = 1)
-SELECT own.run, own.output, own.accuracy, round(own.accuracy - coalesce((SELECT max(accuracy) FROM r WHERE r.output = own.input), (SELECT max(accuracy) FROM r WHERE r.run = own.run AND r.step = 2)), 6) AS gained FROM own""")
+@query(S.EVENT_RUNS + " SELECT run, output, value AS accuracy, round(value - was, 6) AS gained FROM (SELECT *, lag(value) OVER (PARTITION BY u ORDER BY k) AS was FROM runs) WHERE k = 3")
 def step_section(spark, sf_dir):
-    return score.step_section(_rated(spark), 3)
+    return score.step_section(S.event_runs(spark, sf_dir), 3)
 
 
-@query(f"""
-WITH RECURSIVE m AS (SELECT * FROM {S.MANIFEST_SQL}), behind(run, step, depth, from_run, from_step, output, input, seen) AS (
-    SELECT run, step, 0, run, step, output, input, [output] FROM m
-    UNION ALL SELECT b.run, b.step, b.depth + 1, m.run, m.step, m.output, m.input, list_append(b.seen, m.output) FROM behind b JOIN m ON b.input = m.output WHERE NOT list_contains(b.seen, m.output))
-SELECT run, CAST(step AS INTEGER) AS step, CAST(depth AS INTEGER) AS depth, from_run, CAST(from_step AS INTEGER) AS from_step, output FROM behind""")
+@query(S.EVENT_RUNS + """ SELECT run, CAST(k AS INTEGER) AS step, output,
+    CASE WHEN k > 1 THEN run WHEN u % 11 = 3 THEN run WHEN users_behind > 0 THEN 'u' || (u - 1) END AS by_run,
+    CAST(CASE WHEN k > 1 THEN k - 1 WHEN u % 11 = 3 THEN n WHEN users_behind > 0 THEN 1 END AS INTEGER) AS by_step,
+    CASE WHEN NOT circular THEN CAST(k - 1 + users_behind AS BIGINT) END AS depth, CASE WHEN NOT circular THEN 'u' || origin || '/s1' END AS first, circular FROM runs""")
 def lineage(spark, sf_dir):
-    return runs.lineage(S.manifests(spark))
+    return runs.lineage(S.event_runs(spark, sf_dir))
 
 
-@query(f"SELECT m.output, min(m.run) AS by_run, CAST(min(m.step) AS INTEGER) AS by_step FROM {S.MANIFEST_SQL} m GROUP BY m.output")
+@query(S.EVENT_RUNS + " SELECT output, run AS by_run, CAST(k AS INTEGER) AS by_step FROM runs")
 def producers(spark, sf_dir):
-    own = S.manifests(spark)
+    own = S.event_runs(spark, sf_dir)
     return runs.producers(own.select("output").distinct(), own)
 
 
@@ -772,16 +756,17 @@ def tier_counts(spark, sf_dir):
     return score.tiers(S.table(spark, sf_dir, "events").select(tier.alias("tier")))
 
 
-@query(f"SELECT run, CAST(step AS INTEGER) AS step FROM {S.MANIFEST_SQL} WHERE model IS NOT NULL AND model IN ('m1', 'm3')")
+@query(S.EVENT_RUNS + " SELECT run, CAST(k AS INTEGER) AS step FROM runs WHERE model IS NOT NULL AND k % 5 = 0")
 def changed_prompts(spark, sf_dir):
-    own = S.manifests(spark).withColumn("prompt_sha1", F.sha1(F.col("model").cast("binary")))
-    now = own.withColumn("prompt_sha1", F.when(F.col("model").isin("m1", "m3"), "new").otherwise(F.col("prompt_sha1")))
+    """Every fifth step of a run has another prompt now."""
+    own = S.event_runs(spark, sf_dir).withColumn("prompt_sha1", F.sha1(F.col("model").cast("binary")))
+    now = own.withColumn("prompt_sha1", F.when(F.col("step") % 5 == 0, "new").otherwise(F.col("prompt_sha1")))
     return runs.changed_prompts(now.select("run", "step", "prompt_sha1"), own)
 
 
-@query(f"SELECT DISTINCT run FROM {S.MANIFEST_SQL} WHERE step = 3")
+@query(S.EVENT_RUNS + " SELECT DISTINCT run FROM runs WHERE k = 3")
 def runs_with_step(spark, sf_dir):
-    return runs.having(S.manifests(spark), 3)
+    return runs.having(S.event_runs(spark, sf_dir), 3)
 
 
 @query(f"SELECT volume, entry FROM {S.CORPUS} SEMI JOIN (SELECT doc_id AS entry FROM labels WHERE quality = 1) USING (entry) SEMI JOIN (SELECT doc_id AS entry FROM labels WHERE toxic = 0) USING (entry)")
@@ -792,7 +777,7 @@ def entries_in_every_stage(spark, sf_dir):
 
 @query(f"SELECT DISTINCT abbr FROM {S.CLEAN_SQL} UNION SELECT abbreviation FROM {S.DIOCESE_SQL}")
 def known_abbreviations(spark, sf_dir):
-    return scan.known_abbreviations(S.glossary(spark), S.dioceses(spark).withColumnRenamed("abbreviation", "abbr"))
+    return scan.known_abbreviations(S.glossary(spark, sf_dir), S.dioceses(spark).withColumnRenamed("abbreviation", "abbr"))
 
 
 @query(FORMS + f", counted AS (SELECT f.resolution, f.pos, f.word, count(*) AS forms, sum(v.n) AS n FROM forms f LEFT JOIN {VOCABULARY} v ON v.word = f.form WHERE f.form IS NOT NULL GROUP BY ALL) SELECT resolution, word, forms FROM counted WHERE forms > 1 AND n IS NULL")

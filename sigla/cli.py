@@ -67,6 +67,7 @@ def step(spark: SparkSession, a: argparse.Namespace) -> str:
     texts = vita.to_texts(tables.read_regests(spark, a.input))
     work = vita.of_subset(texts, tables.read_csv(spark, a.subset, SUBSET)) if a.subset else texts
     chooser = _chooser(a)
+    by = steps.chooser_name(chooser, a.number)
     place = steps.one_caller if a.sender else lambda df: df
     if a.number == 2:
         process = lambda df: steps.step2(place(df), _listed(spark, a.glossary), chooser)
@@ -78,8 +79,8 @@ def step(spark: SparkSession, a: argparse.Namespace) -> str:
             entries = _listed(spark, a.glossary).select("resolution", "stem", "declension")
             process = lambda df: steps.step4(place(df), corpus, entries, corpus, chooser)
     if a.limit:
-        work = vita.still_to_do(work, tables.done_in(spark, a.checkpoint), a.limit)
-    done, failures = steps.worked_off(work, process, a.checkpoint, a.batches, a.most_failures)
+        work = vita.still_to_do(work, tables.done_in(spark, a.checkpoint, by), a.limit)
+    done, failures = steps.worked_off(work, process, a.checkpoint, a.batches, a.most_failures, by, a.write)
     stage = vita.to_rows(steps.assembled(texts, done))
     tables.write_csv(stage, a.out, a.write)
     settings = {"step": a.number, "run": a.run, "model": a.model, "prompt_sha1": steps.prompt_digest(a.number), "input": a.input, "written": time.strftime("%Y-%m-%dT%H:%M:%S")}

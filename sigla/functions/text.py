@@ -6,6 +6,7 @@ Word characters and boundaries are those of Unicode everywhere: Java needs (?U)
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,11 +142,13 @@ def query_forms(abbreviation: str, most: int = 256) -> list[str] | None:
     return forms
 
 
-def word_runs(words: Column, gaps: Column, n: int) -> Column:
-    """All runs of ``n`` words with periods, blanks, or both between them, as they stand.
+def word_runs(words: Column, gaps: Column, n: int, first: Callable[[Column], Column] | None = None) -> Column:
+    """All runs of ``n`` words with periods, blanks, or both between them, as they stand; those
+    whose first word ``first`` knows.
 
     ``words`` and ``gaps`` (before, between and after them) have to be columns, not expressions.
     """
     joined = lambda i: [x for k in range(n) for x in ([F.get(gaps, i + k)] if k else []) + [F.get(words, i + k)]]
     good = lambda i: F.when(sum([F.get(gaps, i + k).isin(".", " ", ". ").cast("int") for k in range(1, n)], F.lit(0)) == n - 1, F.concat(*joined(i)))
-    return F.when(F.size(words) >= n, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(words) - n), good))).otherwise(F.array().cast("array<string>"))
+    known = lambda i: good(i) if first is None else F.when(first(F.get(words, i)).isNotNull(), good(i))
+    return F.when(F.size(words) >= n, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(words) - n), known))).otherwise(F.array().cast("array<string>"))

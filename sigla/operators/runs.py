@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import shared
+from . import ordered
+
 FIRST_OUTPUT = "base/step1.csv"
 
 
@@ -72,22 +77,72 @@ def recorded(manifests: DataFrame, inherited: DataFrame, new: DataFrame) -> Data
     return ranked.withColumn("best", best).where("best = 1").drop("best", "k")
 
 
-def lineage(manifests: DataFrame, view: str = "sigla_manifests") -> DataFrame:
-    """run, step, depth, from_run, from_step, output: what produced every step, file by file.
+def _writers(manifests: DataFrame) -> DataFrame:
+    """file, run, step, input: who wrote each file; of several the first by run and step."""
+    first = manifests.groupBy(F.col("output").alias("file")).agg(F.min(F.struct("run", "step", "input")).alias("w"))
+    return first.select("file", "w.run", "w.step", "w.input")
+
 
-    Follows each step's input to the entry that wrote it; stops where no entry did, or at a file
-    that has been passed.
+def _jumps(manifests: DataFrame) -> Iterator[DataFrame]:
+    """file, back of written files: the file 1, 2, 4, 8, ... steps behind each, while there is one.
+
+    As many joins as the longest chain has binary digits; a table each, so that plans stay small.
+    Where files lead in a circle there is always one, and the jumps end when they are longer than
+    there are files.
+    """
+    writers = _writers(manifests)
+    written = writers.select(F.col("file").alias("back"))
+    jumps = shared.settled(writers.select("file", F.col("input").alias("back")).join(written, "back", "left_semi"))
+    most, length = jumps.count(), 1
+    while most and length <= most and not jumps.isEmpty():
+        yield jumps
+        further = jumps.select(F.col("file").alias("back"), F.col("back").alias("next"))
+        jumps = shared.settled(jumps.join(further, "back").select("file", F.col("next").alias("back")))
+        length *= 2
+
+
+def lineage(manifests: DataFrame) -> DataFrame:
+    """run, step, output, by_run, by_step, depth, first, circular: a row for each step.
+
+    by_run and by_step wrote what it read (null: no entry did); depth is how many steps lie behind
+    it, and first the file that the earliest of them wrote.  Where files lead in a circle, depth and
+    first are null.  Chains may be of any length: they are followed by jumps of doubling length.
     """
-    manifests.select("run", "step", "input", "output").createOrReplaceTempView(view)
-    return manifests.sparkSession.sql(f"""
-        WITH RECURSIVE writers AS (SELECT output, min(struct(run, step, input)) AS w FROM {view} GROUP BY output),
-        behind(run, step, depth, from_run, from_step, output, input, seen) AS (
-            SELECT run, step, 0, run, step, output, input, array(output) FROM {view}
-            UNION ALL
-            SELECT b.run, b.step, b.depth + 1, w.w.run, w.w.step, w.output, w.w.input, array_append(b.seen, w.output)
-            FROM behind b JOIN writers w ON b.input = w.output
-            WHERE NOT array_contains(b.seen, w.output))
-        SELECT run, step, depth, from_run, from_step, output FROM behind""")
+    writers = _writers(manifests)
+    # Each file's way back so far: the longest jump that still ends at a written file, added up
+    # from the longest down.
+    ways = writers.select("file", F.col("file").alias("at"), F.lit(0).cast("long").alias("depth"))
+    steps = list(_jumps(manifests))
+    for k, jumps in reversed(list(enumerate(steps))):
+        on = jumps.select(F.col("file").alias("at"), "back")
+        ways = ways.join(on, "at", "left").select("file", F.coalesce("back", "at").alias("at"), (F.col("depth") + F.when(F.col("back").isNull(), 0).otherwise(1 << k)).alias("depth"))
+        ways = shared.settled(ways)
+    # Who is not at a file without a written one behind it goes round in a circle.
+    before = writers.select(F.col("file").alias("at"), F.col("input").alias("read"))
+    written = writers.select(F.col("file").alias("read"), F.lit(True).alias("on"))
+    ends = ways.join(before, "at").join(written, "read", "left").select("file", "at", "depth", F.coalesce("on", F.lit(False)).alias("circular"))
+    own = manifests.select("run", "step", "output", "input")
+    behind = writers.select(F.col("file").alias("input"), F.col("run").alias("by_run"), F.col("step").alias("by_step"))
+    # A step's own input leads the way: another entry may have written the same output.
+    way = ends.select(F.col("file").alias("input"), "at", "depth", "circular")
+    out = own.join(behind, "input", "left").join(way, "input", "left")
+    circular = F.coalesce("circular", F.lit(False))
+    depth = F.when(~circular, F.coalesce(F.col("depth") + 1, F.lit(0).cast("long")))
+    return out.select("run", "step", "output", "by_run", "by_step", depth.alias("depth"), F.when(~circular, F.coalesce("at", "output")).alias("first"), circular.alias("circular"))
+
+
+def behind(manifests: DataFrame, run: str, step: int) -> DataFrame:
+    """depth, run, step, output of a step (depth 0) and of every step behind it, each once."""
+    own = manifests.where((F.col("run") == run) & (F.col("step") == step)).select(F.col("input").alias("file"))
+    writers = _writers(manifests)
+    found = own.join(writers.select("file"), "file", "left_semi").select("file", F.lit(1).cast("long").alias("depth"))
+    for k, jumps in enumerate(_jumps(manifests)):
+        further = found.join(jumps, "file").select(F.col("back").alias("file"), (F.col("depth") + (1 << k)).alias("depth"))
+        found = shared.settled(found.unionByName(further).groupBy("file").agg(F.min("depth").alias("depth")))
+    rows = found.join(writers, "file").select("depth", "run", "step", F.col("file").alias("output"))
+    first = manifests.where((F.col("run") == run) & (F.col("step") == step)).select(F.lit(0).cast("long").alias("depth"), "run", "step", "output")
+    again = first.select("output")
+    return first.unionByName(rows.join(again, "output", "left_anti").select(first.columns))
 
 
 def producers(stages: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -107,11 +162,15 @@ def slots(requests: DataFrame, spacing: float, at: str = "at", order: tuple[str,
     """When each request may start, if starts are ``spacing`` apart.
 
     slot_i = max(at_i, slot_(i-1) + spacing) unrolls to i * spacing + the running maximum of
-    at_j - j * spacing, so a window does it.
+    at_j - j * spacing, so a window does it; one over all requests goes by ranges of the order.
     """
-    numbered = requests.withColumn("i", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    free = F.max(F.col(at) - F.col("i") * spacing).over(Window.partitionBy(*within).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return numbered.withColumn("slot", F.col("i") * spacing + free)
+    if within:
+        numbered = requests.withColumn("i", F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+        free = F.max(F.col(at) - F.col("i") * spacing).over(Window.partitionBy(*within).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return numbered.withColumn("slot", F.col("i") * spacing + free)
+    numbered = ordered.numbered(requests, order, "i")
+    out = ordered.running_max(numbered, F.col(at) - F.col("i") * spacing, "i", "slot")
+    return out.withColumn("slot", F.col("i") * spacing + F.col("slot"))
 
 
 def current_dump(entries: DataFrame, stage: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..functions.matching import Table
 
 
 def abbreviation_counts(docs: DataFrame, *columns: str, most: int = 5) -> DataFrame:
@@ -68,14 +69,17 @@ def orthographic_groups(docs: DataFrame, column: str = "text") -> DataFrame:
 def mined_candidates(abbreviations: DataFrame, words: DataFrame, most: int = 10, least: int = 2) -> DataFrame:
     """abbreviation, rank, candidate, n: frequent words that go on where an abbreviation stops.
 
-    A word is taken apart into its prefixes, so this is an equi-join, not a range join.
+    A word is taken apart into its prefixes, so this is an equi-join, not a range join.  The best
+    of each prefix are told first, in every task before rows are shuffled, so a short prefix
+    carries ``most`` words into the join, not all that start with it.
     """
     stems = abbreviations.select("abbreviation").distinct().withColumn("stem", F.explode(text.prefixes(F.col("abbreviation"))))
     often = words.where(F.col("n") >= least)
     heads = often.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k")).select("word", "n", F.substr("word", F.lit(1), F.col("k")).alias("stem"))
+    best = lambda of: F.row_number().over(Window.partitionBy(of).orderBy(F.desc("n"), "word"))
+    heads = heads.withColumn("rank", best("stem")).where(F.col("rank") <= most).drop("rank")
     found = stems.join(heads, "stem").select("abbreviation", "word", "n").distinct()
-    rank = F.row_number().over(Window.partitionBy("abbreviation").orderBy(F.desc("n"), "word"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("abbreviation", "rank", F.col("word").alias("candidate"), "n")
+    return found.withColumn("rank", best("abbreviation")).where(F.col("rank") <= most).select("abbreviation", "rank", F.col("word").alias("candidate"), "n")
 
 
 #: Rows of a dictionary, at most, where they come to the driver or go through one task.
@@ -97,47 +101,80 @@ def listed(rows: DataFrame, most: int = MOST_ROWS) -> list:
     return got
 
 
-def corpus_volumes(docs: DataFrame, queries: DataFrame, column: str = "text") -> DataFrame:
-    """query, volume, rows: in which volumes, and in how many texts of each, an abbreviation occurs.
+def corpus_volumes(docs: DataFrame, queries: DataFrame, column: str = "text", *keys: str) -> DataFrame:
+    """query, volume, rows (and keys): in which volumes, and in how many texts of each, an
+    abbreviation occurs.
 
-    An abbreviation's spellings are joined with the runs of as many words that texts have, each
-    text cut into words once; only what is not made of words, periods and blanks is looked for as
-    a pattern.  ``queries`` (query) is a dictionary's worth.
+    The spellings of all abbreviations, a dictionary's, are a constant of the plan, in which the
+    runs of words of a text are looked up; what is not made of words, periods and blanks is looked
+    for as a pattern.  Only what is found leaves a text.
     """
-    spark = docs.sparkSession
-    names = [r.query for r in few(queries.select("query").distinct()).collect()]
-    forms = [(n, f) for n in names for f in text.query_forms(n) or ()]
+    names = [r.query for r in listed(queries.select("query").distinct())]
+    of: dict[str, list[str]] = {}
+    for name in names:
+        for form in text.query_forms(name) or ():
+            of.setdefault(form, []).append(name)
     odd = [n for n in names if text.query_forms(n) is None]
-    whole = docs.select("volume", F.monotonically_increasing_id().alias("id"), F.coalesce(F.col(column), F.lit("")).alias("t"))
-    cut = whole.select("volume", "id", F.regexp_extract_all("t", F.lit(r"(?U)\w+"), 0).alias("words"), F.split("t", r"(?U)\w+", -1).alias("gaps"))
-    sizes = sorted({len(re.findall(r"\w+", f)) for _, f in forms}) or [1]
-    runs = F.array_distinct(F.concat(*[text.word_runs(F.col("words"), F.col("gaps"), n) for n in sizes]))
-    found = cut.select("volume", "id", F.explode(runs).alias("form")).join(spark.createDataFrame(forms, "query string, form string"), "form").select("query", "volume", "id")
-    if odd:
-        hits = [F.when(F.col("t").rlike("(?U)" + text.query_pattern(q)), F.lit(q)) for q in odd]
-        found = found.unionByName(whole.select("volume", "id", F.explode(F.array_compact(F.array(*hits))).alias("query")))
-    return found.distinct().groupBy("query", "volume").agg(F.count("*").alias("rows"))
-
-
-def cached_volumes(docs: DataFrame, queries: DataFrame, path: str, corpus: str, column: str = "text") -> DataFrame:
-    """As :func:`corpus_volumes`, with what was found before kept in ``path`` (Parquet).
-
-    ``corpus`` names the state of the corpus: another name asks anew.  A query without any row is
-    kept too, so that it is not looked for again.
+    whole = docs.select("volume", *keys, F.coalesce(F.col(column), F.lit("")).alias("t"))
+    hits = F.array().cast("array<string>")
+    if of:
+        words = F.regexp_extract_all("t", F.lit(r"(?U)\w+"), F.lit(0))
+        whole = whole.withColumns({"words": words, "gaps": F.split("t", r"(?U)\w+", -1)})
+        table = Table({form: "\n".join(own) for form, own in of.items()})
+        sizes = sorted({len(re.findall(r"\w+", f)) for f in of})
+        firsts = Table({re.findall(r"\w+", f)[0]: "" for f in of if len(re.findall(r"\w+", f)) > 1})
+        runs = F.concat(*[F.col("words") if n == 1 else text.word_runs(F.col("words"), F.col("gaps"), n, firsts.get) for n in sizes])
+        hits = F.flatten(F.transform(F.array_compact(F.transform(F.array_distinct(runs), table.get)), lambda found: F.split(found, "\n")))
+    patterns = [F.when(F.col("t").rlike("(?U)" + text.query_pattern(q)), F.lit(q)) for q in odd]
+    hits = F.concat(hits, F.array_compact(F.array(*patterns))) if patterns else hits
+    found = whole.select("volume", *keys, F.explode(F.array_distinct(hits)).alias("query"))
+    return found.groupBy("query", "volume", *keys).agg(F.count("*").alias("rows"))
+
+
+def fingerprinted(docs: DataFrame, into: str = "file") -> DataFrame:
+    """A table read from files, with each row's file: its path, size and time of change."""
+    m = lambda name: F.col(f"_metadata.{name}").cast("string")
+    return docs.withColumn(into, F.concat_ws("|", m("file_path"), m("file_size"), F.unix_micros("_metadata.file_modification_time").cast("string")))
+
+
+def cached_volumes(docs: DataFrame, queries: DataFrame, path: str, column: str = "text", file: str = "file") -> DataFrame:
+    """As :func:`corpus_volumes`, with what was found in each file kept in ``path``.
+
+    ``docs`` has each row's file (:func:`fingerprinted`).  A call asks new files for every query
+    that was ever asked, and files that are known for new queries alone; files that have gone are
+    withdrawn, and come back as new ones.  If nothing is new, no text is read.
     """
     spark = docs.sparkSession
-    schema = "query string, volume long, rows long, corpus string"
-    try:
-        known = spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing has been kept yet
-        known = spark.createDataFrame([], schema)
-    own = known.where(F.col("corpus") == corpus)
-    missing = queries.select("query").distinct().join(own.select("query").distinct(), "query", "left_anti")
-    if not missing.isEmpty():
-        found = missing.join(corpus_volumes(docs, missing, column), "query", "left")
-        found.select("query", F.col("volume").cast("long").alias("volume"), "rows", F.lit(corpus).alias("corpus")).write.mode("append").parquet(path)
-        own = spark.read.schema(schema).parquet(path).where(F.col("corpus") == corpus)
-    return own.join(queries.select("query").distinct(), "query", "left_semi").where("volume is not null").select("query", "volume", "rows")
+    kept = {"found": f"query string, volume long, rows long, {file} string", "calls": "call long, kind string, name string"}
+
+    def read(name: str) -> DataFrame:
+        try:
+            return spark.read.schema(kept[name]).parquet(f"{path}/{name}")
+        except AnalysisException:  # nothing has been kept yet
+            return spark.createDataFrame([], kept[name])
+
+    calls = read("calls")
+    last = calls.agg(F.max("call")).first()[0] or 0
+    files = docs.select(F.col(file).alias("name")).distinct()
+    asked = queries.select(F.col("query").alias("name")).distinct()
+    known_files = calls.where((F.col("kind") == "file") & (F.col("call") == last)).select("name").distinct()
+    known_asked = calls.where(F.col("kind") == "query").select("name").distinct()
+    new_files, new_asked = files.join(known_files, "name", "left_anti"), asked.join(known_asked, "name", "left_anti")
+    every = known_asked.unionByName(asked).distinct()
+    some_files = not new_files.isEmpty()
+    some_asked = not new_asked.isEmpty() and not files.join(known_files, "name", "left_semi").isEmpty()
+    of = lambda rows: F.col(file) == rows["name"]
+    asks = [(docs.join(new_files, of(new_files), "left_semi"), every)] if some_files else []
+    asks += [(docs.join(new_files, of(new_files), "left_anti") if some_files else docs, new_asked)] if some_asked else []
+    made = [corpus_volumes(d, q.withColumnRenamed("name", "query"), column, file) for d, q in asks]
+    if made or known_files.count() != files.count():
+        for rows in made:
+            rows.select(*[F.col(f.split(" ")[0]).cast(f.split(" ")[1]) for f in kept["found"].split(", ")]).write.mode("append").parquet(f"{path}/found")
+        call = lambda rows, kind: rows.select(F.lit(last + 1).cast("long").alias("call"), F.lit(kind).alias("kind"), "name")
+        call(files, "file").unionByName(call(asked, "query")).coalesce(1).write.mode("append").parquet(f"{path}/calls")
+    # A file that came back has been asked twice, with the same answers.
+    found = read("found").distinct().join(files, F.col(file) == files["name"], "left_semi").join(asked.withColumnRenamed("name", "query"), "query", "left_semi")
+    return found.groupBy("query", "volume").agg(F.sum("rows").alias("rows"))
 
 
 def known_abbreviations(*lists: DataFrame) -> DataFrame:

@@ -269,24 +269,37 @@ class TooManyFailures(Exception):
     """A step was stopped: what it had decided is in its checkpoint."""
 
 
-def worked_off(work: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, batches: int = 1, most_failures: int | None = None) -> tuple[DataFrame, DataFrame]:
+def chooser_name(chooser: Chooser, step: int) -> str:
+    """Who decides, and what it is told: a checkpoint's decisions by another one are not its own."""
+    model = getattr(chooser, "model", None)
+    who = f"{model.name} {json.dumps(model.settings, sort_keys=True)}" if model is not None else type(chooser).__name__
+    return f"{who} {prompt_digest(step)}"
+
+
+def worked_off(work: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, batches: int = 1, most_failures: int | None = None, by: str | None = None, write: bool = True) -> tuple[DataFrame, DataFrame]:
     """Decide on the entries that a checkpoint lacks, batch by batch; decisions, and failures.
 
     A batch is written to the checkpoint before the next begins, so no answer is lost when a later
     one fails.  Entries that failed are not in it and come again in the next run; a step with more
-    than ``most_failures`` of them stops after their batch.
+    than ``most_failures`` of them stops after their batch.  ``by`` names who decides
+    (:func:`chooser_name`): only its own decisions count as done.  Without ``write`` nothing goes
+    into the checkpoint: what it has, and what would be decided, is returned.
     """
     spark, failed = work.sparkSession, 0
+    failure = lambda rows: (rows.where("failure is null"), rows.where("failure is not null").select(*vita.KEY, "failure"))
+    if not write:
+        made = process(vita.still_to_do(work, tables.done_in(spark, path, by)))
+        return failure(tables.read_checkpoint(spark, path, RESULT, by).where("failure is null").unionByName(made) if tables._exists(spark, path) else made)
     for number in range(batches):
         own = work.where(F.pmod(F.xxhash64(*vita.KEY), F.lit(batches)) == number)
         told = Observation()
-        made = process(vita.still_to_do(own, tables.done_in(spark, path)))
-        tables.append_checkpoint(made.observe(told, F.count_if(F.col("failure").isNotNull()).alias("n")), path)
+        made = process(vita.still_to_do(own, tables.done_in(spark, path, by)))
+        made = made.observe(told, F.count_if(F.col("failure").isNotNull()).alias("n"))
+        tables.append_checkpoint(made.withColumn("decided_by", F.lit(by).cast("string")), path)
         failed += told.get.get("n") or 0
         if most_failures is not None and failed > most_failures:
             raise TooManyFailures(f"{failed} entries failed; what was decided is in {path}")
-    rows = tables.read_checkpoint(spark, path, RESULT)
-    return rows.where("failure is null"), rows.where("failure is not null").select(*vita.KEY, "failure")
+    return failure(tables.read_checkpoint(spark, path, RESULT, by))
 
 
 def entry_of(run: str, step: int, model: str | None, written: str, output: str, source: str, decisions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Every reader has an explicit schema; every writer is a dry run unless told to wr
 
 from __future__ import annotations
 
+import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,10 +59,25 @@ def write_stage(df: DataFrame, path: str, write: bool = False) -> DataFrame:
     return df
 
 
+#: The line that a dump's results follow, but for the settings before it.
+_RESULTS = '"results":['
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object with a step's settings and its results, a row for each result."""
-    whole = spark.read.schema(_nested(DECISIONS)).option("multiLine", True).json(path)
-    return whole.select("step", "run", "prompt_sha1", "input", F.explode("results").alias("r")).select("step", "run", "prompt_sha1", "input", "r.*")
+    """A step's settings and its results, a row for each result.
+
+    What :func:`write_dump` made is read line by line, by as many tasks as there are; one JSON
+    object in one file is read as a whole.
+    """
+    lines = spark.read.text(path).select(F.ltrim(F.col("value"), F.lit(",")).alias("value"))
+    head = lines.where(F.col("value").endswith(_RESULTS)).limit(1).collect()
+    if not head:
+        whole = spark.read.schema(_nested(DECISIONS)).option("multiLine", True).json(path)
+        return whole.select("step", "run", "prompt_sha1", "input", F.explode("results").alias("r")).select("step", "run", "prompt_sha1", "input", "r.*")
+    told = json.loads(head[0].value + "]}")
+    settings = [F.lit(told.get(k)).cast("int" if k == "step" else "string").alias(k) for k in ("step", "run", "prompt_sha1", "input")]
+    rows = lines.where(F.col("value").startswith("{") & ~F.col("value").endswith(_RESULTS))
+    return rows.select(*settings, F.from_json("value", DECISIONS, {"mode": "FAILFAST"}).alias("r")).select("step", "run", "prompt_sha1", "input", "r.*")
 
 
 def _nested(results: str) -> str:
@@ -81,18 +97,20 @@ def _split(fields: str) -> list[str]:
 
 
 def write_dump(spark: SparkSession, path: str, decisions: DataFrame, write: bool = False, **settings) -> dict:
-    """One JSON object of a step's settings and its results, ordered by entry, in one file.
+    """One JSON object of a step's settings and its results, ordered by entry.
 
-    The results of a step are a corpus of hand-made size; they go through one task, not the driver.
+    ``path`` is a folder whose files, one after the other, are that object: a line opens it, each
+    result is a line, and a line closes it.  Results are written by ranges of entries; nothing
+    holds them all.
     """
     head = {"step": None, "run": None, "model": None, "prompt_sha1": None, "input": None, "written": None} | settings
     if write:
-        place = lambda x: F.struct(x.volume.alias("volume"), x.entry.alias("entry"))
-        before = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
-        rows = F.array_sort(F.collect_list(F.struct(*decisions.columns)), before)
-        types = {"step": "int"}
-        one = decisions.agg(rows.alias("results")).select(*[F.lit(v).cast(types.get(k, "string")).alias(k) for k, v in head.items()], "results")
-        one.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        first = decisions.agg(F.min(F.struct("volume", "entry")).alias("k")).first().k
+        opening = json.dumps(head, ensure_ascii=False, separators=(",", ":"))[:-1] + "," + _RESULTS
+        comma = F.when((F.col("volume") == first.volume) & (F.col("entry") == first.entry), "").otherwise(",") if first else F.lit("")
+        body = decisions.select("volume", "entry", F.concat(comma, F.to_json(F.struct(*decisions.columns), {"ignoreNullFields": "false"})).alias("value"))
+        ends = spark.createDataFrame([(-(1 << 62), 0, opening), (1 << 62, 0, "]}")], "volume long, entry long, value string")
+        body.unionByName(ends).orderBy("volume", "entry").select("value").write.mode("overwrite").text(path)
     return head
 
 
@@ -106,15 +124,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def done_in(spark: SparkSession, path: str) -> DataFrame:
-    """volume, entry of the entries that a checkpoint has a decision for, without those that failed."""
+def done_in(spark: SparkSession, path: str, by: str | None = None) -> DataFrame:
+    """volume, entry of the entries that a checkpoint has a decision for, without those that failed.
+
+    ``by``: only what that chooser decided.
+    """
     if not _exists(spark, path):
         return spark.createDataFrame([], "volume long, entry long")
-    return read_checkpoint(spark, path, "volume long, entry long, failure string").where("failure is null").select("volume", "entry")
+    return read_checkpoint(spark, path, "volume long, entry long, failure string", by).where("failure is null").select("volume", "entry")
 
 
-def read_checkpoint(spark: SparkSession, path: str, schema: str = DECISIONS) -> DataFrame:
-    """Decisions of a checkpoint, for each entry the last one written.
+def read_checkpoint(spark: SparkSession, path: str, schema: str = DECISIONS, by: str | None = None) -> DataFrame:
+    """Decisions of a checkpoint, for each entry the last one written; ``by``: by that chooser.
 
     A line that cannot be read is left out where it is a file's last one (the write broke off);
     anywhere else it raises.  A file is a batch's part and is read whole, so that the order of its
@@ -123,9 +144,11 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str = DECISIONS) ->
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.unix_micros("_metadata.file_modification_time").alias("at"))
     split = F.filter(F.split("value", "\n", -1), lambda x: F.trim(x) != "")
     lines = files.select("file", "at", F.size(split).alias("last"), F.posexplode(split).alias("line", "value"))
-    own = lines.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    own = lines.withColumn("r", F.from_json("value", f"{schema}, decided_by string, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("r._bad").isNotNull() | F.col("r.volume").isNull()
     own = own.where(~bad | (F.col("line") + 1 < F.col("last")))
+    if by is not None:
+        own = own.where(bad | (F.col("r.decided_by") == by))
     checked = F.when(bad, F.raise_error(F.concat(F.lit("unreadable line in "), F.col("file"))).cast("long")).otherwise(F.col("r.volume"))
     newest = F.row_number().over(Window.partitionBy("volume", "r.entry").orderBy(F.desc("at"), F.desc("file"), F.desc("line")))
     own = own.withColumn("volume", checked).withColumn("k", newest).where("k = 1")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import text
 from .schema import RAW, PLACES
@@ -72,9 +73,39 @@ RAW_ROWS = [
 ]
 
 
+#: Rows of the dictionaries that are made from the documents' abbreviations.
+MINED_ROWS = 2000
+
+
+def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, abbr, word of the most frequent abbreviations of ASCII letters, by count and name."""
+    from .operators import scan
+
+    counts = scan.abbreviation_counts(corpus(spark, sf_dir), "text", most=1).where(F.col("abbreviation").rlike(r"^[a-z]{2,}\.$"))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "abbreviation"))
+    best = scan.top(counts, "n", "abbreviation", MINED_ROWS).withColumn("k", rank.cast("long"))
+    return best.select("k", F.col("abbreviation").alias("abbr"), F.rtrim("abbreviation", F.lit(".")).alias("word"))
+
+
+_MINED = rf"""(SELECT row_number() OVER (ORDER BY n DESC, a) AS k, a AS abbr, rtrim(a, '.') AS word FROM (
+    SELECT a, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}_]+\.')) AS a FROM documents) WHERE regexp_full_match(a, '[a-z]{{2,}}\.') GROUP BY a ORDER BY n DESC, a LIMIT {MINED_ROWS}))"""
+#: Cells of a mined row, in SQL that both engines read: rows that go on, alternatives, marks, volumes, other spellings.
+_RAW_CELLS = {
+    "abbr": "CASE WHEN k % 6 = 0 THEN '' ELSE abbr END",
+    "resolution": "CASE k % 5 WHEN 0 THEN concat(word, 'us') WHEN 1 THEN concat(word, 'a; ', word, 'um') WHEN 2 THEN concat(word, 'is ?') WHEN 3 THEN concat(word, 'are (dekliniert)') ELSE concat(word, 'ia') END",
+    "notes": "CASE WHEN k % 7 = 0 THEN 'seen' ELSE '' END",
+    **{c: f"CASE WHEN (k + {v}) % 4 = 0 THEN abbr WHEN (k + {v}) % 9 = 0 THEN concat(abbr, '; ', word, 'x.') WHEN (k + {v}) % 31 = 0 THEN concat(word, 'us') ELSE '' END" for v, c in enumerate(PLACES, 1)},
+}
+
+
 def raw_glossary(spark: SparkSession, sf_dir: str = "") -> DataFrame:
+    """The toy rows, then a row for each frequent abbreviation of the documents, if there are any."""
     schema = ", ".join(f"{c} string" for c in RAW) + ", row_order long"
-    return spark.createDataFrame([(*r, k) for k, r in enumerate(RAW_ROWS)], schema)
+    toy = spark.createDataFrame([(*r, k) for k, r in enumerate(RAW_ROWS)], schema)
+    if not sf_dir:
+        return toy
+    own = [F.expr(_RAW_CELLS.get(c, "''")).alias(c) for c in RAW]
+    return toy.unionByName(_mined(spark, sf_dir).select(*own, (F.col("k") + len(RAW_ROWS)).alias("row_order")))
 
 
 def values(rows, names: list[str]) -> str:
@@ -84,7 +115,8 @@ def values(rows, names: list[str]) -> str:
     return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(names)}))"
 
 
-RAW_SQL = values([(*r, k) for k, r in enumerate(RAW_ROWS)], [*RAW, "row_order"])
+_TOY_RAW = values([(*r, k) for k, r in enumerate(RAW_ROWS)], [*RAW, "row_order"])
+RAW_SQL = f"(SELECT * FROM {_TOY_RAW} UNION ALL BY NAME SELECT {', '.join(f'{_RAW_CELLS.get(c, chr(39) * 2)} AS {c}' for c in RAW)}, k + {len(RAW_ROWS)} AS row_order FROM {_MINED} AS mined)"
 
 
 def _clean(abbr: str, resolution: str, volumes: str, complex_: bool, *rg: int, stem=None, declension=None) -> tuple:
@@ -109,16 +141,36 @@ CLEAN_ROWS = [
 DIOCESES = [("th.", "Thoruniensis"), ("an.", "Andegavensis"), ("the. an.", "Theatinus")]
 
 
+#: Cells of a clean row that is made from an abbreviation: one reading or two, in every volume or in some.
+_CLEAN_CELLS = {
+    "abbr": "abbr",
+    "resolution": "CASE WHEN j = 1 THEN concat(word, 'us') ELSE concat(word, 'ia') END",
+    "stem": "CAST(NULL AS string)",
+    "declension": "CAST(NULL AS string)",
+    **{c: f"CASE WHEN k % 8 <> 0 AND ((k + {v} + j) % 3 = 0 OR (k + {v}) % 5 = 0) THEN abbr END" for v, c in enumerate(PLACES, 1)},
+    "volumes": "CASE WHEN k % 3 = 0 THEN '1|2|5' WHEN k % 3 = 1 THEN '3|4|7|9' ELSE '' END",
+    "complex": "k % 10 = 3",
+}
+
+
 def glossary(spark: SparkSession, sf_dir: str = "") -> DataFrame:
+    """The toy rows, then one or two rows for each frequent abbreviation of the documents, if there are any."""
     schema = ", ".join(f"{c} {'boolean' if c == 'complex' else 'string'}" for c in CLEAN_NAMES)
-    return spark.createDataFrame(CLEAN_ROWS, schema)
+    toy = spark.createDataFrame(CLEAN_ROWS, schema)
+    if not sf_dir:
+        return toy
+    taken = [r[0] for r in CLEAN_ROWS] + [a for a, _ in DIOCESES]
+    both = _mined(spark, sf_dir).where(~F.col("abbr").isin(taken)).withColumn("j", F.explode(F.sequence(F.lit(1), F.when(F.col("k") % 4 == 1, 2).otherwise(1))))
+    return toy.unionByName(both.select(*[F.expr(_CLEAN_CELLS[c]).alias(c) for c in CLEAN_NAMES]))
 
 
 def dioceses(spark: SparkSession, sf_dir: str = "") -> DataFrame:
     return spark.createDataFrame(DIOCESES, "abbreviation string, resolution string")
 
 
-CLEAN_SQL = values(CLEAN_ROWS, CLEAN_NAMES)
+_TOY_CLEAN = values(CLEAN_ROWS, CLEAN_NAMES)
+_TAKEN = ", ".join(f"'{a}'" for a in [r[0] for r in CLEAN_ROWS] + [a for a, _ in DIOCESES])
+CLEAN_SQL = f"(SELECT * FROM {_TOY_CLEAN} UNION ALL BY NAME SELECT {', '.join(f'{_CLEAN_CELLS[c]} AS {c}' for c in CLEAN_NAMES)} FROM (SELECT *, unnest(range(1, CASE WHEN k % 4 = 1 THEN 3 ELSE 2 END)) AS j FROM {_MINED} WHERE abbr NOT IN ({_TAKEN})))"
 DIOCESE_SQL = values(DIOCESES, ["abbreviation", "resolution"])
 
 MORPHOLOGY = [
@@ -226,9 +278,41 @@ MANIFEST_NAMES = ["run", "step", "model", "input", "output"]
 
 
 def manifests(spark: SparkSession, sf_dir: str = "") -> DataFrame:
+    """The toy entries, for tests."""
     return spark.createDataFrame(MANIFESTS, "run string, step int, model string, input string, output string")
 
 
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step for each event: a user's events are a run, each reading what the one before wrote.
+
+    A run's first step reads the first output of the user before, seven users in a row; some runs
+    read their own last output, so that their files lead in a circle.
+    """
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").where("user_id is not null").withColumn("step", F.row_number().over(own)).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    file = lambda user, step: F.concat(F.lit("u"), user.cast("string"), F.lit("/s"), step.cast("string"))
+    u, k = F.col("user_id"), F.col("step")
+    start = F.when(u % 11 == 3, file(u, F.col("n"))).when(u % 7 != 0, file(u - 1, F.lit(1)))
+    return rows.select(
+        F.concat(F.lit("u"), u.cast("string")).alias("run"),
+        k.cast("int").alias("step"),
+        F.col("event_type").alias("model"),
+        F.when(k == 1, start).otherwise(file(u, k - 1)).alias("input"),
+        file(u, k).alias("output"),
+        F.col("value").alias("word_accuracy"),
+        (F.col("value") / 2).alias("form_accuracy"),
+    )
+
+
+#: The same, with what lies behind a user's first step: users in a row (island), and whether it is a circle.
+EVENT_RUNS = """
+WITH steps AS (SELECT user_id AS u, event_type AS model, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id IS NOT NULL),
+users AS (SELECT DISTINCT u FROM steps),
+islands AS (SELECT u, u - row_number() OVER (PARTITION BY u // 7 ORDER BY u) AS island FROM users),
+back AS (SELECT u, row_number() OVER w - 1 AS users_behind, min(u) OVER (PARTITION BY u // 7, island) AS origin, bool_or(u % 11 = 3) OVER w AS circular FROM islands WINDOW w AS (PARTITION BY u // 7, island ORDER BY u)),
+runs AS (SELECT s.*, b.users_behind, b.origin, b.circular, 'u' || u AS run, 'u' || u || '/s' || k AS output FROM steps s JOIN back b USING (u))"""
+
+
 MANIFEST_SQL = values(MANIFESTS, MANIFEST_NAMES)
 PAIRS_SQL = rf"""(SELECT a AS abbr, rtrim(string_split(a, ' ')[1], '.') || 'um xx ' || rtrim(string_split(a, ' ')[2], '.') || 'um-' AS resolution FROM (
     SELECT ltrim(p[i]) || ' ' || ltrim(p[i + 1]) AS a, p[i + 1][1] = ' ' AS apart FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT regexp_extract_all(r, ' ?{W}+\.') AS p FROM (SELECT unnest(regexp_extract_all(text, '{W}+\.(?: ?{W}+\.)*')) AS r FROM documents))))

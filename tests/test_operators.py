@@ -1,13 +1,15 @@
 """Operators on small tables."""
 
 import random
+import shutil
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from sigla import stand_in
-from sigla.functions import morphology
-from sigla.operators import candidates, glossary, lexicon, rules, runs, scan, score, tei, vita
+from sigla.functions import edits, morphology
+from sigla.operators import candidates, glossary, lexicon, ordered, rules, runs, scan, score, tei, vita
 from sigla.schema import RAW, REGESTS, PLACES
 
 
@@ -56,7 +58,10 @@ def test_rules(spark, text, given, wanted):
     table = spark.createDataFrame([(1, *g) for g in given], "volume long, abbr string, resolution string, parts int")
     want = [(1, wanted), (2, None)]
     assert rows(rules.expand(df, table, "text")) == want
-    assert rows(rules.expand_by_expressions(df, table, "text")) == want
+    done = rules.expand_with_script(df, table, "text")
+    assert rows(done, "volume", "text") == want
+    assert rows(done.select("volume", edits.source(F.col("script")))) == [(1, text), (2, "")]
+    assert "Python" not in rules.expand(df, table, "text")._jdf.queryExecution().executedPlan().toString()
 
 
 def test_glued_abbreviations_are_all_replaced_by_passes():
@@ -300,8 +305,61 @@ def test_single_verdicts(spark, scored):
 
 
 def test_lineage_follows_files(spark):
-    got = rows(runs.lineage(stand_in.manifests(spark)).where("step = 3 and run in ('fork', 'lost', 'loop')"), "run", "depth", "from_run", "from_step")
-    assert got == [("fork", 0, "fork", 3), ("fork", 1, "base", 2), ("fork", 2, "base", 1), ("loop", 0, "loop", 3), ("loop", 1, "loop", 2), ("lost", 0, "lost", 3)]
+    own = stand_in.manifests(spark)
+    got = {(r.run, r.step): (r.by_run, r.by_step, r.depth, r.first, r.circular) for r in runs.lineage(own).collect()}
+    assert got["fork", 3] == ("base", 2, 2, "base/step1.csv", False) and got["base", 4] == ("base", 3, 3, "base/step1.csv", False)
+    assert got["base", 1] == (None, None, 0, "base/step1.csv", False) and got["lost", 3] == (None, None, 0, "runs/lost/step3.csv", False)
+    assert got["loop", 3] == ("loop", 2, None, None, True) and got["loop", 2][4]
+    assert rows(runs.behind(own, "fork", 3), "depth", "run", "step") == [(0, "fork", 3), (1, "base", 2), (2, "base", 1)]
+    assert rows(runs.behind(own, "loop", 3), "depth", "run", "step") == [(0, "loop", 3), (1, "loop", 2)]
+    assert rows(runs.behind(own, "lost", 3), "depth", "run", "step") == [(0, "lost", 3)]
+    assert runs.lineage(own.limit(0)).count() == 0
+
+
+def test_lineage_of_long_chains(spark):
+    n = 10_000
+    chain = [("r", k, f"f{k - 1}", f"f{k}") for k in range(n)] + [("c", k, f"c{(k - 1) % 1000}", f"c{k}") for k in range(1000)] + [("t", 0, "c500", "t0"), ("t", 1, "t0", "t1")]
+    own = spark.createDataFrame(chain, "run string, step int, input string, output string")
+    got = runs.lineage(own)
+    assert got.count() == len(chain)
+    line = got.where("run = 'r'")
+    assert line.where("depth = step and first = 'f0' and not circular").count() == n
+    assert got.where("run in ('c', 't') and circular and depth is null").count() == 1002
+    assert runs.behind(own, "r", 300).agg(F.max("depth"), F.count("output")).first()[:] == (300, 301)
+
+
+def test_order_goes_by_ranges_and_no_window_is_one_task(spark):
+    rng = random.Random(5)
+    values = [(k, rng.choice([None, None, f"v{k}"]), rng.randrange(1000)) for k in range(500)]
+    df = spark.createDataFrame(values, "k long, v string, t long").repartition(7)
+    out = ordered.carried(df, ["k"], F.col("v"), "above")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Window", 1)[0]
+    last, want = None, []
+    for k, v, _ in values:
+        last = v or last
+        want.append((k, last))
+    assert rows(out, "k", "above") == sorted(want, key=str)
+    numbered = ordered.numbered(df, ["k"], "i")
+    assert rows(numbered, "k", "i") == sorted([(k, k + 1) for k, *_ in values], key=str)
+    top = ordered.running_max(numbered, F.col("t"), "i", "most")
+    assert rows(top, "k", "most") == sorted([(k, max(t for *_, t in values[: k + 1])) for k, *_ in values], key=str)
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 9, [0.0, 1e-300, 1e300, -1e300, 7.0], [], [None, 2.0, None]])
+def test_median_is_exact(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    own = [v for v in values if v is not None]
+    assert ordered.median(df, "v") == (statistics.median(own) if own else None)
+
+
+def test_ranks_of_many_values(spark):
+    rng = random.Random(9)
+    values = [rng.choice([rng.gauss(0, 1), rng.expovariate(1e-6), 2.5]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for rank in (0, 1, 1499, 1500, 2999):
+        assert ordered.ranked_value(df, "v", rank) == sorted(values)[rank]
+    assert "median(" not in score.effort(df.selectExpr("v as seconds", "1 as tries", "0 as server_retries", "true as readable"))._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_runs(spark):
@@ -323,7 +381,9 @@ def test_runs(spark):
 def test_slots_equal_the_loop(spark):
     rng = random.Random(1)
     times = sorted(rng.randrange(60_000) for _ in range(40))
-    got = [r.slot for r in runs.slots(spark.createDataFrame([(t,) for t in times], "at long"), 4100).orderBy("i").collect()]
+    df = spark.createDataFrame([(t,) for t in times], "at long")
+    got = [r.slot for r in runs.slots(df.repartition(5), 4100).orderBy("i").collect()]
+    assert got == [r.slot for r in runs.slots(df.selectExpr("at", "1 as k"), 4100, within=("k",)).orderBy("i").collect()]
     want, free = [], 0
     for t in times:
         want.append(max(t, free))
@@ -388,14 +448,38 @@ def test_corpus_volumes_equal_patterns(spark):
     assert {(r.query, r.volume): r.rows for r in scan.corpus_volumes(df, queries).collect()} == want
 
 
-def test_cached_volumes_ask_once(spark, tmp_path):
-    path = str(tmp_path / "cache")
-    docs = spark.createDataFrame([(1, "a. b"), (2, "a")], "volume long, text string")
-    asked = lambda names, df, state="one": rows(scan.cached_volumes(df, spark.createDataFrame([(n,) for n in names], "query string"), path, state))
-    assert asked(["a."], docs) == [("a.", 1, 1), ("a.", 2, 1)]
-    # What is known is not looked for again, what is new is; another state of the corpus asks anew.
-    assert asked(["a.", "b.", "q."], docs.limit(0)) == [("a.", 1, 1), ("a.", 2, 1)]
-    assert asked(["b."], docs) == [] and asked(["b."], docs, "two") == [("b.", 1, 1)]
+def test_cached_volumes_ask_each_file_once(spark, tmp_path, monkeypatch):
+    path, corpus = str(tmp_path / "cache"), tmp_path / "corpus"
+    write = lambda name, *texts: spark.createDataFrame([(v, t) for v, t in texts], "volume long, text string").coalesce(1).write.mode("overwrite").parquet(str(corpus / name))
+    write("one", (1, "a. b"), (2, "a"))
+    looked = []
+    plain = scan.corpus_volumes
+    monkeypatch.setattr(scan, "corpus_volumes", lambda docs, queries, *rest: looked.append((docs.select("file").distinct().count(), sorted(r.query for r in queries.collect()))) or plain(docs, queries, *rest))
+
+    def asked(*names):
+        looked.clear()
+        docs = scan.fingerprinted(spark.read.schema("volume long, text string").option("recursiveFileLookup", True).parquet(str(corpus)))
+        return rows(scan.cached_volumes(docs, spark.createDataFrame([(n,) for n in names], "query string"), path))
+
+    assert asked("a.") == [("a.", 1, 1), ("a.", 2, 1)] and looked == [(1, ["a."])]
+    assert asked("a.") == [("a.", 1, 1), ("a.", 2, 1)] and looked == []  # nothing new: no text is read
+    assert asked("a.", "b.", "q.") == [("a.", 1, 1), ("a.", 2, 1), ("b.", 1, 1)] and looked == [(1, ["b.", "q."])]
+    write("two", (1, "b. b"), (3, "q"))  # a new file is asked for all that was ever asked
+    assert asked("b.") == [("b.", 1, 2)] and looked == [(1, ["a.", "b.", "q."])]
+    assert asked("q.") == [("q.", 3, 1)] and looked == []
+    write("two", (3, "a"))  # a changed one too, and what it had is withdrawn
+    assert asked("a.", "b.") == [("a.", 1, 1), ("a.", 2, 1), ("a.", 3, 1), ("b.", 1, 1)] and len(looked) == 1
+    shutil.rmtree(corpus / "two")
+    assert asked("a.", "q.") == [("a.", 1, 1), ("a.", 2, 1)] and looked == []
+
+
+def test_mined_candidates_are_few_before_they_are_joined(spark):
+    words = spark.createDataFrame([(f"ab{chr(97 + k % 26)}{k}", k) for k in range(2, 500)], "word string, n long")
+    abbreviations = spark.createDataFrame([("ab.",), ("abb.",)], "abbreviation string")
+    got = scan.mined_candidates(abbreviations, words)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    want = [("ab.", k + 1, f"ab{chr(97 + (499 - k) % 26)}{499 - k}", 499 - k) for k in range(10)]
+    assert [tuple(r) for r in got.where("abbreviation = 'ab.'").orderBy("rank").collect()] == want
 
 
 def test_extraction_log(spark):

@@ -1,5 +1,6 @@
 """Steps with choosers, sources, streaming, and the catalogue against SQL."""
 
+import json
 import os
 
 import duckdb
@@ -203,6 +204,38 @@ def test_written_dump_reads_back(spark, tmp_path):
     assert got.keys() == {1, 2, 3} and got[1].choices == {"1": "officialis", "2": "decanus"} and got[1].step == 2 and got[1].run == "r"
 
 
+def test_a_dump_is_one_object_over_its_files(spark, tmp_path):
+    rows = [(k % 5, k, f"text \u00e9 {k}\n", {"a.": ["b"]}) for k in range(200)]
+    done = spark.createDataFrame(rows, "volume long, entry long, text string, candidates map<string, array<string>>").repartition(6)
+    path = str(tmp_path / "dump")
+    tables.write_dump(spark, path, done, write=True, step=3, run="r")
+    files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    whole = json.loads("".join(open(f"{path}/{f}", encoding="utf-8").read() for f in files))
+    assert len(files) > 1 and whole["step"] == 3 and whole["model"] is None
+    assert [(r["volume"], r["entry"]) for r in whole["results"]] == sorted((v, e) for v, e, *_ in rows) and whole["results"][0]["text"] == "text \u00e9 0\n"
+    assert tables.read_dump(spark, path).where("step = 3 and run = 'r'").count() == 200
+    tables.write_dump(spark, path, done.limit(0), write=True, step=3)
+    assert tables.read_dump(spark, path).count() == 0
+
+
+def test_a_dry_run_leaves_the_checkpoint_alone_and_choosers_are_kept_apart(spark, tmp_path):
+    path = str(tmp_path / "checkpoint")
+    work = spark.createDataFrame([(3, k, f"of. {k}") for k in range(4)], "volume long, entry long, text string")
+    process = lambda chooser: lambda df: steps.step2(df, stand_in.glossary(spark), chooser)
+    first, scripted = steps.FirstCandidate(), steps.Scripted({f"of. {k}": ['{"1": "officium"}'] for k in range(4)})
+    names = [steps.chooser_name(c, 2) for c in (first, scripted)]
+    assert len(set(names)) == 2 and steps.chooser_name(first, 3) != names[0]
+    done, _ = steps.worked_off(work, process(first), path, by=names[0], write=False)
+    assert done.count() == 4 and not os.path.exists(path)
+    done, _ = steps.worked_off(work, process(scripted), path, by=names[1])
+    assert {r.processed for r in done.collect()} == {f"officium {k}" for k in range(4)}
+    # A preview by another chooser decides anew, and what is in the checkpoint stays.
+    done, _ = steps.worked_off(work, process(first), path, by=names[0], write=False)
+    assert {r.processed for r in done.collect()} == {f"officialis {k}" for k in range(4)}
+    assert tables.done_in(spark, path).count() == 4 == tables.done_in(spark, path, names[1]).count()
+    assert tables.done_in(spark, path, names[0]).count() == 0
+
+
 def test_dump(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"step": 2, "run": "r", "results": [{"volume": 1, "entry": 2, "candidates": {"a.": ["b"]}, "effort": {"tries": 1}}]}')
     (got,) = tables.read_dump(spark, str(tmp_path / "d.json")).collect()
