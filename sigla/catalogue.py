@@ -368,59 +368,85 @@ def unattested_words(spark, sf_dir):
 
 @query()
 def glossary_extract(spark, sf_dir):
-    """All stages of the dictionary over the documents."""
-    return glossary.extract(S.raw_glossary(spark, sf_dir), S.corpus(spark, sf_dir))[0]
+    """All stages of the toy dictionary over the documents."""
+    return glossary.extract(S.raw_glossary(spark), S.corpus(spark, sf_dir))[0]
 
 
 @query()
 def morphology_review(spark, sf_dir):
-    return glossary.extract(S.raw_glossary(spark, sf_dir), S.corpus(spark, sf_dir))[1]
+    return glossary.extract(S.raw_glossary(spark), S.corpus(spark, sf_dir))[1]
 
 
 # --- paradigms --------------------------------------------------------------------------------
 
 # Written out here on their own, so that a wrong table or a wrong reading of an entry is seen.
 # Endings of classes, singular and plural.
-ENDINGS = """(SELECT tab, class, plural, ending FROM (
-    SELECT tab, class, false AS plural, unnest(string_split(one, ' ')) AS ending FROM e UNION SELECT tab, class, true, unnest(string_split(more, ' ')) FROM e))""".replace(
-    "FROM e",
-    """FROM (VALUES ('noun', 'a', 'a ae am', 'ae arum is as'), ('noun', 'o', 'us i o um e', 'i orum is os'), ('noun', 'o_n', 'um i o', 'a orum is'), ('noun', 'u', 'us ui um u', 'us uum ibus'),
-    ('noun', 'e', 'es ei em e', 'es erum ebus'), ('noun', 'kons', 'is i em e', 'es um ibus'), ('noun', 'kons_n', 'is i e', 'a um ibus'), ('noun', 'gem', 'is i em e', 'es ium ibus'), ('noun', 'gem_n', 'is i e', 'ia ium ibus'),
-    ('noun', 'i', 'is i em im e', 'es ium ibus is'), ('noun', 'i_n', 'is i', 'ia ium ibus'), ('adjective', 'i', 'is i em e', 'es ia ium ibus'), ('adjective', 'kons', 'is i em e', 'es a um ibus'),
-    ('adjective', 'o/a', 'us i o um e a ae am', 'i orum is os ae arum as a')) AS e(tab, class, one, more)""",
-)
-_DECLINED = "us i o um e a ae am orum is os arum as".split()
-_PERFECT = "i isti it imus istis erunt ere eram eras erat eramus eratis erant ero eris erit erimus eritis erint erim issem isses isset issemus issetis issent isse".split()
-
-
-def _verb_sql(name: str, active: str, passive: str, others: str, participle: str) -> list[tuple]:
-    """Suffixes of the stand-in's verbs: tenses (vowel:first:third), other forms, participles."""
-    own = set(others.split("|"))
-    for tenses, persons in ((active, "s t mus tis"), (passive, "ris tur mur mini")):
-        for vowel, first, third in (t.split(":") for t in tenses.split()):
-            own |= {first, third, *(vowel + x for x in persons.split())}
-    first, stem, gerund = participle.split()
-    also = {first, *(stem + e for e in "is i em e es ium ibus ia".split()), *(gerund + e for e in _DECLINED)}
-    passive_ = lambda x: x.endswith(("r", "ris", "tur", "mur", "mini")) or x in ("i", "ri", "ari")
-    rows = [(name, "present", x, passive_(x)) for x in sorted(own)] + [(name, "present", x, True) for x in sorted(also)]
-    rows += [(name, "perfect", x, False) for x in _PERFECT]
-    return rows + [(name, "supine", x, True) for x in sorted({*_DECLINED, *("ur" + e for e in _DECLINED), "um", "u"})]
-
-
+_ENDINGS = [
+    ("noun", "a", False, ["a", "ae", "am"]),
+    ("noun", "a", True, ["ae", "arum", "is", "as"]),
+    ("noun", "o", False, ["us", "i", "o", "um", "e"]),
+    ("noun", "o", True, ["i", "orum", "is", "os"]),
+    ("noun", "o_n", False, ["um", "i", "o"]),
+    ("noun", "o_n", True, ["a", "orum", "is"]),
+    ("noun", "u", False, ["us", "ui", "um", "u"]),
+    ("noun", "u", True, ["us", "uum", "ibus"]),
+    ("noun", "e", False, ["es", "ei", "em", "e"]),
+    ("noun", "e", True, ["es", "erum", "ebus"]),
+    ("noun", "kons", False, ["is", "i", "em", "e"]),
+    ("noun", "kons", True, ["es", "um", "ibus"]),
+    ("noun", "kons_n", False, ["is", "i", "e"]),
+    ("noun", "kons_n", True, ["a", "um", "ibus"]),
+    ("noun", "gem", False, ["is", "i", "em", "e"]),
+    ("noun", "gem", True, ["es", "ium", "ibus"]),
+    ("noun", "gem_n", False, ["is", "i", "e"]),
+    ("noun", "gem_n", True, ["ia", "ium", "ibus"]),
+    ("noun", "i", False, ["is", "i", "em", "im", "e"]),
+    ("noun", "i", True, ["es", "ium", "ibus", "is"]),
+    ("noun", "i_n", False, ["is", "i"]),
+    ("noun", "i_n", True, ["ia", "ium", "ibus"]),
+    ("adjective", "i", False, ["is", "i", "em", "e"]),
+    ("adjective", "i", True, ["es", "ia", "ium", "ibus"]),
+    ("adjective", "kons", False, ["is", "i", "em", "e"]),
+    ("adjective", "kons", True, ["es", "a", "um", "ibus"]),
+    ("adjective", "o/a", False, ["us", "i", "o", "um", "e", "a", "ae", "am"]),
+    ("adjective", "o/a", True, ["i", "orum", "is", "os", "ae", "arum", "as", "a"]),
+]
+ENDINGS = S.values([(t, c, p, e) for t, c, p, own in _ENDINGS for e in own], ["tab", "class", "plural", "ending"])
+# Endings of the stand-in's verbs in the present system, active and passive.
+_ACTIVE = {
+    "a": ["o", "as", "at", "amus", "atis", "ant", "abam", "abas", "abat", "abamus", "abatis", "abant", "abo", "abis", "abit", "abimus", "abitis", "abunt", "em", "es", "et", "emus", "etis", "ent", "arem", "ares", "aret", "aremus", "aretis", "arent", "are", "a", "ate"],
+    "e": ["o", "s", "t", "mus", "tis", "nt", "bam", "bas", "bat", "bamus", "batis", "bant", "bo", "bis", "bit", "bimus", "bitis", "bunt", "am", "as", "at", "amus", "atis", "ant", "rem", "res", "ret", "remus", "retis", "rent", "re", "", "te"],
+    "halbkons": ["io", "is", "it", "imus", "itis", "iunt", "iebam", "iebas", "iebat", "iebamus", "iebatis", "iebant", "iam", "ies", "iet", "iemus", "ietis", "ient", "ias", "iat", "iamus", "iatis", "iant", "erem", "eres", "eret", "eremus", "eretis", "erent", "ere", "e", "ite"],
+}
+_PASSIVE = {
+    "a": ["or", "aris", "atur", "amur", "amini", "antur", "abar", "abaris", "abatur", "abamur", "abamini", "abantur", "er", "eris", "etur", "emur", "emini", "entur", "arer", "areris", "aretur", "aremur", "aremini", "arentur", "abor", "aberis", "abitur", "abimur", "abimini", "abuntur", "ari"],
+    "e": ["or", "ris", "tur", "mur", "mini", "ntur", "bar", "baris", "batur", "bamur", "bamini", "bantur", "ar", "aris", "atur", "amur", "amini", "antur", "rer", "reris", "retur", "remur", "remini", "rentur", "bor", "beris", "bitur", "bimur", "bimini", "buntur", "ri"],
+    "halbkons": ["ior", "iris", "itur", "imur", "imini", "iuntur", "iebar", "iebaris", "iebatur", "iebamur", "iebamini", "iebantur", "iar", "iaris", "iatur", "iamur", "iamini", "iantur", "erer", "ereris", "eretur", "eremur", "eremini", "erentur", "eris", "ieris", "ietur", "iemur", "iemini", "ientur", "i"],
+}
+# Their participles and gerunds.
+_VERBAL = {
+    "a": ["ans", "antis", "anti", "antem", "ante", "antes", "antium", "antibus", "antia", "andus", "andi", "ando", "andum", "ande", "anda", "andae", "andam", "andorum", "andis", "andos", "andarum", "andas"],
+    "e": ["ns", "ntis", "nti", "ntem", "nte", "ntes", "ntium", "ntibus", "ntia", "ndus", "ndi", "ndo", "ndum", "nde", "nda", "ndae", "ndam", "ndorum", "ndis", "ndos", "ndarum", "ndas"],
+    "halbkons": ["iens", "ientis", "ienti", "ientem", "iente", "ientes", "ientium", "ientibus", "ientia", "iendus", "iendi", "iendo", "iendum", "iende", "ienda", "iendae", "iendam", "iendorum", "iendis", "iendos", "iendarum", "iendas"],
+}
+# Endings of the perfect system, and of the supine's participles.
+_PERFECT = ["i", "isti", "it", "imus", "istis", "erunt", "ere", "eram", "eras", "erat", "eramus", "eratis", "erant", "ero", "eris", "erit", "erimus", "eritis", "erint", "erim", "issem", "isses", "isset", "issemus", "issetis", "issent", "isse"]
+_SUPINE = ["us", "i", "o", "um", "e", "a", "ae", "am", "orum", "is", "os", "arum", "as", "urus", "uri", "uro", "urum", "ure", "ura", "urae", "uram", "urorum", "uris", "uros", "urarum", "uras", "u"]
 SUFFIXES = S.values(
-    _verb_sql("a", "a:o:ant aba:abam:abant abi:abo:abunt e:em:ent are:arem:arent", "a:or:antur aba:abar:abantur e:er:entur are:arer:arentur", "are|a|ate|abor|aberis|abitur|abimur|abimini|abuntur|ari", "ans ant and")
-    + _verb_sql("e", ":o:nt ba:bam:bant bi:bo:bunt a:am:ant re:rem:rent", ":or:ntur ba:bar:bantur a:ar:antur re:rer:rentur", "re||te|bor|beris|bitur|bimur|bimini|buntur|ri", "ns nt nd")
-    + _verb_sql("halbkons", "i:io:iunt ieba:iebam:iebant ie:iam:ient ia:iam:iant ere:erem:erent", "i:ior:iuntur ieba:iebar:iebantur ia:iar:iantur ere:erer:erentur", "ere|e|ite|eris|iar|ieris|ietur|iemur|iemini|ientur|i", "iens ient iend"),
+    [(c, "present", e, False) for c, own in _ACTIVE.items() for e in own]
+    + [(c, "present", e, True) for table in (_PASSIVE, _VERBAL) for c, own in table.items() for e in own]
+    + [(c, "perfect", e, False) for c in _ACTIVE for e in _PERFECT]
+    + [(c, "supine", e, True) for c in _ACTIVE for e in _SUPINE],
     ["class", "stem_kind", "ending", "for_deponents"],
 )
 # The stand-in's entries, read by hand.
 _CLASSES = """(SELECT * FROM (VALUES ('ecclesia', 0, 'ecclesia', 'noun', false, false, 'a'), ('ordo', 0, 'ordo', 'noun', false, false, 'kons'), ('annus', 0, 'annus', 'noun', false, false, 'o'),
-    ('altare', 0, 'altare', 'noun', false, false, 'i_n'), ('gratia expectativa', 0, 'gratia', 'noun', false, false, 'a'), ('gratia expectativa', 1, 'expectativa', 'adjective', false, false, 'o/a'),
-    ('presbiter', 0, 'presbiter', 'noun', false, false, 'o'), ('arma', 0, 'arma', 'noun', true, false, 'o_n'), ('providere', 0, 'providere', 'verb', false, false, 'e'), ('ingredi', 0, 'ingredi', 'verb', false, true, 'halbkons'),
+    ('altare', 0, 'altare', 'noun', false, false, 'i_n'), ('silva antiqua', 0, 'silva', 'noun', false, false, 'a'), ('silva antiqua', 1, 'antiqua', 'adjective', false, false, 'o/a'),
+    ('presbiter', 0, 'presbiter', 'noun', false, false, 'o'), ('arma', 0, 'arma', 'noun', true, false, 'o_n'), ('providere', 0, 'providere', 'verb', false, false, 'e'), ('progredi', 0, 'progredi', 'verb', false, true, 'halbkons'),
     ('taxare', 0, 'taxare', 'verb', false, false, 'a'), ('et', 0, 'et', 'fixed', false, false, ''), ('litterae', 0, 'litterae', 'unknown', false, false, '')) AS t(resolution, pos, word, kind, plural, deponent, class))"""
-_STEMS = """(SELECT * FROM (VALUES ('ecclesia', 0, 'noun', 'ecclesi'), ('ordo', 0, 'noun', 'ordin'), ('annus', 0, 'noun', 'ann'), ('altare', 0, 'noun', 'altar'), ('gratia expectativa', 0, 'noun', 'grati'),
-    ('gratia expectativa', 1, 'noun', 'expectativ'), ('presbiter', 0, 'noun', 'presbiter'), ('arma', 0, 'noun', 'arm'), ('providere', 0, 'present', 'provide'), ('providere', 0, 'perfect', 'provid'), ('providere', 0, 'supine', 'provis'),
-    ('ingredi', 0, 'present', 'ingred'), ('ingredi', 0, 'supine', 'ingress'), ('taxare', 0, 'present', 'tax'), ('taxare', 0, 'perfect', 'taxav'), ('taxare', 0, 'supine', 'taxat')) AS t(resolution, pos, stem_kind, root))"""
+_STEMS = """(SELECT * FROM (VALUES ('ecclesia', 0, 'noun', 'ecclesi'), ('ordo', 0, 'noun', 'ordin'), ('annus', 0, 'noun', 'ann'), ('altare', 0, 'noun', 'altar'), ('silva antiqua', 0, 'noun', 'silv'),
+    ('silva antiqua', 1, 'noun', 'antiqu'), ('presbiter', 0, 'noun', 'presbiter'), ('arma', 0, 'noun', 'arm'), ('providere', 0, 'present', 'provide'), ('providere', 0, 'perfect', 'provid'), ('providere', 0, 'supine', 'provis'),
+    ('progredi', 0, 'present', 'progred'), ('progredi', 0, 'supine', 'progress'), ('taxare', 0, 'present', 'tax'), ('taxare', 0, 'perfect', 'taxav'), ('taxare', 0, 'supine', 'taxat')) AS t(resolution, pos, stem_kind, root))"""
 FORMS = f"""
 WITH w AS (SELECT * FROM {_CLASSES}), s AS (SELECT * FROM {_STEMS}),
 made AS (

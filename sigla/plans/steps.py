@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import alignment, answers, edits, matching, spans
 from ..operators import candidates as offers
 from ..operators import lexicon, scan, vita
+from ..schema import OCCURRENCE
 from ..sources import tables
 from .models import Model, ThinkingUnsupported, worth_another
 
@@ -241,7 +242,7 @@ def step4(texts: DataFrame, originals: DataFrame, entries: DataFrame, corpus: Da
     words = both.select(*vita.KEY, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Za-z]+)\b"), 1))).alias("word"))
     own = words.join(pairs, "word").groupBy(*vita.KEY).agg(F.map_from_entries(F.collect_list(F.struct("word", "forms"))).alias("candidates"))
 
-    @F.pandas_udf(f"array<{spans.OCCURRENCE}>")
+    @F.pandas_udf(f"array<{OCCURRENCE}>")
     def inside(original: pd.Series, text: pd.Series, known: pd.Series) -> pd.Series:
         out = []
         for o, t, k in zip(original, text, known):

@@ -175,6 +175,6 @@ def test_clean_rows():
 
 def test_analysis_of_entries():
     assert morphology.analysed("a b", "x -e", "a") is None and morphology.analysed(None, "x", "y") is None
-    kinds = [w["kind"] for w in morphology.analysed("et gratia expectativa litterae ire", "et; grati -e; expectativ -e; ?; i, -, it", "-; a; o/a (Adj.); ?; kons.-Konj.")]
+    kinds = [w["kind"] for w in morphology.analysed("et silva antiqua litterae ire", "et; silv -e; antiqu -e; ?; i, -, it", "-; a; o/a (Adj.); ?; kons.-Konj.")]
     assert kinds == ["fixed", "noun", "adjective", "unknown", "verb"]
     assert morphology.words_of("notarius (nur: Bd. 1), (denuo) ponere ?;") == ["notarius", "denuo", "ponere"]
