@@ -56,10 +56,13 @@ def _chooser(a: argparse.Namespace) -> steps.Chooser:
         return steps.Replay({r["text"]: r["answer"] for r in _json(a.answers)})
     if not a.sender:
         return steps.FirstCandidate()
+    if a.patience <= 0:
+        raise ValueError("an answer needs some time: --patience has to be above 0")
     module, name = a.sender.split(":")
     switch = {"on": True, "off": False}.get(a.thinking)
     settings = models.thinking(a.model, switch, None if switch is not None else a.thinking)
-    return steps.Asking(models.Model(getattr(import_module(module), name), a.model, settings, a.spacing), a.workers)
+    model = models.Model(getattr(import_module(module), name), a.model, settings, a.spacing, patience=a.patience)
+    return steps.Asking(model, a.workers)
 
 
 def step(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -68,6 +71,11 @@ def step(spark: SparkSession, a: argparse.Namespace) -> str:
     work = vita.of_subset(texts, tables.read_csv(spark, a.subset, SUBSET)) if a.subset else texts
     chooser = _chooser(a)
     by = steps.chooser_name(chooser, a.number)
+    until = time.time() + a.time_limit if a.time_limit else None
+    if a.preview:
+        a.write, chooser = False, steps.Preview()
+    elif until is not None:
+        chooser = steps.Until(chooser, until)
     place = steps.one_caller if a.sender else lambda df: df
     if a.number == 2:
         process = lambda df: steps.step2(place(df), _listed(spark, a.glossary), chooser)
@@ -80,7 +88,9 @@ def step(spark: SparkSession, a: argparse.Namespace) -> str:
             process = lambda df: steps.step4(place(df), corpus, entries, corpus, chooser)
     if a.limit:
         work = vita.still_to_do(work, tables.done_in(spark, a.checkpoint, by), a.limit)
-    done, failures = steps.worked_off(work, process, a.checkpoint, a.batches, a.most_failures, by, a.write)
+    if a.preview:
+        return reports.preview(process(vita.still_to_do(work, tables.done_in(spark, a.checkpoint, by))))
+    done, failures = steps.worked_off(work, process, a.checkpoint, a.batches, a.most_failures, by, a.write, a.every, until)
     stage = vita.to_rows(steps.assembled(texts, done))
     tables.write_csv(stage, a.out, a.write)
     settings = {"step": a.number, "run": a.run, "model": a.model, "prompt_sha1": steps.prompt_digest(a.number), "input": a.input, "written": time.strftime("%Y-%m-%dT%H:%M:%S")}
@@ -139,9 +149,11 @@ def parser() -> argparse.ArgumentParser:
 
     command(extract, "raw", "corpus", "out", corrections=None, additions=None, decisions=None)
     command(expand, "corpus", "glossary", "dioceses", "out")
-    own = command(step, "number", "input", "out", "checkpoint", glossary=None, corpus=None, subset=None, answers=None, sender=None, model=None, thinking=None, spacing=4.1, workers=1, batches=1, limit=0, manifests=None)
+    own = command(step, "number", "input", "out", "checkpoint", glossary=None, corpus=None, subset=None, answers=None, sender=None, model=None, thinking=None, spacing=4.1, patience=360.0, workers=1, batches=1, time_limit=0.0, limit=0, manifests=None)
     own.add_argument("--run", dest="run_name", default="run")
     own.add_argument("--most-failures", type=int)
+    own.add_argument("--every", type=int, help="entries that go into the checkpoint at a time, in place of --batches")
+    own.add_argument("--preview", action="store_true", help="tell what would be asked, ask nobody, and write nothing")
     command(evaluate, "source", "gold", "stages", out="evaluation", glossary=None, dioceses=None, baseline=None)
     own = command(markup, "source", "stages", out="tei", title="Entries", manifests=None)
     own.add_argument("--run", dest="run_name", default="run")
@@ -153,6 +165,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     chosen, a.run = a.run, getattr(a, "run_name", None)
     spark = spark or SparkSession.builder.appName("sigla").getOrCreate()
-    told = chosen(spark, a)
+    try:
+        told = chosen(spark, a)
+    except (steps.Interrupted, steps.TooManyFailures) as stopped:
+        raise SystemExit(str(stopped)) from stopped
     print(told)
     return told

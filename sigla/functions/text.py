@@ -108,7 +108,7 @@ def context(all_tokens: Column, index: Column, around: int = 4) -> Column:
 
 
 def prefixes(abbreviation: Column) -> Column:
-    """What an resolution may start with; a doubled last letter (a plural) may be single."""
+    """What a resolution may start with; a doubled last letter (a plural) may be single."""
     stem = F.rtrim(abbreviation, F.lit("."))
     doubled = (F.length(stem) >= 2) & (F.right(stem, F.lit(1)) == F.substring(stem, -2, 1))
     return F.when(doubled, F.array(stem, F.left(stem, F.length(stem) - 1))).otherwise(F.array(stem))

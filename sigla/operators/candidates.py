@@ -52,7 +52,7 @@ def marked(entries: DataFrame) -> DataFrame:
     return entries.withColumn("marked", edits.marked(F.col("found")))
 
 
-def prompts(entries: DataFrame, task: str = "Choose an resolution for every marked abbreviation.") -> DataFrame:
+def prompts(entries: DataFrame, task: str = "Choose a resolution for every marked abbreviation.") -> DataFrame:
     """With ``prompt``: the marked text, then what is offered for each occurrence."""
     line = lambda o: F.concat(F.lit("- [["), o.id.cast("string"), F.lit("]] "), o.matched, F.lit(": "), F.coalesce(F.array_join(F.try_element_at("candidates", o.abbreviation), ", "), F.lit("(none)")))
     lists = F.array_join(F.transform("occurrences", line), "\n")

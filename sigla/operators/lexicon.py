@@ -105,7 +105,7 @@ def lemma_index(entries: DataFrame) -> DataFrame:
 
 
 def anchor_index(entries: DataFrame) -> DataFrame:
-    """abbr, key: what an resolution of an abbreviation may start with, short words left out."""
+    """abbr, key: what a resolution of an abbreviation may start with, short words left out."""
     first = F.element_at(F.split(F.trim("resolution"), r"\s+"), 1)
     own = entries.where("abbr is not null and resolution is not null").withColumn("first_word", first)
     forms = entry_forms(entries).where("known").select(F.col("resolution").alias("of"), F.col("stem").alias("of_stem"), F.col("declension").alias("of_declension"), "word", "form")

@@ -6,6 +6,8 @@ text; an exception of it may carry ``status_code``, as the usual clients' do.
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -75,11 +77,17 @@ def worth_another(error: Exception) -> bool:
     return isinstance(error, (ConnectionError, TimeoutError)) or status == 429 or (status is not None and status >= 500)
 
 
+#: One thread at a time takes the next free moment of a model.
+_TURN = threading.Lock()
+
+
 @dataclass
 class Model:
     """One model behind an endpoint: a request at temperature 0 of a system and a user message.
 
-    Calls are ``spacing`` seconds apart and are tried up to ``again`` times more.
+    Calls are ``spacing`` seconds apart, whatever the number of threads, and are tried up to
+    ``again`` times more.  A call without an answer after ``patience`` seconds has failed: it is
+    left where it is, so that no worker waits for it, and its answer, should one come, is not used.
     """
 
     send: Callable[[dict], str]
@@ -87,6 +95,7 @@ class Model:
     settings: dict = field(default_factory=dict)
     spacing: float = 4.1
     again: int = 5
+    patience: float | None = None
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
     free: float = 0.0
@@ -96,18 +105,40 @@ class Model:
         messages = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": user}]
         return {"model": self.name, "temperature": 0, "messages": messages} | self.settings
 
+    def _sent(self, request: dict) -> str:
+        if self.patience is None:
+            return self.send(request)
+        got: queue.SimpleQueue = queue.SimpleQueue()
+
+        def call() -> None:
+            try:
+                got.put((self.send(request), None))
+            except Exception as error:
+                got.put((None, error))
+
+        threading.Thread(target=call, daemon=True).start()
+        try:
+            answer, error = got.get(timeout=self.patience)
+        except queue.Empty:
+            raise TimeoutError(f"no answer within {self.patience:g} seconds") from None
+        if error is not None:
+            raise error
+        return answer
+
     def ask(self, system: str, user: str) -> tuple[str, int]:
         """The answer, and how many times the call had to be repeated."""
         for tried in range(self.again + 1):
-            start = max(self.clock(), self.free)
-            self.free = start + self.spacing
+            with _TURN:
+                start = max(self.clock(), self.free)
+                self.free = start + self.spacing
             self.sleep(max(0.0, start - self.clock()))
             try:
-                return self.send(self.request(system, user)), tried
+                return self._sent(self.request(system, user)), tried
             except Exception as error:
                 if getattr(error, "status_code", None) == 400 and self.settings:
                     raise ThinkingUnsupported(f"{self.name} does not take {self.settings}") from error
                 if tried == self.again or not worth_another(error):
                     raise
-                self.retries += 1
+                with _TURN:
+                    self.retries += 1
         raise AssertionError

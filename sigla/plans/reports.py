@@ -28,6 +28,21 @@ def resolution(before: DataFrame, after: DataFrame, listed: DataFrame, glossary:
     return "\n".join(parts)
 
 
+def preview(decisions: DataFrame, most: int = 3) -> str:
+    """What a step would ask: entries, marks and candidates, and the first prompts."""
+    asked = F.col("prompt").isNotNull()
+    offers = F.map_values("candidates")
+    counts = decisions.agg(
+        F.count("*").alias("entries"),
+        F.count_if(asked).alias("asked about"),
+        F.coalesce(F.sum(F.size("candidates")), F.lit(0)).alias("abbreviations"),
+        F.coalesce(F.sum(F.size(F.filter(offers, lambda c: F.size(c) == 0))), F.lit(0)).alias("without candidates"),
+        F.coalesce(F.sum(F.length("prompt")), F.lit(0)).alias("characters of prompts"),
+    )
+    shown = [f"{r.volume}/{r.entry}:\n\n{r.prompt}" for r in decisions.where(asked).orderBy("volume", "entry").limit(most).collect()]
+    return "\n\n".join([markdown(counts, "Preview"), *shown])
+
+
 def extraction(log: DataFrame, most: int = 200) -> str:
     """What the stages of a dictionary did, counted and then listed."""
     log = log.persist()  # all stages of a dictionary are behind each of its rows

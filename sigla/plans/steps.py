@@ -25,6 +25,7 @@ from ..operators import lexicon, scan, vita
 from ..schema import OCCURRENCE
 from ..sources import tables
 from .models import Model, ThinkingUnsupported, worth_another
+from .stopping import Interrupted, Stopping
 
 ATTEMPTS = 5
 #: Requests that a chooser gets at a time.
@@ -113,6 +114,34 @@ class Asking:
         return [answer for answer, _ in got]
 
 
+class NotAsked(Exception):
+    """A request that was left to the next run."""
+
+
+@dataclass
+class Until:
+    """A chooser that is asked nothing more from a time on (as of ``time.time``)."""
+
+    chooser: Chooser
+    until: float
+    repeated: tuple[int, ...] = ()
+
+    def choose(self, requests: list[Request]) -> list[str | Exception]:
+        self.repeated = ()
+        if time.time() >= self.until:
+            return [NotAsked("the step's time was up")] * len(requests)
+        got = self.chooser.choose(requests)
+        self.repeated = getattr(self.chooser, "repeated", ())
+        return got
+
+
+class Preview:
+    """Asks nobody, so what would be asked can be looked at."""
+
+    def choose(self, requests: list[Request]) -> list[Exception]:
+        return [NotAsked("a preview")] * len(requests)
+
+
 def one_caller(entries: DataFrame) -> DataFrame:
     """Entries in one partition, for a chooser with one budget of calls for all; it waits anyway."""
     return entries.coalesce(1)
@@ -277,7 +306,17 @@ def chooser_name(chooser: Chooser, step: int) -> str:
     return f"{who} {prompt_digest(step)}"
 
 
-def worked_off(work: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, batches: int = 1, most_failures: int | None = None, by: str | None = None, write: bool = True) -> tuple[DataFrame, DataFrame]:
+def worked_off(
+    work: DataFrame,
+    process: Callable[[DataFrame], DataFrame],
+    path: str,
+    batches: int = 1,
+    most_failures: int | None = None,
+    by: str | None = None,
+    write: bool = True,
+    every: int | None = None,
+    until: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Decide on the entries that a checkpoint lacks, batch by batch; decisions, and failures.
 
     A batch is written to the checkpoint before the next begins, so no answer is lost when a later
@@ -285,21 +324,41 @@ def worked_off(work: DataFrame, process: Callable[[DataFrame], DataFrame], path:
     than ``most_failures`` of them stops after their batch.  ``by`` names who decides
     (:func:`chooser_name`): only its own decisions count as done.  Without ``write`` nothing goes
     into the checkpoint: what it has, and what would be decided, is returned.
+
+    ``every``: about how many entries a batch has, in place of a number of batches.  An interrupt,
+    or the time ``until``, ends the step with :class:`Interrupted` (see :mod:`stopping`); with a
+    chooser that minds the time too (:class:`Until`), within its batch.
     """
-    spark, failed = work.sparkSession, 0
+    spark, failed, left_out = work.sparkSession, 0, 0
     failure = lambda rows: (rows.where("failure is null"), rows.where("failure is not null").select(*vita.KEY, "failure"))
     if not write:
         made = process(vita.still_to_do(work, tables.done_in(spark, path, by)))
         return failure(tables.read_checkpoint(spark, path, RESULT, by).where("failure is null").unionByName(made) if tables._exists(spark, path) else made)
-    for number in range(batches):
-        own = work.where(F.pmod(F.xxhash64(*vita.KEY), F.lit(batches)) == number)
-        told = Observation()
-        made = process(vita.still_to_do(own, tables.done_in(spark, path, by)))
-        made = made.observe(told, F.count_if(F.col("failure").isNotNull()).alias("n"))
-        tables.append_checkpoint(made.withColumn("decided_by", F.lit(by).cast("string")), path)
-        failed += told.get.get("n") or 0
-        if most_failures is not None and failed > most_failures:
-            raise TooManyFailures(f"{failed} entries failed; what was decided is in {path}")
+    # Keys only, read once: what is decided below is in other batches than those to come.
+    done = tables.done_in(spark, path, by).persist()
+    try:
+        work = vita.still_to_do(work, done)
+        if every is not None:
+            batches = max(1, -(-work.select(*vita.KEY).distinct().count() // every))
+        kept = f"what was decided is in {path}"
+        unasked = F.coalesce(F.col("failure").startswith(f"{NotAsked.__name__}:"), F.lit(False))
+        with Stopping(until) as stop:
+            for number in range(batches):
+                if stop.why:
+                    raise Interrupted(f"{stop.why} after {number} of {batches} batches; {kept}")
+                told = Observation()
+                made = process(work.where(F.pmod(F.xxhash64(*vita.KEY), F.lit(batches)) == number))
+                made = made.observe(told, F.count_if(F.col("failure").isNotNull() & ~unasked).alias("n"), F.count_if(unasked).alias("unasked"))
+                with stop.batch(kept):
+                    tables.append_checkpoint(made.withColumn("decided_by", F.lit(by).cast("string")), path)
+                    failed += told.get.get("n") or 0
+                    left_out += told.get.get("unasked") or 0
+                if most_failures is not None and failed > most_failures:
+                    raise TooManyFailures(f"{failed} entries failed; {kept}")
+        if left_out:
+            raise Interrupted(f"{left_out} entries were not asked about; {kept}")
+    finally:
+        done.unpersist()
     return failure(tables.read_checkpoint(spark, path, RESULT, by))
 
 
