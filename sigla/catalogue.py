@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import stand_in as S
 from .functions import answers, edits, matching, spans, text
 from .operators import candidates, glossary, lexicon, rules, runs, scan, score, tei, vita
-from .plans import steps
+from .plans import evaluation, steps
 from .schema import PLACES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,6 +645,10 @@ def _scored(spark, sf_dir):
     return score.with_steps(score.with_verdicts(S.long_table(spark, sf_dir), S.lemmas(spark)))
 
 
+def _counted(spark, sf_dir):
+    return score.scored_facts(S.occurrence_table(spark, sf_dir), S.lemmas(spark))
+
+
 @query(LONG + " SELECT volume, entry, pos, stage, verdict, CAST(step AS INTEGER) AS step FROM stepped")
 def verdicts(spark, sf_dir):
     return _scored(spark, sf_dir).select("volume", "entry", "pos", "stage", "verdict", "step")
@@ -652,12 +656,12 @@ def verdicts(spark, sf_dir):
 
 @query(LONG + f" SELECT stage, {rates_sql()} FROM stepped GROUP BY stage")
 def verdict_rates(spark, sf_dir):
-    return score.by_stage(_scored(spark, sf_dir))
+    return score.by_stage(_counted(spark, sf_dir))
 
 
 @query(LONG + f" SELECT CAST(step AS INTEGER) AS step, {rates_sql()} FROM stepped WHERE stage = 4 AND step IS NOT NULL GROUP BY step")
 def by_step(spark, sf_dir):
-    return score.by_step(_scored(spark, sf_dir))
+    return score.by_step(_counted(spark, sf_dir))
 
 
 @query(LONG + f""", sums AS (SELECT abbr, {rates_sql()}, array_to_string(list_sort(list(DISTINCT coalesce(gold, '')))[:5], ', ') AS gold_variants FROM stepped WHERE stage = 4 GROUP BY abbr),
@@ -665,27 +669,37 @@ wrong AS (SELECT abbr, resolution, row_number() OVER (PARTITION BY abbr ORDER BY
 SELECT s.abbr, scoreable AS occurrences, round(word_accuracy, 4) AS word_accuracy, round(form_accuracy, 4) AS form_accuracy, no_gold_label, gold_variants, coalesce(w.resolution, '') AS most_frequent_error, round(scoreable * (1 - round(form_accuracy, 4)), 4) AS potential_gain
 FROM sums s LEFT JOIN wrong w ON s.abbr = w.abbr AND w.k = 1""")
 def by_abbreviation(spark, sf_dir):
-    return score.by_abbreviation(_scored(spark, sf_dir))
+    return score.by_abbreviation(_counted(spark, sf_dir))
 
 
 def _offers(spark, sf_dir):
     ending = F.when(F.length("abbr") % 2 == 0, "ia").otherwise("um")
-    own = S.long_table(spark, sf_dir).select("abbr").distinct()
+    own = S.occurrence_table(spark, sf_dir).select("abbr").distinct()
     return own.select("abbr", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("step"), F.concat(F.rtrim(F.col("abbr"), F.lit(".")), ending).alias("candidate"))
 
 
 OFFERS = "(SELECT DISTINCT abbr, CAST(s AS INTEGER) AS step, rtrim(abbr, '.') || CASE WHEN length(abbr) % 2 = 0 THEN 'ia' ELSE 'um' END AS candidate FROM o, range(2, 5) AS t(s))"
 
 
-@query(LONG + f""", offered AS (SELECT volume, entry, pos, s.step, s.gold, s.verdict AS own, c.candidate, {key_sql('s.gold')} AS gk, {key_sql('c.candidate')} AS ek FROM stepped s JOIN {OFFERS} c ON s.abbr = c.abbr AND s.step = c.step
+#: Occurrences that something was offered for (told): whether the answer was right (ok), whether any offer was.
+TOLD = LONG + f""", offered AS (SELECT volume, entry, pos, s.abbr, s.step, s.gold, s.verdict AS own, c.candidate, {key_sql('s.gold')} AS gk, {key_sql('c.candidate')} AS ek FROM stepped s JOIN {OFFERS} c ON s.abbr = c.abbr AND s.step = c.step
            WHERE stage = 4 AND s.verdict IN {_SCORED}),
 ends AS (SELECT list(DISTINCT e) AS ends FROM (SELECT coalesce({key_sql('ending')}, '') AS e FROM {ENDINGS} UNION SELECT '')),
-told AS (SELECT step, own IN {_GOOD} AS ok, gold = candidate OR gk = ek OR EXISTS (SELECT 1 FROM index a JOIN index b USING (lemma) WHERE a.key = gk AND b.key = ek)
-         OR len(list_filter(range(3, 1 + len(list_filter(range(1, 1 + least(length(gk), length(ek))), lambda i: gk[:i] = ek[:i]))), lambda i: list_contains(ends, gk[i + 1:]) AND list_contains(ends, ek[i + 1:]))) > 0 AS covered FROM offered, ends)
+told AS (SELECT abbr, step, own IN {_GOOD} AS ok, gold = candidate OR gk = ek OR EXISTS (SELECT 1 FROM index a JOIN index b USING (lemma) WHERE a.key = gk AND b.key = ek)
+         OR len(list_filter(range(3, 1 + len(list_filter(range(1, 1 + least(length(gk), length(ek))), lambda i: gk[:i] = ek[:i]))), lambda i: list_contains(ends, gk[i + 1:]) AND list_contains(ends, ek[i + 1:]))) > 0 AS covered FROM offered, ends)"""
+
+
+@query(TOLD + """
 SELECT CAST(step AS INTEGER) AS step, count(*) AS offered, count_if(covered) AS n_covered, count_if(covered AND ok) AS chosen, count_if(NOT covered AND NOT ok) AS candidate_misses, count_if(NOT covered AND ok) AS beyond,
        count_if(covered) / count(*) AS ceiling, CASE WHEN count_if(covered) = 0 THEN 0.0::DOUBLE ELSE count_if(covered AND ok) / count_if(covered) END AS choice_accuracy FROM told GROUP BY step""")
 def candidate_summary(spark, sf_dir):
-    return score.candidate_summary(_scored(spark, sf_dir), _offers(spark, sf_dir), S.lemmas(spark))
+    return score.candidate_summary(_counted(spark, sf_dir), _offers(spark, sf_dir), S.lemmas(spark))
+
+
+@query(TOLD + """, missed AS (SELECT CAST(step AS INTEGER) AS step, abbr, count(*) AS n FROM told WHERE NOT covered AND NOT ok GROUP BY ALL),
+ranked AS (SELECT step, CAST(row_number() OVER (PARTITION BY step ORDER BY n DESC, abbr) AS INTEGER) AS rank, abbr, n FROM missed) SELECT * FROM ranked WHERE rank <= 5""")
+def worst_misses(spark, sf_dir):
+    return score.worst_misses(_counted(spark, sf_dir), _offers(spark, sf_dir), S.lemmas(spark))
 
 
 BASELINE = [(1, 0.1, 0.05), (2, 0.3, 0.2), (3, 0.5, 0.4), (4, 0.9, 0.6)]
@@ -694,7 +708,7 @@ BASELINE = [(1, 0.1, 0.05), (2, 0.3, 0.2), (3, 0.5, 0.4), (4, 0.9, 0.6)]
 @query(LONG + f", now AS (SELECT stage, {rates_sql()} FROM stepped GROUP BY stage) SELECT stage, round(100 * (round(now.word_accuracy, 6) - b.w), 4) AS word_points, round(100 * (round(now.form_accuracy, 6) - b.f), 4) AS form_points FROM now JOIN {S.values(BASELINE, ['stage', 'w', 'f'])} b USING (stage)")
 def baseline_diff(spark, sf_dir):
     baseline = spark.createDataFrame(BASELINE, "stage int, word_accuracy double, form_accuracy double")
-    return score.baseline_difference(score.headline(_scored(spark, sf_dir)), baseline)
+    return score.baseline_difference(score.headline(_counted(spark, sf_dir)), baseline)
 
 
 @query(LONG + """ SELECT volume, entry, pos, abbr, gold, CAST(step AS INTEGER) AS step, max(resolution) FILTER (stage = 4) AS system, max(verdict) FILTER (stage = 4) AS verdict, """ + ", ".join(f"max(resolution) FILTER (stage = {k}) AS resolution_{k}, max(verdict) FILTER (stage = {k}) AS verdict_{k}" for k in (1, 2, 3)) + " FROM stepped GROUP BY ALL HAVING max(verdict) FILTER (stage = 4) <> 'exact'")
@@ -723,6 +737,17 @@ def evaluated_texts(spark, sf_dir):
     return score.with_verdicts(rows, S.lemmas(spark)).groupBy("stage", "verdict").agg(F.count("*").alias("n"))
 
 
+@query(MADE + f""", sums AS (SELECT sum(hits) AS hits, sum(len(list_filter(regexp_extract_all(text, '{TOKEN}'), lambda t: ends_with(t, '.')))) AS n FROM done)
+SELECT CAST(stage AS INTEGER) AS stage, verdict, CAST(step AS INTEGER) AS step, CAST(k AS BIGINT) AS n FROM (SELECT unnest([1, 2, 1, 2]) AS stage, unnest(['not_expanded', 'exact', 'no_gold_label', 'no_gold_label']) AS verdict, unnest([2, 2, NULL, NULL]) AS step, unnest([hits, hits, n - hits, n - hits]) AS k FROM sums)""")
+def evaluated_stages(spark, sf_dir):
+    """The same from tables of entries, one for each stage, to verdicts and the steps that settled them."""
+    docs = S.corpus(spark, sf_dir, len(PLACES))
+    done = rules.expand(docs, S.plain_rules(spark, sf_dir), "text")
+    known = S.morphology(spark).withColumn("abbr", F.concat(F.left("resolution", F.lit(2)), F.lit(".")))
+    rows = evaluation.counted(docs, done, [docs, done], known, S.dioceses(spark))
+    return rows.groupBy("stage", "verdict", "step").agg(F.sum("n").alias("n"))
+
+
 # --- runs -------------------------------------------------------------------------------------
 
 @query(S.EVENT_RUNS + " SELECT run, CAST(k AS INTEGER) AS stage, value AS word_accuracy, value / 2 AS form_accuracy FROM runs WHERE k = n")

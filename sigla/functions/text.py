@@ -89,6 +89,12 @@ def orthographic_key(word: Column) -> Column:
     return F.regexp_replace(F.translate(key, "jvy", "iui"), r"(.)\1+", "$1")
 
 
+def key_of(word: str) -> str:
+    """:func:`orthographic_key` of one word of ASCII letters."""
+    key = word.lower().strip(STRIPPED).replace("ae", "e").replace("oe", "e")
+    return re.sub(r"(.)\1+", r"\1", key.translate(str.maketrans("jvy", "iui")))
+
+
 def phrase_key(phrase: Column) -> Column:
     words = F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
     return F.array_join(F.transform(words, orthographic_key), " ")

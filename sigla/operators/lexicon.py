@@ -116,9 +116,12 @@ def anchor_index(entries: DataFrame) -> DataFrame:
 
 def inflectional(a: Column, b: Column, least: int = 3) -> Column:
     """Whether two keys share a stem of ``least`` letters with nothing but case endings after it."""
-    listed = F.array_distinct(F.transform(F.lit([*morphology.CASE_ENDINGS_PLAIN, ""]), lambda e: text.orthographic_key(e)))
-    rest = lambda word, n: F.substr(word, n + 1, F.greatest(F.length(word) - n, F.lit(0)))
-    common = text.shared_prefix(a, b)
-    stems = F.sequence(F.lit(least), F.greatest(common, F.lit(least)))
-    fits = F.exists(stems, lambda n: (n <= common) & F.array_contains(listed, rest(a, n)) & F.array_contains(listed, rest(b, n)))
-    return F.coalesce(fits, F.lit(False))
+    # As a literal: Spark would work out an expression of constants anew for every pair.
+    listed = F.lit(sorted({text.key_of(e) for e in (*morphology.CASE_ENDINGS_PLAIN, "")}))
+
+    def fits(ending: Column) -> Column:  # the first key's, so what stands before it is the stem
+        n = F.length(a) - F.length(ending)
+        stem = F.substr(a, F.lit(1), n)
+        return F.endswith(a, ending) & (n >= least) & F.startswith(b, stem) & F.array_contains(listed, F.substr(b, n + 1, F.greatest(F.length(b) - n, F.lit(0))))
+
+    return F.coalesce((F.left(a, F.lit(least)) == F.left(b, F.lit(least))) & F.exists(listed, fits), F.lit(False))

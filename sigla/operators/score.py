@@ -2,6 +2,12 @@
 
 The long table has a row for an occurrence and a stage: volume, entry, pos, abbr, gold (null: not
 aligned), stage (1 to 4), resolution (null: not aligned).
+
+What is only counted does not need it.  Occurrences that agree in abbreviation, gold and what every
+stage made of them are one fact (:func:`facts`), and facts are far fewer than occurrences: a
+corpus is aggregated once, before anything is judged.  The table of facts (:func:`scored_facts`)
+has the same columns with ``resolutions`` in place of a position and ``n``, how many occurrences a
+row stands for; whatever counts takes either table.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from ..functions.spans import EVALUATED
 from . import ordered, lexicon
 
 OCCURRENCE = ["volume", "entry", "pos"]
+FACT = ["abbr", "gold", "resolutions"]
 STEPS = {1: "step 1 (rule)", 2: "step 2 (candidates)", 3: "step 3 (mined)", 4: "step 4 (normalized)"}
 WORD = ["exact", "orthographic", "wrong_form", "wrong_form?"]
 FORM = ["exact", "orthographic"]
@@ -26,12 +33,13 @@ GOLDS = 5
 SCOREABLE = [*WORD, "wrong_word", "not_expanded"]
 
 
-def aligned_occurrences(texts: DataFrame, anchors: dict[str, set[str]] | None = None) -> DataFrame:
-    """The long table of entries (volume, entry, source, gold, stages array of texts), with context."""
+def occurrences(texts: DataFrame, anchors: dict[str, set[str]] | None = None) -> DataFrame:
+    """volume, entry, pos, abbr, context, gold, resolutions (of every stage) of the abbreviations of
+    entries (volume, entry, source, gold, stages array of texts)."""
     row = "pos int, abbr string, context string, gold string, resolutions array<string>"
 
     @F.pandas_udf(f"array<struct<{row}>>")
-    def occurrences(sources: pd.Series, golds: pd.Series, stages: pd.Series) -> pd.Series:
+    def found_in(sources: pd.Series, golds: pd.Series, stages: pd.Series) -> pd.Series:
         def spelled(source: list[str], target: str | None) -> list[str | None]:
             words = EVALUATED.findall(target or "")
             return [None if s is None else " ".join(words[slice(*s)]) for s in alignment.align(source, words, anchors)]
@@ -44,8 +52,18 @@ def aligned_occurrences(texts: DataFrame, anchors: dict[str, set[str]] | None =
             out.append([{"pos": k, "abbr": words[k], "context": " ".join(words[max(0, k - 4) : k + 5]), "gold": columns[0][k], "resolutions": [c[k] for c in columns[1:]]} for k in found])
         return pd.Series(out)
 
-    rows = texts.select("volume", "entry", F.explode(occurrences("source", "gold", "stages")).alias("o")).select("volume", "entry", "o.*")
-    return rows.select("volume", "entry", "pos", "abbr", "context", "gold", F.posexplode("resolutions").alias("k", "resolution")).withColumn("stage", F.col("k") + 1).drop("k")
+    return texts.select("volume", "entry", F.explode(found_in("source", "gold", "stages")).alias("o")).select("volume", "entry", "o.*")
+
+
+def each_stage(rows: DataFrame) -> DataFrame:
+    """A row for each of ``resolutions``, with ``stage``; the columns before them stay."""
+    kept = [c for c in rows.columns if c != "resolutions"]
+    return rows.select(*kept, F.posexplode("resolutions").alias("k", "resolution")).withColumn("stage", F.col("k") + 1).drop("k")
+
+
+def aligned_occurrences(texts: DataFrame, anchors: dict[str, set[str]] | None = None) -> DataFrame:
+    """The long table of entries (volume, entry, source, gold, stages array of texts), with context."""
+    return each_stage(occurrences(texts, anchors))
 
 
 def abbreviated(resolution: Column) -> Column:
@@ -72,11 +90,10 @@ def same_lemma(pairs: DataFrame, index: DataFrame) -> DataFrame:
     return least.select("gold", "resolution", F.when(F.col("how") == 2, "wrong_form").when(F.col("how") == 1, "wrong_form?").alias("form"))
 
 
-def with_verdicts(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """The long table with ``verdict``."""
+def _early(gold: Column, own: Column) -> Column:
+    """The verdict where no lemma has to be known; null for pairs that the index decides."""
     blank = lambda c: F.trim(c) == ""
-    gold, own = F.col("gold"), F.col("resolution")
-    early = (
+    return (
         F.when(gold.isNull(), "unaligned")
         .when(blank(gold) | abbreviated(gold), "no_gold_label")
         .when(own.isNull(), "unaligned")
@@ -84,10 +101,43 @@ def with_verdicts(rows: DataFrame, index: DataFrame) -> DataFrame:
         .when(gold == own, "exact")
         .when(text.phrase_key(gold) == text.phrase_key(own), "orthographic")
     )
-    rows = rows.withColumn("early", early)
-    forms = same_lemma(rows.where("early is null"), index)
-    out = rows.join(forms, ["gold", "resolution"], "left")
-    return out.withColumn("verdict", F.coalesce("early", "form", F.lit("wrong_word"))).drop("early", "form")
+
+
+def undecided(rows: DataFrame) -> DataFrame:
+    """Distinct gold, resolution of rows that only the index can judge."""
+    return rows.where(_early(F.col("gold"), F.col("resolution")).isNull()).select("gold", "resolution").distinct()
+
+
+def judged(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """gold, resolution, verdict of pairs that the index decides: what a later run can read again."""
+    own = pairs.select("gold", "resolution").distinct()
+    forms = same_lemma(own, index)
+    return own.join(forms, ["gold", "resolution"], "left").select("gold", "resolution", F.coalesce("form", F.lit("wrong_word")).alias("verdict"))
+
+
+def with_verdicts(rows: DataFrame, index: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The long table with ``verdict``; ``known``: pairs that have been judged (:func:`judged`), once
+    each, so that only others are."""
+    rows = rows.withColumn("early", _early(F.col("gold"), F.col("resolution")))
+    open_ = rows.where("early is null")
+    if known is None:
+        told = same_lemma(open_, index).withColumnRenamed("form", "told")
+    else:
+        pair = ["gold", "resolution"]
+        new = judged(open_.select(*pair).distinct().join(known, pair, "left_anti"), index)
+        told = known.select(*pair, "verdict").unionByName(new).withColumnRenamed("verdict", "told")
+    out = rows.join(told, ["gold", "resolution"], "left")
+    return out.withColumn("verdict", F.coalesce("early", "told", F.lit("wrong_word"))).drop("early", "told")
+
+
+def _settled(stages: Column, before: Column) -> Column:
+    """The stage that settled a resolution, of an array of structs with stage and resolution."""
+
+    def fold(a, s):
+        now = F.when(a.step.isNull() & ~abbreviated(s.resolution), s.stage).when(a.step.isNotNull() & (s.resolution != a.before), s.stage).otherwise(a.step)
+        return F.when(s.resolution.isNull(), a).otherwise(F.struct(now.cast("int").alias("step"), s.resolution.alias("before")))
+
+    return F.aggregate(stages, F.struct(F.lit(None).cast("int").alias("step"), before.alias("before")), fold).step
 
 
 def with_steps(rows: DataFrame) -> DataFrame:
@@ -97,23 +147,48 @@ def with_steps(rows: DataFrame) -> DataFrame:
     """
     rest = [c for c in rows.columns if c not in (*OCCURRENCE, "stage")]
     per = rows.groupBy(*OCCURRENCE).agg(F.array_sort(F.collect_list(F.struct("stage", *rest))).alias("stages"))
-    start = F.struct(F.lit(None).cast("int").alias("step"), F.get("stages", 0).abbr.alias("before"))
+    steps = per.select(*OCCURRENCE, "stages", _settled(F.col("stages"), F.get("stages", 0).abbr).alias("step"))
+    return steps.select(*OCCURRENCE, F.explode("stages").alias("s"), "step").select(*[c if c in OCCURRENCE else f"s.{c}" for c in rows.columns], "step")
 
-    def fold(a, s):
-        now = F.when(a.step.isNull() & ~abbreviated(s.resolution), s.stage).when(a.step.isNotNull() & (s.resolution != a.before), s.stage).otherwise(a.step)
-        return F.when(s.resolution.isNull(), a).otherwise(F.struct(now.cast("int").alias("step"), s.resolution.alias("before")))
 
-    steps = per.select(*OCCURRENCE, "stages", F.aggregate("stages", start, fold).step.alias("step"))
-    return steps.select(*OCCURRENCE, F.explode("stages").alias("s"), "step").select(*[c if c in OCCURRENCE else f"s.{c}" for c in rows.columns], "step")
+def facts(rows: DataFrame) -> DataFrame:
+    """abbr, gold, resolutions, step, n of occurrences (abbr, gold, resolutions: one for each stage, and
+    perhaps n).
+
+    Occurrences are counted before they leave their task, and nothing is brought together to find
+    the step: what every stage made of a fact is one of its keys.
+    """
+    counts = rows.groupBy(*FACT).agg(F.sum(_weight(rows)).alias("n"))
+    numbered = F.transform("resolutions", lambda r, k: F.struct((k + 1).alias("stage"), r.alias("resolution")))
+    return counts.withColumn("step", _settled(numbered, F.col("abbr")))
+
+
+def scored_facts(rows: DataFrame, index: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """abbr, gold, resolutions, step, n, stage, resolution, verdict: a row for each fact and stage."""
+    own = facts(rows)
+    return with_verdicts(each_stage(own.withColumn("all", F.col("resolutions"))).withColumnRenamed("all", "resolutions"), index, known)
+
+
+def _weight(scored: DataFrame) -> Column:
+    """How many occurrences a row stands for: ``n`` of a fact, else one."""
+    return F.col("n") if "n" in scored.columns else F.lit(1).cast("long")
+
+
+def _keys(scored: DataFrame) -> list[str]:
+    return FACT if "resolutions" in scored.columns else OCCURRENCE
 
 
 def _share(good: Column, of: Column) -> Column:
     return F.when(of == 0, 0.0).otherwise(good / of)
 
 
-def _rates(rows: Column | None = None) -> list[Column]:
+def _counted(rows: Column, which: Column) -> Column:
+    return F.coalesce(F.sum(F.when(which, rows)), F.lit(0).cast("long"))
+
+
+def _rates(rows: Column) -> list[Column]:
     """Counts and shares of verdicts; ``rows``: how many occurrences a row stands for."""
-    counted = lambda which: F.coalesce(F.sum(F.when(which, F.lit(1).cast("long") if rows is None else rows)), F.lit(0).cast("long"))
+    counted = lambda which: _counted(rows, which)
     among = lambda names: counted(F.col("verdict").isin(names))
     n = among(SCOREABLE)
     return [
@@ -127,20 +202,20 @@ def _rates(rows: Column | None = None) -> list[Column]:
 
 
 def by_stage(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("stage").agg(*_rates())
+    return scored.groupBy("stage").agg(*_rates(_weight(scored)))
 
 
 def by_step(scored: DataFrame) -> DataFrame:
     """Rates of the last stage's resolutions by the step that settled them."""
     last = scored.where(F.col("stage") == F.lit(max(STEPS)))
-    return last.where("step is not null").groupBy("step").agg(*_rates())
+    return last.where("step is not null").groupBy("step").agg(*_rates(_weight(scored)))
 
 
 def by_abbreviation(scored: DataFrame) -> DataFrame:
     """Rates of the last stage, the most frequent wrong resolution, up to five golds, and the gain left."""
     last = scored.where(F.col("stage") == F.lit(max(STEPS)))
     # Counted once by all that is asked about; what follows shares that exchange.
-    counts = last.groupBy("abbr", F.coalesce("gold", F.lit("")).alias("gold"), "resolution", "verdict").agg(F.count("*").alias("n"))
+    counts = last.groupBy("abbr", F.coalesce("gold", F.lit("")).alias("gold"), "resolution", "verdict").agg(F.sum(_weight(scored)).alias("n"))
     golds = counts.groupBy("abbr", "gold").agg(F.sum("n").alias("n"))
     golds = golds.withColumn("k", F.row_number().over(Window.partitionBy("abbr").orderBy("gold"))).where(F.col("k") <= GOLDS)
     listed = golds.groupBy("abbr").agg(F.array_join(F.array_sort(F.collect_list("gold")), ", ").alias("gold_variants"))
@@ -155,31 +230,40 @@ def by_abbreviation(scored: DataFrame) -> DataFrame:
 
 
 def covered(scored: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:
-    """OCCURRENCE, step, covered: whether any candidate (abbr, step, candidate) would have been right."""
+    """Keys, step, own, n, covered: whether any candidate (abbr, step, candidate) would have been right.
+
+    Candidates are judged once for each gold of their abbreviation, however often it occurs.
+    """
+    keys = _keys(scored)
     last = scored.where(F.col("stage") == F.lit(max(STEPS))).where(F.col("verdict").isin(SCOREABLE) & F.col("step").isNotNull())
-    offered = last.select(*OCCURRENCE, "abbr", "step", "gold", "verdict").join(candidates.select("abbr", "step", F.col("candidate").alias("resolution")), ["abbr", "step"])
-    judged = with_verdicts(offered.withColumnRenamed("verdict", "own"), index)
-    return judged.groupBy(*OCCURRENCE, "step", "own").agg(F.max(F.col("verdict").isin(WORD)).alias("covered"))
+    last = last.select(*keys, *[c for c in ("abbr", "gold") if c not in keys], "step", F.col("verdict").alias("own"), _weight(scored).alias("n"))
+    listed = candidates.select("abbr", "step", F.col("candidate").alias("resolution")).distinct()
+    pairs = last.select("abbr", "step", "gold").distinct().join(listed, ["abbr", "step"])
+    told = with_verdicts(pairs, index).groupBy("abbr", "step", "gold").agg(F.max(F.col("verdict").isin(WORD)).alias("covered"))
+    return last.join(told, ["abbr", "step", "gold"]).select(*keys, "step", "own", "n", "covered")
 
 
 def candidate_summary(scored: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:
     """For each step: how often a right candidate was offered, and how often it was then chosen."""
-    right = F.col("own").isin(WORD)
+    right, there = F.col("own").isin(WORD), F.col("covered")
+    counted = lambda which: _counted(F.col("n"), which)
     sums = covered(scored, candidates, index).groupBy("step").agg(
-        F.count("*").alias("offered"),
-        F.count_if("covered").alias("n_covered"),
-        F.count_if(F.col("covered") & right).alias("chosen"),
-        F.count_if(~F.col("covered") & ~right).alias("candidate_misses"),
-        F.count_if(~F.col("covered") & right).alias("beyond"),
+        F.sum("n").alias("offered"),
+        counted(there).alias("n_covered"),
+        counted(there & right).alias("chosen"),
+        counted(~there & ~right).alias("candidate_misses"),
+        counted(~there & right).alias("beyond"),
     )
     return sums.withColumns({"ceiling": _share(F.col("n_covered"), F.col("offered")), "choice_accuracy": _share(F.col("chosen"), F.col("n_covered"))})
 
 
 def worst_misses(scored: DataFrame, candidates: DataFrame, index: DataFrame, most: int = 5) -> DataFrame:
     """step, rank, abbr, n: abbreviations for which most often nothing right was offered or found."""
-    told = covered(scored, candidates, index).where(~F.col("covered") & ~F.col("own").isin(WORD)).select(*OCCURRENCE, "step")
-    names = scored.where(F.col("stage") == F.lit(max(STEPS))).select(*OCCURRENCE, "abbr")
-    counts = told.join(names, OCCURRENCE).groupBy("step", "abbr").agg(F.count("*").alias("n"))
+    told = covered(scored, candidates, index).where(~F.col("covered") & ~F.col("own").isin(WORD))
+    if "abbr" not in told.columns:
+        names = scored.where(F.col("stage") == F.lit(max(STEPS))).select(*OCCURRENCE, "abbr")
+        told = told.join(names, OCCURRENCE)
+    counts = told.groupBy("step", "abbr").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("step").orderBy(F.desc("n"), "abbr"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= most).select("step", "rank", "abbr", "n")
 

@@ -240,7 +240,7 @@ W = r"[\p{L}\p{M}\p{N}_]"
 MINED_SQL = f"(SELECT a AS abbr, '<' || rtrim(a, '.') || '>' AS resolution FROM (SELECT unnest(regexp_extract_all(text, '{W}+\\.')) AS a FROM documents) GROUP BY a ORDER BY count(*) DESC, a LIMIT {RULES})"
 
 
-def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def occurrence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of abbreviations of documents with gold and four stages made from their words.
 
     Which stage settles an occurrence, and how well, follows from a word's length and letters.
@@ -252,8 +252,14 @@ def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = F.when(n % 11 == 0, F.lit(None)).when(n % 13 == 0, F.col("abbr")).otherwise(F.concat(stem, F.lit("ia")))
     good = F.when(n % 5 == 0, F.concat(stem, F.lit("ie"))).when(n % 7 == 0, F.concat(stem, F.lit("ya"))).when(n % 17 == 0, F.lit("aliud")).otherwise(F.concat(stem, F.lit("ia")))
     stage = lambda k: F.when(n % 4 < k, F.when(F.lit(k == 4), good).otherwise(F.concat(stem, F.lit("ia")))).when(n % 19 == 0, F.lit(None)).otherwise(F.col("abbr"))
-    rows = rows.withColumn("gold", gold).withColumn("resolutions", F.array(*[stage(k) for k in range(1, 5)]))
-    return rows.select("volume", "entry", "pos", "abbr", "gold", F.posexplode("resolutions").alias("k", "resolution")).select("volume", "entry", "pos", "abbr", "gold", (F.col("k") + 1).alias("stage"), "resolution")
+    return rows.withColumn("gold", gold).withColumn("resolutions", F.array(*[stage(k) for k in range(1, 5)]))
+
+
+def long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a row for each stage."""
+    from .operators import score
+
+    return score.each_stage(occurrence_table(spark, sf_dir)).select("volume", "entry", "pos", "abbr", "gold", "stage", "resolution")
 
 
 def lemmas(spark: SparkSession) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sigla import stand_in
-from sigla.operators import lexicon, rules, tei
+from sigla.operators import lexicon, rules, score, tei
 from sigla.plans import evaluation, reports, steps
 
 SOURCE = "vend. mgr. item. eccl. vet. 3 nov. 1402"
@@ -53,3 +53,73 @@ def test_reports(spark):
     assert "| de. | 1 | 1 |" in reports.resolution(texts, after, listed, stand_in.glossary(spark), "text")
     lines = tei.lines(texts.withColumn("new", F.replace("text", F.lit("de."), F.lit("decanus"))), "text", ["new"])
     assert "| accepted | 1 | 1 |" in reports.markup(lines)
+
+
+def rows_of(frame):
+    columns = sorted(frame.columns)
+    return sorted((tuple(str(r[c]) for c in columns) for r in frame.collect()))
+
+
+def made_up(spark):
+    """Occurrences with nulls, blanks and repeated facts, and offers for some of them."""
+    rows = [
+        (1, k, p, abbr, gold, list(stages))
+        for k in range(30)
+        for p, (abbr, gold, stages) in enumerate(
+            [
+                ("mgr.", "magister", ("mgr.", "magister", "magister", "magistri" if k % 3 else "magister")),
+                ("eccl.", "ecclesia" if k % 2 else None, ("eccl.", None, "ecclesiam", "ecclesie")),
+                ("vet.", "", ("vet.", "vetus", "vetus", "vetus")),
+                ("x.", "x.", ("x.", "x.", "x.", "x.")),
+                ("vend.", "venditio", (None, None, "aliud" if k % 5 else " ", "aliud")),
+                ("dom.", "dominus", ("dom.", "dom.", "dom.", "dom." if k % 4 else None)),
+            ]
+        )
+    ]
+    own = spark.createDataFrame(rows, "volume long, entry long, pos int, abbr string, gold string, resolutions array<string>")
+    index = spark.createDataFrame([("magister", "magister"), ("magistri", "magister"), ("eclesia", "ecclesia"), ("eclesiam", "ecclesia")], "key string, lemma string")
+    offers = spark.createDataFrame([("mgr.", 2, "magister"), ("mgr.", 4, "magistri"), ("mgr.", 4, "magistri"), ("eccl.", 4, "aliter"), ("vend.", 3, "vendere"), ("vend.", 3, "aliud")], "abbr string, step int, candidate string")
+    return own, index, offers
+
+
+def test_facts_count_as_occurrences_do(spark):
+    own, index, offers = made_up(spark)
+    long = score.with_steps(score.with_verdicts(score.each_stage(own), index)).cache()
+    short = score.scored_facts(own.repartition(5), index).cache()
+    assert 0 < short.count() < long.count() / 5
+    for report in (score.by_stage, score.by_step, score.by_abbreviation, score.headline):
+        assert rows_of(report(short)) == rows_of(report(long))
+    for report in (score.candidate_summary, score.worst_misses):
+        got = rows_of(report(short, offers, index))
+        assert got and got == rows_of(report(long, offers, index))
+    again = own.groupBy("abbr", "gold", "resolutions").agg(F.count("*").alias("n"))
+    assert rows_of(score.by_stage(score.scored_facts(again, index))) == rows_of(score.by_stage(long))
+    assert score.scored_facts(own.limit(0), index).count() == 0
+
+
+def test_pairs_are_judged_once(spark, tmp_path, monkeypatch):
+    own, index, _ = made_up(spark)
+    path, asked = str(tmp_path / "judged"), []
+    judge = score.judged
+    monkeypatch.setattr(score, "judged", lambda pairs, i: asked.append({tuple(r) for r in pairs.collect()}) or judge(pairs, i))
+    rows = score.each_stage(own)
+    part = rows.where("abbr = 'mgr.'")
+    first = {tuple(r) for r in evaluation.judged_once(part, index, path).collect()}
+    assert first == {("magister", "magistri", "wrong_form")} and asked == [{("magister", "magistri")}]
+    second = evaluation.judged_once(rows, index, path)
+    assert asked[1:] == [{("ecclesia", "ecclesiam"), ("ecclesia", "ecclesie"), ("venditio", "aliud")}] and second.count() == 4
+    evaluation.judged_once(rows, index, path)
+    assert len(asked) == 2
+    known = rows_of(score.with_verdicts(rows, index, second))
+    assert known == rows_of(score.with_verdicts(rows, index)) and known == rows_of(score.with_verdicts(rows, index, second.limit(1)))
+    other = index.where("key <> 'magistri'")
+    assert ("magister", "magistri", "wrong_word") in {tuple(r) for r in evaluation.judged_once(rows, other, path).collect()}
+    assert {tuple(r) for r in evaluation.judged_once(part, index, path).collect()} == first
+
+
+def test_texts_to_facts(spark, tmp_path):
+    found, glossary, stages = scored(spark)
+    for kept in (None, str(tmp_path / "j"), str(tmp_path / "j")):
+        short = evaluation.counted(frame(spark, SOURCE), frame(spark, GOLD), stages, glossary, stand_in.dioceses(spark), kept)
+        columns = ["abbr", "stage", "resolution", "verdict", "step"]
+        assert rows_of(short.where("n = 1").select(columns)) == rows_of(found.select(columns))

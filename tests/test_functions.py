@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sigla.functions import alignment, answers, morphology, spans, text
 from sigla.functions.spans import Occurrence
+from sigla.operators import lexicon
 
 
 def column(spark, values, expression, schema="value string"):
@@ -178,3 +179,20 @@ def test_analysis_of_entries():
     kinds = [w["kind"] for w in morphology.analysed("et silva antiqua litterae ire", "et; silv -e; antiqu -e; ?; i, -, it", "-; a; o/a (Adj.); ?; kons.-Konj.")]
     assert kinds == ["fixed", "noun", "adjective", "unknown", "verb"]
     assert morphology.words_of("notarius (nur: Bd. 1), (denuo) ponere ?;") == ["notarius", "denuo", "ponere"]
+
+
+def test_key_of_one_word_is_that_of_a_column(spark):
+    words = ["", "ae", "Oeconomia", "jvys", "(Tullius),", "aae", "oae", "ii.", "VV", *morphology.CASE_ENDINGS_PLAIN]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.orthographic_key(F.col("w")).alias("k"))
+    assert {r.w: r.k for r in got.collect()} == {w: text.key_of(w) for w in words}
+
+
+def test_inflectional_pairs_by_brute_force(spark):
+    endings = {text.key_of(e) for e in (*morphology.CASE_ENDINGS_PLAIN, "")}
+    parts = ["", "ab", "abe", "abeo", "ba"]
+    words = [a + e for a in parts for e in ("", "a", "em", "arum", "ibus", "x", "is")] + [None]
+    rows = [(a, b) for a in words for b in words]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", lexicon.inflectional(F.col("a"), F.col("b")).alias("v")).collect()
+    for r in got:
+        fits = None not in (r.a, r.b) and any(r.a[:n] == r.b[:n] and r.a[n:] in endings and r.b[n:] in endings for n in range(3, min(len(r.a), len(r.b)) + 1))
+        assert r.v == fits, r
