@@ -87,7 +87,7 @@ def test_facts_count_as_occurrences_do(spark):
     long = score.with_steps(score.with_verdicts(score.each_stage(own), index)).cache()
     short = score.scored_facts(own.repartition(5), index).cache()
     assert 0 < short.count() < long.count() / 5
-    for report in (score.by_stage, score.by_step, score.by_abbreviation, score.headline):
+    for report in (score.by_stage, score.by_step, score.by_abbreviation):
         assert rows_of(report(short)) == rows_of(report(long))
     for report in (score.candidate_summary, score.worst_misses):
         got = rows_of(report(short, offers, index))
@@ -119,7 +119,7 @@ def test_pairs_are_judged_once(spark, tmp_path, monkeypatch):
 
 def test_texts_to_facts(spark, tmp_path):
     found, glossary, stages = scored(spark)
-    for kept in (None, str(tmp_path / "j"), str(tmp_path / "j")):
+    for kept in (str(tmp_path / "j"), str(tmp_path / "j")):
         short = evaluation.counted(frame(spark, SOURCE), frame(spark, GOLD), stages, glossary, stand_in.dioceses(spark), kept)
         columns = ["abbr", "stage", "resolution", "verdict", "step"]
         assert rows_of(short.where("n = 1").select(columns)) == rows_of(found.select(columns))
