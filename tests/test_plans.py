@@ -348,3 +348,18 @@ def test_resolution_leaves_no_document_or_conversation_out(spark):
     found = sum(w.endswith(".") for d in docs for w in score.EVALUATED.findall(d.text or ""))
     sums = catalogue.evaluated_texts(spark, SF).groupBy("stage").agg(F.sum("n").alias("n")).collect()
     assert [r.n for r in sums] == [found, found]
+
+
+def test_entries_are_decided_on_in_slices(spark):
+    """However many rows a batch has, only some of them are taken out of it at a time."""
+    import pyarrow as pa
+
+    longest = steps.SLICE_BYTES // 2 + 1
+    cuts = list(steps._slices(pa.array(["x"] * (3 * steps.SLICE + 5))))
+    assert [c.stop - c.start for c in cuts] == [steps.SLICE] * 3 + [5] and cuts[-1].stop == 3 * steps.SLICE + 5
+    assert [c.stop for c in steps._slices(pa.array(["y" * longest] * 4), pa.array([None, "", "z", "z"]))] == [2, 4]
+    assert list(steps._slices(pa.array([], pa.string()))) == []
+    n = 2 * steps.SLICE + 1
+    docs = spark.range(n).selectExpr("1L as volume", "id as entry", "concat('the of. ', id) as text").coalesce(1)
+    got = steps.step2(docs, stand_in.glossary(spark), steps.FirstCandidate()).collect()
+    assert sorted(r.entry for r in got) == list(range(n)) and all(r.text == f"the of. {r.entry}" for r in got)
