@@ -101,34 +101,107 @@ def _jumps(manifests: DataFrame) -> Iterator[DataFrame]:
         length *= 2
 
 
+def _chains(manifests: DataFrame) -> DataFrame:
+    """chain, won, input, members: steps of a run in a row of which each reads what the one before wrote.
+
+    members (pos, run, step, file) are in order, and input is what the first of them read.  An entry
+    whose output another one wrote first (not won) is a chain of its own, which nothing leads to.
+    """
+    first = F.row_number().over(Window.partitionBy("output").orderBy("run", "step", "input")) == 1
+    own = manifests.select("run", "step", "input", F.col("output").alias("file"), first.alias("won"))
+    order = Window.partitionBy("run", "won").orderBy("step", "file")
+    goes_on = F.coalesce(F.col("won") & (F.col("input") == F.lag("file").over(order)), F.lit(False))
+    numbered = own.withColumn("goes_on", goes_on).withColumn("no", F.count_if(~F.col("goes_on")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = numbered.withColumn("pos", F.row_number().over(Window.partitionBy("run", "won", "no").orderBy("step", "file")))
+    member = F.struct("pos", "run", "step", "file")
+    grouped = placed.groupBy("run", "won", "no").agg(F.sort_array(F.collect_list(member)).alias("members"), F.min(F.struct("pos", "input")).input.alias("input"))
+    return shared.settled(grouped.select(F.struct("run", "won", "no").alias("chain"), "won", "input", "members"))
+
+
+def _led(chains: DataFrame) -> DataFrame:
+    """chain, up, upto, by_run, by_step: where the first step of a chain reads from, if anyone wrote it."""
+    files = chains.where("won").select(F.col("chain").alias("up"), F.explode("members").alias("m"))
+    files = files.select(F.col("m.file").alias("input"), "up", F.col("m.pos").alias("upto"), F.col("m.run").alias("by_run"), F.col("m.step").alias("by_step"))
+    return shared.settled(chains.select("chain", "input").join(files, "input").drop("input"))
+
+
+def _paths(led: DataFrame) -> DataFrame:
+    """chain, path (chain, upto), closed: the chains behind each, nearest first, and how far along each.
+
+    Paths are put together by doubling lengths, so rounds are few; one that comes back to a chain
+    ends there (closed), with that chain as its last.
+    """
+    one = F.struct(F.col("up").alias("chain"), "upto")
+    paths = led.select("chain", F.array(one).alias("path"), F.col("chain").eqNullSafe(F.col("up")).alias("closed"))
+    paths = shared.settled(paths.withColumn("open", ~F.col("closed")))
+    while not paths.where("open").isEmpty():
+        further = paths.select(F.col("chain").alias("last"), F.col("path").alias("more"), F.col("open").alias("goes_on"))
+        both = paths.withColumn("last", F.when(F.col("open"), F.element_at("path", -1).chain)).join(further, "last", "left")
+        both = both.withColumn("path", F.when(F.col("more").isNotNull(), F.concat("path", "more")).otherwise(F.col("path")))
+        seen = F.concat(F.array("chain"), F.transform("path", lambda x: x.chain))
+        both = both.withColumn("seen", seen).withColumn("again", F.size(F.array_distinct("seen")) < F.size("seen"))
+        back = F.filter(F.sequence(F.lit(1), F.size("path")), lambda i: F.array_position("seen", F.get("seen", i)) <= i)
+        path = F.when(F.col("again"), F.slice("path", F.lit(1), F.get(back, F.lit(0)))).otherwise(F.col("path"))
+        open_ = F.col("more").isNotNull() & ~F.col("again") & F.col("goes_on")
+        paths = shared.settled(both.select("chain", path.alias("path"), F.col("again").alias("closed"), open_.alias("open")))
+    return paths.select("chain", "path", "closed")
+
+
 def lineage(manifests: DataFrame) -> DataFrame:
     """run, step, output, by_run, by_step, depth, first, circular: a row for each step.
 
     by_run and by_step wrote what it read (null: no entry did); depth is how many steps lie behind
     it, and first the file that the earliest of them wrote.  Where files lead in a circle, depth and
-    first are null.  Chains may be of any length: they are followed by jumps of doubling length.
+    first are null.  Chains may be of any length: only what leads from chain to chain is followed.
     """
-    writers = _writers(manifests)
-    # Each file's way back so far: the longest jump that still ends at a written file, added up
-    # from the longest down.
-    ways = writers.select("file", F.col("file").alias("at"), F.lit(0).cast("long").alias("depth"))
-    steps = list(_jumps(manifests))
-    for k, jumps in reversed(list(enumerate(steps))):
-        on = jumps.select(F.col("file").alias("at"), "back")
-        ways = ways.join(on, "at", "left").select("file", F.coalesce("back", "at").alias("at"), (F.col("depth") + F.when(F.col("back").isNull(), 0).otherwise(1 << k)).alias("depth"))
-        ways = shared.settled(ways)
-    # Who is not at a file without a written one behind it goes round in a circle.
-    before = writers.select(F.col("file").alias("at"), F.col("input").alias("read"))
-    written = writers.select(F.col("file").alias("read"), F.lit(True).alias("on"))
-    ends = ways.join(before, "at").join(written, "read", "left").select("file", "at", "depth", F.coalesce("on", F.lit(False)).alias("circular"))
-    own = manifests.select("run", "step", "output", "input")
-    behind = writers.select(F.col("file").alias("input"), F.col("run").alias("by_run"), F.col("step").alias("by_step"))
-    # A step's own input leads the way: another entry may have written the same output.
-    way = ends.select(F.col("file").alias("input"), "at", "depth", "circular")
-    out = own.join(behind, "input", "left").join(way, "input", "left")
-    circular = F.coalesce("circular", F.lit(False))
-    depth = F.when(~circular, F.coalesce(F.col("depth") + 1, F.lit(0).cast("long")))
-    return out.select("run", "step", "output", "by_run", "by_step", depth.alias("depth"), F.when(~circular, F.coalesce("at", "output")).alias("first"), circular.alias("circular"))
+    chains = _chains(manifests)
+    led = _led(chains)
+    rest = F.aggregate("path", F.lit(0).cast("long"), lambda n, x: n + x.upto)
+    ways = _paths(led).select("chain", rest.alias("rest"), F.element_at("path", -1).chain.alias("end"), "closed")
+    heads = chains.select(F.col("chain").alias("end"), F.get("members", F.lit(0)).file.alias("at"))
+    ways = ways.join(heads, "end", "left").join(led.select("chain", "by_run", "by_step"), "chain")
+    before = lambda i: F.when(i > 0, F.get("members", i - 1))
+    each = F.transform("members", lambda m, i: F.struct(m.run.alias("run"), m.step.alias("step"), m.file.alias("output"), m.pos.alias("pos"), before(i).run.alias("own_run"), before(i).step.alias("own_step")))
+    own = chains.select("chain", F.get("members", F.lit(0)).file.alias("head"), F.explode(each).alias("m")).select("chain", "head", "m.*")
+    out = own.join(ways, "chain", "left")
+    circular, within = F.coalesce("closed", F.lit(False)), F.col("pos") > 1
+    by = lambda c: F.when(within, F.col(f"own_{c}")).otherwise(F.col(f"by_{c}")).alias(f"by_{c}")
+    depth = F.when(~circular, F.col("pos") - 1 + F.coalesce("rest", F.lit(0).cast("long")))
+    return out.select("run", "step", "output", by("run"), by("step"), depth.alias("depth"), F.when(~circular, F.coalesce("at", "head")).alias("first"), circular.alias("circular"))
+
+
+def lineages(manifests: DataFrame) -> DataFrame:
+    """run, step, depth, from_run, from_step, output, circular: each step (depth 0) and every step behind it, each once.
+
+    Follows each step's input to the entry that wrote it; stops where no entry did, or at a file
+    that has been passed (circular).  What lies behind a chain is put together once for all its
+    steps, and a step's rows are made beside its chain: they are not shuffled.
+    """
+    chains = _chains(manifests)
+    paths = _paths(_led(chains))
+    seen = F.concat(F.array("chain"), F.transform("path", lambda x: x.chain))
+    last = F.size("path")
+    told = paths.withColumn("seen", seen).withColumn("at", F.when(F.col("closed"), F.array_position("seen", F.element_at("seen", -1)).cast("int") - 1))
+    # A path that comes back to a chain takes what it has not passed of it: above its own place there.
+    low = lambda i: F.when(F.col("closed") & (i + 1 == last) & (F.col("at") > 0), F.get("path", F.col("at") - 1).upto).otherwise(F.lit(0))
+    pieces = F.transform("path", lambda x, i: F.struct((i + 1).alias("i"), x.chain.alias("of"), low(i).alias("low"), x.upto.alias("upto")))
+    other = F.filter(pieces, lambda x: (x.upto > x.low) & ~(F.col("closed") & (x.i == last) & (F.col("at") == 0)))
+    part = lambda members, low, upto: F.reverse(F.slice(members, low + 1, upto - low))
+    rows = told.select("chain", F.explode(other).alias("p")).select("chain", "p.*")
+    found = rows.join(chains.select(F.col("chain").alias("of"), "members"), "of").select("chain", F.struct("i", part(F.col("members"), F.col("low"), F.col("upto")).alias("part")).alias("p"))
+    above = found.groupBy("chain").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p.part)).alias("above"))
+    ends = told.select("chain", "closed", F.when(F.col("closed") & (F.col("at") == 0), F.element_at("path", -1).upto).alias("round"))
+    kind = dict(chains.dtypes)["members"]
+    own = chains.join(ends, "chain", "left").join(above, "chain", "left").withColumn("above", F.coalesce("above", F.array().cast(kind)))
+    own = own.select("members", "above", "won", "round", F.coalesce("closed", F.lit(False)).alias("circular"), F.explode("members").alias("m"))
+    pos = F.col("m.pos")
+    rest = F.when(F.col("round") > pos, part(F.col("members"), pos, F.col("round"))).otherwise(F.array().cast(kind))
+    way = own.select("won", "circular", "m", F.concat(part(F.col("members"), F.lit(0), pos), "above", rest).alias("way"))
+    # Whose output another entry wrote first may come to that file: it has been passed.
+    again = F.array_position(F.transform(F.slice("way", 2, F.size("way")), lambda x: x.file), F.col("m.file")).cast("int")
+    way = way.withColumn("way", F.when(~F.col("won") & (again > 0), F.slice("way", F.lit(1), again)).otherwise(F.col("way")))
+    out = way.select("m.run", "m.step", "circular", F.posexplode("way").alias("depth", "b"))
+    return out.select("run", "step", "depth", F.col("b.run").alias("from_run"), F.col("b.step").alias("from_step"), F.col("b.file").alias("output"), "circular")
 
 
 def behind(manifests: DataFrame, run: str, step: int) -> DataFrame:

@@ -488,3 +488,30 @@ def test_extraction_log(spark):
     log = {(r.stage, r.abbr, r.resolution) for r in out.log.collect()}
     assert ("unusable", "x.", "?") in log and ("alternatives", "d.", "dictus") in log and ("merged", "s.", "Sanctus") in log
     assert ("not in corpus", "th.", "theologia") in log and ("volume cells", "ecl.", "ecclesia") in log and ("note", "nat.", "navalis") in log
+
+
+def test_lineages_have_every_step_behind_each(spark):
+    """Against a walk through every kind of graph: branches, circles entered from outside, files written twice."""
+    rng = random.Random(8)
+    for case in range(4):
+        given = list(stand_in.MANIFESTS) if case == 0 else []
+        for k in range(60 if case else 0):
+            given.append((f"r{rng.randrange(9)}", k, None, rng.choice([None, *(f"f{rng.randrange(40)}" for _ in range(9))]) if rng.random() < 0.4 else f"f{k - 1}", f"f{k}" if rng.random() < 0.9 else f"f{rng.randrange(60)}"))
+        wrote = {}
+        for r, k, _, i, o in sorted(given, key=lambda x: (x[0], x[1])):
+            wrote.setdefault(o, (r, k, i))
+        want, circular = [], set()
+        for r, k, _, i, o in given:
+            seen, at, depth = {o}, i, 0
+            want.append((r, k, 0, r, k, o))
+            while at in wrote and at not in seen:
+                depth += 1
+                seen.add(at)
+                want.append((r, k, depth, *wrote[at][:2], at))
+                at = wrote[at][2]
+        own = spark.createDataFrame(given, "run string, step int, model string, input string, output string")
+        got = runs.lineages(own)
+        assert rows(got, "run", "step", "depth", "from_run", "from_step", "output") == sorted(want, key=str)
+        ends = {(r.run, r.step): r for r in runs.lineage(own).collect()}
+        assert all(ends[r.run, r.step].circular == r.circular for r in got.collect())
+        assert all(ends[r, k].by_run == fr and ends[r, k].by_step == fs for r, k, d, fr, fs, _ in want if d == 1)
