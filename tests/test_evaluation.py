@@ -123,3 +123,14 @@ def test_texts_to_facts(spark, tmp_path):
         short = evaluation.counted(frame(spark, SOURCE), frame(spark, GOLD), stages, glossary, stand_in.dioceses(spark), kept)
         columns = ["abbr", "stage", "resolution", "verdict", "step"]
         assert rows_of(short.where("n = 1").select(columns)) == rows_of(found.select(columns))
+
+
+def test_a_text_of_several_stages_is_aligned_once(monkeypatch):
+    from sigla.functions import alignment
+
+    asked, align = [], alignment.align
+    monkeypatch.setattr(alignment, "align", lambda *a: asked.append(a) or align(*a))
+    got = score._occurrences_of("the of. an.", "the officium annum", ["the of. an.", "the officium an.", "the officium annum", None], None)
+    assert len(asked) == 3  # gold is the third stage, the first is the source; a null text is empty
+    assert [(o["pos"], o["abbr"], o["gold"], o["resolutions"][:3]) for o in got] == [(1, "of.", "officium", ["of.", "officium", "officium"]), (2, "an.", "annum", ["an.", "an.", "annum"])]
+    assert score._occurrences_of(None, "x", ["y"], None) == []
