@@ -134,3 +134,12 @@ def test_a_text_of_several_stages_is_aligned_once(monkeypatch):
     assert len(asked) == 3  # gold is the third stage, the first is the source; a null text is empty
     assert [(o["pos"], o["abbr"], o["gold"], o["resolutions"][:3]) for o in got] == [(1, "of.", "officium", ["of.", "officium", "officium"]), (2, "an.", "annum", ["an.", "an.", "annum"])]
     assert score._occurrences_of(None, "x", ["y"], None) == []
+
+
+def test_steps_are_told_before_stages_are_taken_apart(spark):
+    given = [(1, k, 0, "ab.", "abia", r) for k, r in enumerate((["ab.", "abia", "abia", "abie"], ["ab.", None, "abia", "abia"], ["ab."] * 4, [None] * 4, ["abia", None, "abus", "abus"]))]
+    own = spark.createDataFrame(given, "volume long, entry long, pos int, abbr string, gold string, resolutions array<string>")
+    told = score.each_stage(score.settled(own))
+    assert sorted(map(str, told.select("entry", "stage", "step").collect())) == sorted(map(str, score.with_steps(score.each_stage(own)).select("entry", "stage", "step").collect()))
+    assert [r.step for r in score.settled(own).orderBy("entry").collect()] == [4, 3, None, None, 3]
+    assert "Aggregate" not in told._jdf.queryExecution().executedPlan().toString()
