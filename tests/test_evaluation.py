@@ -97,6 +97,20 @@ def test_facts_count_as_occurrences_do(spark):
     assert score.scored_facts(own.limit(0), index).count() == 0
 
 
+def test_reports_read_facts_and_not_the_texts_again(spark, tmp_path):
+    own, index, offers = made_up(spark)
+    long = score.with_steps(score.with_verdicts(score.each_stage(own), index))
+    own.write.parquet(str(tmp_path / "own"))
+    own = spark.read.parquet(str(tmp_path / "own"))
+    assert any("/own/" in f for f in own.inputFiles())
+    facts = score.facts(own)
+    for report in (score.candidate_summary, score.worst_misses):
+        for scored in (score.scored_facts(own, index), score.judged_facts(facts, index, only=4)):
+            got = report(scored, offers, index)
+            assert not any("/own/" in f for f in got.inputFiles())
+            assert rows_of(got) == rows_of(report(long, offers, index))
+
+
 def test_pairs_are_judged_once(spark, tmp_path, monkeypatch):
     own, index, _ = made_up(spark)
     path, asked = str(tmp_path / "judged"), []
