@@ -11,14 +11,15 @@ Borders of edits are borders of words.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .alignment import dealt
 from .matching import SCRIPT, let
@@ -161,6 +162,76 @@ def aligned(script: Column) -> Column:
     return F.flatten(F.zip_with(pieces, both, lambda p, b: each(p, b.at, b.dealt)))
 
 
+@lru_cache(maxsize=100_000)
+def _put_in(old: str, new: str) -> tuple[list[str], list[int | None], list[int | None], list[str | None], int]:
+    """An edit's old words, where each starts and ends among the new ones, their text, and how many are new."""
+    spans, words = _dealt(old, new), EVALUATED.findall(new)
+    texts = [None if s is None else " ".join(words[s:e]) for s, e in spans]
+    return EVALUATED.findall(old), [s for s, _ in spans], [e for _, e in spans], texts, len(words)
+
+
+def _aligned_words(scripts: pa.ListArray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of which text each word is, and of all words one after the other: pos, token, start, end, text.
+
+    A word that stays stands as many words further on as edits before it have put in more than they
+    took; only the words of edits are told one by one.
+    """
+    pieces = pa.compute.fill_null(pa.compute.list_value_length(scripts), 0).to_numpy(zero_copy_only=False)
+    tokens, texts, told, own, more = [], [], [], [], []
+    for gap, old, new in zip(*(x.to_pylist() for x in scripts.flatten().flatten())):
+        same = EVALUATED.findall(gap)
+        tokens += same
+        texts += same
+        n = further = 0
+        if old or new:
+            words, lows, highs, put, count = _put_in(old, new)
+            told += zip(range(len(tokens), len(tokens) + len(words)), range(len(words)), lows, highs)
+            tokens += words
+            texts += put
+            n, further = len(words), count - len(words)
+        own.append(len(same) + n)
+        more.append(further)
+    own, more = np.array(own, dtype=np.int64), np.array(more, dtype=np.int64)
+    of = np.repeat(np.repeat(np.arange(len(pieces)), pieces), own)
+    first = np.searchsorted(of, np.arange(len(pieces)))
+    pos = np.arange(len(of)) - first[of]
+    shift, begins = np.cumsum(more) - more, np.cumsum(pieces) - pieces
+    shift -= np.repeat(shift[np.minimum(begins, max(0, len(shift) - 1))] if len(shift) else begins, pieces)
+    start = pos + np.repeat(shift, own)
+    end, none = start + 1, np.zeros(len(of), dtype=bool)
+    for k, back, low, high in told:
+        if low is None:
+            none[k] = True
+        else:
+            start[k], end[k] = start[k] - back + low, start[k] - back + high
+    columns = [pa.array(pos, pa.int32()), pa.array(tokens, pa.string()), pa.array(start, pa.int32(), mask=none), pa.array(end, pa.int32(), mask=none), pa.array(texts, pa.string())]
+    return of, columns
+
+
+#: Texts whose words are told at a time.
+TEXTS = 64
+
+
+def aligned_rows(df: DataFrame, script: str, *keys: str) -> DataFrame:
+    """keys, pos and what :func:`aligned` tells, a row for each word of the text before.
+
+    Rows are made where the words are: no array of all words of a text leaves its task.
+    """
+    fields = [("pos", T.IntegerType()), ("token", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("text", T.StringType())]
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(n, t) for n, t in fields)])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                of, told = _aligned_words(part.column(len(keys)))
+                own = [part.column(k).take(pa.array(of)) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, *told], names=schema.names)
+
+    pieces = F.transform(script, lambda e: F.struct(e.gap.alias("gap"), e.old.alias("old"), e.new.alias("new")))
+    return df.select(*keys, pieces.alias("script")).mapInArrow(rows, schema)
+
+
 class _Cut:
     """A script being read, by characters of one of its two texts."""
 

@@ -65,9 +65,10 @@ class Matcher:
 
     def __init__(self, lookup: Callable[[Column], Column], most: int, least: int = 1, bare_words: bool = False):
         self.lookup, self.most, self.least = lookup, most, least
-        word = r"\w+\.?" if bare_words else r"\w+\."
+        # A word that ends in its period can be read in one way only, so nothing has to be given back.
+        word = r"\w+\.?" if bare_words else r"\w++\."
         self.token = rf"(?U)[ \t]*{word}"
-        more = rf"(?:[ \t]*{word})" + (f"{{{least - 1},}}" if least > 1 else "*")
+        more = rf"(?:[ \t]*{word})" + (f"{{{least - 1},}}" if least > 1 else "*") + ("" if bare_words else "+")
         self.run = rf"(?U)\b{word}{more}"
 
     def script(self, text: Column, step: str = "") -> Column:
@@ -85,7 +86,8 @@ class Matcher:
         end = F.array(_piece(gap, F.lit(""), F.lit(None).cast("string"), step))
         tokens = F.regexp_extract_all(run, F.lit(self.token), F.lit(0))
         if self.most == 1:
-            each = F.transform(tokens, lambda t, i: let(F.ltrim(t, F.lit(BLANKS)), lambda w: _piece(F.concat(F.when(i == 0, gap).otherwise(F.lit("")), _before(t, w)), w, self.lookup(w), step)))
+            piece = lambda t, i, w: let(self.lookup(w), lambda v: _piece(F.concat(F.when(i == 0, gap).otherwise(F.lit("")), _before(t, w)), w, v, step))
+            each = F.transform(tokens, lambda t, i: let(F.ltrim(t, F.lit(BLANKS)), lambda w: piece(t, i, w)))
             return F.when(run.isNull(), end).otherwise(each)
         return F.when(run.isNull(), end).otherwise(let(tokens, lambda ts: self._windows(gap, ts, step)))
 
@@ -136,7 +138,7 @@ class Patterned:
         none = F.lit(None).cast("string")
         found = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
         value = lambda m: F.when(m.isNotNull(), self.lookup(m)).otherwise(none)
-        return F.zip_with(F.split(text, self.pattern, -1), found, lambda gap, m: _piece(gap, F.coalesce(m, F.lit("")), value(m), step))
+        return F.zip_with(F.split(text, self.pattern, -1), found, lambda gap, m: let(value(m), lambda v: _piece(gap, F.coalesce(m, F.lit("")), v, step)))
 
 
 def _before(token: Column, word: Column) -> Column:

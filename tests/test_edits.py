@@ -160,3 +160,22 @@ def test_candidates_are_put_in_without_python_over_texts(spark):
     (got,) = out.collect()
     assert (got.expanded, got.marked) == ("AB x AB c.", "[[1|a. b.]] x [[2|a.b.]] [[3|c.]]")
     assert [o.abbreviation for o in got.occurrences] == ["a. b.", "a. b.", "c."]
+
+
+def test_rows_of_aligned_words_are_told_without_an_array_of_them(spark):
+    e = lambda gap, old="", new="": (gap, old, new, "#step1")
+    scripts = [
+        [e("In the ", "a. b.", "alium xx bonum"), e(" and ", "c.", "cum"), e(" 12 end.")],
+        [e("no word of it goes on: ", "q. r. s.", "zz yy"), e(" here", "", " more words"), e(" x. ", "gone.", ""), e(" y.")],
+        [],
+        [e("")],
+        [e("", "a. b.", "alium xx bonum"), e(" ... "), e("last")],
+        None,
+    ]
+    rows = [(1, k, s) for k, s in enumerate(scripts)] + [(2, k, scripts[k % 2]) for k in range(2 * edits.TEXTS + 3)]
+    df = spark.createDataFrame(rows, f"volume long, entry long, script {edits.SCRIPT}").coalesce(1)
+    told = edits.aligned_rows(df, "script", "volume", "entry")
+    assert "Generate" not in told._jdf.queryExecution().executedPlan().toString()
+    want = df.select("volume", "entry", F.posexplode(edits.aligned(F.col("script"))).alias("pos", "a")).select("volume", "entry", "pos", "a.*")
+    key = lambda r: (r.volume, r.entry, r.pos)
+    assert told.columns == want.columns and sorted(told.collect(), key=key) == sorted(want.collect(), key=key)
