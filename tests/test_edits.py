@@ -179,3 +179,13 @@ def test_rows_of_aligned_words_are_told_without_an_array_of_them(spark):
     want = df.select("volume", "entry", F.posexplode(edits.aligned(F.col("script"))).alias("pos", "a")).select("volume", "entry", "pos", "a.*")
     key = lambda r: (r.volume, r.entry, r.pos)
     assert told.columns == want.columns and sorted(told.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_the_text_after_is_put_together_once_for_markup(spark):
+    import re
+
+    df = spark.createDataFrame([("an a. b", [("an ", "a.", "annum", "#step1"), (" b", "", "", "")])], f"old string, script {edits.SCRIPT}")
+    told = tei.lines_of(df, "old", known=["the."])
+    assert told.first().status == "accepted"
+    plan = told.where("status <> ''")._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"array_join\(transform\(script#\d+, lambdafunction\(concat\(", plan)) == 1
