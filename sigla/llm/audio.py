@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, others, slices, utf8, with_columns, write_shared
+from .common import free_name, others, slices, small_batches, utf8, with_columns, write_shared
 
 UNIT = 576
 RATE = 8000
@@ -302,9 +302,14 @@ def heard(df: DataFrame, pcm: str = "pcm") -> DataFrame:
 
 def described(docs: DataFrame) -> DataFrame:
     """Documents' texts stored as media in the shared folder, read back, resampled to PCM that is
-    stored there too, and measured as both are read back."""
-    media = write_shared(stored(docs.select("doc_id", "text")), "media", LEVEL, PAGE_BYTES)
-    return heard(write_shared(digested(media), "pcm", LEVEL, PAGE_BYTES))
+    stored there too, and measured as both are read back.
+
+    What is measured is stored as well, so that all three passes run here, in batches of a few MB.
+    """
+    with small_batches(docs.sparkSession):
+        media = write_shared(stored(docs.select("doc_id", "text")), "media", LEVEL, PAGE_BYTES)
+        pcm = write_shared(digested(media), "pcm", LEVEL, PAGE_BYTES)
+        return write_shared(heard(pcm), "features", LEVEL, PAGE_BYTES)
 
 
 #: What is told of the payload in DuckDB SQL, which has no CRC-32 and no media.

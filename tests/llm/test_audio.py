@@ -123,3 +123,23 @@ def test_pieces_of_long_values_join(monkeypatch):
     whole = audio.resample(x), audio._feature("c", x, x)
     monkeypatch.setattr(audio, "PIECE", 7)
     assert (audio.resample(x) == whole[0]).all() and audio._feature("c", x, x) == whole[1]
+
+
+def test_python_gets_small_batches_whatever_the_size_of_a_partition(spark, monkeypatch):
+    def counted(batches, column):
+        def seen():
+            for batch in batches:
+                assert batch.nbytes < 2 * common.SLICE_BYTES, batch.nbytes
+                yield batch
+
+        return common.slices(seen(), column)
+
+    monkeypatch.setattr(audio, "slices", counted)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string")), 100).alias("text"))
+    got = audio.described(docs)
+    assert spark.conf.get(key) == before
+    monkeypatch.undo()
+    want = audio.measured(audio.stored(docs)).select(*got.columns)
+    assert got.count() == 2000 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
