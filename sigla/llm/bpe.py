@@ -367,6 +367,23 @@ def _told(ids: bytes) -> tuple[bytes, str]:
     return bytes(ids), ",".join(map(str, array("i", bytes(ids))))
 
 
+def _looked_up(words: pa.Table) -> dict[bytes, tuple[bytes, str]]:
+    return {w: _told(ids) for w, ids in zip(words["word"].to_pylist(), words["ids"].to_pylist())}
+
+
+class Known:
+    """Words and ids in Arrow columns, which are pickled as they are and unpickled as a dictionary.
+
+    So only workers hold an object for each word; the driver holds the bytes.
+    """
+
+    def __init__(self, words: pa.Table):
+        self.words = words
+
+    def __reduce__(self):
+        return _looked_up, (self.words,)
+
+
 def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents: encoded, then decoded from the ids.
 
@@ -374,8 +391,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     parts = write_shared(sliced(df, pattern), "pieces")
     known = vocabulary(parts, ranks_path)
-    listed = known.collect()  # VOCABULARY words at most
-    shared = df.sparkSession.sparkContext.broadcast({bytes(r.word): _told(r.ids) for r in listed})
+    shared = df.sparkSession.sparkContext.broadcast(Known(known.toArrow()))  # VOCABULARY words at most
     schema = T.StructType([df.schema["doc_id"], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string")])
     names = schema.names
 

@@ -1,7 +1,12 @@
 import hashlib
+import pickle
 import random
+import tracemalloc
+from array import array
+from itertools import product
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from sigla.llm import bpe, common
 from sigla.llm.queries import RANKS, op7_byte_bpe
@@ -74,3 +79,21 @@ def test_vocabulary_and_tail_give_the_same_ids(spark, monkeypatch):
     assert 5 < len(known) <= 20 and all(len(r.word) <= 5 for r in known)
     assert len({r.word for r in known}) == len(known)
     assert bpe.round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_the_driver_has_no_object_for_each_known_word(spark):
+    words = list(map("".join, product("abcdefghijklm", repeat=4)))
+    df = spark.createDataFrame([(k, " ".join(words)) for k in range(4)], "doc_id int, text string")
+    assert bpe.vocabulary(bpe.sliced(df, public_tokenizers.PATTERN), RANKS).count() >= len(words)
+    tracemalloc.start()
+    try:
+        bpe.round_trip(df, RANKS, public_tokenizers.PATTERN)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200 * len(words), peak
+
+
+def test_known_words_are_unpickled_as_a_dictionary():
+    known = bpe.Known(pa.table({"word": [b"ab", b" c"], "ids": [array("i", x).tobytes() for x in ((5, 70000), (9,))]}))
+    assert pickle.loads(pickle.dumps(known)) == {b"ab": (array("i", (5, 70000)).tobytes(), "5,70000"), b" c": (array("i", (9,)).tobytes(), "9")}
