@@ -135,10 +135,10 @@ class Patterned:
         return let(F.coalesce(text, F.lit("")), lambda t: self._cut(t, step))
 
     def _cut(self, text: Column, step: str) -> Column:
-        none = F.lit(None).cast("string")
-        found = F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
-        value = lambda m: F.when(m.isNotNull(), self.lookup(m)).otherwise(none)
-        return F.zip_with(F.split(text, self.pattern, -1), found, lambda gap, m: let(value(m), lambda v: _piece(gap, F.coalesce(m, F.lit("")), v, step)))
+        # Looked up before gaps are known: Spark takes no Python function out of an expression in which
+        # a lambda within another one uses the other one's variable.
+        found = F.transform(F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)), lambda m: F.struct(m.alias("old"), self.lookup(m).alias("value")))
+        return F.zip_with(F.split(text, self.pattern, -1), found, lambda gap, x: _piece(gap, F.coalesce(x.old, F.lit("")), x.value, step))
 
 
 def _before(token: Column, word: Column) -> Column:

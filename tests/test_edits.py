@@ -189,3 +189,15 @@ def test_the_text_after_is_put_together_once_for_markup(spark):
     assert told.first().status == "accepted"
     plan = told.where("status <> ''")._jdf.queryExecution().analyzed().toString()
     assert len(re.findall(r"array_join\(transform\(script#\d+, lambdafunction\(concat\(", plan)) == 1
+
+
+def test_a_script_of_patterns_can_be_given_to_a_python_function_where_it_is_made(spark):
+    """Whatever ids columns have: Spark takes the function out of the expression, under a generator too."""
+    texts = ["dom. XIV. a. ab. Ab.cd. é ab.", "", None, "II. zz."]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    rows = df.select("k", F.explode(edits.occurrences(matching.remaining(F.col("text")))).alias("o")).select("k", "o.*")
+    assert sorted(map(tuple, rows.collect())) == [(k, *o) for k, t in enumerate(texts) for o in spans.locate_remaining(t or "")]
+    upper = matching.Patterned("[a-z]", lambda m: F.when(m != "b", F.upper(m))).script(F.col("text"), "#s")
+    (got,) = spark.createDataFrame([("ab1cb",)], "text string").select(edits.marked(upper).alias("m"), edits.inserted(upper).alias("i"), edits.result(upper).alias("t"), upper.alias("s")).collect()
+    assert (got.m, got.t, [tuple(i) for i in got.i]) == ("[[1|a]]b1[[2|c]]b", "Ab1Cb", [(0, 1), (3, 4)])
+    assert [tuple(e) for e in got.s] == [("", "a", "A", "#s"), ("b", "", "", ""), ("1", "c", "C", "#s"), ("b", "", "", ""), ("", "", "", "")]
