@@ -275,8 +275,10 @@ def step2(texts: DataFrame, glossary: DataFrame, chooser: Chooser) -> DataFrame:
 
 def step3(texts: DataFrame, corpus: DataFrame, chooser: Chooser) -> DataFrame:
     """Choose among corpus words that go on where an abbreviation stops."""
-    found = texts.withColumn("occurrences", edits.occurrences(matching.remaining(F.col("text"))))
-    own = found.select("volume", "entry", F.explode("occurrences.abbreviation").alias("abbreviation")).distinct()
+    # A column of its own: its script is made once, for what stands in it and for where that starts.
+    found = texts.withColumn("found", matching.remaining(F.col("text")))
+    found = found.withColumn("occurrences", edits.occurrences(F.col("found"))).drop("found")
+    own = scan.remaining(texts, *vita.KEY).select(*vita.KEY, "abbreviation").distinct()
     mined = scan.mined_candidates(own, scan.vocabulary(corpus))
     listed = mined.groupBy("abbreviation").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "candidate"))), lambda c: c.candidate).alias("c"))
     maps = own.join(listed, "abbreviation").groupBy("volume", "entry").agg(F.map_from_entries(F.collect_list(F.struct("abbreviation", "c"))).alias("candidates"))

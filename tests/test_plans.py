@@ -363,3 +363,14 @@ def test_entries_are_decided_on_in_slices(spark):
     docs = spark.range(n).selectExpr("1L as volume", "id as entry", "concat('the of. ', id) as text").coalesce(1)
     got = steps.step2(docs, stand_in.glossary(spark), steps.FirstCandidate()).collect()
     assert sorted(r.entry for r in got) == list(range(n)) and all(r.text == f"the of. {r.entry}" for r in got)
+
+
+def test_mined_words_are_put_in_where_abbreviations_stand(spark):
+    corpus = spark.createDataFrame([("ecclesia ecclesia decanus decanus decanum once",)], "text string")
+    texts = [(1, 1, "eccl. XIV. dec. eccl. on. zz."), (1, 2, None), (2, 1, "MIX. no.")]
+    got = steps.step3(spark.createDataFrame(texts, "volume long, entry long, text string"), corpus, steps.FirstCandidate())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sums(") == 1 and "ArrowEvalPython [sums(" in plan  # a Python function's work, asked for once
+    rows = {(r.volume, r.entry): (r.processed, r.choices, r.candidates) for r in got.collect()}
+    assert rows[1, 1] == ("ecclesia XIV. decanus ecclesia on. zz.", {"1": "ecclesia", "2": "decanus", "3": "ecclesia"}, {"eccl.": ["ecclesia"], "dec.": ["decanus"], "on.": [], "zz.": []})
+    assert rows[1, 2] == ("", {}, {}) and rows[2, 1] == ("MIX. no.", {}, {"no.": []})
