@@ -17,13 +17,13 @@ from typing import NamedTuple, Protocol
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import alignment, answers, edits, matching, spans
+from ..functions import alignment, answers, matching, spans
 from ..operators import candidates as offers
 from ..operators import lexicon, scan, vita
-from ..schema import OCCURRENCE
 from ..sources import tables
 from .models import Model, ThinkingUnsupported, worth_another
 from .stopping import Interrupted, Stopping
@@ -245,22 +245,53 @@ def _slices(*texts: pa.Array) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
-def chosen(entries: DataFrame, step: int, chooser: Chooser, attempts: int = ATTEMPTS) -> DataFrame:
+def _as_listed(text: str, where: list[dict] | None, listed: dict) -> list[spans.Occurrence] | None:
+    return None if where is None else spans._rows(where)
+
+
+def _pieces(script: str) -> Column:
+    """A script as lists of its fields, with the lengths of its gaps in place of their text: lists
+    of plain values are much faster to take out of a batch than a list of structs."""
+    each = lambda of: F.transform(script, of)
+    return F.struct(each(lambda e: F.length(e.gap)).alias("gaps"), each(lambda e: e.old).alias("olds"), each(lambda e: e.new).alias("news"))
+
+
+def _in_pieces(text: str, where: dict, listed: dict) -> list[spans.Occurrence]:
+    """What :func:`edits.occurrences` tells of a script, which :func:`_pieces` has taken apart."""
+    out, at = [], 0
+    for gap, old, new in zip(where["gaps"], where["olds"], where["news"]):
+        at += gap
+        if old or new:
+            out.append(spans.Occurrence(len(out) + 1, new, old, at, at + len(old)))
+        at += len(old)
+    return out
+
+
+def _put_in(text: str, where: str | None, listed: dict) -> list[spans.Occurrence] | None:
+    """Words of a lexicon that stand in a text in the place of others in the original, ``where``."""
+    found = alignment.inserted_spans(where or "", text)
+    return None if found is None else spans.locate_words(text, listed, found)
+
+
+def chosen(entries: DataFrame, step: int, chooser: Chooser, attempts: int = ATTEMPTS, where: str = "occurrences", located: Callable = _as_listed) -> DataFrame:
     """Decisions for entries (volume, entry, text, occurrences, candidates).
 
     A null list of occurrences means that the entry must not be touched (its alignment failed).
+    In place of a list, ``where`` can name what ``located`` reads the occurrences off, given an
+    entry's text, that column and the candidates: a task then has one Python worker, not two.
     """
-    own = entries.select(F.col("volume").cast("long"), F.col("entry").cast("long"), "text", "occurrences", "candidates")
+    own = entries.select(F.col("volume").cast("long"), F.col("entry").cast("long"), "text", F.col(where).alias("where"), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in _slices(batch.column("text")):
+            for cut in _slices(*(batch.column(c) for c in ("text", "where") if pa.types.is_string(batch.column(c).type))):
                 part = batch.slice(cut.start, cut.stop - cut.start)
-                given = part.select(["text", "occurrences", "candidates"]).to_pylist()
-                items = [(r["text"] or "", spans._rows(r["occurrences"] or []), dict(r["candidates"] or [])) for r in given]
-                rows = asked(step, chooser, items, attempts)
-                for row, r in zip(rows, given):
-                    if r["occurrences"] is None:
+                given = part.select(["text", "where", "candidates"]).to_pylist()
+                listed = [dict(r["candidates"] or []) for r in given]
+                found = [located(r["text"] or "", r["where"], c) for r, c in zip(given, listed)]
+                rows = asked(step, chooser, [(r["text"] or "", f or [], c) for r, f, c in zip(given, found, listed)], attempts)
+                for row, f in zip(rows, found):
+                    if f is None:
                         row["errors"] = ["Alignment failed: the text was not made by substitution alone"]
                 made = pa.RecordBatch.from_pylist(rows, _MADE)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *made.columns], names=[*part.schema.names[:3], *_MADE.names])
@@ -270,50 +301,40 @@ def chosen(entries: DataFrame, step: int, chooser: Chooser, attempts: int = ATTE
 
 def step2(texts: DataFrame, glossary: DataFrame, chooser: Chooser) -> DataFrame:
     """Choose among the dictionary's candidates."""
-    return chosen(offers.with_occurrences(texts, offers.of_entries(texts, glossary)), 2, chooser)
+    found = offers.with_occurrences(texts, offers.of_entries(texts, glossary))
+    return chosen(found.withColumn("pieces", _pieces("found")), 2, chooser, where="pieces", located=_in_pieces)
 
 
 def step3(texts: DataFrame, corpus: DataFrame, chooser: Chooser) -> DataFrame:
     """Choose among corpus words that go on where an abbreviation stops."""
-    # A column of its own: its script is made once, for what stands in it and for where that starts.
-    found = texts.withColumn("found", matching.remaining(F.col("text")))
-    found = found.withColumn("occurrences", edits.occurrences(F.col("found"))).drop("found")
+    found = texts.withColumn("found", matching.remaining(F.col("text"))).withColumn("pieces", _pieces("found"))
     own = scan.remaining(texts, *vita.KEY).select(*vita.KEY, "abbreviation").distinct()
     mined = scan.mined_candidates(own, scan.vocabulary(corpus))
     listed = mined.groupBy("abbreviation").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "candidate"))), lambda c: c.candidate).alias("c"))
     maps = own.join(listed, "abbreviation").groupBy("volume", "entry").agg(F.map_from_entries(F.collect_list(F.struct("abbreviation", "c"))).alias("candidates"))
-    return chosen(found.join(maps, vita.KEY, "left"), 3, chooser)
+    return chosen(found.join(maps, vita.KEY, "left"), 3, chooser, where="pieces", located=_in_pieces)
 
 
 def step4(texts: DataFrame, originals: DataFrame, entries: DataFrame, corpus: DataFrame, chooser: Chooser) -> DataFrame:
     """Choose the form of words that were put in, among their paradigms by corpus count."""
     ranked = lexicon.ranked_forms(lexicon.lexicon(entries), scan.vocabulary(corpus))
     pairs = ranked.groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "form"))), lambda c: c.form).alias("forms"))
-    both = texts.join(originals.select(*vita.KEY, F.col("text").alias("original")), vita.KEY)
-    words = both.select(*vita.KEY, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Za-z]+)\b"), 1))).alias("word"))
-    own = words.join(pairs, "word").groupBy(*vita.KEY).agg(F.map_from_entries(F.collect_list(F.struct("word", "forms"))).alias("candidates"))
-
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("abbreviation", pa.string()), ("matched", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-
-    @F.arrow_udf(f"array<{OCCURRENCE}>")
-    def inside(original: pa.Array, text: pa.Array, known: pa.Array) -> pa.Array:
-        parts = []
-        for cut in _slices(original, text):
-            out = []
-            for o, t, k in zip(*(x[cut].to_pylist() for x in (original, text, known))):
-                found = alignment.inserted_spans(o or "", t or "")
-                out.append(None if found is None else [x._asdict() for x in spans.locate_words(t or "", set(k or []), found)])
-            parts.append(pa.array(out, kind))
-        return pa.concat_arrays(parts) if parts else pa.array([], kind)
-
-    both = both.join(own, vita.KEY, "left")
-    return chosen(both.withColumn("occurrences", inside("original", "text", F.map_keys("candidates"))), 4, chooser)
+    # Words are looked up where they are read: all words of all texts are never shuffled.  The lexicon is as large as a dictionary.
+    words = texts.select(*vita.KEY, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Za-z]+)\b"), 1))).alias("word"))
+    own = words.join(F.broadcast(pairs), "word").groupBy(*vita.KEY).agg(F.map_from_entries(F.collect_set(F.struct("word", "forms"))).alias("candidates"))
+    both = texts.join(originals.select(*vita.KEY, F.col("text").alias("original")), vita.KEY).join(own, vita.KEY, "left")
+    return chosen(both, 4, chooser, where="original", located=_put_in)
 
 
 def assembled(stage: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The next stage (volume, entry, text): processed texts, and entries that were not among them."""
-    done = decisions.select(*vita.KEY, F.col("processed").alias("text"))
-    return done.unionByName(stage.select(*vita.KEY, "text").join(done, vita.KEY, "left_anti"))
+    """The next stage (volume, entry, text): processed texts, and entries that were not among them.
+
+    Decisions are read once, so a step that has not been written is not worked out again.
+    """
+    done = decisions.select(*vita.KEY, F.col("processed").alias("text"), F.lit(True).alias("done"))
+    rows = done.unionByName(stage.select(*vita.KEY, "text", F.lit(False).alias("done")))
+    decided = F.max("done").over(Window.partitionBy(*vita.KEY)) & F.col("volume").isNotNull() & F.col("entry").isNotNull()
+    return rows.withColumn("decided", decided).where("done or not decided").select(*vita.KEY, "text")
 
 
 def resumed(work: DataFrame, done: DataFrame, process: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
